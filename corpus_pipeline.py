@@ -1,20 +1,47 @@
-"""Documents to packed training sequences, a stage at a time."""
+"""Documents to packed training sequences, a stage at a time.
+
+Each stage takes the documents that its predecessor kept and returns documents, with all their
+columns; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cytospark.llm import packing
+from cytospark.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
 from cytospark.llm.common import table, written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned list reject go."""
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, and documents that held nothing else."""
+    out = line_dedup.without_boilerplate(docs).where("n_removed = 0 or trim(text) <> ''")
+    kept = {"text": "text"} | ({"n_chars": "if(n_removed = 0, n_chars, length(text))"} if "n_chars" in docs.columns else {})
+    return out.select(*(F.expr(kept[c]).alias(c) if c in kept else F.col(c) for c in docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", benchmark), ("packing", pack)]
 
-#: Stages that train, search or call the tokenizers library have no SQL.
+#: Stages that learn from labels, search, or call the tokenizers library have no SQL.
 ORACLE_SQL = None
 
 
