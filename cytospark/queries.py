@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import aggregate as A
+from .operators import annotator
+from .operators import cells as C
 from .operators import joins as J
 from .operators import pixel_sets as P
 from .operators import select as L
 from .operators import windows as W
 from .sources import profiles_csv, tables
-from .standin import oracle, profiles, view
+from .plans import phenotype
+from .standin import images, oracle, profiles, view
 from .streaming import activity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,3 +618,165 @@ def i1_stream_daily_activity(spark, sf):
 def i2_stream_new_cells(spark, sf):
     c = view(spark, sf, "cells").withColumnRenamed("o_orderdate", "created_at")
     return activity.stream_new_cells(c.unionByName(c)).groupBy("dbname").agg(F.count("*").alias("n"))
+
+
+# --- whole cells, frames and profiles: measured by numpy helpers in Spark's maps -------------------
+# x = 0 never occurs in the given grid, so the SQL's pixels start at 1; rectangles of suppliers with
+# x0 > 0 are compared.
+
+_FLAT = "CAST(cell_id AS BIGINT) % 5 > 0"
+
+
+def _fluo1(spark, sf):
+    return images(spark, sf).where("channel = 'fluo1'")
+
+
+@query(f"SELECT dbname, cell_id, count(*) AS n, sum(intensity) AS s FROM inside WHERE {_FLAT} GROUP BY ALL", "s", 1)
+def j1_rasterize(spark, sf):
+    return C.rasterize(_fluo1(spark, sf).where("x0 > 0")).groupBy(*K2).agg(F.count("*").alias("n"), F.sum("intensity").alias("s"))
+
+
+@query(f"SELECT dbname, cell_id, x, y, t FROM inside WHERE {_FLAT}", "t", 4)
+def j2_axial_positions(spark, sf):
+    px = C.axial_positions(_fluo1(spark, sf).where("x0 > 0"))
+    # An axis has no sign: places count from the left.
+    turned = px.groupBy(*K2).agg((F.max_by("t", "x") < F.min_by("t", "x")).alias("turned"))
+    return px.join(turned, K2).select("dbname", "cell_id", "x", "y", F.when(F.col("turned"), 1 - F.col("t")).otherwise(F.col("t")).alias("t"))
+
+
+@query("SELECT dbname, cell_id, CAST(x1 - x0 AS DOUBLE) AS length, CAST(y1 - y0 AS DOUBLE) AS width_mean, CAST(y1 - y0 AS DOUBLE) AS width_median FROM boxes", "length width_mean width_median", 3)
+def j3_cell_widths(spark, sf):
+    return C.cell_widths(_fluo1(spark, sf))
+
+
+@query()
+def j4_profile_vectors(spark, sf):
+    return W.profile_bins(C.profile_pixels(_fluo1(spark, sf)), K3)
+
+
+@query()
+def j5_aligned_contours(spark, sf):
+    return C.aligned_contours(_fluo1(spark, sf))
+
+
+@query()
+def j6_j9_cell_maps(spark, sf):
+    return C.cell_maps(_fluo1(spark, sf))
+
+
+@query()
+def d31_population_map(spark, sf):
+    return C.population_map(C.cell_maps(_fluo1(spark, sf)), True)
+
+
+@query()
+def j7_detect_spots(spark, sf):
+    return W.cap_spots(C.detect_spots(_fluo1(spark, sf)))
+
+
+@query()
+def j8_locate_spots(spark, sf):
+    points = view(spark, sf, "lineitem").selectExpr("l_linestatus as dbname", "cast(l_suppkey as string) as cell_id", "'fluo1' as channel", "l_linenumber as spot_id", "double(l_quantity) as x", "l_discount * 100 as y").dropDuplicates(K3 + ["spot_id"])
+    return C.locate_spots(points, _fluo1(spark, sf))
+
+
+def _frames(spark, sf):
+    return _fluo1(spark, sf).selectExpr("l_suppkey % 7 as view", "l_suppkey % 3 as roi", "l_suppkey as frame", "dbname", "height", "width", "pixels", "transform(pixels, p -> int(p > 20000)) as mask").where("dbname = 'F'").drop("dbname")
+
+
+@query()
+def j10_connected_components(spark, sf):
+    return C.connected_components(_frames(spark, sf), ["frame"])
+
+
+@query("SELECT dbname, cell_id, CAST(2 * (x1 - x0 + y1 - y0) AS DOUBLE) AS hull_perimeter, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS hull_area, 1.0::DOUBLE AS convexity, 1.0::DOUBLE AS solidity FROM boxes", "hull_perimeter hull_area convexity solidity", 4)
+def j11_hull_measures(spark, sf):
+    return C.hull_measures(_fluo1(spark, sf))
+
+
+@query()
+def j12_segment_frames(spark, sf):
+    return C.segment_frames(_frames(spark, sf), ["frame"])
+
+
+@query()
+def j13_separation_flag(spark, sf):
+    return C.separation_flag(profiles(spark, sf))
+
+
+@query()
+def d36_separation_ratio(spark, sf):
+    return C.separation_ratio(profiles(spark, sf))
+
+
+@query()
+def j14_cluster_points(spark, sf):
+    return C.cluster_points(_fluo1(spark, sf), 3)
+
+
+@query()
+def j15_contour_image_features(spark, sf):
+    i = images(spark, sf)
+    wide = i.groupBy("dbname", "cell_id").pivot("channel", ["ph", "fluo1", "fluo2"]).agg(F.first("pixels"))
+    cells = i.where("channel = 'ph'").join(wide, K2).withColumn("images", F.struct("ph", "fluo1", "fluo2")).where("fluo1 is not null and fluo2 is not null")
+    return C.contour_image_features(cells)
+
+
+@query()
+def j16_smooth(spark, sf):
+    return C.smooth_profiles(profiles(spark, sf), 2.0)
+
+
+@query()
+def e11_drift(spark, sf):
+    f = _frames(spark, sf).withColumn("frame", F.expr("(frame - view) div 7")).withColumn("view", F.col("view"))
+    first = f.groupBy("view").agg(F.min("frame").alias("first"))
+    return C.drift(f.join(first, "view").withColumn("frame", F.col("frame") - F.col("first")), 2)
+
+
+def _samples(spark, sf):
+    return view(spark, sf, "embeddings").selectExpr("vec_id as id", "cast(embedding as array<double>) as features", "int(label >= 5) as y")
+
+
+@query()
+def j17_annotator(spark, sf):
+    s = _samples(spark, sf)
+    return annotator.predict_annotator(s, annotator.fit_annotator(s.where("id % 5 <> 0"), steps=400))
+
+
+@query()
+def j18_cross_validate(spark, sf):
+    return annotator.cross_validate(_samples(spark, sf), [{"k": k, "l2": l2, "steps": 200} for k in (5, 15) for l2 in (0.01, 0.03)])
+
+
+@query("SELECT dbname, cell_id, CAST(round((x1 - x0) / 5.0) AS BIGINT) AS ribs, CAST(y1 - y0 AS DOUBLE) AS across FROM boxes", "across", 3)
+def j19_axis_ribs(spark, sf):
+    r = C.axis_ribs(_fluo1(spark, sf))
+    return r.groupBy(*K2).agg(F.count("*").alias("ribs"), F.avg(F.abs(F.col("y1") - F.col("y0"))).alias("across"))
+
+
+@query()
+def j20_split_recovered(spark, sf):
+    px = view(spark, sf, "labelled").select("view", "frame", "label", "x", "y").distinct()
+    return C.split_recovered(px, px, 8)
+
+
+@query()
+def j21_track_traps(spark, sf):
+    return C.track_traps(_frames(spark, sf), 5, 400)
+
+
+@query()
+def g4_elastic_mask(spark, sf):
+    return C.elastic_mask(_fluo1(spark, sf), 2)
+
+
+@query("SELECT DISTINCT dbname, cell_id, CAST(x1 - x0 AS DOUBLE) AS length, CAST(y1 - y0 AS DOUBLE) AS width_mean, nm AS fluo1_normalized_median FROM boxes b JOIN (SELECT dbname, cell_id, quantile_cont(intensity, 0.5) / max(intensity) AS nm FROM inside GROUP BY ALL) USING (dbname, cell_id) WHERE CAST(cell_id AS BIGINT) % 5 > 0", "length width_mean fluo1_normalized_median", 3)
+def d11_phenotype_features(spark, sf):
+    return phenotype.phenotype_features(images(spark, sf).where("x0 > 0")).select("dbname", "cell_id", "length", "width_mean", "fluo1_normalized_median")
+
+
+@query()
+def d12_phenotype_comparison(spark, sf):
+    p = phenotype.phenotype_features(images(spark, sf), "1")
+    return A.metric_summary(p, "fluo1_entropy_norm", ["dbname"])

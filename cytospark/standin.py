@@ -27,6 +27,11 @@ VIEWS = {
     "labelled": """SELECT l_suppkey % 7 AS view, l_suppkey AS roi, l_partkey % 5 AS frame, l_linenumber AS label, CAST(l_quantity AS INT) AS x, CAST(round(l_discount * 100) AS INT) AS y,
         max(l_extendedprice) AS intensity FROM {lineitem} GROUP BY 1, 2, 3, 4, 5, 6""",
 }
+VIEWS["boxes"] = "SELECT DISTINCT l_linestatus AS dbname, CAST(l_suppkey AS STRING) AS cell_id, l_suppkey % 5 AS x0, 45 + l_suppkey % 6 AS x1, 1 + l_suppkey % 2 AS y0, 8 + l_suppkey % 3 AS y1 FROM {lineitem}"
+VIEWS["fluo1"] = "SELECT dbname, cell_id, x, y, max(intensity) AS intensity FROM {px} WHERE channel = 'N' GROUP BY dbname, cell_id, x, y"
+VIEWS["inside"] = """SELECT b.dbname AS dbname, b.cell_id AS cell_id, t.x AS x, u.y AS y, coalesce(f.intensity, 0) AS intensity, CAST(t.x - x0 AS DOUBLE) / (x1 - x0) AS t FROM {boxes} b
+        JOIN (SELECT DISTINCT x FROM {px}) t ON t.x BETWEEN x0 AND x1 JOIN (SELECT DISTINCT y FROM {px}) u ON u.y BETWEEN y0 AND y1
+        LEFT JOIN {fluo1} f ON f.dbname = b.dbname AND f.cell_id = b.cell_id AND f.x = t.x AND f.y = u.y"""
 GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -41,6 +46,21 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "embeddings").selectExpr("cast(label as string) as dbname", "cast(vec_id as string) as cell_id", "transform(sequence(0, size(embedding) - 1), i -> double(i)) as u1", "cast(embedding as array<double>) as g")
 
 
+BOX = "l_suppkey % 5 AS x0, 45 + l_suppkey % 6 AS x1, 1 + l_suppkey % 2 AS y0, 8 + l_suppkey % 3 AS y1"
+CHANNEL = "CASE l_returnflag WHEN 'A' THEN 'ph' WHEN 'N' THEN 'fluo1' ELSE 'fluo2' END"
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with images: a supplier's items as 51 x 11 pixels a channel (0 where none), and a rectangle as contour."""
+    px = view(spark, sf_dir, "lineitem").selectExpr("l_linestatus as dbname", "l_suppkey", f"{CHANNEL} as channel", "int(round(l_discount * 100)) * 51 + int(l_quantity) as at", "l_extendedprice")
+    top = px.groupBy("dbname", "l_suppkey", "channel", "at").agg({"l_extendedprice": "max"}).withColumnRenamed("max(l_extendedprice)", "v")
+    img = top.selectExpr("dbname", "l_suppkey", "channel", "struct(at, v) as e").groupBy("dbname", "l_suppkey", "channel").agg({"e": "collect_list"}).withColumnRenamed("collect_list(e)", "e")
+    img = img.selectExpr("dbname", "l_suppkey", "channel", "map_from_entries(e) as m", *(e for e in BOX.split(", ")))
+    corner = "struct(double({0}) as x, double({1}) as y)"
+    contour = ", ".join(corner.format(*c) for c in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))
+    return img.selectExpr("dbname", "cast(l_suppkey as string) as cell_id", "channel", "11 as height", "51 as width", "transform(sequence(0, 560), i -> coalesce(m[i], 0D)) as pixels", f"array({contour}) as contour", "cast(l_suppkey % 3 as string) as manual_label", "double((x1 - x0) * (y1 - y0)) as area", "x0", "x1", "y0", "y1", "l_suppkey")
+
+
 PROFILES_SQL = "SELECT CAST(label AS STRING) AS dbname, CAST(vec_id AS STRING) AS cell_id, unnest(CAST(embedding AS DOUBLE[])) AS g, generate_subscripts(embedding, 1) - 1 AS u1 FROM embeddings"
 
 
