@@ -2,8 +2,9 @@
 
 Items are cut into entries of at most ``ENTRY`` words; passages are twice as long and start every
 ``ENTRY`` words, so an entry that a text holds lies whole in one passage. Scores are shares of
-the entry's score of itself. A passage whose terms' greatest impacts can't add up to the threshold
-is passed over at once (in numpy, for all passages of a batch); the others walk the postings by
+the entry's score of itself, and terms of more than a twentieth of the entries weigh nothing. A
+passage whose terms' greatest impacts can't add up to the threshold in any block of entries is
+passed over at once (in numpy, for all passages of a batch); the others walk the postings by
 block-max WAND. What is retrieved is then verified word by word: three-word runs of the item's
 question part and of its answer part (its last sentence) must both be in the text.
 """
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from . import words
 
-ENTRY, RUN, POSTINGS = 64, 3, 16
+ENTRY, RUN, POSTINGS, BLOCKS = 64, 3, 16, 32
+#: Terms of a larger share of the entries weigh nothing, but for the LEAST_TERMS rarest of an entry.
+COMMON, LEAST_TERMS = 0.05, 4
 THRESHOLD, QUESTION, ANSWER = 0.55, 0.7, 0.7
 #: Items an index holds; more are indexed and searched in turn, so that what is broadcast stays bounded.
 MOST_ITEMS = 4096
@@ -53,6 +56,7 @@ class Index(NamedTuple):
     terms: np.ndarray  #: hashes, sorted
     filter: np.ndarray  #: by a hash's first 16 bits, whether a term has them
     greatest: np.ndarray  #: each term's greatest impact
+    blocks: np.ndarray  #: each term's greatest impact in each of at most BLOCKS runs of entries
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  #: entries, impacts, greatest impact a block
 
 
@@ -84,8 +88,12 @@ def indexed(rows: list[tuple[int, str]]) -> Index | None:
     pair, many = np.unique(np.stack([flat[order], entry[order].astype(np.uint64)]), axis=1, return_counts=True)
     terms, first, df = np.unique(pair[0], return_index=True, return_counts=True)
     idf = np.log(1 + (len(entries) - df + 0.5) / (df + 0.5))
-    idf = np.where(df * 4 > len(entries), 0.0, idf) if len(entries) >= 40 else idf  # words of a quarter of the items find nothing
-    e = pair[1].astype(np.int64)
+    e, each = pair[1].astype(np.int64), np.repeat(np.arange(len(terms)), df)
+    common = df > max(2, COMMON * len(entries))
+    rank = np.lexsort((each, df[each], e))  # an entry's terms, the rarest first
+    place = np.arange(len(e)) - np.searchsorted(e[rank], e[rank])
+    common[each[rank[place < LEAST_TERMS]]] = False
+    idf = np.where(common, 0.0, idf)
     impact = np.repeat(idf, df) * many * (K1 + 1) / (many + K1 * (1 - B + B * sizes[e] / sizes.mean()))
     own = np.bincount(e, impact, len(entries))
     impact = impact / np.maximum(own[e], 1e-9)
@@ -94,8 +102,10 @@ def indexed(rows: list[tuple[int, str]]) -> Index | None:
         p = impact[s : s + n]
         postings.append((e[s : s + n], p, np.maximum.reduceat(p, np.arange(0, n, POSTINGS))))
     seen = np.zeros(65536, bool)
-    seen[(terms >> np.uint64(48)).astype(np.int64)] = True
-    return Index(items, np.array(of), terms, seen, np.array([p.max() for _, p, _ in postings]), postings)
+    seen[(terms[~common] >> np.uint64(48)).astype(np.int64)] = True
+    blocks = np.zeros((len(terms), BLOCKS))
+    np.maximum.at(blocks, (each, e * BLOCKS // len(entries)), impact)
+    return Index(items, np.array(of), terms, seen, np.array([p.max() for _, p, _ in postings]), blocks, postings)
 
 
 def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -155,13 +165,12 @@ def search(index: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, i
         return []
     h = words.hashes(data, s, e)
     at = words.per_text(s, off)
-    maybe = np.flatnonzero(index.filter[(h >> np.uint64(48)).astype(np.int64)])
-    place = np.minimum(np.searchsorted(index.terms, h[maybe]), len(index.terms) - 1)
-    is_term = index.terms[place] == h[maybe]
-    term = np.full(len(h), -1, np.int32)
-    term[maybe[is_term]] = place[is_term]
-    worth = np.where(term >= 0, index.greatest[term], 0.0)
-    bound = np.concatenate([[0.0], np.cumsum(worth)])
+    at_term = np.flatnonzero(index.filter[(h >> np.uint64(48)).astype(np.int64)])
+    term = np.minimum(np.searchsorted(index.terms, h[at_term]), len(index.terms) - 1)
+    ok = (index.terms[term] == h[at_term]) & (index.greatest[term] > 0)
+    at_term, term = at_term[ok], term[ok]
+    bound = np.zeros((len(term) + 1, BLOCKS))
+    np.cumsum(index.blocks[term], axis=0, out=bound[1:])
     n = np.diff(at)
     passages = np.maximum(1, -(-(n - ENTRY) // ENTRY)) * (n > 0)
     text = np.repeat(np.arange(len(n)), passages)
@@ -169,11 +178,9 @@ def search(index: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, i
     lo = at[text] + k * ENTRY
     hi = np.minimum(lo + 2 * ENTRY, at[text + 1])
     hits: dict[tuple[int, int], list] = {}
-    for p in np.flatnonzero(bound[hi] - bound[lo] >= THRESHOLD).tolist():
-        own = np.unique(term[lo[p] : hi[p]])
-        own = own[own >= 0]
-        if index.greatest[own].sum() < THRESHOLD:
-            continue
+    first, last = np.searchsorted(at_term, lo), np.searchsorted(at_term, hi)
+    for p in np.flatnonzero((bound[last] - bound[first]).max(1) >= THRESHOLD - 1e-9).tolist():
+        own = np.unique(term[first[p] : last[p]])
         for entry, score in wand(index, own.tolist(), THRESHOLD):
             hits.setdefault((int(text[p]), int(index.of[entry])), []).append((score, int(lo[p]), int(hi[p])))
     out = []
