@@ -132,3 +132,26 @@ def composite(px: DataFrame, first: str, second: str) -> DataFrame:
     cell = Window.partitionBy("dbname", "cell_id")
     scaled = lambda c: F.floor(F.try_divide(F.col(c) - F.min(c).over(cell), F.max(c).over(cell) - F.min(c).over(cell)) * 255)
     return wide.select("dbname", "cell_id", "x", "y", F.greatest(scaled("a"), scaled("b")).cast("long").alias("v")).where("v is not null")
+
+
+def densify(df: DataFrame, step: float = 1.0) -> DataFrame:
+    """contour (array of x, y structs) with points about every ``step`` along its closed outline."""
+    ring = "transform(sequence(0, size(contour) - 1), i -> struct(contour[i] as a, contour[(i + 1) % size(contour)] as b))"
+    dense = f"flatten(transform({ring}, s -> transform(sequence(0, int(greatest(round(sqrt(pow(s.b.x - s.a.x, 2) + pow(s.b.y - s.a.y, 2)) / {step}), 1)) - 1), k -> struct(s.a.x + (s.b.x - s.a.x) * k / greatest(round(sqrt(pow(s.b.x - s.a.x, 2) + pow(s.b.y - s.a.y, 2)) / {step}), 1) as x, s.a.y + (s.b.y - s.a.y) * k / greatest(round(sqrt(pow(s.b.x - s.a.x, 2) + pow(s.b.y - s.a.y, 2)) / {step}), 1) as y))))"
+    return df.withColumn("contour", F.when(F.size("contour") > 0, F.expr(dense)).otherwise(F.col("contour")))
+
+
+def contour_of_json(text: Column) -> Column:
+    """[[x, y], ..] as an array of x, y structs; NULL where the text isn't that."""
+    return F.transform(F.from_json(text, "array<array<double>>"), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+
+
+def json_of_contour(contour: Column) -> Column:
+    return F.to_json(F.transform(contour, lambda p: F.array(p["x"], p["y"])))
+
+
+def roi_bands(rois: DataFrame, from_width: int, from_height: int, width: int, height: int) -> DataFrame:
+    """Rectangles scaled to an image's size, and the band (equal y0, y1) of each within its view, from the top."""
+    scaled = {c: F.round(F.col(c) * (width / from_width if c[0] == "x" else height / from_height)).cast("long") for c in ("x0", "x1", "y0", "y1")}
+    out = rois.withColumns(scaled)
+    return out.withColumn("band", F.dense_rank().over(Window.partitionBy("view").orderBy("y0", "y1")))

@@ -780,3 +780,34 @@ def d11_phenotype_features(spark, sf):
 def d12_phenotype_comparison(spark, sf):
     p = phenotype.phenotype_features(images(spark, sf), "1")
     return A.metric_summary(p, "fluo1_entropy_norm", ["dbname"])
+
+
+@query("SELECT dbname, cell_id FROM boxes WHERE CAST(cell_id AS BIGINT) % 4 > 0")
+def b4_require_channel(spark, sf):
+    i = images(spark, sf).withColumn("contour", F.expr("if(l_suppkey % 4 = 0, null, contour)"))
+    return L.require_channel(i, "fluo1", True).select("dbname", "cell_id")
+
+
+@query(f"WITH m AS ({_BRIGHT}), d AS ({_DILATED.format('m')}) SELECT d.dbname, d.cell_id, count(*) AS n FROM d ANTI JOIN m USING (dbname, cell_id, x, y) GROUP BY ALL")
+def g3_ring(spark, sf):
+    m = view(spark, sf, "grid").where("intensity > 60000")
+    grown = P.dilate(m, P.SQUARE, K2, 51, 11)
+    return grown.join(m.select(*K2, "x", "y"), [*K2, "x", "y"], "left_anti").groupBy(*K2).agg(F.count("*").alias("n"))
+
+
+@query("SELECT dbname, cell_id, CAST(2 * (x1 - x0 + y1 - y0) AS BIGINT) AS points, CAST((x1 - x0 + y1 - y0) * (x0 + x1) AS DOUBLE) AS sum_x FROM boxes", "sum_x", 3)
+def h6_densify(spark, sf):
+    d = L.densify(_fluo1(spark, sf))
+    return d.select("dbname", "cell_id", F.size("contour").cast("long").alias("points"), F.aggregate("contour", F.lit(0.0), lambda s, p: s + p["x"]).alias("sum_x"))
+
+
+@query("SELECT dbname, cell_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS poly_area FROM boxes", "poly_area", 3)
+def h7_contour_json(spark, sf):
+    text = L.json_of_contour(F.col("contour"))
+    return A.polygon_measures(_fluo1(spark, sf).withColumn("contour", L.contour_of_json(text))).select("dbname", "cell_id", "poly_area")
+
+
+@query("SELECT o_orderkey, CAST(round(x0 * 2.0) AS BIGINT) AS x0, CAST(round(y0 * 0.5) AS BIGINT) AS y0, CAST(dense_rank() OVER (PARTITION BY view ORDER BY round(y0 * 0.5), round((y0 + 9) * 0.5)) AS INT) AS band FROM (SELECT o_orderkey, o_custkey % 20 AS view, o_orderkey % 100 AS x0, o_orderkey % 7 * 10 AS y0 FROM orders)")
+def h9_roi_bands(spark, sf):
+    r = view(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey % 20 as view", "o_orderkey % 100 as x0", "o_orderkey % 100 + 5 as x1", "o_orderkey % 7 * 10 as y0", "o_orderkey % 7 * 10 + 9 as y1")
+    return L.roi_bands(r, 100, 80, 200, 40).select("o_orderkey", "x0", "y0", "band")
