@@ -631,7 +631,7 @@ def _fluo1(spark, sf):
     return images(spark, sf).where("channel = 'fluo1'")
 
 
-@query(f"SELECT dbname, cell_id, count(*) AS n, sum(intensity) AS s FROM inside WHERE {_FLAT} GROUP BY ALL", "s", 1)
+@query(f"SELECT dbname, cell_id, count(*) AS n, sum(intensity) AS s FROM inside WHERE {_FLAT} GROUP BY ALL", "s", 2)
 def j1_rasterize(spark, sf):
     return C.rasterize(_fluo1(spark, sf).where("x0 > 0")).groupBy(*K2).agg(F.count("*").alias("n"), F.sum("intensity").alias("s"))
 
