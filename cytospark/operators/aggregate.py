@@ -118,13 +118,22 @@ def profile_score(g: Column) -> Column:
     return F.when(high > low, (mean - low) / (high - low)).otherwise(mean)
 
 
-def control_threshold(scores: DataFrame, value: str = "score", share: float = 0.95) -> DataFrame:
-    """One row: the score at descending place int(0.95 n). Equal scores are counted first, so the order is over distinct values."""
-    counts = scores.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    after = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = counts.agg(F.sum("n").alias("total"))
-    # A window over distinct control scores and a one-row total.
-    return counts.withColumn("upto", F.sum("n").over(after)).crossJoin(F.broadcast(total)).where(F.col("upto") > F.least(F.floor(F.col("total") * share), F.col("total") - 1)).agg(F.max(value).alias("threshold"))
+def control_threshold(scores: DataFrame, value: str = "score", share: float = 0.95, slack: float = 0.002) -> DataFrame:
+    """One row: the score at descending place int(share * n); no row without scores.
+
+    An approximate percentile brackets it (its error is a twentieth of the slack); scores above the
+    bracket are only counted, so the exact order is over the few distinct scores within.
+    """
+    ok = scores.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    cuts = [max(0.0, 1 - share - slack), min(1.0, 1 - share + slack)]
+    facts = ok.agg(F.count("*").alias("n"), F.percentile_approx("v", cuts, 10_000).alias("cuts"))
+    rows = ok.crossJoin(F.broadcast(facts))  # facts: one row
+    above = rows.agg(F.sum((F.col("v") > F.col("cuts")[1]).cast("long")).alias("above"))
+    counts = rows.where(F.col("v").between(F.col("cuts")[0], F.col("cuts")[1])).groupBy("v", "n").agg(F.count("*").alias("many"))
+    upto = F.sum("many").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    place = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    found = counts.withColumn("upto", upto).crossJoin(F.broadcast(above)).where(F.col("above") + F.col("upto") > place)
+    return found.agg(F.max("v").alias("threshold")).where("threshold is not null")
 
 
 def aggregation_ratio(profiles: DataFrame, control: DataFrame, pixel: float = 0.065) -> DataFrame:

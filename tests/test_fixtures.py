@@ -306,3 +306,12 @@ def test_orders(spark):
     labels = spark.createDataFrame([("b",), ("10",), ("N/A",), ("2",)], "l string")
     assert [r[0] for r in labels.orderBy(*L.label_keys(F.col("l"))).collect()] == ["N/A", "2", "10", "b"]
     assert W.profile_monotone(spark.createDataFrame(profile([1, 2], [1]), PROFILE)).where("monotone").count() == 1
+
+
+def test_control_threshold_is_the_order_statistic(spark):
+    r = np.random.default_rng(1)
+    for n in (1, 2, 19, 20, 21, 39, 100, 997, 5000):
+        v = np.round(r.normal(size=n), 2 if n > 500 else 6)
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "score double")
+        assert A.control_threshold(df).first()["threshold"] == np.sort(v)[::-1][min(int(0.95 * n), n - 1)]
+    assert A.control_threshold(df.where("false")).count() == 0
