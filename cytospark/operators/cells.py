@@ -37,6 +37,21 @@ def each_row(df: DataFrame, make: Callable[[dict], Rows], schema: str) -> DataFr
     return df.mapInPandas(run, schema)
 
 
+def each_row_arrays(df: DataFrame, make: Callable[[dict], tuple | None], schema: str) -> DataFrame:
+    """As `each_row`, where ``make`` returns a row's output by column: arrays of one length, and single values that stand in each."""
+    names = [c.strip().split()[0] for c in _fields(schema)]
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for lo in range(0, len(pdf), 256):
+                got = [g for row in pdf.iloc[lo : lo + 256].to_dict("records") if (g := make(row)) is not None]
+                sizes = [next(len(c) for c in g if isinstance(c, np.ndarray)) for g in got]
+                columns = [[c if isinstance(c, np.ndarray) else np.full(n, c, object) for c, n in zip(column, sizes)] for column in zip(*got)]
+                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, columns)} if got else {n: [] for n in names})
+
+    return df.mapInPandas(run, schema)
+
+
 def _fields(schema: str) -> list[str]:
     out, depth = [""], 0
     for c in schema:
@@ -55,31 +70,30 @@ def _mask(row: dict) -> np.ndarray:
 def rasterize(cells: DataFrame) -> DataFrame:
     """The pixels inside each contour, its border too, with their intensity."""
 
-    def make(r: dict) -> Rows:
+    def make(r: dict) -> tuple | None:
         if r["contour"] is None or r["pixels"] is None:
-            return
+            return None
         img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
         y, x = np.nonzero(_mask(r))
-        for a, b, v in zip(x.tolist(), y.tolist(), img[y, x].tolist()):
-            yield r["dbname"], r["cell_id"], r["channel"], a, b, v
+        return r["dbname"], r["cell_id"], r["channel"], x.astype(np.int32), y.astype(np.int32), img[y, x]
 
-    return each_row(cells, make, "dbname string, cell_id string, channel string, x int, y int, intensity double")
+    return each_row_arrays(cells, make, "dbname string, cell_id string, channel string, x int, y int, intensity double")
 
 
 def axial_positions(cells: DataFrame, degree: int = 4) -> DataFrame:
     """The pixels inside each contour with their place t (0 to 1) along the centreline."""
 
-    def make(r: dict) -> Rows:
+    def make(r: dict) -> tuple | None:
         p = G.pixels(_mask(r))
         if len(p) < 3:
-            return
+            return None
         line = G.Centerline(p, degree)
         t = line.place(p)[0] / line.length
         img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
-        for (x, y), v in zip(p.astype(int).tolist(), t.tolist()):
-            yield r["dbname"], r["cell_id"], r["channel"], x, y, float(img[y, x]), v
+        x, y = p.astype(np.int32).T
+        return r["dbname"], r["cell_id"], r["channel"], x, y, img[y, x], t
 
-    return each_row(cells, make, "dbname string, cell_id string, channel string, x int, y int, intensity double, t double")
+    return each_row_arrays(cells, make, "dbname string, cell_id string, channel string, x int, y int, intensity double, t double")
 
 
 def cell_widths(cells: DataFrame, degree: int = 4) -> DataFrame:
