@@ -17,6 +17,8 @@ MIN_SITES = 8
 MIN_CHARS = 12
 #: log2 of a sketch's registers, and how far from the threshold an estimate decides: over six standard errors.
 LG_K, MARGIN = 12, 0.1
+#: A line's rows meet the chosen lines in so many tasks, so a line on a third of all texts isn't one task's.
+SALTS = 32
 
 
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -26,21 +28,27 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.where("line is not null")
 
 
+def among(lines: DataFrame, chosen: DataFrame, how: str = "inner") -> DataFrame:
+    """lines whose line is among the chosen: joined by line and salt, the chosen once for each salt."""
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
+    return salted.join(chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["line", "salt"], how).drop("salt")
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Lines on at least min_sites sites, each with its first place."""
     often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
-    shared = written(lines.join(often, "line", "left_semi"), "shared-lines")
+    shared = written(among(lines, often, "left_semi"), "shared-lines")
     spread = written(shared.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc_id", "key", "pos")).alias("first")), "site-sketches")
     far, near = F.col("sites") >= min_sites * (1 + MARGIN) + 1, F.col("sites") > min_sites * (1 - MARGIN) - 1
     close = spread.where(~far & near)
-    exact = shared.join(close.select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    exact = among(shared, close.select("line"), "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     return spread.where(far).select("line", "first").unionByName(close.join(exact, "line", "left_semi").select("line", "first"))
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, key and the positions of the lines that go, one row for each text that loses any."""
     lines = written(line_table(docs, min_chars), "lines")
-    gone = lines.join(boilerplate(lines, min_sites), "line").where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
+    gone = among(lines, boilerplate(lines, min_sites)).where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("gone"))
 
 
