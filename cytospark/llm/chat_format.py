@@ -3,7 +3,8 @@
 Conversations that begin with the same turns share those turns' tokens: a tree's node is a turn
 after a given history, and the stream holds each node once, depth-first. A node carries its
 position ids' first value (tokens of all its ancestors), and the stream intervals of its
-ancestors, to which its tokens attend besides those before them in the node.
+ancestors, to which its tokens attend besides those before them in the node. Nodes that follow
+their parent at once make a run, so ancestors are few intervals: one for each run on the path.
 
 Order is by the path of history hashes, whose byte order is a depth-first order, so trees are laid
 out by a range shuffle and a prefix scan, however many conversations share a first turn.
@@ -19,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField
 
 from . import bpe
 from .common import prefix_sums, written
@@ -81,7 +83,7 @@ def prefix_tree(places: DataFrame, tokenizer: str) -> DataFrame:
 
     node, parent, depth, role, formatted, loss_from and loss_to (code points of formatted under the loss
     mask: an assistant's escaped text, else none), ids, loss_ids_from and loss_ids_to, n_tokens, start (in
-    the stream), position (of the first token), attends (start and end of each ancestor, from the root).
+    the stream), position (of the first token), attends (start and end of its ancestors' intervals, from the root).
     """
 
     def run(batches):
@@ -108,18 +110,41 @@ def prefix_tree(places: DataFrame, tokenizer: str) -> DataFrame:
 
     distinct = places.select("node", "path", "role", "text").dropDuplicates(["node"])
     schema = "node binary, path binary, role string, formatted string, loss_from int, loss_to int, ids array<int>, loss_ids_from int, loss_ids_to int, n_tokens long"
-    stream = written(prefix_sums(distinct.mapInArrow(run, schema), ["path"], {"n_tokens": "start"}, "chat-nodes"), "chat-stream")
+    fields = [StructField("run", BinaryType()), StructField("back", LongType())]
+    stream = written(prefix_sums(distinct.mapInArrow(run, schema), ["path"], {"n_tokens": "start"}, "chat-nodes", fields, in_runs), "chat-stream")
     depth = (F.length("path") / 16).cast("int") - 1
-    above = stream.select("node", F.posexplode(F.expr("transform(sequence(0, int(length(path) / 16) - 1), i -> substring(path, i * 16 + 1, 16))")).alias("k", "at")).where(F.col("at") != F.col("node"))
-    spans = stream.select(F.col("node").alias("at"), F.struct("start", (F.col("start") + F.col("n_tokens")).alias("end")).alias("span"), F.col("n_tokens").alias("size"))
-    above = above.join(spans, "at").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "span"))).alias("a"), F.sum("size").alias("position"))
-    out = stream.join(above, "node", "left")
+    # Only the first node of a run looks up its ancestors, and they come back as one interval a run.
+    heads = stream.where("back = 0").select(F.col("node").alias("head"), F.explode(F.expr("transform(sequence(0, int(length(path) / 16) - 1), i -> substring(path, i * 16 + 1, 16))")).alias("at")).where("at <> head")
+    spans = stream.select(F.col("node").alias("at"), "run", (F.col("start") - F.col("back")).alias("from"), (F.col("start") + F.col("n_tokens")).alias("to"))
+    above = heads.join(spans, "at").groupBy("head", "run").agg(F.min("from").alias("start"), F.max("to").alias("end")).groupBy("head")
+    above = above.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("above"), F.sum(F.col("end") - F.col("start")).alias("before"))
+    out = stream.join(above, stream["run"] == above["head"], "left")
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+    own = F.when(F.col("back") > 0, F.array(F.struct((F.col("start") - F.col("back")).alias("start"), F.col("start").alias("end")))).otherwise(none)
     return out.select(
         "node", F.when(depth > 0, F.expr("substring(path, length(path) - 31, 16)")).alias("parent"), depth.alias("depth"), "role", "formatted", "loss_from", "loss_to", "ids", "loss_ids_from", "loss_ids_to", "n_tokens", "start",
-        F.coalesce("position", F.lit(0)).alias("position"), F.coalesce(F.col("a.span"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).alias("attends"),
+        (F.coalesce("before", F.lit(0)) + F.col("back")).alias("position"), F.concat(F.coalesce("above", none), own).alias("attends"),
     )
 
 
+def in_runs():
+    """For each node, in stream order: the first node of its run, and the tokens from there to it."""
+    last, head, at = None, None, 0
+
+    def make(b: pa.RecordBatch, before: np.ndarray) -> list[pa.Array]:
+        nonlocal last, head, at
+        runs, back = [], []
+        for path, node, start in zip(b.column(b.schema.get_field_index("path")).to_pylist(), b.column(b.schema.get_field_index("node")).to_pylist(), before.tolist()):
+            if last is None or len(path) != len(last) + 16 or not path.startswith(last):
+                head, at = node, start
+            last = path
+            runs.append(head)
+            back.append(start - at)
+        return [pa.array(runs, pa.binary()), pa.array(back, pa.int64())]
+
+    return make
+
+
 def read_back(places: DataFrame, tree: DataFrame) -> DataFrame:
     """Each conversation from the tree's nodes: digests of what its formatted text and its loss mask say."""
     parts = places.select("conv_id", "k", "node").join(tree.select("node", "formatted", "loss_from", "loss_to", "position", "n_tokens"), "node")

@@ -171,8 +171,11 @@ def test_chat(spark):
         while p is not None:
             chain.insert(0, (nodes[bytes(p)]["start"], nodes[bytes(p)]["start"] + nodes[bytes(p)]["n_tokens"]))
             p = nodes[bytes(p)]["parent"]
-        assert [tuple(x) for x in r["attends"]] == chain and r["position"] == sum(b - a for a, b in chain)
+        covered = lambda spans: [i for a, b in spans for i in range(a, b)]
+        assert covered(r["attends"]) == covered(chain) and r["position"] == len(covered(chain))
     assert chat_format.chat(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(9, k, "user", f"turn {k}") for k in range(400)], df.schema)
+    assert max(len(r["attends"]) for r in chat_format.prefix_tree(chat_format.placed(long), bpe.default_path()).collect()) <= 8
 
 
 def shingle_set(t):
