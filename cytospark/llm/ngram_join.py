@@ -26,7 +26,9 @@ from . import words
 from .common import written
 from .components import components
 
-SHINGLE, THRESHOLD = 5, 0.8
+#: The threshold is a share of whole numbers, which pairs are compared with exactly.
+SHARE = (4, 5)
+SHINGLE, THRESHOLD = 5, SHARE[0] / SHARE[1]
 HASHES, ROWS, STEP, TOLERANCE, BLOCK = 128, 4, 16, 1e-6, 1024
 #: Groups up to this size share tasks, about this many rows a task.
 SMALL, ROWS_A_TASK = 64, 4000
@@ -232,7 +234,8 @@ def verified(clusters: DataFrame, docs: DataFrame, cluster_rows: int) -> DataFra
             a, b = np.arange(a0[g], a0[g] + na[g]), np.arange(b0[g], b0[g] + nb[g])
             common = shared([flat[i] for i in a], None if same[g] else [flat[i] for i in b])
             # the float32 counts are exact: a set has far fewer than 2^24 shingles
-            linked = common * (1 + THRESHOLD) >= THRESHOLD * (size[a][:, None] + size[b][None, :]) - 1e-9
+            common = common.astype(np.int64)
+            linked = SHARE[1] * common >= SHARE[0] * (size[a][:, None] + size[b][None, :] - common)
             if same[g]:
                 np.fill_diagonal(linked, False)
             np.add.at(links, place[a], linked @ weight[b])

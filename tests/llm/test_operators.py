@@ -225,6 +225,18 @@ def test_ngram_join(docs, empty, rows):
     assert kept.count() == len(groups) + sum(not shingle_set(r[1]) for r in rows)
 
 
+def test_pairs_at_the_threshold_are_linked(spark):
+    """4 of 5, 8 of 10 and 24 of 30 shingles shared are 0.8; 7 of 9 and 23 of 29 aren't."""
+    texts = []
+    for common, union in ((4, 5), (8, 10), (24, 30), (7, 9), (23, 29)):
+        t = [f"w{union}x{k}" for k in range(union + 4)]
+        texts += [" ".join(t[: common + 4]), " ".join(t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(x) for x in ngram_join.near_duplicates(df).collect())
+    assert got == [(0, 0, 1), (1, 0, 1), (2, 2, 1), (3, 2, 1), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(df).collect()) == [0, 2, 4, 6, 7, 8, 9]
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "SMALL", 4)
