@@ -3,12 +3,14 @@
 A byte-level BPE file cuts a text by its pattern and then encodes each part alone. A space between
 two characters that aren't white space always begins a part, such a newline is one, and a sign after
 a letter begins one, so a text may be cut there first: chunks are hashed in numpy, only those not seen before go to the library, and the ids of the rest
-are gathered. What a worker keeps is bounded by ``MOST_CHUNKS``.
+are gathered. What a worker keeps is bounded by ``MOST_CHUNKS``. An added token that a text spells out
+is one id to the library, which cuts texts there before its pattern does; each is a chunk of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,21 +55,27 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """ids(column) yields runs of texts: first row, ids of all, offsets of each text's ids."""
 
-    _kept: dict[str, "Encoder"] = {}
+    _kept: dict[tuple[str, bool], "Encoder"] = {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
+    def of(cls, path: str, plain: bool = False) -> "Encoder":
         """The worker's own, with what it has seen."""
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        if (path, plain) not in cls._kept:
+            cls._kept[path, plain] = cls(path, plain)
+        return cls._kept[path, plain]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: special tokens that texts spell out are ordinary text, so no text can make their ids."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"{path}: added tokens that depend on what is around them aren't supported")
+        # the longest first, as the library takes them
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(added, key=lambda t: -len(t.content)))) if added else None
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.forget()
 
@@ -85,10 +93,24 @@ class Encoder:
         self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
         self.ids = np.concatenate([self.ids, flat])
 
+    def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where chunks start: at the cuts and around added tokens, but not inside of these."""
+        starts, raw = cuts(data, off), data.tobytes()
+        if not (self.added and self.added.search(raw)):
+            return starts
+        found = [(a + m.start(), a + m.end()) for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for m in self.added.finditer(raw[a:b])]
+        if not found:
+            return starts
+        first, last = np.array(found).T
+        at = np.searchsorted(first, starts) - 1
+        inside = (at >= 0) & (starts < last[at])
+        starts = np.union1d(starts[~inside], np.concatenate([first, last]))
+        return starts[starts < len(data)]
+
     def slab(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        starts = cuts(data, off)
+        starts = self.starts(data, off)
         ends = np.append(starts[1:], len(data))
         own, first, back = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))

@@ -87,7 +87,7 @@ def prefix_tree(places: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches):
-        encoder = bpe.Encoder.of(tokenizer)
+        encoder = bpe.Encoder.of(tokenizer, plain=True)  # as marks, so special tokens: a text can't make them
         for b in batches:
             role, text = b.column(2).to_pylist(), b.column(3).to_pylist()
             body, around = [escaped(t) for t in text], [marks(r) for r in role]

@@ -24,11 +24,12 @@ BLOCK = 1 << 18
 def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -> str:
     """A text's ids in each row, and the end id between: the writer's line separator is that id's two bytes.
 
-    Null text is empty: its document is the end id alone.
+    Null text is empty: its document is the end id alone. The end's own token in a text is ordinary text, since
+    its id would end the document.
     """
 
     def run(batches):
-        encoder = bpe.Encoder.of(tokenizer)
+        encoder = bpe.Encoder.of(tokenizer, plain=True)
         for b in batches:
             for _, ids, off in encoder.of_column(b.column(0)):
                 flat = pa.py_buffer(ids.astype("<u2").tobytes())

@@ -70,6 +70,22 @@ def test_tokenizer_is_the_library(encoder, rows):
     assert got == encoded(encoder, texts)
 
 
+SPECIAL = ["end.<|endoftext|>next", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|>\n", "x\n<|endoftext|>\ny", "<|endoftext", "|>", "<|endoftext|", ">", "é<|endoftext|>日本 . <|endoftext|", "<<|endoftext|>>", "plain words."]
+
+
+def test_special_tokens_are_the_librarys():
+    """Against a fresh tokenizer with its defaults, and with special tokens as plain text where that is asked for."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(bpe.default_path())
+    for plain in (False, True):
+        fresh.encode_special_tokens = plain
+        e = bpe.Encoder.of(bpe.default_path(), plain)
+        got = [ids[off[k] : off[k + 1]].tolist() for _, ids, off in e.of_column(pa.array(SPECIAL)) for k in range(len(off) - 1)]
+        assert got == [fresh.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+        assert (got[0] == [437, 13, 50256, 19545]) is not plain and any(token_counts.END in x for x in got) is not plain
+
+
 def test_token_files(spark, docs, empty, rows, encoder):
     got = token_files.token_files(docs).collect()
     want = collections.Counter((r[0], len(i) + 1, bpe.crc(np.array(i + [2]))) for r, i in zip(rows, encoded(encoder, [r[1] for r in rows])))
@@ -105,6 +121,12 @@ def test_token_counts(spark, docs, empty, rows, encoder):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_no_text_makes_the_separator(spark, docs, rows):
+    plain = bpe.Encoder(bpe.default_path(), plain=True)
+    got = sorted(r["n_tokens"] for r in token_counts.token_counts(docs).collect())
+    assert got == sorted(len(i) for i in encoded(plain, [r[1] for r in rows]))
+
+
 def test_separators_across_blocks_and_files(spark, tmp_path):
     r = np.random.default_rng(3)
     stream = np.where(r.random(5000) < 0.01, 9, r.integers(10, 99, 5000)).astype("<u2")
