@@ -6,7 +6,9 @@ the entry's score of itself, and terms of more than a twentieth of the entries w
 passage whose terms' greatest impacts can't add up to the threshold in any block of entries is
 passed over at once (in numpy, for all passages of a batch); the others walk the postings by
 block-max WAND. What is retrieved is then verified word by word: three-word runs of the item's
-question part and of its answer part (its last sentence) must both be in the text.
+question part and of its answer part (its last sentence) must both be in the text. A word edited in a
+short part breaks most of its runs, so one of the parts may instead be there, in order, but for one
+word changed, added or left out.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from . import words
 
 ENTRY, RUN, POSTINGS, BLOCKS = 64, 3, 16, 32
+#: Words of the other part that a part of two or three words is looked for with.
+BESIDE = 5
 #: Terms of a larger share of the entries weigh nothing, but for the LEAST_TERMS rarest of an entry.
 COMMON, LEAST_TERMS = 0.05, 4
 THRESHOLD, QUESTION, ANSWER = 0.55, 0.7, 0.7
@@ -43,8 +47,35 @@ def runs(h: np.ndarray) -> tuple[np.ndarray, int]:
     return np.unique(words.windows(h, width)), width
 
 
+def but_for_one_word(own: np.ndarray, part: np.ndarray) -> bool:
+    """Whether ``part`` holds the words of ``own`` side by side with at most one changed, added or left out."""
+    n = len(own)
+    edge = np.zeros(n + 1, np.uint64)
+    part = np.concatenate([edge, part, edge])
+    same = [part == x for x in own]
+    m = len(part) - n - 1
+    # words that agree from each place on, and words from the end that agree before it
+    begin, end = np.zeros(len(part), np.int64), np.zeros(len(part) + 1, np.int64)
+    alive = np.ones(len(part), bool)
+    for j in range(n):
+        alive[: len(part) - j] &= same[j][j:]
+        alive[len(part) - j :] = False
+        begin += alive
+    alive = np.ones(len(part) + 1, bool)
+    for j in range(n):
+        alive[j + 1 :] &= same[n - 1 - j][: len(part) - j]
+        alive[: j + 1] = False
+        end += alive
+    if max(begin.max(), end.max()) >= n - 1:
+        return True
+    k = np.arange(m)
+    return bool(((begin[k] + end[k + n] >= n - 1) | (begin[k] + end[k + n - 1] >= n - 1) | (begin[k] + end[k + n + 1] >= n)).any())
+
+
 class Item(NamedTuple):
     item_id: int
+    words: np.ndarray
+    n_answer: int
     question: tuple[np.ndarray, int]  #: runs of words and how many words a run has
     answer: tuple[np.ndarray, int]
     entries: int
@@ -60,6 +91,19 @@ class Index(NamedTuple):
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  #: entries, impacts, greatest impact a block
 
 
+def edited(item: Item, part: np.ndarray) -> tuple[float, float]:
+    """Shares of the words of question and answer where they are in ``part`` but for one word, else 0.
+
+    Parts of two or three words are looked for with the words of the other part that they stand beside; of
+    a part of one word nothing would be left.
+    """
+    k, n = len(item.words) - item.n_answer, len(item.words)
+    out = []
+    for size, own in ((k, item.words[: k if k > 3 else k + BESIDE]), (n - k, item.words[k if n - k > 3 else max(0, k - BESIDE) :])):
+        out.append((size - 1) / size if size > 1 and len(own) > 3 and but_for_one_word(own, part) else 0.0)
+    return out[0], out[1]
+
+
 def split_item(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Question and answer: the answer is the last sentence, or the last quarter of the words where that is longer."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if len(word_hashes(p))]
@@ -77,7 +121,7 @@ def indexed(rows: list[tuple[int, str]]) -> Index | None:
             continue
         q, a = split_item(text)
         cut = [h[k : k + ENTRY] for k in range(0, len(h), ENTRY)]
-        items.append(Item(item_id, runs(q), runs(a), len(cut)))
+        items.append(Item(item_id, h, len(a), runs(q), runs(a), len(cut)))
         entries += cut
         of += [len(items) - 1] * len(cut)
     if not items:
@@ -189,7 +233,11 @@ def search(index: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, i
         around = (at[t], at[t + 1]) if item.entries > 1 else (max(at[t], min(x[1] for x in found) - ENTRY), min(at[t + 1], max(x[2] for x in found) + ENTRY))
         part = h[around[0] : around[1]]
         shares = [float(np.isin(x, words.windows(part, w)).mean()) for x, w in (item.question, item.answer)]
-        if shares[0] >= QUESTION and shares[1] >= ANSWER:
+        whole = [shares[0] >= QUESTION, shares[1] >= ANSWER]
+        if any(whole) and not all(whole):
+            near = edited(item, part)
+            whole, shares = [w or n > 0 for w, n in zip(whole, near)], [x if w else max(x, n) for x, w, n in zip(shares, whole, near)]
+        if all(whole):
             out.append((t, item.item_id, len({x[1] for x in found}), max(x[0] for x in found), *shares))
     return out
 

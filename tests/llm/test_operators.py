@@ -421,6 +421,42 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_but_for_one_word():
+    r = random.Random(3)
+    as_words = lambda x: np.array(x, np.uint64)
+    for _ in range(3000):
+        own, part = [r.randint(1, 3) for _ in range(r.randint(2, 6))], [r.randint(1, 3) for _ in range(r.randint(0, 9))]
+        row = [0] * (len(part) + 1)  # the least edits that turn own into some stretch of part
+        for a in own:
+            new = [row[0] + 1]
+            for j, b in enumerate(part):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+            row = new
+        assert decontaminate.but_for_one_word(as_words(own), as_words(part)) == (min(row) <= 1)
+
+
+def test_one_edited_word_hides_no_item(sf):
+    """Each item of the benchmark with a word changed, added or left out at each place; an answer of other words isn't one."""
+    import pyarrow.parquet as pq
+
+    rows = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()][:60]
+    index, fill = decontaminate.indexed(rows), "plain filler prose stands in front of it"
+    texts, want = [], []
+    for item, text in rows:
+        w = text.split()
+        for k in range(len(w)):
+            texts += [" ".join([fill, *w[:k], *x, fill]) for x in (["zzqx", *w[k + 1 :]], ["zzqx", *w[k:]], w[k + 1 :])]
+            want += [item] * 3
+        n = len(decontaminate.split_item(text)[1])
+        texts.append(" ".join([fill, *w[: len(w) - n], *(f"other{k}" for k in range(n)), fill]))
+        want.append(None)
+    got = collections.defaultdict(set)
+    for lo, _, data, off in words.slabs(pa.array(texts)):
+        for r in decontaminate.search(index, data, off):
+            got[lo + r[0]].add(r[1])
+    assert [got[k] for k in range(len(texts))] == [{i} if i is not None else set() for i in want]
+
+
 def test_wand_is_exact():
     r = random.Random(9)
     items = [(k, " ".join(f"t{int(r.expovariate(0.05))}" for _ in range(r.randint(5, 40)))) for k in range(120)]
