@@ -681,12 +681,13 @@ def j8_locate_spots(spark, sf):
 
 
 def _frames(spark, sf):
-    return _fluo1(spark, sf).selectExpr("l_suppkey % 7 as view", "l_suppkey % 3 as roi", "l_suppkey as frame", "dbname", "height", "width", "pixels", "transform(pixels, p -> int(p > 20000)) as mask").where("dbname = 'F'").drop("dbname")
+    # Views 0 to 6 are those of database F, 7 to 13 the other's.
+    return _fluo1(spark, sf).selectExpr("l_suppkey % 7 + if(dbname = 'F', 0, 7) as view", "l_suppkey % 3 as roi", "l_suppkey as frame", "dbname", "height", "width", "pixels", "transform(pixels, p -> int(p > 20000)) as mask")
 
 
 @query()
 def j10_connected_components(spark, sf):
-    return C.connected_components(_frames(spark, sf), ["frame"])
+    return C.connected_components(_frames(spark, sf), ["dbname", "frame"])
 
 
 @query("SELECT dbname, cell_id, CAST(2 * (x1 - x0 + y1 - y0) AS DOUBLE) AS hull_perimeter, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS hull_area, 1.0::DOUBLE AS convexity, 1.0::DOUBLE AS solidity FROM boxes", "hull_perimeter hull_area convexity solidity", 4)
@@ -696,7 +697,7 @@ def j11_hull_measures(spark, sf):
 
 @query()
 def j12_segment_frames(spark, sf):
-    return C.segment_frames(_frames(spark, sf), ["frame"])
+    return C.segment_frames(_frames(spark, sf), ["dbname", "frame"])
 
 
 @query()
@@ -729,7 +730,7 @@ def j16_smooth(spark, sf):
 
 @query()
 def e11_drift(spark, sf):
-    f = _frames(spark, sf).withColumn("frame", F.expr("(frame - view) div 7")).withColumn("view", F.col("view"))
+    f = _frames(spark, sf).withColumn("frame", F.expr("frame div 7"))
     first = f.groupBy("view").agg(F.min("frame").alias("first"))
     return C.drift(f.join(first, "view").withColumn("frame", F.col("frame") - F.col("first")), 2)
 

@@ -315,3 +315,16 @@ def test_control_threshold_is_the_order_statistic(spark):
         df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "score double")
         assert A.control_threshold(df).first()["threshold"] == np.sort(v)[::-1][min(int(0.95 * n), n - 1)]
     assert A.control_threshold(df.where("false")).count() == 0
+
+
+def test_frame_queries_see_all_databases(spark, sf):
+    from cytospark import queries as Q
+
+    want = {(r["dbname"], r["l_suppkey"]) for r in Q._fluo1(spark, sf).select("dbname", "l_suppkey").collect()}
+    frames = Q._frames(spark, sf).select("dbname", "view", "frame").collect()
+    assert {(r["dbname"], r["frame"]) for r in frames} == want and len({d for d, _ in want}) == 2
+    assert len({(r["view"], r["frame"]) for r in frames}) == len(frames) == len(want)
+    assert {(r["view"], r["frame"]) for r in Q.QUERIES["e11_drift"](spark, sf).select("view", "frame").collect()} >= {(v, 0) for v in {r["view"] for r in frames}}
+    for name in ("j10_connected_components", "j12_segment_frames"):
+        assert {r["dbname"] for r in Q.QUERIES[name](spark, sf).select("dbname").distinct().collect()} == {d for d, _ in want}
+    assert {r["view"] for r in Q.C.track_traps(Q._frames(spark, sf), 1, 600).select("view").distinct().collect()} >= {7, 13}
