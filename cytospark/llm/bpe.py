@@ -2,8 +2,9 @@
 
 A byte-level BPE file cuts a text by its pattern and then encodes each part alone. A space between
 two characters that aren't white space always begins a part, such a newline is one, and a sign after
-a letter begins one, so a text may be cut there first: chunks are hashed in numpy, only those not seen before go to the library, and the ids of the rest
-are gathered. What a worker keeps is bounded by ``MOST_CHUNKS``. An added token that a text spells out
+a letter begins one, so a text may be cut there first: chunks are hashed in numpy, only those not seen
+before go to the library, and the ids of the rest are gathered. A chunk is known by its bytes: they are
+compared once its hash has been found. What a worker keeps is bounded by ``MOST_CHUNKS`` and ``MOST_BYTES``. An added token that a text spells out
 is one id to the library, which cuts texts there before its pattern does; each is a chunk of its own.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 
 from . import words
 
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS, MOST_BYTES = 1_500_000, 48 << 20
 
 _before = np.zeros(256, bool)
 _before[0x21:0x7F] = True
@@ -80,18 +81,24 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.keys, self.ids, self.texts = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.spans = np.zeros((0, 4), np.int64)  # of each key: where its ids are and how many, where its bytes are and how many
+        self.view = words.eights(self.texts)
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > MOST_CHUNKS:
-            self.forget()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all, and how many each text has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(size[:-1], dtype=np.int64)]) if len(size) else size.astype(np.int64)
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
-        self.ids = np.concatenate([self.ids, flat])
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum())), size
+
+    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        flat, size = self.encoded(texts)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = lambda n, first: first + np.cumsum(n, dtype=np.int64) - n
+        where, spans = np.searchsorted(self.keys, keys), np.column_stack([begin(size, len(self.ids)), size, begin(lengths, len(self.texts)), lengths])
+        self.keys, self.spans = np.insert(self.keys, where, keys), np.insert(self.spans, where, spans, axis=0)
+        self.ids, self.texts = np.concatenate([self.ids, flat]), np.concatenate([self.texts, np.frombuffer(b"".join(texts), np.uint8)])
+        self.view = words.eights(self.texts)
 
     def starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where chunks start: at the cuts and around added tokens, but not inside of these."""
@@ -112,24 +119,34 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         starts = self.starts(data, off)
         ends = np.append(starts[1:], len(data))
+        size, raw = ends - starts, data.tobytes()
         own, first, back = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        # an occurrence whose bytes aren't its hash's is encoded apart
+        one = first[back]
+        odd = (size != size[one]) | ~words.equal(data, starts, data, starts[one], np.minimum(size, size[one]))
+        texts = lambda k: [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist())]
         place = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
         new = self.keys[place] != own if len(self.keys) else np.ones(len(own), bool)
         if new.any():
-            raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            fits = len(self.keys) + int(new.sum()) <= MOST_CHUNKS
-            if not fits:
+            if len(self.keys) + int(new.sum()) > MOST_CHUNKS or len(self.texts) + int(size[first[new]].sum()) > MOST_BYTES:
                 self.forget()
                 new[:] = True
-                s, e = starts[first].tolist(), ends[first].tolist()
-            self.learn(own[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e)])
+            self.learn(own[new], texts(first[new]))
             place = np.searchsorted(self.keys, own)
-        place = place[back]
-        size = self.size[place].astype(np.int64)
-        ends = np.cumsum(size)
-        take = np.repeat(self.at[place] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        if not new.all():
+            _, _, at, n = self.spans[place].T
+            other = (n != size[first]) | ~words.equal(self.texts, at, data, starts[first], np.minimum(n, size[first]), self.view)
+            odd |= other[back]
+        at, many = np.ascontiguousarray(self.spans[place[back], :2].T)
+        ids = self.ids
+        if odd.any():
+            more, own_size = self.encoded(texts(odd))
+            many[odd], at[odd] = own_size, len(ids) + np.cumsum(own_size) - own_size
+            ids = np.concatenate([ids, more])
+        ends = np.cumsum(many)
+        take = np.repeat(at - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
         before = np.concatenate([[0], ends])
-        return self.ids[take], before[np.searchsorted(starts, off)]
+        return ids[take], before[np.searchsorted(starts, off)]
 
     def of_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for lo, _, data, off in words.slabs(column):

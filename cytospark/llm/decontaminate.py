@@ -2,7 +2,7 @@
 
 Items are cut into entries of at most ``ENTRY`` words; passages are twice as long and start every
 ``ENTRY`` words, so an entry that a text holds lies whole in one passage. Scores are shares of
-the entry's score of itself, and terms of more than a twentieth of the entries weigh nothing. A
+the entry's score of itself. Words are known by their bytes, which are compared once a hash has been found. A
 passage whose terms' greatest impacts can't add up to the threshold in any block of entries is
 passed over at once (in numpy, for all passages of a batch); the others walk the postings by
 block-max WAND. What is retrieved is then verified word by word: three-word runs of the item's
@@ -24,33 +24,71 @@ from pyspark.sql import functions as F
 
 from . import words
 
-ENTRY, RUN, POSTINGS, BLOCKS = 64, 3, 16, 32
+ENTRY, RUN, POSTINGS, BLOCKS = 64, 3, 16, 256
 #: Words of the other part that a part of two or three words is looked for with.
 BESIDE = 5
-#: Terms of a larger share of the entries weigh nothing, but for the LEAST_TERMS rarest of an entry.
-COMMON, LEAST_TERMS = 0.05, 4
 THRESHOLD, QUESTION, ANSWER = 0.55, 0.7, 0.7
-#: Items an index holds; more are indexed and searched in turn, so that what is broadcast stays bounded.
-MOST_ITEMS = 4096
+#: Bytes of items that an index holds (a longer item has one of its own); more are indexed and searched in turn, so that what is broadcast stays bounded.
+MOST_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 
 
-def word_hashes(text: str) -> np.ndarray:
-    data, off = words.buffers(pa.array([text]))
-    data = words.LOWER[data]
-    s, e = words.segments(data, off, words.WORDLIKE)
-    return words.hashes(data, s, e) if len(s) else np.zeros(0, np.uint64)
+class Terms(NamedTuple):
+    """The words of an index: their hashes in order, and their bytes."""
+
+    hashes: np.ndarray
+    filter: np.ndarray  #: by a hash's first 16 bits, whether a term has them
+    data: np.ndarray
+    view: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple["Terms", np.ndarray]:
+        """The terms among a run of words, and each word's term."""
+        number, h = words.numbered(data, s, e), words.hashes(data, s, e)
+        one = np.unique(number, return_index=True)[1]
+        one = one[np.argsort(h[one], kind="stable")]
+        term = np.empty(number.max() + 1, np.int64)
+        term[number[one]] = np.arange(len(one))
+        seen = np.zeros(65536, bool)
+        seen[(h >> np.uint64(48)).astype(np.int64)] = True
+        return cls(h[one], seen, data, words.eights(data), s[one], (e - s)[one]), term[number]
+
+    def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Each word's term, or -1."""
+        h, out = words.hashes(data, s, e), np.full(len(s), -1, np.int64)
+        todo = np.flatnonzero(self.filter[(h >> np.uint64(48)).astype(np.int64)])
+        term = np.searchsorted(self.hashes, h[todo])
+        while len(todo):  # words of one hash stand side by side
+            ok = term < len(self.hashes)
+            ok[ok] = self.hashes[term[ok]] == h[todo[ok]]
+            todo, term = todo[ok], term[ok]
+            size = e[todo] - s[todo]
+            same = (self.size[term] == size) & words.equal(self.data, self.at[term], data, s[todo], np.minimum(size, self.size[term]), self.view)
+            out[todo[same]] = term[same]
+            todo, term = todo[~same], term[~same] + 1
+        return out
+
+
+def runs_of(term: np.ndarray, width: int) -> np.ndarray:
+    """Each run of neighbouring terms as one number; a run with an unknown word (-1) is none of an item's. An index has under 2^21 terms."""
+    n = max(0, len(term) - width + 1)
+    out = np.zeros(n, np.int64)
+    for k in range(width):
+        out = out << 21 | term[k : k + n] + 1
+    return out
 
 
-def runs(h: np.ndarray) -> tuple[np.ndarray, int]:
-    width = min(RUN, len(h))
-    return np.unique(words.windows(h, width)), width
+def runs(term: np.ndarray) -> tuple[np.ndarray, int]:
+    width = min(RUN, len(term))
+    return np.unique(runs_of(term, width)), width
 
 
 def but_for_one_word(own: np.ndarray, part: np.ndarray) -> bool:
     """Whether ``part`` holds the words of ``own`` side by side with at most one changed, added or left out."""
     n = len(own)
-    edge = np.zeros(n + 1, np.uint64)
+    edge = np.full(n + 1, -1, part.dtype)  # as a word that isn't in the index
     part = np.concatenate([edge, part, edge])
     same = [part == x for x in own]
     m = len(part) - n - 1
@@ -84,8 +122,7 @@ class Item(NamedTuple):
 class Index(NamedTuple):
     items: list[Item]
     of: np.ndarray  #: each entry's item
-    terms: np.ndarray  #: hashes, sorted
-    filter: np.ndarray  #: by a hash's first 16 bits, whether a term has them
+    terms: Terms
     greatest: np.ndarray  #: each term's greatest impact
     blocks: np.ndarray  #: each term's greatest impact in each of at most BLOCKS runs of entries
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  #: entries, impacts, greatest impact a block
@@ -104,62 +141,67 @@ def edited(item: Item, part: np.ndarray) -> tuple[float, float]:
     return out[0], out[1]
 
 
-def split_item(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Question and answer: the answer is the last sentence, or the last quarter of the words where that is longer."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if len(word_hashes(p))]
-    h = word_hashes(text)
-    k = max(len(word_hashes(parts[-1])) if len(parts) > 1 else 0, ceil(len(h) / 4))
-    k = min(k, max(1, len(h) // 2))
-    return h[: len(h) - k] if len(h) > k else h, h[len(h) - k :]
+def n_words(text: str) -> int:
+    data, off = words.buffers(pa.array([text]))
+    return len(words.segments(data, off, words.WORDLIKE)[0])
+
+
+def answer_words(text: str) -> int:
+    """How many words the answer has: the last sentence, or the last quarter of the words where that is longer; half of all at most."""
+    parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if n_words(p)]
+    n = n_words(text)
+    return min(max(n_words(parts[-1]) if len(parts) > 1 else 0, ceil(n / 4)), max(1, n // 2))
 
 
 def indexed(rows: list[tuple[int, str]]) -> Index | None:
-    items, entries, of = [], [], []
-    for item_id, text in rows:
-        h = word_hashes(text or "")
-        if not len(h):
+    data, off = words.buffers(pa.array([t or "" for _, t in rows], pa.large_string()))
+    data = words.LOWER[data]
+    s, e = words.segments(data, off, words.WORDLIKE)
+    if not len(s):
+        return None
+    terms, term = Terms.of(data, s, e)
+    if len(terms.hashes) >= 1 << 21:
+        raise ValueError("an item has more words than an index can hold")
+    at, items, entries, of = words.per_text(s, off), [], [], []
+    for (item_id, text), lo, hi in zip(rows, at[:-1].tolist(), at[1:].tolist()):
+        if lo == hi:
             continue
-        q, a = split_item(text)
-        cut = [h[k : k + ENTRY] for k in range(0, len(h), ENTRY)]
-        items.append(Item(item_id, h, len(a), runs(q), runs(a), len(cut)))
+        own, k = term[lo:hi], answer_words(text)
+        cut = [own[j : j + ENTRY] for j in range(0, len(own), ENTRY)]
+        items.append(Item(item_id, own, k, runs(own[: len(own) - k] if len(own) > k else own), runs(own[len(own) - k :]), len(cut)))
         entries += cut
         of += [len(items) - 1] * len(cut)
-    if not items:
-        return None
     sizes = np.array([len(x) for x in entries], float)
     flat, entry = np.concatenate(entries), np.repeat(np.arange(len(entries)), sizes.astype(int))
-    order = np.lexsort((entry, flat))
-    pair, many = np.unique(np.stack([flat[order], entry[order].astype(np.uint64)]), axis=1, return_counts=True)
-    terms, first, df = np.unique(pair[0], return_index=True, return_counts=True)
+    pair, many = np.unique(flat * len(entries) + entry, return_counts=True)
+    each, e = pair // len(entries), pair % len(entries)
+    first, df = np.unique(each, return_index=True, return_counts=True)[1:]
     idf = np.log(1 + (len(entries) - df + 0.5) / (df + 0.5))
-    e, each = pair[1].astype(np.int64), np.repeat(np.arange(len(terms)), df)
-    common = df > max(2, COMMON * len(entries))
-    rank = np.lexsort((each, df[each], e))  # an entry's terms, the rarest first
-    place = np.arange(len(e)) - np.searchsorted(e[rank], e[rank])
-    common[each[rank[place < LEAST_TERMS]]] = False
-    idf = np.where(common, 0.0, idf)
-    impact = np.repeat(idf, df) * many * (K1 + 1) / (many + K1 * (1 - B + B * sizes[e] / sizes.mean()))
-    own = np.bincount(e, impact, len(entries))
-    impact = impact / np.maximum(own[e], 1e-9)
+    impact = idf[each] * many * (K1 + 1) / (many + K1 * (1 - B + B * sizes[e] / sizes.mean()))
+    impact = impact / np.bincount(e, impact, len(entries))[e]
     postings = []
-    for s, n in zip(first.tolist(), df.tolist()):
-        p = impact[s : s + n]
-        postings.append((e[s : s + n], p, np.maximum.reduceat(p, np.arange(0, n, POSTINGS))))
-    seen = np.zeros(65536, bool)
-    seen[(terms[~common] >> np.uint64(48)).astype(np.int64)] = True
-    blocks = np.zeros((len(terms), BLOCKS))
-    np.maximum.at(blocks, (each, e * BLOCKS // len(entries)), impact)
-    return Index(items, np.array(of), terms, seen, np.array([p.max() for _, p, _ in postings]), blocks, postings)
-
-
-def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
-    """Entries whose score for these (distinct) terms is at least ``least``, by block-max WAND."""
-    lists = [[*index.postings[t], 0, float(index.greatest[t])] for t in terms if index.greatest[t] > 0]
-    found, done = [], 1 << 60
-    here = lambda x: int(x[0][x[3]]) if x[3] < len(x[0]) else done
+    for at, n in zip(first.tolist(), df.tolist()):
+        p = impact[at : at + n]
+        postings.append((e[at : at + n], p, np.maximum.reduceat(p, np.arange(0, n, POSTINGS))))
+    n_blocks = min(BLOCKS, len(entries))
+    blocks = np.zeros((len(df), n_blocks), np.float32)
+    np.maximum.at(blocks, (each, e * n_blocks // len(entries)), impact)
+    return Index(items, np.array(of), terms, np.array([p.max() for _, p, _ in postings]), blocks, postings)
+
+
+def wand(index: Index, terms: list[int], least: float, among: tuple[int, int] | None = None) -> list[tuple[int, float]]:
+    """Entries (of a range) whose score for these (distinct) terms is at least ``least``, by block-max WAND."""
+    lists, done = [], 1 << 60
+    for t in terms:
+        entries, impacts, maxima = index.postings[t]
+        lo, hi = entries.searchsorted(among) if among else (0, len(entries))
+        if lo < hi:
+            lists.append([entries, impacts, maxima, int(lo), float(index.greatest[t]), int(hi)])
+    found = []
+    here = lambda x: int(x[0][x[3]]) if x[3] < x[5] else done
 
     def skip(x, to):
-        x[3] += int(np.searchsorted(x[0][x[3] :], to))
+        x[3] += int(np.searchsorted(x[0][x[3] : x[5]], to))
 
     while True:
         lists.sort(key=here)
@@ -178,8 +220,8 @@ def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]
             pivot += 1
         block, until = 0.0, done
         for x in lists[: pivot + 1]:  # what the blocks that hold the entry can add up to
-            at = x[3] + int(np.searchsorted(x[0][x[3] :], entry))
-            if at < len(x[0]):
+            at = x[3] + int(np.searchsorted(x[0][x[3] : x[5]], entry))
+            if at < x[5]:
                 b = at // POSTINGS
                 block += float(x[2][b])
                 until = min(until, int(x[0][min((b + 1) * POSTINGS, len(x[0])) - 1]) + 1)
@@ -201,38 +243,57 @@ def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]
                     skip(x, entry)
 
 
+def block_bounds(index: Index, term: np.ndarray, edge: np.ndarray, most: int = 1 << 13) -> np.ndarray:
+    """For each stretch (between neighbouring edges of term) the most that its terms can add to an entry of each block."""
+    out = np.zeros((len(edge) - 1, index.blocks.shape[1]), np.float32)
+    filled = np.flatnonzero(np.diff(edge))
+    lo = 0
+    while lo < len(filled):  # so many at a time that they stay in the cache
+        hi = max(lo + 1, int(np.searchsorted(edge[filled], edge[filled[lo]] + most)))
+        part = filled[lo:hi]
+        out[part] = np.add.reduceat(index.blocks[term[edge[part[0]] : edge[part[-1] + 1]]], edge[part] - edge[part[0]], axis=0)
+        lo = hi
+    return out
+
+
 def search(index: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, float, float, float]]:
     """(text, item, passages, score, question overlap, answer overlap) of what is verified in a run of texts."""
     data = words.LOWER[data]
     s, e = words.segments(data, off, words.WORDLIKE)
     if not len(s):
         return []
-    h = words.hashes(data, s, e)
+    known = index.terms.find(data, s, e)
     at = words.per_text(s, off)
-    at_term = np.flatnonzero(index.filter[(h >> np.uint64(48)).astype(np.int64)])
-    term = np.minimum(np.searchsorted(index.terms, h[at_term]), len(index.terms) - 1)
-    ok = (index.terms[term] == h[at_term]) & (index.greatest[term] > 0)
-    at_term, term = at_term[ok], term[ok]
-    bound = np.zeros((len(term) + 1, BLOCKS))
-    np.cumsum(index.blocks[term], axis=0, out=bound[1:])
+    at_term = np.flatnonzero(known >= 0)
+    term = known[at_term]
     n = np.diff(at)
-    passages = np.maximum(1, -(-(n - ENTRY) // ENTRY)) * (n > 0)
+    # A passage is two neighbouring stretches of ENTRY words; in a stretch a term counts once.
+    stretches = -(-n // ENTRY)
+    begin = np.cumsum(stretches) - stretches
+    of = np.repeat(np.arange(len(n)), n)[at_term]
+    own = np.unique((begin[of] + (at_term - at[of]) // ENTRY) * len(index.postings) + term)
+    bound = block_bounds(index, own % len(index.postings), np.searchsorted(own // len(index.postings), np.arange(int(stretches.sum()) + 1)))
+    passages = np.maximum(1, stretches - 1) * (n > 0)
     text = np.repeat(np.arange(len(n)), passages)
     k = np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages)
     lo = at[text] + k * ENTRY
     hi = np.minimum(lo + 2 * ENTRY, at[text + 1])
-    hits: dict[tuple[int, int], list] = {}
+    k += begin[text]
+    both = k + 1 < begin[text] + stretches[text]
+    most = np.where(both[:, None], bound[k] + bound[k + both], bound[k]) if len(k) else np.zeros((0, 1))
     first, last = np.searchsorted(at_term, lo), np.searchsorted(at_term, hi)
-    for p in np.flatnonzero((bound[last] - bound[first]).max(1) >= THRESHOLD - 1e-9).tolist():
+    hits: dict[tuple[int, int], list] = {}
+    n_entries, n_blocks = len(index.of), bound.shape[1]
+    for p, block in zip(*(x.tolist() for x in np.nonzero(most >= THRESHOLD - 1e-4))):
         own = np.unique(term[first[p] : last[p]])
-        for entry, score in wand(index, own.tolist(), THRESHOLD):
+        for entry, score in wand(index, own.tolist(), THRESHOLD, (-(-block * n_entries // n_blocks), -(-(block + 1) * n_entries // n_blocks))):
             hits.setdefault((int(text[p]), int(index.of[entry])), []).append((score, int(lo[p]), int(hi[p])))
     out = []
     for (t, i), found in hits.items():
         item = index.items[i]
         around = (at[t], at[t + 1]) if item.entries > 1 else (max(at[t], min(x[1] for x in found) - ENTRY), min(at[t + 1], max(x[2] for x in found) + ENTRY))
-        part = h[around[0] : around[1]]
-        shares = [float(np.isin(x, words.windows(part, w)).mean()) for x, w in (item.question, item.answer)]
+        part = known[around[0] : around[1]]
+        shares = [float(np.isin(x, runs_of(part, w)).mean()) for x, w in (item.question, item.answer)]
         whole = [shares[0] >= QUESTION, shares[1] >= ANSWER]
         if any(whole) and not all(whole):
             near = edited(item, part)
@@ -244,7 +305,8 @@ def search(index: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, i
 
 def indexes(benchmark: DataFrame):
     """Broadcast indexes over all items, each over a bounded share of them."""
-    shards = max(1, ceil(benchmark.count() / MOST_ITEMS))
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = max(1, ceil(size / MOST_BYTES))
     for shard in range(shards):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).select("item_id", "text").collect()
         index = indexed(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))

@@ -1,6 +1,6 @@
 """Cross-site boilerplate: lines that many sites share, by sketches of each line's distinct sites.
 
-A line (64-bit hash of its trimmed text) must occur ``min_sites`` times to be on as many sites, so
+A line (the first 128 bits of its trimmed text's SHA-256, so that no two lines meet) must occur ``min_sites`` times to be on as many sites, so
 counts come first. The rest get a HyperLogLog sketch of their sites, merged before and after the
 shuffle by aggregation. Where an estimate is too near the threshold, sites are counted exactly.
 A line over it goes everywhere but at its first place, by doc_id and position.
@@ -11,59 +11,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, spread_join, written
 
 MIN_SITES = 8
 MIN_CHARS = 12
 #: log2 of a sketch's registers, and how far from the threshold an estimate decides: over six standard errors.
 LG_K, MARGIN = 12, 0.1
-#: A line's rows meet the chosen lines in so many tasks, so a line on a third of all texts isn't one task's.
-SALTS = 32
 
 
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, key (hash of the text), site, pos and line (hash) for each line of enough characters."""
-    hashed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.when(F.length(F.trim(x)) >= min_chars, F.xxhash64(F.trim(x))))
+    """doc_id, key (hash of the text), site, pos and line (digest) for each line of enough characters."""
+    hashed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.when(F.length(F.trim(x)) >= min_chars, F.substring(F.unhex(F.sha2(F.trim(x), 256)), 1, 16)))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(hashed).alias("pos", "line"))
     return rows.where("line is not null")
 
 
-def among(lines: DataFrame, chosen: DataFrame, how: str = "inner") -> DataFrame:
-    """lines whose line is among the chosen: joined by line and salt, the chosen once for each salt."""
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
-    return salted.join(chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["line", "salt"], how).drop("salt")
-
-
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Lines on at least min_sites sites, each with its first place."""
+    """Lines on at least min_sites sites, each with its first place. ``lines`` is a written table; so is the result."""
     often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
-    shared = written(among(lines, often, "left_semi"), "shared-lines")
+    shared = written(spread_join(lines, often, ["line"], ["doc_id", "pos"], "left_semi"), "shared-lines")
     spread = written(shared.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc_id", "key", "pos")).alias("first")), "site-sketches")
     far, near = F.col("sites") >= min_sites * (1 + MARGIN) + 1, F.col("sites") > min_sites * (1 - MARGIN) - 1
     close = spread.where(~far & near)
-    exact = among(shared, close.select("line"), "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    return spread.where(far).select("line", "first").unionByName(close.join(exact, "line", "left_semi").select("line", "first"))
+    sites = spread_join(shared, close.select("line"), ["line"], ["doc_id", "pos"], "left_semi").select("line", "site").distinct()
+    exact = sites.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    out = written(spread.where(far).select("line", "first").unionByName(close.join(exact, "line", "left_semi").select("line", "first")), "boilerplate")
+    removed(shared, spread)
+    return out
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, key and the positions of the lines that go, one row for each text that loses any."""
     lines = written(line_table(docs, min_chars), "lines")
-    gone = among(lines, boilerplate(lines, min_sites)).where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("gone"))
+    chosen = boilerplate(lines, min_sites)
+    gone = spread_join(lines, chosen, ["line"], ["doc_id", "pos"]).where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
+    out = written(gone.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("gone")), "removals")
+    removed(lines, chosen)
+    return out
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the lines gone from text, and n_lines, n_removed.
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the lines gone from text, and how many lines there were and went, under ``names``.
 
     Null text stays null (no lines); an empty text has one empty line, which never goes. A null
-    source is one site. Rows alike in doc_id and text are treated alike. docs' other columns stay.
+    source is one site. Rows alike in doc_id and text are treated alike: of a line's first place in a repeated
+    row each copy stays. docs' other columns stay, but for those called as the two ``names``, which these replace.
     """
     spare = "_".join(["_", *docs.columns])
     gone = removals(docs, min_sites, min_chars).select(F.col("doc_id").alias(f"{spare}d"), F.col("key").alias(f"{spare}k"), F.col("gone").alias(f"{spare}g"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(f"{spare}d")) & (F.xxhash64("text") == F.col(f"{spare}k")), "left")
-    lines, drop = F.split("text", "\n", -1), F.col(f"{spare}g")
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(f"`{spare}d`")) & (F.xxhash64("text") == F.col(f"`{spare}k`")), "left")
+    lines, drop = F.split("text", "\n", -1), F.col(f"`{spare}g`")
     cut = F.when(drop.isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(drop, i)), "\n"))
-    return out.select(*(cut.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_removed"))
+    counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long")
+    return out.select(*(cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names), *(n.alias(name) for n, name in zip(counts, names)))
 
 
 ORACLE_SQL = f"""

@@ -5,10 +5,12 @@
    a bucket. Within a bucket pairs are compared value by value, ``STEP`` at a time, and dropped as
    soon as the posterior probability (uniform prior) that their similarity reaches the threshold
    falls below ``TOLERANCE``. What is left joins nodes into candidate clusters.
-3. Within a cluster all pairs are verified exactly on the sets of shingles (64-bit hashes).
+3. Within a cluster all pairs are verified on the sets of shingles. Sets and shingles are known by
+   128 bits that aren't a plain polynomial, so no pattern of letters makes two texts meet.
 
-Buckets and clusters are cut into blocks of ``BLOCK`` nodes and each pair of blocks is a task's
-work; a task returns counts and a spanning forest, never the pairs.
+Buckets and clusters are cut into blocks of at most about ``BLOCK`` nodes and ``BLOCK_BYTES`` of shingles
+(a longer text is a block of its own); each pair of blocks is a task's work. A task returns counts and a
+spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import written
+from .common import removed, spread_join, written
 from .components import components
 
 #: The threshold is a share of whole numbers, which pairs are compared with exactly.
 SHARE = (4, 5)
 SHINGLE, THRESHOLD = 5, SHARE[0] / SHARE[1]
-HASHES, ROWS, STEP, TOLERANCE, BLOCK = 128, 4, 16, 1e-6, 1024
+HASHES, ROWS, STEP, TOLERANCE, BLOCK, BLOCK_BYTES = 128, 4, 16, 1e-6, 512, 8 << 20
 #: Groups up to this size share tasks, about this many rows a task.
 SMALL, ROWS_A_TASK = 64, 4000
 
@@ -37,41 +39,45 @@ _factors = words.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles in one array, sorted within a text, and the texts' offsets.
+    """Each text's distinct shingles in one array (128 bits each, in two columns), sorted within a text, and the texts' offsets.
 
     Words are runs of letters and digits, lower-cased. A text of one to four words is one shingle, one
     without words but not blank is a shingle of its signs; a blank text has none.
     """
     n, data = len(off) - 1, words.LOWER[data]
     s, e = words.segments(data, off, words.WORDLIKE)
-    at = words.per_text(s, off)
+    at, view = words.per_text(s, off), words.eights(data)
     count = np.diff(at)
-    h = words.hashes(data, s, e) if len(s) else np.zeros(0, np.uint64)
+    h = [words.hashes(data, s, e, seed, view) for seed in (0, 1)]
     text = np.repeat(np.arange(n), count)
-    w = words.windows(h, SHINGLE)
-    inside = text[: len(w)] == text[SHINGLE - 1 :] if len(w) else np.zeros(0, bool)
-    own, of = [w[inside]], [text[: len(w)][inside]]
+    inside = text[: 1 - SHINGLE] == text[SHINGLE - 1 :]
+    own = [np.column_stack([words.windows(x, SHINGLE)[inside] for x in h])]
+    of = [text[: 1 - SHINGLE][inside]]
     for t in np.flatnonzero((count > 0) & (count < SHINGLE)).tolist():
-        own.append(words.windows(h[at[t] : at[t + 1]], int(count[t])))
+        own.append(np.column_stack([words.windows(x[at[t] : at[t + 1]], int(count[t])) for x in h]))
         of.append(np.array([t]))
     for t in np.flatnonzero(count == 0).tolist():
         signs = data[off[t] : off[t + 1]]
         signs = signs[words.NOT_SPACE[signs]]
         if len(signs):
-            own.append(words.hashes(signs, np.array([0]), np.array([len(signs)])))
+            own.append(np.column_stack([words.hashes(signs, np.array([0]), np.array([len(signs)]), seed) for seed in (0, 1)]))
             of.append(np.array([t]))
     own, of = np.concatenate(own), np.concatenate(of)
-    order = np.lexsort((own, of))
+    order = np.lexsort((own[:, 0], of))
     own, of = own[order], of[order]
+    same = (own[1:, 0] == own[:-1, 0]) & (of[1:] == of[:-1])
+    if (same & (own[1:, 1] != own[:-1, 1])).any():
+        order = np.lexsort((own[:, 1], own[:, 0], of))
+        own, of = own[order], of[order]
     fresh = np.ones(len(own), bool)
-    fresh[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+    fresh[1:] = (own[1:] != own[:-1]).any(1) | (of[1:] != of[:-1])
     own, of = own[fresh], of[fresh]
     return own, np.searchsorted(of, np.arange(n + 1))
 
 
 def signatures(own: np.ndarray, at: np.ndarray) -> np.ndarray:
     """16 bits of each MinHash value, a row a text; texts without shingles have zeros."""
-    n, filled = len(at) - 1, np.flatnonzero(np.diff(at) > 0)
+    n, filled, own = len(at) - 1, np.flatnonzero(np.diff(at) > 0), np.ascontiguousarray(own[:, 0])
     out = np.zeros((n, HASHES), np.uint16)
     lo = 0
     while lo < len(filled):  # so many shingles at a time that they stay in the cache
@@ -87,23 +93,25 @@ def signatures(own: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (hash of the text), node (hash of the set of shingles; null without any), and keys: the signature as 64-bit bands."""
+    """doc_id, text_key (hash of the text), digest (of the set of shingles; null without any), n_shingles, and keys: the signature as 64-bit bands."""
 
     def run(batches):
         for b in batches:
             for lo, hi, data, off in words.slabs(b.column(1)):
                 own, at = shingles(data, off)
-                none, node = np.diff(at) == 0, nodes(own, at)
-                keys = signatures(own, at).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(none) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(node, mask=none), lists], names=["doc_id", "text_key", "node", "keys"])
+                size, keys = np.diff(at), signatures(own, at).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                digest = pa.array([d if n else None for d, n in zip(digests(own, at), size.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), digest, pa.array(size), lists], names=["doc_id", "text_key", "digest", "n_shingles", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, node long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, digest binary, n_shingles long, keys array<long>")
 
 
-def nodes(own: np.ndarray, at: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(own ^ np.uint64(0x51ED27F1)), dtype=np.uint64)])
-    return words.mix((sums[at[1:]] - sums[at[:-1]]) ^ np.diff(at).astype(np.uint64)).view(np.int64)
+def digests(own: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128 bits for each set."""
+    sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(words.mix(own ^ np.uint64(0x51ED27F1)), axis=0, dtype=np.uint64)])
+    raw = words.mix((sums[at[1:]] - sums[at[:-1]]) ^ np.diff(at).astype(np.uint64)[:, None]).tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -160,16 +168,18 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def tasks(rows: DataFrame, group: str, size: str, node: str, tasks_for_small: int) -> DataFrame:
+def tasks(rows: DataFrame, group: str, node: str, blocks: Column, small: Column, tasks_for_small: int) -> DataFrame:
     """rows with a column for each task that needs them: the task, the blocks it compares, the row's own block.
 
-    Groups over BLOCK rows are cut by a hash of the node; a block pair is a task. Small groups share tasks.
+    Groups are cut into ``blocks`` by a hash of the node; a pair of blocks is a task. Small groups share tasks. Tasks
+    are dealt out by range, which evens out their rows.
     """
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(blocks), F.lit(1)).cast("int")
     cut = rows.withColumn("own", F.pmod(F.xxhash64(node, F.lit(1)), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    task: Column = F.when(F.col(size) <= SMALL, F.pmod(F.xxhash64(group), F.lit(tasks_for_small))).otherwise(F.xxhash64(group, low, high))
-    return cut.select(task.alias("task"), F.col(group).alias("grp"), low.alias("low"), high.alias("high"), "own", *(c for c in rows.columns if c != group))
+    task: Column = F.when(small, F.pmod(F.xxhash64(group), F.lit(tasks_for_small))).otherwise(F.xxhash64(group, low, high))
+    out = cut.select(task.alias("task"), F.col(group).alias("grp"), low.alias("low"), high.alias("high"), "own", *(c for c in rows.columns if c != group))
+    return written(out, "block-tasks")
 
 
 def sides(pdf: pd.DataFrame):
@@ -205,28 +215,32 @@ def candidates(nodes_: DataFrame) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(own)))
         return pd.DataFrame({"a": own[moved], "b": own[label[moved]]})
 
-    rows = rows.join(nodes_.select("node", "keys"), "node")
-    return tasks(rows, "bucket", "size", "node", n).groupBy("task").applyInPandas(run, "a long, b long")
+    dealt = tasks(rows.join(nodes_.select("node", "keys"), "node"), "bucket", "node", F.col("size") / BLOCK, F.col("size") <= SMALL, n)
+    edges = written(dealt.repartitionByRange("task").groupBy("task").applyInPandas(run, "a long, b long").distinct(), "candidates")
+    removed(rows, dealt)
+    return edges
 
 
-def verified(clusters: DataFrame, docs: DataFrame, cluster_rows: int) -> DataFrame:
-    """For each node and task the weight of its links there, and its link into the task's spanning forest."""
+def verified(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """For each node and task the weight of its links there, and its link into the task's spanning forest.
+
+    clusters: cluster, node, digest, text_key (of one of its texts), copies, and the cluster's size and bytes.
+    """
 
     def sets(batches):
         for b in batches:
             for lo, hi, data, off in words.slabs(b.column(0)):
                 own, at = shingles(data, off)
-                flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * 8).astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes(own, at)), flat], names=["node", "shingles"])
+                flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * 16).astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(digests(own, at), pa.binary()), flat], names=["digest", "shingles"])
 
-    ids = clusters.select(F.col("doc").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    found = texts.select("text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
-    rows = clusters.join(found, "node")
+    texts = docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).join(clusters.select("text_key"), "text_key", "left_semi")
+    found = texts.select("text").mapInArrow(sets, "digest binary, shingles binary").dropDuplicates(["digest"])
+    rows = clusters.join(found, "digest").drop("digest", "text_key")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, a0, b0, na, nb, same = sides(pdf)
-        flat = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        flat = told_apart([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in pdf["shingles"]])
         size, weight, node = np.array([len(x) for x in flat]), pdf["copies"].to_numpy(), pdf["node"].to_numpy()
         own, place = np.unique(node, return_inverse=True)
         links, left, right = np.zeros(len(own), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -247,8 +261,25 @@ def verified(clusters: DataFrame, docs: DataFrame, cluster_rows: int) -> DataFra
         label = forest(len(own), np.concatenate(left), np.concatenate(right))
         return pd.DataFrame({"node": own, "links": links, "to": own[label]})
 
-    n = max(1, cluster_rows // ROWS_A_TASK * 4)
-    return tasks(rows, "cluster", "size", "node", n).groupBy("task").applyInPandas(run, "node long, links long, to long")
+    total = clusters.agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 16).alias("bytes")).first()
+    n = max(1, total["n"] // ROWS_A_TASK * 4, (total["bytes"] or 0) // BLOCK_BYTES)
+    blocks, small = F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES), (F.col("size") <= SMALL) & (F.col("bytes") <= BLOCK_BYTES)
+    dealt = tasks(rows.drop("n_shingles"), "cluster", "node", blocks, small, n)
+    links = written(dealt.repartitionByRange("task").groupBy("task").applyInPandas(run, "node long, links long, to long"), "links")
+    removed(dealt)
+    return links
+
+
+def told_apart(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sets of 128-bit shingles as sorted sets of 64-bit numbers that are equal where the shingles are."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat[:, 0], kind="stable")
+    a, b = flat[order[1:]], flat[order[:-1]]
+    if ((a[:, 0] == b[:, 0]) & (a[:, 1] != b[:, 1])).any():  # their first halves aren't enough
+        ids = np.unique(flat, axis=0, return_inverse=True)[1].ravel().astype(np.uint64)
+    else:
+        ids = np.ascontiguousarray(flat[:, 0])
+    return np.split(ids, np.cumsum([len(x) for x in sets])[:-1])
 
 
 def shared(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 4096) -> np.ndarray:
@@ -274,19 +305,23 @@ def shared(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 4096) -
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, text_key, node) and nodes (node, root of its class, copies, links to rows of other nodes)."""
+    """Rows (doc_id, text_key, digest) and nodes (digest, root of the class, copies, links to rows of other nodes, doc and first: least doc_id, least doc_id and text_key)."""
     rows = written(described(docs), "signatures")
-    copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"))
-    distinct = written(rows.where("node is not null").dropDuplicates(["node"]).select("node", "keys").join(copies, "node"), "nodes")
-    clusters = components(candidates(distinct))
-    members = clusters.withColumnRenamed("root", "cluster").join(distinct.drop("keys"), "node")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = written(members.join(sizes, "cluster"), "clusters")
-    links = written(verified(members, docs, members.count()), "links")
+    some, at = rows.where("digest is not null"), F.struct("doc_id", "text_key")
+    copies = some.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.min(at).alias("first"))
+    distinct = some.dropDuplicates(["digest"]).select("digest", "n_shingles", "keys").join(copies, "digest")
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    clusters = written(components(candidates(distinct)).withColumnRenamed("root", "cluster").join(distinct.select("node", "digest", "n_shingles", "copies", F.col("first.text_key").alias("text_key")), "node"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.col("n_shingles") * 16).alias("bytes"))
+    members = written(spread_join(clusters, sizes, ["cluster"], ["node"]), "clusters")
+    links = verified(members, docs)
+    removed(clusters, members)
     roots = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
     weight = links.groupBy("node").agg(F.sum("links").alias("links"))
-    out = distinct.drop("keys").join(roots, "node", "left").join(weight, "node", "left")
-    return rows.select("doc_id", "text_key", "node"), out.withColumn("root", F.coalesce("root", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
+    out = distinct.drop("keys", "n_shingles").join(roots, "node", "left").join(weight, "node", "left")
+    out = written(out.select("digest", "copies", "doc", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    removed(distinct, links, roots)
+    return rows.select("doc_id", "text_key", "digest"), out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -298,20 +333,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows, out = classes(docs)
     least = out.groupBy("root").agg(F.min("doc").alias("class_id"))
-    out = out.join(least, "root").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return rows.join(out, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = written(spread_join(out, least, ["root"], ["digest"]).select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "linked")
+    found = spread_join(rows, out, ["digest"], ["doc_id", "text_key"], "left")
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the first by doc_id (nulls first), then by a hash of the text.
 
-    Blank and null texts are in no class and stay. All columns stay.
+    Blank and null texts are in no class and stay. All columns stay, whatever their names.
     """
     rows, out = classes(docs)
-    rows = rows.join(out.select("node", "root"), "node").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    rows = rows.join(first, "root").withColumn("stays", F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
-    gone = rows.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    first = out.groupBy("root").agg(F.min("first").alias("class_first"))
+    out = written(spread_join(out, first, ["root"], ["digest"]).select("digest", "class_first"), "linked")
+    rows = spread_join(rows, out, ["digest"], ["doc_id", "text_key"]).withColumn("stays", F.struct("doc_id", "text_key").eqNullSafe(F.col("class_first")))
+    rows = written(rows.select("doc_id", "text_key", "stays"), "stays")
+    gone = rows.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
     # A row that is there twice, id and text: seldom, so it is looked for before texts are shuffled for it.
-    return stay if rows.where("stays and n > 1").isEmpty() else stay.dropDuplicates(["doc_id", "text"])
+    twice = rows.where("stays").groupBy(F.col("doc_id").alias("twice_id"), F.col("text_key").alias("twice_key")).agg(F.count("*").alias("n")).where("n > 1")
+    if twice.isEmpty():
+        return stay
+    at = stay["doc_id"].eqNullSafe(twice["twice_id"]) & (F.xxhash64(stay["text"]) == twice["twice_key"])
+    return stay.join(twice, at, "left_anti").unionByName(stay.join(twice, at, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words
-from .common import written
 
 #: Labelled rows that the learner takes at most, those first by a hash of doc_id.
 MOST_LABELLED = 20_000
+#: Words of the windows whose repeats count.
+WINDOW = 8
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_top_word"]
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -25,19 +27,20 @@ _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTERS = words.WORDLIKE & ~((np.arange(256) >= 48) & (np.arange(256) <= 57))
 _MARKS = np.isin(np.arange(256), list(b"!?"))
 
-#: What rules look at: a name and its expression.
+#: What rules look at: a name and its expression, where @ stands before a statistic's column.
 FEATURES = {
-    "n_words": "double(n_words)",
-    "mean_word": "word_chars / greatest(n_words, 1)",
-    "symbol_share": "n_symbols / greatest(n_words, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "upper_share": "n_upper / greatest(n_letters, 1)",
-    "mark_share": "n_marks / greatest(n_words, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
-    "top_word_share": "n_top_word / greatest(n_words, 1)",
-    "line_words": "n_words / greatest(n_lines, 1)",
+    "n_words": "double(@n_words)",
+    "mean_word": "@word_chars / greatest(@n_words, 1)",
+    "symbol_share": "@n_symbols / greatest(@n_words, 1)",
+    "repeat_share": "@n_repeat_words / greatest(@n_words, 1)",
+    "dup_line_share": "@n_dup_lines / greatest(@n_lines, 1)",
+    "upper_share": "@n_upper / greatest(@n_letters, 1)",
+    "mark_share": "@n_marks / greatest(@n_words, 1)",
+    "distinct_share": "@n_distinct / greatest(@n_words, 1)",
+    "top_word_share": "@n_top_word / greatest(@n_words, 1)",
+    "line_words": "@n_words / greatest(@n_lines, 1)",
 }
+BASE_FAILED = "@n_words < 20 or 100 * @n_repeat_words > 30 * @n_words"
 
 
 def counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -46,15 +49,14 @@ def counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     if not len(data):
         return [np.zeros(n, np.int64) for _ in _COUNTS]
     where = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask[data])])[off])
-    sums, cp = words.running(data), words.code_points(data)
+    cp, view = words.code_points(data), words.eights(data)
     s, e = words.segments(data, off, words.NOT_SPACE)
     at = words.per_text(s, off)
     n_words = np.diff(at)
     text = np.repeat(np.arange(n), n_words)
     chars = np.bincount(text, cp[e] - cp[s], n).astype(np.int64)
-    h = words.hashes(data, s, e, sums)
-    salt = words.mix(np.arange(n, dtype=np.uint64) + np.uint64(77))
-    own, each = np.unique(h ^ salt[text], return_counts=True, return_index=True)[1:]
+    word = words.numbered(data, s, e, words.hashes(data, s, e, view=view))
+    own, each = np.unique(text * (len(word) + 1) + word, return_counts=True, return_index=True)[1:]
     distinct = np.bincount(text[own], minlength=n)
     top = np.zeros(n, np.int64)
     np.maximum.at(top, text[own], each)
@@ -64,29 +66,51 @@ def counts(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     ls, le = ls[worded], le[worded]
     lines = np.diff(words.per_text(ls, off))
     of = np.repeat(np.arange(n), lines)
-    first = np.unique(words.hashes(data, ls, le, sums) ^ salt[of], return_index=True)[1]
+    line = words.numbered(data, ls, le, words.hashes(data, ls, le, view=view))
+    first = np.unique(of * (len(line) + 1) + line, return_index=True)[1]
     dup = lines - np.bincount(of[first], minlength=n)
-    w = words.windows(h, 8)
-    inside = text[: len(w)] == text[7:] if len(w) else np.zeros(0, bool)
-    k = np.flatnonzero(inside)
-    _, back, many = np.unique(w[k] ^ salt[text[k]], return_inverse=True, return_counts=True)
-    k = k[many[back] > 1]
-    cover = np.zeros(len(h) + 1, np.int64)
+    cover = np.zeros(len(word) + 1, np.int64)
+    k = repeated(word, text)
     np.add.at(cover, k, 1)
-    np.add.at(cover, k + 8, -1)
-    repeat = np.bincount(text, np.cumsum(cover[:-1]) > 0, n).astype(np.int64) if len(h) else np.zeros(n, np.int64)
+    np.add.at(cover, k + WINDOW, -1)
+    repeat = np.bincount(text, np.cumsum(cover[:-1]) > 0, n).astype(np.int64) if len(word) else np.zeros(n, np.int64)
     return [n_words, chars, where(_SYMBOLS), dup, repeat, lines, where(_UPPER), where(_LETTERS), where(_MARKS), distinct, top]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and a column for each of ``_COUNTS``; null text has no words, repeated rows each have a row."""
+def repeated(word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where windows of WINDOW word numbers start that their text has more than once; equal hashes are compared word by word."""
+    k = np.flatnonzero(text[: 1 - WINDOW] == text[WINDOW - 1 :])
+    h = words.mix(words.windows(word.astype(np.uint64), WINDOW)[k] + words.mix(text[k].astype(np.uint64)))
+    _, first, back, many = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    k, one = k[many[back] > 1], k[first[back]][many[back] > 1]
+    same = text[k] == text[one]
+    for j in range(WINDOW):
+        same &= word[k + j] == word[one + j]
+    if same.all():
+        return k
+    rows = np.column_stack([text[k], *(word[k + j] for j in range(WINDOW))])
+    _, back, many = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    return k[many[back.ravel()] > 1]
+
+
+def measured(docs: DataFrame, column: str) -> DataFrame:
+    """docs with a struct of the statistics of text; all columns stay. Null text has no words, repeated rows each have a row."""
+    fields = StructType([StructField(c, LongType()) for c in _COUNTS])
+    schema = StructType([*docs.schema.fields, StructField(column, fields)])
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, off in words.slabs(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in counts(data, off))], names=["doc_id", *_COUNTS])
+            at = b.schema.get_field_index("text")
+            for lo, hi, data, off in words.slabs(b.column(at)):
+                own = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in counts(data, off)], _COUNTS)
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, own], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return docs.mapInArrow(run, schema)
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and a column for each of ``_COUNTS``."""
+    return measured(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "stats").select("doc_id", "stats.*")
 
 
 Rule = list[tuple[str, bool, float]]
@@ -149,32 +173,39 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, le
     return rules
 
 
-def expression(rules: list[Rule]) -> Column:
-    """The number of the first rule that holds, from 1; 0 if none does."""
-    out = None
+def expression(rules: list[Rule], of: str = "") -> Column:
+    """The number of the first rule that holds, from 1; 0 if none does. ``of``: the struct that the statistics stand in."""
+    at, out = f"`{of}`." if of else "", None
     for k, rule in enumerate(rules, 1):
-        test = " and ".join(f"({FEATURES[name]}) {'>=' if above else '<='} {t!r}D" for name, above, t in rule)
+        test = " and ".join(f"({FEATURES[name]}) {'>=' if above else '<='} {t!r}D" for name, above, t in rule).replace("@", at)
         out = F.when(F.expr(test), F.lit(k)) if out is None else out.when(F.expr(test), F.lit(k))
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def fitted(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[Rule]:
-    """Rules from rows with a label; labels (doc_id, quality), where 0 is bad. Without labels, no rules."""
-    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(marked, "doc_id").select("doc_id", "quality", *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
-    # A share of about the bound comes first, so that tasks together send the driver little more than it.
-    place, n = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), max(1, labels.count())
-    got = rows.where(place < int(min(1, 1.2 * most / n) * (1 << 40))).orderBy(place, "doc_id", *FEATURES).limit(most).toPandas()
+def base_failed(of: str = "") -> Column:
+    return F.expr(BASE_FAILED.replace("@", f"`{of}`." if of else ""))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[Rule]:
+    """Rules from texts with a label; labels (doc_id, quality), where 0 is bad. Without labels, no rules.
+
+    The labels are cut by a share of their ids' hash to about ``most`` rows, which bounds what is broadcast and
+    what the driver takes; only texts under these labels are measured. A doc_id with two labels has the lesser.
+    """
+    marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("label"))
+    place = F.pmod(F.xxhash64("label_id"), F.lit(1 << 40))
+    marked = marked.where(place < int(min(1, 1.2 * most / max(1, labels.count())) * (1 << 40)))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(marked), F.col("doc_id") == F.col("label_id"))
+    rows = measured(texts, "stats").select("label_id", "label", *(F.expr(e.replace("@", "stats.")).cast("double").alias(n) for n, e in FEATURES.items()))
+    got = rows.orderBy(place, "label_id", *FEATURES).limit(most).toPandas()
     if not len(got):
         return []
-    return learn({n: got[n].to_numpy() for n in FEATURES}, (got["quality"] == 0).to_numpy())
+    return learn({n: got[n].to_numpy() for n in FEATURES}, (got["label"] == 0).to_numpy())
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics, base_failed, the number of the rule that rejects a row, and kept."""
-    stats = written(statistics(docs), "statistics")
-    failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
-    out = stats.withColumn("base_failed", failed).withColumn("rule", expression(fitted(stats, labels)))
+    out = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", expression(fitted(docs, labels)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
@@ -184,22 +215,5 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The verdict is an expression over a row's own statistics, so texts aren't shuffled: each batch
     is measured where it lies.
     """
-    rules = fitted(written(statistics(docs), "statistics"), labels)
-
-    def run(batches):
-        for b in batches:
-            column = b.column(b.schema.get_field_index("text"))
-            for lo, hi, data, off in words.slabs(column):
-                c = dict(zip(_COUNTS, counts(data, off)))
-                one = lambda k: np.maximum(c[k], 1)
-                x = {
-                    "n_words": c["n_words"].astype(float), "mean_word": c["word_chars"] / one("n_words"), "symbol_share": c["n_symbols"] / one("n_words"), "repeat_share": c["n_repeat_words"] / one("n_words"),
-                    "dup_line_share": c["n_dup_lines"] / one("n_lines"), "upper_share": c["n_upper"] / one("n_letters"), "mark_share": c["n_marks"] / one("n_words"), "distinct_share": c["n_distinct"] / one("n_words"),
-                    "top_word_share": c["n_top_word"] / one("n_words"), "line_words": c["n_words"] / one("n_lines"),
-                }
-                bad = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-                for rule in rules:
-                    bad |= covered(rule, x)
-                yield b.slice(lo, hi - lo).filter(pa.array(~bad))
-
-    return docs.mapInArrow(run, docs.schema)
+    spare = "_".join(["stats", *docs.columns])
+    return measured(docs, spare).where(~base_failed(spare) & (expression(fitted(docs, labels), spare) == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))

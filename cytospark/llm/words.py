@@ -1,20 +1,22 @@
-"""Words, lines and their 64-bit hashes straight from Arrow's string buffers, without a loop over texts.
+"""Words, lines and their hashes straight from Arrow's string buffers, without a loop over texts.
 
-A segment's hash is a polynomial over its bytes modulo 2^64, taken from one running sum over the
-buffer, then mixed with its length. Two different words share a hash with a chance near 2^-64.
+A segment's hash takes eight bytes at a time into a chain of mixing steps that aren't linear, so no
+pattern of bytes makes two segments meet; two of any two have one hash with a chance near 2^-64, and
+with two seeds near 2^-128. Where a result must be exact, `numbered` and `equal` compare the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLAB = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Longer segments are hashed and compared one by one.
+LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: The six white-space bytes of `[\x20\x09-\x0D]`.
 SPACES = np.zeros(256, bool)
@@ -27,17 +29,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n-1 of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, SLAB + (1 << 16))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -86,29 +77,63 @@ def segments(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def running(data: np.ndarray) -> np.ndarray:
-    """The sum up to each byte that `hashes` takes differences of."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; zeros stand after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, view: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each segment; ``view`` is `eights` of the data, where it is at hand."""
+    view, size = eights(data) if view is None else view, ends - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F + 2 * seed * 0x165667B19E3779F9 & (1 << 64) - 1))
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        out[todo] = mix((out[todo] ^ (view[at] & _KEEP[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15 + seed))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
+
+
+def equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray, view: np.ndarray | None = None) -> np.ndarray:
+    """Whether so many bytes of a and of b, from these places on, are the same; ``view`` is `eights` of a, where it is at hand."""
+    va, vb, out = eights(a) if view is None else view, eights(b), np.ones(len(size), bool)
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    x, y, left = a_at[todo], b_at[todo], size[todo]
+    while len(todo):
+        ok = (va[x] ^ vb[y]) & _KEEP[np.minimum(left, 8)] == 0
+        out[todo[~ok]] = False
+        more = ok & (left > 8)
+        todo, x, y, left = todo[more], x[more] + 8, y[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = np.array_equal(a[a_at[k] : a_at[k] + size[k]], b[b_at[k] : b_at[k] + size[k]])
     return out
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    sums = running(data) if sums is None else sums
-    _, down = powers(len(data) + 1)
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+    """A number for each segment, the same for the same bytes and for no others."""
+    h = hashes(data, starts, ends) if h is None else h
+    own, first, back = np.unique(h, return_index=True, return_inverse=True)
+    size, one = ends - starts, first[back]
+    odd = np.flatnonzero((size != size[one]) | ~equal(data, starts, data, starts[one], np.minimum(size, size[one])))
+    more: dict[bytes, int] = {}
+    for k in odd.tolist():
+        back[k] = len(own) + more.setdefault(data[starts[k] : ends[k]].tobytes(), len(more))
+    return back
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """A hash for each run of ``width`` neighbouring hashes, in order."""
     n = max(0, len(h) - width + 1)
-    out = np.zeros(n, np.uint64)
-    c = 0x9E3779B97F4A7C15
+    out = np.full(n, width, np.uint64)
     for k in range(width):
-        out = out * np.uint64(0xFF51AFD7ED558CCD) + (h[k : k + n] ^ np.uint64(c * (k + 1) & (1 << 64) - 1))
-    return mix(out)
+        out = mix(out + h[k : k + n])
+    return out
 
 
 def per_text(starts: np.ndarray, off: np.ndarray) -> np.ndarray:
