@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytospark.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
-from cytospark.llm.common import table, written
+from cytospark.llm.common import removed, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, and documents that held nothing else."""
-    out = line_dedup.without_boilerplate(docs).where("n_removed = 0 or trim(text) <> ''")
-    kept = {"text": "text"} | ({"n_chars": "if(n_removed = 0, n_chars, length(text))"} if "n_chars" in docs.columns else {})
-    return out.select(*(F.expr(kept[c]).alias(c) if c in kept else F.col(c) for c in docs.columns))
+    """Boilerplate lines go, and documents that held nothing else. n_chars, where there is one, follows the text."""
+    spare = "_".join(["n", *docs.columns])
+    out = line_dedup.without_boilerplate(docs, names=(f"{spare}1", f"{spare}2"))
+    whole = F.col(f"`{spare}2`") == 0
+    kept = {"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.where(whole | (F.trim("text") != "")).select(*(kept[c].alias(c) if c in kept else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's documents are a written table; it goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            removed(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
