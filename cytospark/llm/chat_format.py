@@ -6,8 +6,11 @@ position ids' first value (tokens of all its ancestors), and the stream interval
 ancestors, to which its tokens attend besides those before them in the node. Nodes that follow
 their parent at once make a run, so ancestors are few intervals: one for each run on the path.
 
-Order is by the path of history hashes, whose byte order is a depth-first order, so trees are laid
-out by a range shuffle and a prefix scan, however many conversations share a first turn.
+A node is named by the hash of its history. Trees are cut into chains: runs of nodes without another
+child. A chain's path is the hashes of the first nodes of all chains above it and of its own, and nodes are
+ordered by path and place in the chain, which is a depth-first order; so trees are laid out by a range
+shuffle and a prefix scan, however many conversations share a first turn, and a path grows with the branches
+above a turn, not with the turns. Joins on turns that many conversations share are split.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
 from . import bpe
-from .common import prefix_sums, written
+from .common import prefix_sums, removed, spread_join, written
 
 #: Marks of the roles; other roles stand in hex between the last pair.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>"), "system": ("[SYS] ", " [/SYS]")}
@@ -62,20 +65,40 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def placed(conversations: DataFrame) -> DataFrame:
-    """A row for each turn: conv_id, k, its node, and the node's path, role and text."""
+    """A row for each turn: conv_id, k, its node and the node before, role and text."""
 
     def run(pdfs):
         for pdf in pdfs:
             rows = []
             for conv, all_turns in zip(pdf["conv_id"], pdf["turns"]):
-                path, h = b"", b""
+                h = b""
                 for k, t in enumerate(all_turns):
-                    h = hashlib.blake2b(h + t["role"].encode() + b"\0" + t["text"].encode(), digest_size=16).digest()
-                    path += h
-                    rows.append((None if pd.isna(conv) else int(conv), k, h, path, t["role"], t["text"]))
-            yield pd.DataFrame(rows, columns=["conv_id", "k", "node", "path", "role", "text"]).astype({"conv_id": "Int64"})
+                    before, h = h, hashlib.blake2b(h + t["role"].encode() + b"\0" + t["text"].encode(), digest_size=16).digest()
+                    rows.append((None if pd.isna(conv) else int(conv), k, h, before, t["role"], t["text"]))
+            yield pd.DataFrame(rows, columns=["conv_id", "k", "node", "parent", "role", "text"]).astype({"conv_id": "Int64"})
 
-    return turns(conversations).mapInPandas(run, "conv_id long, k int, node binary, path binary, role string, text string")
+    return turns(conversations).mapInPandas(run, "conv_id long, k int, node binary, parent binary, role string, text string")
+
+
+def chains(places: DataFrame) -> DataFrame:
+    """A row for each node: node, path and idx (its place in its chain). ``places`` is a written table."""
+    branches = places.select("parent", "node").distinct().groupBy("parent").agg(F.count("*").alias("children")).where("children > 1").select("parent", F.lit(True).alias("branch"))
+    later = written(places.where("k > 0").select("conv_id", "k", "node", "parent"), "chat-edges")
+    begins = spread_join(later, written(branches, "chat-branches"), ["parent"], ["conv_id", "k"], "left").select("conv_id", "k", "node", F.coalesce("branch", F.lit(False)).alias("begins"))
+    begins = begins.unionByName(places.where("k = 0").select("conv_id", "k", "node", F.lit(True).alias("begins")))
+    lists = begins.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "node", "begins"))).alias("nodes"))
+
+    def run(pdfs):
+        for pdf in pdfs:
+            rows = []
+            for nodes in pdf["nodes"]:
+                path, idx = b"", 0
+                for n in nodes:
+                    path, idx = (path + bytes(n["node"]), 0) if n["begins"] else (path, idx + 1)
+                    rows.append((n["node"], path, idx))
+            yield pd.DataFrame(rows, columns=["node", "path", "idx"])
+
+    return lists.select("nodes").mapInPandas(run, "node binary, path binary, idx int").dropDuplicates(["node"])
 
 
 def prefix_tree(places: DataFrame, tokenizer: str) -> DataFrame:
@@ -89,7 +112,7 @@ def prefix_tree(places: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         encoder = bpe.Encoder.of(tokenizer, plain=True)  # as marks, so special tokens: a text can't make them
         for b in batches:
-            role, text = b.column(2).to_pylist(), b.column(3).to_pylist()
+            role, text = b.column(5).to_pylist(), b.column(6).to_pylist()
             body, around = [escaped(t) for t in text], [marks(r) for r in role]
             flat = [x for t, (o, c) in zip(body, around) for x in (o, t, c)]
             ids, off = [], [0]
@@ -100,29 +123,29 @@ def prefix_tree(places: DataFrame, tokenizer: str) -> DataFrame:
             mine = [r == "assistant" for r in role]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), b.column(1), b.column(2), pa.array([o + t + c for t, (o, c) in zip(body, around)]),
+                    *b.columns[:6], pa.array([o + t + c for t, (o, c) in zip(body, around)], pa.string()),
                     pa.array([len(o) if m else 0 for m, (o, _) in zip(mine, around)], pa.int32()), pa.array([len(o) + len(t) if m else 0 for m, t, (o, _) in zip(mine, body, around)], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(off[::3].astype(np.int32)), pa.array(ids)),
                     pa.array(np.where(mine, off[1::3] - off[:-1:3], 0).astype(np.int32)), pa.array(np.where(mine, off[2::3] - off[:-1:3], 0).astype(np.int32)), pa.array(np.diff(off[::3])),
                 ],
-                names=["node", "path", "role", "formatted", "loss_from", "loss_to", "ids", "loss_ids_from", "loss_ids_to", "n_tokens"],
+                names=["node", "parent", "depth", "path", "idx", "role", "formatted", "loss_from", "loss_to", "ids", "loss_ids_from", "loss_ids_to", "n_tokens"],
             )
 
-    distinct = places.select("node", "path", "role", "text").dropDuplicates(["node"])
-    schema = "node binary, path binary, role string, formatted string, loss_from int, loss_to int, ids array<int>, loss_ids_from int, loss_ids_to int, n_tokens long"
+    distinct = places.select("node", "parent", "k", "role", "text").dropDuplicates(["node"]).join(chains(places), "node").select("node", "parent", F.col("k").alias("depth"), "path", "idx", "role", "text")
+    schema = "node binary, parent binary, depth int, path binary, idx int, role string, formatted string, loss_from int, loss_to int, ids array<int>, loss_ids_from int, loss_ids_to int, n_tokens long"
     fields = [StructField("run", BinaryType()), StructField("back", LongType())]
-    stream = written(prefix_sums(distinct.mapInArrow(run, schema), ["path"], {"n_tokens": "start"}, "chat-nodes", fields, in_runs), "chat-stream")
-    depth = (F.length("path") / 16).cast("int") - 1
-    # Only the first node of a run looks up its ancestors, and they come back as one interval a run.
-    heads = stream.where("back = 0").select(F.col("node").alias("head"), F.explode(F.expr("transform(sequence(0, int(length(path) / 16) - 1), i -> substring(path, i * 16 + 1, 16))")).alias("at")).where("at <> head")
-    spans = stream.select(F.col("node").alias("at"), "run", (F.col("start") - F.col("back")).alias("from"), (F.col("start") + F.col("n_tokens")).alias("to"))
-    above = heads.join(spans, "at").groupBy("head", "run").agg(F.min("from").alias("start"), F.max("to").alias("end")).groupBy("head")
-    above = above.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("above"), F.sum(F.col("end") - F.col("start")).alias("before"))
-    out = stream.join(above, stream["run"] == above["head"], "left")
+    stream = written(prefix_sums(distinct.mapInArrow(run, schema), ["path", "idx"], {"n_tokens": "start"}, "chat-nodes", fields, in_runs), "chat-stream")
+    # Only the first node of a run looks up its ancestors: all of the chains above it, and its own up to it.
+    spans = stream.groupBy(F.expr("substring(path, length(path) - 15, 16)").alias("at")).agg(F.min("start").alias("from"), F.max(F.col("start") + F.col("n_tokens")).alias("to"))
+    spans = written(spans, "chat-spans")
+    heads = stream.where("back = 0").select(F.col("node").alias("head"), "start", F.explode(F.expr("transform(sequence(0, int(length(path) / 16) - 1), i -> substring(path, i * 16 + 1, 16))")).alias("at"))
+    above = spread_join(written(heads, "chat-heads"), spans, ["at"], ["head"]).select("head", F.col("from").alias("begin"), F.least("to", "start").alias("end")).where("begin < end").groupBy("head")
+    above = above.agg(F.sort_array(F.collect_list(F.struct(F.col("begin").alias("start"), "end"))).alias("above"), F.sum(F.col("end") - F.col("begin")).alias("before"))
+    out = spread_join(stream, above.withColumnRenamed("head", "run"), ["run"], ["node"], "left")
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     own = F.when(F.col("back") > 0, F.array(F.struct((F.col("start") - F.col("back")).alias("start"), F.col("start").alias("end")))).otherwise(none)
     return out.select(
-        "node", F.when(depth > 0, F.expr("substring(path, length(path) - 31, 16)")).alias("parent"), depth.alias("depth"), "role", "formatted", "loss_from", "loss_to", "ids", "loss_ids_from", "loss_ids_to", "n_tokens", "start",
+        "node", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"), "depth", "role", "formatted", "loss_from", "loss_to", "ids", "loss_ids_from", "loss_ids_to", "n_tokens", "start",
         (F.coalesce("before", F.lit(0)) + F.col("back")).alias("position"), F.concat(F.coalesce("above", none), own).alias("attends"),
     )
 
@@ -134,10 +157,11 @@ def in_runs():
     def make(b: pa.RecordBatch, before: np.ndarray) -> list[pa.Array]:
         nonlocal last, head, at
         runs, back = [], []
-        for path, node, start in zip(b.column(b.schema.get_field_index("path")).to_pylist(), b.column(b.schema.get_field_index("node")).to_pylist(), before.tolist()):
-            if last is None or len(path) != len(last) + 16 or not path.startswith(last):
+        column = lambda name: b.column(b.schema.get_field_index(name)).to_pylist()
+        for parent, node, start in zip(column("parent"), column("node"), before.tolist()):
+            if parent != last:
                 head, at = node, start
-            last = path
+            last = node
             runs.append(head)
             back.append(start - at)
         return [pa.array(runs, pa.binary()), pa.array(back, pa.int64())]
@@ -147,7 +171,7 @@ def in_runs():
 
 def read_back(places: DataFrame, tree: DataFrame) -> DataFrame:
     """Each conversation from the tree's nodes: digests of what its formatted text and its loss mask say."""
-    parts = places.select("conv_id", "k", "node").join(tree.select("node", "formatted", "loss_from", "loss_to", "position", "n_tokens"), "node")
+    parts = spread_join(places.select("conv_id", "k", "node"), tree.select("node", "formatted", "loss_from", "loss_to", "position", "n_tokens"), ["node"], ["conv_id", "k"])
     whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "formatted", "loss_from", "loss_to", "position", "n_tokens"))).alias("parts"))
 
     def run(pdfs):
@@ -165,6 +189,12 @@ def read_back(places: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def chat(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """conversations formatted, merged, and read back: a row for each conv_id."""
+    """conversations formatted, merged, and read back: a row for each conv_id; an empty table gives none.
+
+    A conversation is read back by one task, whatever its length; turns that are there twice are two turns.
+    """
     places = written(placed(conversations), "chat-turns")
-    return read_back(places, written(prefix_tree(places, tokenizer or bpe.default_path()), "chat-tree"))
+    tree = written(prefix_tree(places, tokenizer or bpe.default_path()), "chat-tree")
+    out = written(read_back(places, tree), "chat-read")
+    removed(places, tree)
+    return out

@@ -10,8 +10,7 @@ backwards marks each position where a match starts, one read forwards finds the
 from __future__ import annotations
 
 import hashlib
-from re import _constants as C
-from re import _parser
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +51,76 @@ class Automaton(NamedTuple):
     dead: int  #: the state from which no match comes, or -1
 
 
+_TOKEN = re.compile(r"\\x[0-9a-fA-F]{2}|\\.|\(\?i:|\(\?:|\{\d+,?\d*\}|.", re.S)
+_EVERY = frozenset(range(256))
+
+
+def tree_of(pattern: str):
+    """A rule's pattern as a tree: ("bytes", set), ("all", parts in turn), ("any", parts), ("repeat", part, least, most).
+
+    Patterns are ASCII: literals, \\xHH and escaped signs, classes, dots, groups (also (?i:..) and (?:..)), |, *, +, ? and {..}.
+    """
+    tokens, at = _TOKEN.findall(pattern), 0
+
+    def code(t: str) -> int:
+        if t.startswith("\\x"):
+            return int(t[2:], 16)
+        if len(t) > 2 or t[-1].isalnum() and t[0] == "\\" or ord(t[-1]) > 127:
+            raise ValueError(f"{t} isn't for an automaton")
+        return ord(t[-1])
+
+    def folded(found: set[int], fold: bool) -> frozenset[int]:
+        return frozenset(found | {x ^ 32 for x in found if chr(x).isalpha()} if fold else found)
+
+    def one_of(fold: bool):
+        nonlocal at
+        negated, found = tokens[at] == "^", set()
+        at += negated
+        while tokens[at] != "]":
+            lo = hi = code(tokens[at])
+            if tokens[at + 1] == "-" and tokens[at + 2] != "]":
+                hi = code(tokens[at + 2])
+                at += 2
+            found.update(range(lo, hi + 1))
+            at += 1
+        at += 1
+        found = folded(found, fold)
+        return ("bytes", _EVERY - found if negated else found)
+
+    def either(fold: bool):
+        nonlocal at
+        parts = [in_turn(fold)]
+        while at < len(tokens) and tokens[at] == "|":
+            at += 1
+            parts.append(in_turn(fold))
+        return parts[0] if len(parts) == 1 else ("any", parts)
+
+    def in_turn(fold: bool):
+        nonlocal at
+        parts = []
+        while at < len(tokens) and tokens[at] not in ("|", ")"):
+            t = tokens[at]
+            at += 1
+            if t in ("(", "(?i:", "(?:"):
+                part = either(fold or t == "(?i:")
+                at += 1
+            elif t == "[":
+                part = one_of(fold)
+            else:
+                part = ("bytes", _EVERY - {10} if t == "." else folded({code(t)}, fold))
+            if at < len(tokens) and (tokens[at] in "*+?" or len(tokens[at]) > 2 and tokens[at][0] == "{"):
+                lo, _, hi = tokens[at][1:-1].partition(",") if tokens[at][0] == "{" else {"*": ("0", ",", ""), "+": ("1", ",", ""), "?": ("0", ",", "1")}[tokens[at]]
+                part = ("repeat", part, int(lo), int(hi) if hi else None if "," in tokens[at] or tokens[at] in "*+" else int(lo))
+                at += 1
+            parts.append(part)
+        return ("all", parts)
+
+    out = either(False)
+    if at < len(tokens):
+        raise ValueError(f"unbalanced: {pattern}")
+    return out
+
+
 class _Nfa:
     def __init__(self):
         self.empty: list[list[int]] = []
@@ -62,69 +131,41 @@ class _Nfa:
         self.edges.append([])
         return len(self.empty) - 1
 
-    def add(self, tree, at: int, fold: bool, backwards: bool) -> int:
+    def add(self, tree, at: int, backwards: bool) -> int:
         """The state after ``tree`` from state ``at``."""
-        for op, value in reversed(list(tree)) if backwards else tree:
-            if op in (C.LITERAL, C.IN, C.ANY, C.NOT_LITERAL):
-                at = self.edge(at, self.bytes_of(op, value, fold))
-            elif op is C.SUBPATTERN:
-                at = self.add(value[3], at, fold or bool(value[1] & 2), backwards)
-            elif op is C.BRANCH:
-                out = self.state()
-                for part in value[1]:
-                    self.empty[self.add(part, at, fold, backwards)].append(out)
-                at = out
-            elif op is C.MAX_REPEAT:
-                lo, hi, part = value
-                for _ in range(lo):
-                    at = self.add(part, at, fold, backwards)
-                if hi is C.MAXREPEAT:
-                    loop = self.state()
-                    self.empty[at].append(loop)
-                    self.empty[self.add(part, loop, fold, backwards)].append(loop)
-                    at = loop
-                else:
-                    out = self.state()
-                    self.empty[at].append(out)
-                    for _ in range(hi - lo):
-                        at = self.add(part, at, fold, backwards)
-                        self.empty[at].append(out)
-                    at = out
-            else:
-                raise ValueError(f"{op} isn't for an automaton")
-        return at
-
-    def edge(self, at: int, by: frozenset[int]) -> int:
-        to = self.state()
-        self.edges[at].append((by, to))
-        return to
-
-    def bytes_of(self, op, value, fold: bool) -> frozenset[int]:
-        if op is C.ANY:
-            return frozenset(set(range(256)) - {10})
-        items = [(op, value)] if op is not C.IN else value
-        found, negated = set(), False
-        for kind, x in items:
-            if kind is C.NEGATE or kind is C.NOT_LITERAL:
-                negated = True
-            if kind in (C.LITERAL, C.NOT_LITERAL):
-                found.add(x)
-            elif kind is C.RANGE:
-                found.update(range(x[0], x[1] + 1))
-            elif kind is not C.NEGATE:
-                raise ValueError(f"{kind} isn't for an automaton")
-        if max(found) > 127:
-            raise ValueError("rules are ASCII")
-        if fold:
-            found |= {x ^ 32 for x in found if chr(x).isalpha()}
-        return frozenset(set(range(256)) - found if negated else found)
+        kind, value = tree[:2]
+        if kind == "bytes":
+            to = self.state()
+            self.edges[at].append((value, to))
+            return to
+        if kind == "all":
+            for part in reversed(value) if backwards else value:
+                at = self.add(part, at, backwards)
+            return at
+        if kind == "any":
+            out = self.state()
+            for part in value:
+                self.empty[self.add(part, at, backwards)].append(out)
+            return out
+        least, most = tree[2:]
+        for _ in range(least):
+            at = self.add(value, at, backwards)
+        out = self.state()
+        self.empty[at].append(out)
+        if most is None:
+            self.empty[self.add(value, out, backwards)].append(out)
+            return out
+        for _ in range(most - least):
+            at = self.add(value, at, backwards)
+            self.empty[at].append(out)
+        return out
 
 
 def compiled(patterns: list[str], anywhere: bool, backwards: bool = False) -> Automaton:
     """The minimal automaton of all patterns; anywhere: a match may start at any byte."""
     nfa = _Nfa()
     start = nfa.state()
-    ends = {nfa.add(_parser.parse(p), start, False, backwards): 1 << k for k, p in enumerate(patterns)}
+    ends = {nfa.add(tree_of(p), start, backwards): 1 << k for k, p in enumerate(patterns)}
     if anywhere:
         nfa.edges[start].append((frozenset(range(256)), start))
 

@@ -1,9 +1,10 @@
 """Token counts of flat token files that have no index: a scan for the end-of-document id.
 
-A flat file is 16-bit little-endian ids and nothing else; the files, by name, are one stream. Each
-file is searched in blocks, every block on its own; a document that crosses blocks or files is put
-together by a prefix scan over the blocks (ids before a block, separators before it, and the last
-separator before it), which has one row a block.
+A flat file is 16-bit little-endian ids and nothing else; the files, by name, are one stream. Files of any
+size are read in Spark's own splits (as runs of bytes between newline bytes, put together again). Every block
+of a split is searched on its own, at odd places too, since it isn't known yet where the block stands. Prefix
+scans over the blocks, which are dealt out by range, then say how many bytes, ids and separators stand before
+each; an id that lies on two blocks is put together from their edge bytes.
 """
 
 from __future__ import annotations
@@ -14,11 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import scratch
+from .common import prefix_sums, removed, scratch, written
 
 END = 50256
-#: Ids a block.
-BLOCK = 1 << 18
 
 
 def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) -> str:
@@ -41,49 +40,95 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) ->
     return path
 
 
-def scan(spark: SparkSession, path: str, end_id: int = END, block: int = BLOCK) -> DataFrame:
+#: What Spark's reader takes off the start of a file: these three bytes, a mark of the encoding.
+MARK = b"\xef\xbb\xbf"
+
+
+def blocks_of(spark: SparkSession, path: str, end_id: int) -> DataFrame:
+    """file (hash of its path), split, block, n_bytes, at (bytes where the end id's two bytes stand), first and last byte."""
+    low, high = end_id & 255, end_id >> 8
+
+    def run(batches):
+        last, block = None, 0
+        for b in batches:
+            file, split, lines = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            edges = np.flatnonzero((file[1:] != file[:-1]) | (split[1:] != split[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(file)]):
+                if lo == hi:
+                    continue
+                at = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset + lo : lines.offset + hi + 1]
+                data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+                data = np.insert(data, at[1:] - at[0], 0x0A)
+                here = (int(file[lo]), int(split[lo]))
+                block = block + 1 if here == last else 0
+                last = here
+                found = np.flatnonzero((data[:-1] == low) & (data[1:] == high))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([here[0]]), pa.array([here[1]]), pa.array([block], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([found], pa.list_(pa.int64())), pa.array([int(data[0])], pa.int32()), pa.array([int(data[-1])], pa.int32())],
+                    names=["file", "split", "block", "n_bytes", "at", "first", "last"],
+                )
+
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").cast("long").alias("split"), F.col("value").cast("binary").alias("line"))
+    return rows.mapInArrow(run, "file long, split long, block long, n_bytes long, at array<long>, first int, last int")
+
+
+def scan(spark: SparkSession, path: str, end_id: int = END) -> DataFrame:
     """A row for each document of the stream: document (its number), token_file, start, n_tokens, ended.
 
     token_file is the number of the file that it ends in; start counts ids from the stream's
     beginning; n_tokens is without the end id. Ids after the last separator are a document with
-    ended false. An odd last byte isn't an id.
+    ended false. An odd last byte isn't an id; empty files have none; no files, no rows.
     """
-
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(content.as_buffer(), "<u2", len(content.as_buffer()) // 2)
-                for k, at in enumerate(range(0, len(ids), block)):
-                    part = ids[at : at + block]
-                    ends = np.flatnonzero(part == end_id)
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64()), pa.array([len(part)], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))], names=["path", "block", "n_ids", "ends"])
-
-    blocks = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, block long, n_ids long, ends array<long>")
-    kept = scratch(spark, "separators")
-    blocks.write.parquet(kept)
-    blocks = spark.read.parquet(kept)
-    facts = blocks.select("path", "block", "n_ids", F.size("ends").cast("long").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
-    files = facts.groupBy("path").agg(F.sum("n_ids").alias("file_ids"), F.sum("n").alias("file_n"))
+    low, high, mark = end_id & 255, end_id >> 8, len(MARK)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    found = written(blocks_of(spark, path, end_id), "separators")
+    # One row a file: its number by name, its ids, and the bytes read of it and of those before.
+    read = found.groupBy("file").agg(F.sum("n_bytes").alias("bytes_read"))
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"))
+    files = files.where("size > 0").join(read, "file", "left").withColumn("bytes_read", zero(F.col("bytes_read")))
     earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    files = files.select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("file"), zero(F.sum("file_ids").over(earlier)).alias("ids_before"), zero(F.sum("file_n").over(earlier)).alias("ends_before"))
-    within = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = facts.join(files, "path").select("path", "block", "n_ids", "n", "last", "file", (F.col("ids_before") + zero(F.sum("n_ids").over(within))).alias("base"), (F.col("ends_before") + zero(F.sum("n").over(within))).alias("number"))
-    placed = placed.withColumn("last", F.col("base") + F.col("last"))
-    # The last separator before a block: in its file, or else in the files before.
-    ends = placed.groupBy("file").agg(F.max("last").alias("last"), F.max(F.col("base") + F.col("n_ids")).alias("end"))
-    carried = ends.select("file", F.max("last").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    placed = placed.join(carried, "file").withColumn("previous", F.coalesce(F.max("last").over(within), "carried", F.lit(-1)))
-    docs = blocks.join(placed.select("path", "block", "file", "base", "number", "previous"), ["path", "block"]).where(F.size("ends") > 0)
-    stops = docs.withColumn("stops", F.expr("transform(ends, e -> e + base)")).withColumn("starts", F.expr("transform(concat(array(previous), slice(stops, 1, size(stops) - 1)), e -> e + 1)"))
-    whole = stops.select("file", "number", F.posexplode(F.arrays_zip("starts", "stops")).alias("k", "span"))
-    whole = whole.select((F.col("number") + F.col("k")).alias("document"), F.col("file").alias("token_file"), F.col("span.starts").alias("start"), (F.col("span.stops") - F.col("span.starts")).alias("n_tokens"), F.lit(True).alias("ended"))
-    tail = ends.agg(F.max("end").alias("end"), F.coalesce(F.max("last"), F.lit(-1)).alias("last"), F.max("file").alias("file")).crossJoin(facts.agg(zero(F.sum("n")).alias("document")))
-    tail = tail.where(F.col("end") > F.col("last") + 1).select("document", F.col("file").alias("token_file"), (F.col("last") + 1).alias("start"), (F.col("end") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("ended"))
-    return whole.unionByName(tail)
+    files = files.select(
+        "file", "size", F.row_number().over(Window.orderBy("path")).cast("long").alias("number"), F.expr("size div 2").alias("ids"),
+        zero(F.sum(F.expr("size div 2")).over(earlier)).alias("ids_before"), zero(F.sum("bytes_read").over(earlier)).alias("bytes_before"),
+        F.when(F.col("bytes_read") < F.col("size"), mark).otherwise(0).cast("long").alias("shift"),
+    )
+    files = written(files, "token-file-list")
+    order = ["number", "split", "block"]
+    scanned = prefix_sums(found.join(files.select("file", "number"), "file"), order, {"n_bytes": "before"}, "bytes-before")
+    scanned = scanned.join(files.drop("number"), "file").withColumn("base", F.col("before") - F.col("bytes_before") + F.col("shift"))
+    placed = written(scanned.drop("before", "bytes_before", "file"), "blocks-placed")
+    # Separators whose two bytes lie on two blocks, or whose first one went with the mark.
+    opens = placed.where((F.col("last") == low) & ((F.col("base") + F.col("n_bytes")) % 2 == 1)).select("number", (F.col("base") + F.col("n_bytes")).alias("base"))
+    if low == MARK[-1]:
+        opens = opens.unionByName(placed.where((F.col("shift") > 0) & (F.col("base") == mark)).select("number", "base"))
+    crossing = placed.where((F.col("first") == high) & (F.col("base") % 2 == 1) & (F.col("base") < F.col("size"))).select("number", "base").join(opens, ["number", "base"]).withColumn("crossed", F.lit(True))
+    ends = F.filter("at", lambda p: ((F.col("base") + p) % 2 == 0) & (F.col("base") + p + 2 <= F.col("size")))
+    ends = F.transform(ends, lambda p: F.col("ids_before") + F.floor((F.col("base") + p) / 2))
+    crossed = F.when(F.col("crossed"), F.array(F.col("ids_before") + F.floor((F.col("base") - 1) / 2)))
+    hidden = F.when((F.lit(MARK[:2]) == F.lit(end_id.to_bytes(2, "little"))) & (F.col("shift") > 0) & (F.col("base") == mark), F.array(F.col("ids_before")))
+    none = F.expr("cast(array() as array<bigint>)")
+    whole = placed.join(crossing, ["number", "base"], "left").select(*order, F.concat(F.coalesce(hidden, none), F.coalesce(crossed, none), ends).alias("ends"))
+    counted = prefix_sums(whole.where(F.size("ends") > 0).withColumn("n", F.size("ends").cast("long")), order, {"n": "document"}, "separators-before")
+    counted = written(counted.select("number", "document", "n", "ends"), "separators-placed")
+    # The separator before a block's first is the last of the block whose documents end there.
+    previous = counted.select((F.col("document") + F.col("n")).alias("document"), F.element_at("ends", -1).alias("previous"))
+    stops = counted.join(previous, "document", "left").withColumn("starts", F.expr("transform(concat(array(coalesce(previous, -1)), slice(ends, 1, size(ends) - 1)), e -> e + 1)"))
+    docs = stops.select("number", "document", F.posexplode(F.arrays_zip("starts", "ends")).alias("k", "span"))
+    docs = docs.select((F.col("document") + F.col("k")).alias("document"), F.col("number").alias("token_file"), F.col("span.starts").alias("start"), (F.col("span.ends") - F.col("span.starts")).alias("n_tokens"), F.lit(True).alias("ended"))
+    all_ids = files.agg(F.max("number").alias("token_file"), F.sum("ids").alias("end"))
+    tail = all_ids.crossJoin(counted.agg(zero(F.max(F.col("document") + F.col("n"))).alias("document"), F.coalesce(F.max(F.element_at("ends", -1)), F.lit(-1)).alias("last")))  # one row by one
+    tail = tail.where(F.col("end") > F.col("last") + 1).select("document", "token_file", (F.col("last") + 1).alias("start"), (F.col("end") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("ended"))
+    removed(found, placed)
+    return docs.unionByName(tail)
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """docs' ids as flat files in the scratch folder, then their scan."""
+    """docs' ids as flat files in the scratch folder, then their scan.
+
+    A row for each row of docs, repeated and null ones too, in the order of the files: its number stands
+    for it, since a flat file has no ids of documents. Null text is a document of no ids.
+    """
     path = write_flat(docs, scratch(docs.sparkSession, "flat-tokens"), tokenizer or bpe.default_path())
-    return scan(docs.sparkSession, path)
+    out = scan(docs.sparkSession, path)
+    removed(path)
+    return out

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cytospark.llm import bpe, chat_format, common, components, decontaminate, line_dedup, maxent_lm, ngram_join, packing, quality_rules, secret_scan, token_counts, token_files, words
 
@@ -106,8 +107,8 @@ def test_packing_of_bits(bits):
 
 def test_token_file_gives_any_range(spark, docs):
     path = token_files.write_files(docs, token_files.scratch(spark, "t"), bpe.default_path(), block=64)
-    for r in spark.read.format("binaryFile").load(path).collect():
-        f = token_files.TokenFile(bytes(r["content"]))
+    for r in spark.read.format("binaryFile").load(path).select("path").collect():
+        f = token_files.TokenFile(open(r["path"].removeprefix("file:"), "rb"))
         whole = f.ids(0, f.n_ids)
         for lo, hi in ((0, 1), (63, 65), (64, 128), (5, f.n_ids), (f.n_ids - 1, f.n_ids)):
             assert (f.ids(lo, hi) == whole[lo:hi]).all()
@@ -128,16 +129,36 @@ def test_no_text_makes_the_separator(spark, docs, rows):
     assert got == sorted(len(i) for i in encoded(plain, [r[1] for r in rows]))
 
 
-def test_separators_across_blocks_and_files(spark, tmp_path):
-    r = np.random.default_rng(3)
-    stream = np.where(r.random(5000) < 0.01, 9, r.integers(10, 99, 5000)).astype("<u2")
-    stream[:3], stream[-1] = 9, 50
-    for k, part in enumerate(np.split(stream, [700, 701, 3000])):
-        (tmp_path / f"part-{k}.bin").write_bytes(part.tobytes())
-    got = sorted(token_counts.scan(spark, str(tmp_path), end_id=9, block=64).collect(), key=lambda r: r["document"])
-    ends = np.flatnonzero(stream == 9)
+@pytest.fixture
+def small_splits(spark):
+    changed = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.execution.arrow.maxRecordsPerBatch": "5"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end_id,seed", [(9, 3), (0x0A09, 4), (0x090A, 5), (0x09BF, 6), (0xBBEF, 7), (0x0A0A, 8)])
+def test_separators_across_blocks_and_files(spark, small_splits, tmp_path, end_id, seed):
+    """Files in many splits and batches, with newline bytes, odd last bytes, and a mark of an encoding at two files' starts."""
+    r, streams = np.random.default_rng(seed), []
+    for k, n in enumerate((700, 1, 2300, 2, 1999, 0)):
+        ids = np.where(r.random(n) < 0.02, end_id, r.choice([0x0909, 0x0A0A, 0x0A09, 0x090A, 10, 77, 0xBF09], n)).astype("<u2")
+        raw = bytearray(ids.tobytes())
+        if k in (2, 4):
+            raw[:4] = token_counts.MARK + bytes([9])
+        (tmp_path / f"part-{k}.bin").write_bytes(bytes(raw) + b"\n" * (k == 4))
+        streams.append(np.frombuffer(bytes(raw), "<u2"))
+    stream = np.concatenate(streams)
+    got = sorted(token_counts.scan(spark, str(tmp_path), end_id=end_id).collect(), key=lambda r: r["document"])
+    ends = np.flatnonzero(stream == end_id)
     starts = np.concatenate([[0], ends + 1])
-    assert [(r["start"], r["n_tokens"], r["ended"]) for r in got] == [*((s, e - s, True) for s, e in zip(starts, ends)), (starts[-1], 5000 - starts[-1], False)]
+    want = [(s, e - s, True) for s, e in zip(starts, ends)] + [(starts[-1], len(stream) - starts[-1], False)] * int(starts[-1] < len(stream))
+    assert [(r["start"], r["n_tokens"], r["ended"]) for r in got] == want
+    edges = np.cumsum([len(x) for x in streams])
+    assert [r["token_file"] for r in got] == [1 + int(np.searchsorted(edges[[len(x) > 0 for x in streams]], min(s + n, len(stream) - 1), side="right")) for s, n, _ in want]
 
 
 def test_sequences(docs, empty, rows, encoder):
@@ -158,6 +179,19 @@ def test_sequences(docs, empty, rows, encoder):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cutting_stock_at_full_width_is_near_the_bound(seed):
+    """128 classes, as in production: no more than one sequence a class over the linear program's bound, and 2 % over the volume."""
+    r = np.random.default_rng(seed)
+    demand = [r.integers(0, 400, 128), np.where(r.random(128) < 0.2, r.integers(1, 3000, 128), 0), (20_000 / np.arange(1, 129)).astype(int)][seed]
+    patterns, x = packing.column_generation(demand, 128)
+    plan = packing.rounded(demand, 128)
+    n = sum(m for m, _ in plan)
+    assert (sum(m * p for m, p in plan) == demand).all() and all((p * np.arange(1, 129)).sum() <= 128 for _, p in plan)
+    assert (patterns.T @ x >= demand - 1e-6).all() and x.sum() >= (demand * np.arange(1, 129)).sum() / 128 - 1e-6
+    assert x.sum() - 1e-6 <= n <= x.sum() + 128 and n <= x.sum() * 1.02 + 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cutting_stock(seed):
     r = np.random.default_rng(seed)
@@ -184,7 +218,7 @@ def test_chat(spark):
         loss = "".join(t for _, _, r, t in turns if r == "assistant")
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), sha("".join(f"{r}\n{t}\n" for _, _, r, t in turns)))
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
-    tree = chat_format.prefix_tree(chat_format.placed(df), bpe.default_path()).collect()
+    tree = chat_format.prefix_tree(common.written(chat_format.placed(df), "t"), bpe.default_path()).collect()
     assert len(tree) == len({tuple((r, t) for _, _, r, t in turns[: k + 1]) for turns in by.values() for k in range(len(turns))})
     at, nodes = 0, {bytes(r["node"]): r for r in tree}
     for r in sorted(tree, key=lambda r: r["start"]):  # gapless, each node after its parent, before its parent's next child
@@ -198,7 +232,7 @@ def test_chat(spark):
         assert covered(r["attends"]) == covered(chain) and r["position"] == len(covered(chain))
     assert chat_format.chat(df.limit(0)).count() == 0
     long = spark.createDataFrame([(9, k, "user", f"turn {k}") for k in range(400)], df.schema)
-    assert max(len(r["attends"]) for r in chat_format.prefix_tree(chat_format.placed(long), bpe.default_path()).collect()) <= 8
+    assert max(len(r["attends"]) for r in chat_format.prefix_tree(common.written(chat_format.placed(long), "t"), bpe.default_path()).collect()) <= 8
 
 
 def shingle_set(t):
@@ -276,6 +310,45 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert sorted(tuple(x) for x in ngram_join.near_duplicates(df).collect()) == [(k, root[k], n[k]) for k in range(60)]
 
 
+def opposites(n):
+    """Two words of n letters that any polynomial hash modulo 2^64 takes for one."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_pattern_of_letters_makes_texts_meet(spark):
+    t, u = opposites(2048)
+    texts = [t, u, f"{t} x", f"{u} x", f"{t}\n{u}", f"{t}\n{t}", " ".join([t, u] * 8), " ".join([t] * 16)]
+    df = spark.createDataFrame([(k, x, "s") for k, x in enumerate(texts)], "doc_id long, text string, source string")
+    n, root = joined(texts)
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(df).collect()) == [(k, root[k], n[k]) for k in range(len(texts))]
+    assert sorted(tuple(r[:6]) for r in quality_rules.statistics(df).collect()) == [(k, *statistics(x)) for k, x in enumerate(texts)]
+    ids = encoded(bpe.Encoder(bpe.default_path()), texts)
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in token_files.token_files(df).collect()) == [(k, bpe.crc(np.array(i + [2]))) for k, i in enumerate(ids)]
+    assert sorted(r["n_tokens"] for r in token_counts.token_counts(df).collect()) == sorted(map(len, ids))
+    assert {(r["doc_id"], r["doc_tokens"]) for r in packing.pack(df).collect()} == {(k, len(i) + 1) for k, i in enumerate(ids)}
+    bench = spark.createDataFrame([(7, f"{t} {t} one two three. {u} four")], "item_id long, text string")
+    hits = spark.createDataFrame([(0, f"{t} {t} one two three. {u} four"), (1, f"{u} {u} one two three. {t} four")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.leaks(hits, bench).collect()] == [0]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """With a hash that says nothing, all that is exact stays so."""
+    monkeypatch.setattr(words, "hashes", lambda data, s, e, seed=0, view=None: np.zeros(len(s), np.uint64))
+    texts = ["a bc d a bc", "word word\nword word\nbc", "", "a b c d e f g h a b c d e f g h"]
+    encoder = bpe.Encoder(bpe.default_path())
+    for _ in range(2):
+        got = [ids[off[k] : off[k + 1]].tolist() for _, ids, off in encoder.of_column(pa.array(texts)) for k in range(len(off) - 1)]
+        assert got == encoded(encoder, texts)
+    data, off = words.buffers(pa.array(texts))
+    assert list(zip(*(x.tolist() for x in quality_rules.counts(data, off)[:5]))) == [statistics(t) for t in texts]
+    index = decontaminate.indexed([(1, "one two three four five six seven. eight nine ten")])
+    data, off = words.buffers(pa.array(["x one two three four five six seven eight nine ten y", "one two"]))
+    assert [r[:2] for r in decontaminate.search(index, data, off)] == [(0, 1)]
+
+
 def test_pruning_table():
     r = np.random.default_rng(1)
     same = r.random((20_000, ngram_join.HASHES)) < 0.8
@@ -317,6 +390,16 @@ def test_automaton_on_random_texts():
     assert [scanner.rules[x[1]].kind for x in secret_scan.scanned(pa.array([extra]), scanner)[0]] == ["github", "private_key", "slack"]
 
 
+@pytest.mark.parametrize("pattern", [r"a(b|cd)*e+", r"[^a-c\x20]{2,3}", r"(?i:ab?c|d.)", r"\[[a-]\]{2}", r"x{3,}(?:ab|a)"])
+def test_patterns_mean_what_they_mean_to_re(pattern):
+    r = random.Random(pattern)
+    automaton = secret_scan.compiled([pattern], anywhere=False)
+    for _ in range(3000):
+        t = "".join(r.choice("abcdeABDx \n[]-") for _ in range(r.randint(0, 8)))
+        want = max((k for k in range(1, len(t) + 1) if re.fullmatch(pattern, t[:k])), default=0)
+        assert secret_scan.Scanner.longest(automaton, t.encode(), 0) == want
+
+
 def test_line_dedup(docs, empty, rows):
     sites, first = collections.defaultdict(set), {}
     for r in rows:
@@ -352,13 +435,32 @@ def test_language_model(docs, empty, rows):
     got = maxent_lm.score(docs).collect()
     want = sorted((h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 4)) for t, h in zip(token, held))
     assert sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
     assert maxent_lm.score(empty).count() == 0
+    # The model by its definition, a token at a time, with the weights that training gives.
+    kind = lambda w: maxent_lm.CLASSES - 1 if w is None else int(maxent_lm._ENDINGS[w.encode()[-1] * 256 + (w.encode()[-2] if len(w.encode()) > 1 else 0)])
+    size, kinds = collections.Counter(), collections.Counter()
+    for w, m in c.items():
+        size[kind(w)] += m
+        kinds[kind(w)] += 1
+    shares = np.array([(size[k] + 1) / (n + maxent_lm.CLASSES) for k in range(maxent_lm.CLASSES)])
+    weights = maxent_lm.trained(maxent_lm.rows_of(docs).where("not held_out"), shares).astype(float)
+    own = {w: int(words.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for t in token for w in t if w is not None} | {None: int(maxent_lm._END)}
+    bits, bucket = (1 << 64) - 1, lambda x: int(words.mix(np.array([x], np.uint64))[0] % np.uint64(maxent_lm.BUCKETS - 1)) + 1
+    scores = []
+    for t in token[:40] + token[-12:]:
+        total, one, two = 0.0, int(maxent_lm._START), int(maxent_lm._START)
+        for w in t:
+            z = weights[0] + sum(weights[bucket(x & bits)] for x in (one * 3, one * 5 + two * 0x9E3779B97F4A7C15, two * 7))
+            total += (z[kind(w)] - np.log(np.exp(z).sum())) / math.log(10) + math.log10((c[w] + 1) / (size[kind(w)] + kinds[kind(w)] + 1))
+            one, two = own[w], one
+        scores.append(round(total, 2))
+    have = collections.Counter(round(r["score"], 2) for r in got)
+    assert sum((collections.Counter(scores) - have).values()) <= 2  # sums at a rounding's edge
 
 
 def test_language_model_beats_the_base_on_held_out_texts(spark, sf):
     got = maxent_lm.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").collect()
-    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) + 0.04 * sum(r["n_tokens"] for r in got)
 
 
 def test_class_probabilities_sum_to_one():
@@ -397,6 +499,30 @@ def test_decision_list():
     assert (call & bad).sum() / bad.sum() > 0.85 and (call & ~bad).sum() / call.sum() < 0.05
 
 
+def test_the_verdict_is_the_lists(spark, docs, rows):
+    """kept against the learned list, applied by hand to statistics that are counted by hand."""
+    labels = spark.createDataFrame([(r[0], int(len(r[1] or "") % 3 > 0)) for r in rows if r[0] is not None], "doc_id long, quality int")
+    rules, want = quality_rules.fitted(docs, labels), collections.Counter()
+    rules = rules or [[("n_words", True, 60.0), ("symbol_share", False, 0.5)], [("mean_word", False, 2.0)]]
+    for r in rows:
+        t = r[1] or ""
+        n, chars, symbols, dup, repeat = statistics(t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+        raw = t.encode()
+        letters = sum(chr(b).isalpha() and b < 128 or b >= 128 for b in raw)
+        x = {
+            "n_words": n, "mean_word": chars / max(n, 1), "symbol_share": symbols / max(n, 1), "repeat_share": repeat / max(n, 1), "dup_line_share": dup / max(lines, 1), "upper_share": sum(65 <= b <= 90 for b in raw) / max(letters, 1),
+            "mark_share": sum(b in b"!?" for b in raw) / max(n, 1), "distinct_share": len(set(w)) / max(n, 1), "top_word_share": max(collections.Counter(w).values(), default=0) / max(n, 1), "line_words": n / max(lines, 1),
+        }
+        first = next((k for k, rule in enumerate(rules, 1) if all(x[c] >= v if above else x[c] <= v for c, above, v in rule)), 0)
+        want[r[0], first, not (n < 20 or 100 * repeat > 30 * n) and not first] += 1
+    out = quality_rules.statistics(docs).withColumn("rule", quality_rules.expression(rules)).withColumn("kept", ~quality_rules.base_failed() & (F.col("rule") == 0))
+    assert collections.Counter((r["doc_id"], r["rule"], r["kept"]) for r in out.collect()) == want
+    if quality_rules.fitted(docs, labels):
+        assert collections.Counter((r["doc_id"], r["rule"], r["kept"]) for r in quality_rules.quality(docs, labels).collect()) == want
+
+
 def test_quality(spark, sf, docs, empty):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = {r["doc_id"]: r["kept"] for r in quality_rules.quality(d, labels).collect()}
@@ -422,6 +548,71 @@ def test_decontamination(spark, docs, empty, rows):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def leaks_by_hand(texts, items):
+    """All passages against all entries: BM25 as a share of the entry's own, then runs of words, or all but one word in order."""
+    word = lambda t: re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", lower(t or ""))
+    entry, step = [], decontaminate.ENTRY
+    for k, (_, t) in enumerate(items):
+        entry += [(k, word(t)[j : j + step]) for j in range(0, len(word(t)), step)]
+    df, mean = collections.Counter(w for _, e in entry for w in set(e)), np.mean([len(e) for _, e in entry])
+    weigh = lambda w, e: math.log(1 + (len(entry) - df[w] + 0.5) / (df[w] + 0.5)) * e.count(w) * (decontaminate.K1 + 1) / (e.count(w) + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(e) / mean))
+    weights = [(k, {w: weigh(w, e) / sum(weigh(x, e) for x in set(e)) for w in set(e)}) for k, e in entry]
+    triples = lambda x, n: {tuple(x[j : j + n]) for j in range(len(x) - n + 1)}
+
+    def near(own, part):
+        row = [0] * (len(part) + 1)
+        for a in own:
+            new = [row[0] + 1]
+            for j, b in enumerate(part):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row) <= 1
+
+    out = {}
+    for t, text in enumerate(texts):
+        w, found = word(text), collections.defaultdict(list)
+        for lo in range(0, max(len(w) - step, 1), step):
+            part = set(w[lo : lo + 2 * step])
+            for k, x in weights:
+                score = sum(x[v] for v in x.keys() & part)
+                if score >= decontaminate.THRESHOLD:
+                    found[k].append((score, lo))
+        for k, hits in found.items():
+            own, n_entries = word(items[k][1]), sum(j == k for j, _ in entry)
+            part = w if n_entries > 1 else w[max(0, min(p for _, p in hits) - step) : max(p for _, p in hits) + 3 * step]
+            cut = len(own) - decontaminate.answer_words(items[k][1])
+            shares = []
+            for x in (own[:cut] or own, own[cut:]):
+                n = min(decontaminate.RUN, len(x))
+                shares.append(len(triples(x, n) & triples(part, n)) / len(triples(x, n)))
+            whole = [shares[0] >= decontaminate.QUESTION, shares[1] >= decontaminate.ANSWER]
+            if sum(whole) == 1:
+                sides = [(cut, own[: cut if cut > 3 else cut + decontaminate.BESIDE]), (len(own) - cut, own[cut if len(own) - cut > 3 else max(0, cut - decontaminate.BESIDE) :])]
+                edited = [(m - 1) / m if m > 1 and len(x) > 3 and near(x, part) else 0.0 for m, x in sides]
+                shares = [s if ok else max(s, e) for s, ok, e in zip(shares, whole, edited)]
+                whole = [ok or e > 0 for ok, e in zip(whole, edited)]
+            if all(whole):
+                out[t, items[k][0]] = (len({p for _, p in hits}), *(round(x, 5) for x in (max(s for s, _ in hits), *shares)))
+    return out
+
+
+def test_decontamination_by_brute_force(spark, sf):
+    """The query's operator over sf0.001's documents and more with items in them whole, cut and edited: every row, every column."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(60).collect()]
+    items += [(9000, " ".join(f"longitem{k % 90}" for k in range(150))), (9001, items[0][1]), (9002, "Short one here now.")]
+    r, texts = random.Random(4), [x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    fill = [w for t in texts[:20] for w in (t or "").split()]
+    for _, t in items:
+        w, before, after = t.split(), r.sample(fill, r.randint(0, 90)), r.sample(fill, r.randint(0, 200))
+        w[r.randrange(len(w))] = r.choice(["other", w[0]])
+        texts += [" ".join(before + t.split() + after), " ".join(before + w + after), " ".join(before + w[: len(w) * 2 // 3] + after), " ".join(before + r.sample(w, len(w)) + after)]
+    texts += [None, "", "...", texts[-3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): (x["passages"], *(round(x[c], 5) for c in ("score", "question_overlap", "answer_overlap"))) for x in got} == leaks_by_hand(texts, items)
+    assert len(got) > 80
+
+
 def test_but_for_one_word():
     r = random.Random(3)
     as_words = lambda x: np.array(x, np.int64)
@@ -472,6 +663,66 @@ def test_wand_is_exact():
             assert dict(decontaminate.wand(index, terms, least)) == pytest.approx({e: s for e, s in score.items() if s >= least})
 
 
+CLASHES = "n_lines n_removed gone line sites first key pos site salt _salt node digest root links copies class_id n_links keys cluster size bytes label label_id stats rule kept rank row class rest full one spare n k".split()
+
+
+def stages_by_hand(rows, items):
+    """What each stage keeps: (doc_id, text) in number."""
+    base = lambda t: (n := statistics(t or ""))[0] >= 20 and 100 * n[4] <= 30 * n[0]
+    docs = [r for r in rows if base(r[1])]
+    yield collections.Counter((r[0], r[1]) for r in docs)
+    sites, first = collections.defaultdict(set), {}
+    for r in docs:
+        for pos, x in enumerate(r[1].split("\n")):
+            if len(x.strip(" ")) >= line_dedup.MIN_CHARS:
+                sites[x.strip(" ")].add(r[2] or "")
+                at = (r[0] is not None, r[0] or 0, pos)
+                first[x.strip(" ")] = min(first.get(x.strip(" "), at), at)
+    gone = lambda r, pos, x: len(sites.get(x.strip(" "), ())) >= line_dedup.MIN_SITES and first[x.strip(" ")] != (r[0] is not None, r[0] or 0, pos)
+    cut = [(r[0], "\n".join(x for pos, x in enumerate(r[1].split("\n")) if not gone(r, pos, x)), r[1]) for r in docs]
+    docs = [(i, t) for i, t, whole in cut if t == whole or t.strip(" ")]
+    yield collections.Counter(docs)
+    root = joined([t for _, t in docs])[1]
+    groups = collections.defaultdict(list)
+    for d, k in zip(docs, root):
+        groups[k].append(d)
+    least = [min((i is not None, i or 0) for i, _ in g) for g in groups.values()]
+    docs = [[d for d in g if (d[0] is not None, d[0] or 0) == m] for g, m in zip(groups.values(), least)]
+    assert all(len(set(x)) == 1 for x in docs)  # else the hash of the text decides
+    docs = [x[0] for x in docs]
+    yield collections.Counter(docs)
+    hit = {t for t, _ in leaks_by_hand([t for _, t in docs], items)}
+    yield collections.Counter(d for k, d in enumerate(docs) if k not in hit)
+
+
+def test_pipeline_by_hand(spark, rows, encoder, tmp_path):
+    """Nulls, repeats, very long and empty texts, copies, an item, and columns that are called as the operators' own."""
+    import corpus_pipeline
+
+    items = [(k, t) for k, t in enumerate(ITEMS)]
+    own = [(r[0], r[1], r[3]) for r in rows if r[:2] != (3, "another text with one doc_id")]
+    own += [(900, f"{rows[0][1]} {ITEMS[0]} {rows[1][1]}", "s"), (901, f"{rows[2][1]} {rows[4][1]} {ITEMS[4]}", None), (902, rows[7][1], "s"), (902, rows[7][1], "s")]
+    for folder, docs in (("some", own), ("none", [])):
+        df = spark.createDataFrame([(i, t, "en", s, len(t or ""), *range(len(CLASHES))) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES))
+        df.repartition(4).write.parquet(str(tmp_path / folder / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / folder / "benchmark.parquet"))
+        spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / folder / "labels.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "some/documents.parquet"))
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:-1], stages_by_hand(own, items)):
+        before, kept = kept, common.written(stage(spark, kept, str(tmp_path / "some")), "stage")
+        assert kept.schema == before.schema
+        got = kept.collect()
+        assert collections.Counter((r["doc_id"], r["text"]) for r in got) == want
+        assert all(r["n_chars"] == len(r["text"]) and [r[c] for c in CLASHES] == list(range(len(CLASHES))) for r in got)
+    ids = {t: i + [0] for t, i in zip([t for _, t in want], encoded(encoder, [t for _, t in want]))}
+    pieces = collections.Counter()
+    for (doc, t), n in want.items():
+        pieces.update({(doc, s, bpe.crc(np.array(ids[t][s : s + 1024])), len(ids[t])): n for s in range(0, len(ids[t]), 1024)})
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert collections.Counter((r["doc_id"], r["start"], r["ids_crc32"], r["doc_tokens"]) for r in got) == pieces
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
