@@ -59,7 +59,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     """
     spare = "_".join(["_", *docs.columns])
     gone = removals(docs, min_sites, min_chars).select(F.col("doc_id").alias(f"{spare}d"), F.col("key").alias(f"{spare}k"), F.col("gone").alias(f"{spare}g"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(f"`{spare}d`")) & (F.xxhash64("text") == F.col(f"`{spare}k`")), "left")
+    # What goes grows with the corpus, so texts and removals meet by shuffle at any size.
+    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"`{spare}d`")) & (F.xxhash64("text") == F.col(f"`{spare}k`")), "left")
     lines, drop = F.split("text", "\n", -1), F.col(f"`{spare}g`")
     cut = F.when(drop.isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(drop, i)), "\n"))
     counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long")
