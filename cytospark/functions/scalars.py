@@ -72,6 +72,21 @@ def scale_fixed(value: Column, full: float = 65535.0) -> Column:
     return F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(full)) / full * 255).cast("long")
 
 
+def scale_rounded(value: Column, full: float = 65535.0) -> Column:
+    """To 0..255 by a fixed range, rounded to the nearest, halves to even."""
+    return F.rint(F.least(F.greatest(value, F.lit(0.0)), F.lit(full)) * F.lit(255.0 / full)).cast("long")
+
+
+def scale_range(value: Column, low: Column, high: Column) -> Column:
+    """To 0..255 by an image's own range, truncated; 0 in an image of one value."""
+    return F.when(high > low, F.floor((value - low) / (high - low) * 255)).otherwise(0).cast("long")
+
+
+def scale_gain(value: Column, top: Column) -> Column:
+    """To 0..255 by the full range of the bit depth that the image's maximum calls for, rounded."""
+    return F.rint(F.least(F.greatest(value, F.lit(0.0)) * 255.0 / bit_depth_limit(top), F.lit(255.0))).cast("long")
+
+
 def bit_depth_limit(top: Column) -> Column:
     """The least of the usual full ranges that holds the maximum."""
     out = F.when(top <= 255, 255)

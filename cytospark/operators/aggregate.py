@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import canonical_label, training_label
+from .ordering import placed, quantiles, spread_join, value_counts, written
+
 KEY = ["dbname", "cell_id", "channel"]
 
 
@@ -16,11 +19,19 @@ def principal_axes(df: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "n", (half + root).alias("l1"), F.greatest(half - root, F.lit(0.0)).alias("l2"), F.cos(angle).alias("ax"), F.sin(angle).alias("ay"))
 
 
-def cell_lengths(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Extent of a cell's pixels along their major axis; cells without an extent drop out."""
+def cell_lengths(px: DataFrame, keys: list[str], contours: DataFrame | None = None) -> DataFrame:
+    """Extent of a cell's pixels along their major axis, 4 decimals; cells without an extent drop out.
+
+    contours (keys, contour): a cell without pixels, or with fewer than two, is measured by its contour's points.
+    """
+    if contours is not None:
+        points = contours.select(*keys, F.explode("contour").alias("p")).select(*keys, F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.lit(True).alias("of_contour"))
+        both = px.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(False).alias("of_contour")).unionByName(points)
+        few = both.groupBy(*keys).agg((F.count(F.when(~F.col("of_contour"), 1)) < 2).alias("few"))
+        px = both.join(few, keys).where(F.col("of_contour") == F.col("few"))
     axes = principal_axes(px, keys)
     along = F.col("x") * F.col("ax") + F.col("y") * F.col("ay")
-    out = px.join(axes, keys).groupBy(*keys).agg((F.max(along) - F.min(along)).alias("length"))
+    out = px.join(axes, keys).groupBy(*keys).agg(F.round(F.max(along) - F.min(along), 4).alias("length"))
     return out.where("length > 0 and not isnan(length)")
 
 
@@ -70,17 +81,17 @@ def intensity_stats(px: DataFrame, keys: list[str]) -> DataFrame:
 
 def concentration(px: DataFrame, background: DataFrame, keys: list[str]) -> DataFrame:
     """Entropy, Hoyer sparsity and the share of the brightest tenth, of intensities over the background. NULL without signal or with one pixel."""
-    w = px.join(background, keys).withColumn("w", F.greatest(F.col("intensity") - F.col("background"), F.lit(0.0)))
-    cell = Window.partitionBy(*keys)
-    w = w.withColumns({"n": F.count("*").over(cell), "s": F.sum("w").over(cell), "rank": F.row_number().over(cell.orderBy(F.desc("w"), "y", "x"))})
-    p = F.try_divide(F.col("w"), F.col("s"))
-    root = F.sqrt(F.first("n"))
-    ok = (F.first("s") > 0) & (F.first("n") > 1)
-    return w.groupBy(*keys).agg(
-        F.when(ok, -F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0)) / F.log(F.first("n"))).alias("entropy_norm"),
-        F.when(ok, (root - F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))) / (root - 1)).alias("hoyer_sparsity"),
-        F.when(ok, F.sum(F.when(F.col("rank") <= F.greatest(F.ceil(F.col("n") * 0.1), F.lit(1)), p).otherwise(0.0))).alias("top10_fraction"),
-    )
+    w = F.greatest(F.col("intensity") - F.col("background"), F.lit(0.0))
+    # A cell's pixels are bounded by its image, so its values fit in an array.
+    a = px.join(background, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(w).alias("s"), F.sqrt(F.sum(w * w)).alias("q"), F.sort_array(F.collect_list(w), asc=False).alias("w"))
+    root, ok = F.sqrt("n"), (F.col("s") > 0) & (F.col("n") > 1)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda x, v: x + v)
+    share = lambda v: v / F.col("s")
+    logs = total(F.transform("w", lambda v: F.when(v > 0, share(v) * F.log(share(v))).otherwise(0.0)))
+    return a.select(
+        *keys, F.when(ok, -logs / F.log("n")).alias("entropy_norm"), F.when(ok, (root - F.col("s") / F.col("q")) / (root - 1)).alias("hoyer_sparsity"),
+        F.when(ok, total(F.slice("w", F.lit(1), F.greatest(F.ceil(F.col("n") * 0.1), F.lit(1)).cast("int"))) / F.col("s")).alias("top10_fraction"),
+    )
 
 
 def axial_localization(px: DataFrame, keys: list[str], tolerance: float = 1e-7) -> DataFrame:
@@ -95,16 +106,36 @@ def axial_localization(px: DataFrame, keys: list[str], tolerance: float = 1e-7)
     return g.where("s > 0").drop("s", "n")
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def metric_summary(df: DataFrame, metric: str, keys: list[str]) -> DataFrame:
+    """Per group: total, valid, missing, and the exact quartiles (NULL without values)."""
     m = F.col(metric)
-    return df.groupBy(*keys).agg(F.count("*").alias("total"), F.count(m).alias("valid"), (F.count("*") - F.count(m)).alias("missing"), *(F.percentile(m, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("total"), F.count(m).alias("valid"), (F.count("*") - F.count(m)).alias("missing"))
+    q = quantiles(df, metric, keys, QUARTILES)
+    q = q.select(*(F.col(k).alias(f"_{k}") for k in keys), *QUARTILES)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return counts.join(q, same, "left").drop(*(f"_{k}" for k in keys))
 
 
 def metric_rollup(df: DataFrame, metric: str) -> DataFrame:
     """The summary by database and label, and over All labels."""
-    m = F.col(metric)
-    out = df.rollup("dbname", "label").agg(F.grouping_id().alias("level"), F.count("*").alias("total"), F.count(m).alias("valid"), F.percentile(m, 0.5).alias("median"))
-    return out.where("level < 3").select("dbname", F.when(F.col("level") == 1, "All").otherwise(F.col("label")).alias("label"), "total", "valid", "median")
+    some = metric_summary(df, metric, ["dbname", "label"])
+    return some.unionByName(metric_summary(df, metric, ["dbname"]).withColumn("label", F.lit("All")))
+
+
+def label_counts(df: DataFrame, column: str = "manual_label") -> DataFrame:
+    """Per database how many cells have each canonical label."""
+    return df.groupBy("dbname", canonical_label(F.col(column)).alias("label")).agg(F.count("*").alias("n"))
+
+
+def source_counts(df: DataFrame) -> DataFrame:
+    """How many cells each database has, and how many of each training label."""
+    y = training_label(F.col("manual_label"))
+    return df.groupBy("dbname").agg(F.count("*").alias("n"), F.count(F.when(y == 1, 1)).alias("ones"), F.count(F.when(y == 0, 1)).alias("zeros"))
 
 
 def distinct_labels(df: DataFrame, column: str = "manual_label") -> DataFrame:
@@ -118,22 +149,11 @@ def profile_score(g: Column) -> Column:
     return F.when(high > low, (mean - low) / (high - low)).otherwise(mean)
 
 
-def control_threshold(scores: DataFrame, value: str = "score", share: float = 0.95, slack: float = 0.002) -> DataFrame:
-    """One row: the score at descending place int(share * n); no row without scores.
-
-    An approximate percentile brackets it (its error is a twentieth of the slack); scores above the
-    bracket are only counted, so the exact order is over the few distinct scores within.
-    """
-    ok = scores.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    cuts = [max(0.0, 1 - share - slack), min(1.0, 1 - share + slack)]
-    facts = ok.agg(F.count("*").alias("n"), F.percentile_approx("v", cuts, 10_000).alias("cuts"))
-    rows = ok.crossJoin(F.broadcast(facts))  # facts: one row
-    above = rows.agg(F.sum((F.col("v") > F.col("cuts")[1]).cast("long")).alias("above"))
-    counts = rows.where(F.col("v").between(F.col("cuts")[0], F.col("cuts")[1])).groupBy("v", "n").agg(F.count("*").alias("many"))
-    upto = F.sum("many").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    place = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
-    found = counts.withColumn("upto", upto).crossJoin(F.broadcast(above)).where(F.col("above") + F.col("upto") > place)
-    return found.agg(F.max("v").alias("threshold")).where("threshold is not null")
+def control_threshold(scores: DataFrame, value: str = "score", share: float = 0.95) -> DataFrame:
+    """One row: the score at descending place int(share * n); no row without scores."""
+    c = placed(value_counts(scores, value, []), [], [F.desc("v")], "n")
+    place = F.least(F.floor(F.col("total") * share), F.col("total") - 1)
+    return c.where((F.col("place") > place) & (F.col("place") - F.col("n") <= place)).select(F.col("v").alias("threshold"))
 
 
 def aggregation_ratio(profiles: DataFrame, control: DataFrame, pixel: float = 0.065) -> DataFrame:
@@ -145,7 +165,7 @@ def aggregation_ratio(profiles: DataFrame, control: DataFrame, pixel: float = 0.
 
 def quantile_call(df: DataFrame, control: DataFrame, value: str, q: float, above: bool) -> DataFrame:
     """Per database the share of values beyond a quantile of the control."""
-    cut = control.agg(F.percentile(value, q).alias("cut"))
+    cut = quantiles(control, value, [], {"cut": q})  # one row
     beyond = F.col(value) > F.col("cut") if above else F.col(value) < F.col("cut")
     return df.crossJoin(F.broadcast(cut)).groupBy("dbname").agg(F.avg(beyond.cast("double")).alias("positive"), F.count("*").alias("n"))
 
@@ -160,9 +180,11 @@ def profile_matrix(df: DataFrame, normalize: bool = False) -> DataFrame:
 
 def five_number(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
-    q = df.where(F.col(value).isNotNull()).groupBy(*by).agg(*(F.percentile(value, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    c = written(value_counts(df, value, by), "values")
+    q = quantiles(df, value, by, QUARTILES)
     spread = 1.5 * (F.col("q3") - F.col("q1"))
-    return df.join(q, by).where(F.col(value).between(F.col("q1") - spread, F.col("q3") + spread)).groupBy(*by, "q1", "median", "q3").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    inside = spread_join(c, q, by, ["v"]).where(F.col("v").between(F.col("q1") - spread, F.col("q3") + spread))
+    return inside.groupBy(*by, "q1", "median", "q3").agg(F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def histogram(df: DataFrame, value: str, by: list[str], rule: str = "values") -> DataFrame:
@@ -270,7 +292,9 @@ def threshold_search(df: DataFrame, by: list[str] | None = None, score: str = "s
 
 def robust_scaler(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(value - median) / interquartile range (else the deviation, else 1), clipped to 12."""
-    s = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("centre"), (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("iqr"), F.stddev_pop(value).alias("sd"))
-    scale = F.when(F.col("iqr") > 1e-12, F.col("iqr")).when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
-    z = (F.col(value) - F.col("centre")) / scale
-    return df.join(s, by).withColumn("scaled", F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0))).drop("centre", "iqr", "sd")
+    q = quantiles(df, value, by, QUARTILES).select(*by, F.col("median").alias("_centre"), (F.col("q3") - F.col("q1")).alias("_iqr"))
+    s = q.join(df.groupBy(*by).agg(F.stddev_pop(value).alias("_sd")), by)
+    scale = F.when(F.col("_iqr") > 1e-12, F.col("_iqr")).when(F.col("_sd") > 1e-12, F.col("_sd")).otherwise(1.0)
+    z = (F.col(value) - F.col("_centre")) / scale
+    out = spread_join(written(df, "unscaled"), s, by, [value, *(c for c in df.columns if c != value)][:3])
+    return out.withColumn("scaled", F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0))).drop("_centre", "_iqr", "_sd")

@@ -29,34 +29,53 @@ def _scaled(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((x - centre) / scale, -12, 12)
 
 
-def fit(x: np.ndarray, y: np.ndarray, k: int = 15, l2: float = 0.03, blend: float = 0.55, threshold: float = 0.445, steps: int = 2200, rate: float = 0.03) -> Model:
-    """Scaled by median and interquartile range; gradient descent on the class-weighted, regularised log loss."""
-    centre = np.median(x, 0)
+def logistic(z: np.ndarray, y: np.ndarray, l2: float = 0.03, steps: int = 2200, rate: float = 0.03) -> tuple[np.ndarray, float]:
+    """Gradient descent on the class-weighted, regularised log loss; the bias isn't regularised."""
+    n = len(y)
+    each = np.where(y == 1, n / (2 * max(1, (y == 1).sum())), n / (2 * max(1, (y == 0).sum()))) / n
+    w, b = np.zeros(z.shape[1]), 0.0
+    for _ in range(steps):
+        rest = each * (1 / (1 + np.exp(-np.clip(z @ w + b, -35, 35))) - y)
+        g, gb = z.T @ rest + l2 * w, rest.sum()
+        shorten = min(1.0, 20 / max(np.hypot(np.linalg.norm(g), gb), 1e-12))
+        w, b = np.clip(w - rate * shorten * g, -50, 50), float(np.clip(b - rate * shorten * gb, -50, 50))
+    return w, b
+
+
+def scaling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Medians and interquartile ranges (else deviations, else 1)."""
     scale = np.subtract(*np.percentile(x, [75, 25], axis=0))
     scale = np.where(scale > 1e-12, scale, x.std(0))
-    scale = np.where(scale > 1e-12, scale, 1.0)
-    z, n = _scaled(x, centre, scale), len(y)
-    each = np.where(y == 1, n / (2 * max(1, (y == 1).sum())), n / (2 * max(1, (y == 0).sum())))
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -40, 40)))
-        g = each * (p - y) / n
-        w -= rate * (z.T @ g + l2 * w)
-        b -= rate * g.sum()
-    return Model(centre, scale, z, y.astype(float), w, b, min(k, n), blend, threshold)
+    return np.median(x, 0), np.where(scale > 1e-12, scale, 1.0)
 
 
-def probability(m: Model, x: np.ndarray) -> np.ndarray:
-    z = _scaled(x, m.centre, m.scale)
-    logistic = 1 / (1 + np.exp(-np.clip(z @ m.weights + m.bias, -40, 40)))
-    near = np.empty(len(z))
+def fit(x: np.ndarray, y: np.ndarray, k: int = 15, l2: float = 0.03, blend: float = 0.55, threshold: float = 0.445, steps: int = 2200, rate: float = 0.03) -> Model:
+    centre, scale = scaling(x)
+    z = _scaled(x, centre, scale)
+    return Model(centre, scale, z, y.astype(float), *logistic(z, y, l2, steps, rate), min(k, len(y)), blend, threshold)
+
+
+def neighbours(z: np.ndarray, train: np.ndarray, y: np.ndarray, ks: list[int]) -> list[np.ndarray]:
+    """For each k the share of label 1 among the k nearest, by the inverse of distance."""
+    most, size = min(max(ks), len(train)), (train**2).sum(1)
+    out = [np.empty(len(z)) for _ in ks]
     for lo in range(0, len(z), 256):
         q = z[lo : lo + 256]
-        d = np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ m.train.T + (m.train**2).sum(1), 0))
-        at = np.argpartition(d, m.k - 1, axis=1)[:, : m.k]
-        w = 1 / (np.take_along_axis(d, at, 1) + 1e-6)
-        near[lo : lo + 256] = (w * m.y[at]).sum(1) / w.sum(1)
-    return m.blend * near + (1 - m.blend) * logistic
+        d = (q**2).sum(1)[:, None] - 2 * q @ train.T + size
+        at = np.argpartition(d, most - 1, axis=1)[:, :most]
+        near = np.sqrt(((q[:, None, :] - train[at]) ** 2).sum(2))  # exact for those that count
+        order = np.argsort(near, axis=1, kind="stable")
+        near, label = np.take_along_axis(near, order, 1), y[np.take_along_axis(at, order, 1)]
+        w = 1 / (near + 1e-6)
+        for o, k in zip(out, ks):
+            o[lo : lo + 256] = (w * label)[:, :k].sum(1) / w[:, :k].sum(1)
+    return out
+
+
+def probability(m: Model, x: np.ndarray) -> np.ndarray:
+    z = _scaled(x, m.centre, m.scale)
+    line = 1 / (1 + np.exp(-np.clip(z @ m.weights + m.bias, -35, 35)))
+    return m.blend * neighbours(z, m.train, m.y, [m.k])[0] + (1 - m.blend) * line
 
 
 def _sample(df: DataFrame, most: int) -> DataFrame:
@@ -88,25 +107,55 @@ def folds(df: DataFrame, n: int = 5) -> DataFrame:
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy("y", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")) + F.pmod(F.xxhash64("id"), F.lit(64))) % n)
 
 
-def cross_validate(df: DataFrame, settings: list[dict], n: int = 5) -> DataFrame:
-    """A row for each setting: the metrics over all folds' held-out rows, best first. A setting and fold is a task."""
-    rows = _sample(folds(df, n).where("y is not null"), MOST_LABELLED).select("features", "y", "fold").toPandas()
+#: The settings that are tried.
+SETTINGS = [
+    {"k": 7, "l2": 0.03, "blend": 1.0}, {"k": 15, "l2": 0.03, "blend": 1.0}, {"k": 21, "l2": 0.03, "blend": 1.0}, {"k": 15, "l2": 0.03, "blend": 0.0}, {"k": 15, "l2": 0.1, "blend": 0.0},
+    {"k": 7, "l2": 0.03, "blend": 0.5}, {"k": 15, "l2": 0.03, "blend": 0.55}, {"k": 15, "l2": 0.1, "blend": 0.55}, {"k": 21, "l2": 0.03, "blend": 0.6},
+]
+
+
+def cross_validate(df: DataFrame, settings: list[dict] = SETTINGS, n: int = 5, most: int = MOST_LABELLED, steps: int = 2200) -> DataFrame:
+    """A row for each setting: its best cut-off and the metrics there over all labelled rows, each scored by the fold it isn't in; the best setting first.
+
+    Folds are fitted on a sample of at most ``most`` rows; a task fits one fold's logistic model for one l2. All
+    rows are then scored where they lie, and the cut-offs are searched by counts.
+    """
+    from .aggregate import threshold_search
+
+    labelled = folds(df.where("y is not null"), n)
+    rows = _sample(labelled, most).select("features", "y", "fold").toPandas()
     x, y, fold = np.stack(rows["features"].to_numpy()).astype(float), rows["y"].to_numpy(float), rows["fold"].to_numpy()
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((x, y, fold, settings))
+    spark, l2s, ks = df.sparkSession, sorted({s["l2"] for s in settings}), sorted({s["k"] for s in settings})
+    sample = spark.sparkContext.broadcast((x, y, fold))  # at most ``most`` rows
 
-    def run(pdfs):
-        x, y, fold, settings = shared.value
+    def train(pdfs):
+        x, y, fold = sample.value
+        for pdf in pdfs:
+            for f, k in zip(pdf["fold"], pdf["at"]):
+                own = fold != f
+                centre, scale = scaling(x[own])
+                w, b = logistic(_scaled(x[own], centre, scale), y[own], l2s[k], steps)
+                yield pd.DataFrame({"fold": [f], "at": [k], "w": [w], "b": [b]})
+
+    jobs = spark.range(n * len(l2s), numPartitions=n * len(l2s)).selectExpr(f"int(id div {len(l2s)}) as fold", f"int(id % {len(l2s)}) as at")
+    lines = {(r["fold"], r["at"]): (np.array(r["w"]), r["b"]) for r in jobs.mapInPandas(train, "fold int, at int, w array<double>, b double").collect()}
+    models = spark.sparkContext.broadcast(lines)
+
+    def score(pdfs):
+        x, y, fold = sample.value
+        fitted = {}
         for pdf in pdfs:
-            for s, f in zip(pdf["setting"], pdf["fold"]):
-                test = fold == f
-                if test.any() and not test.all():
-                    m = fit(x[~test], y[~test], **settings[s])
-                    call = probability(m, x[test]) >= m.threshold
-                    yield pd.DataFrame({"setting": [s], "tp": [int((call & (y[test] == 1)).sum())], "tn": [int((~call & (y[test] == 0)).sum())], "fp": [int((call & (y[test] == 0)).sum())], "fn": [int((~call & (y[test] == 1)).sum())]})
-
-    from .aggregate import _rates
-
-    jobs = spark.range(len(settings) * n, numPartitions=min(32, len(settings) * n)).selectExpr(f"int(id div {n}) as setting", f"int(id % {n}) as fold")
-    got = jobs.mapInPandas(run, "setting int, tp long, tn long, fp long, fn long").groupBy("setting").agg(*(F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")))
-    return _rates(got).orderBy(F.desc("f1"), F.desc("balanced_accuracy"), F.desc("accuracy"), "fp", "setting")
+            for f, part in pdf.groupby("fold"):
+                if f not in fitted:
+                    own = fold != f
+                    centre, scale = scaling(x[own])
+                    fitted[f] = centre, scale, _scaled(x[own], centre, scale), y[own]
+                centre, scale, train_z, train_y = fitted[f]
+                z = _scaled(np.stack(part["features"].to_numpy()).astype(float), centre, scale)
+                near = dict(zip(ks, neighbours(z, train_z, train_y, ks)))
+                line = [1 / (1 + np.exp(-np.clip(z @ w + b, -35, 35))) for w, b in (models.value[f, k] for k in range(len(l2s)))]
+                for k, s in enumerate(settings):
+                    yield pd.DataFrame({"setting": k, "y": part["y"].to_numpy(), "score": s["blend"] * near[s["k"]] + (1 - s["blend"]) * line[l2s.index(s["l2"])]})
+
+    scored = labelled.select("features", F.col("y").cast("int").alias("y"), F.col("fold").cast("int").alias("fold")).mapInPandas(score, "setting int, y int, score double")
+    return threshold_search(scored, ["setting"]).orderBy(F.desc("f1"), F.desc("balanced_accuracy"), F.desc("accuracy"), "fp", "setting")

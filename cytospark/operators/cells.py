@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import scalars as S
 from . import pixel_sets as P
+from .select import TrapRules, centred_in_crop, filter_candidates, filter_label, trap_cell_ok, trap_place_ok
 
 CELL = ["dbname", "cell_id", "channel"]
 Rows = Iterator[tuple]
@@ -24,14 +26,14 @@ def outline(points) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in points], float) if points is not None else np.zeros((0, 2))
 
 
-def each_row(df: DataFrame, make: Callable[[dict], Rows], schema: str) -> DataFrame:
-    """Rows that ``make`` yields for each row; a cell that can't be measured yields what ``make`` says for it."""
+def each_row(df: DataFrame, make: Callable[[dict], Rows], schema: str, at_a_time: int = 256) -> DataFrame:
+    """Rows that ``make`` yields for each row, so many rows at a time; a cell that can't be measured yields what ``make`` says for it."""
     names = [c.strip().split()[0] for c in _fields(schema)]
 
     def run(pdfs):
         for pdf in pdfs:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            for lo in range(0, len(pdf), at_a_time):
+                part = pdf.iloc[lo : lo + at_a_time]
                 yield pd.DataFrame([r for row in part.to_dict("records") for r in make(row)], columns=names)
 
     return df.mapInPandas(run, schema)
@@ -152,47 +154,65 @@ def axis_ribs(cells: DataFrame, degree: int = 1, step: float = 5.0) -> DataFrame
     return each_row(cells, make, "dbname string, cell_id string, rib int, arc double, x0 double, y0 double, x1 double, y1 double")
 
 
-def cell_maps(cells: DataFrame, degree: int = 4, height: int = 16, width: int = 64, opening: int = 21) -> DataFrame:
-    """Each cell's opened intensities by arc length and distance, resized to height x width; the brighter half is on the left."""
+def _map_of(r: dict, degree: int, height: int | None, width: int | None, opening: int, eight_bit: bool) -> np.ndarray | None:
+    p = G.pixels(_mask(r))
+    if len(p) < 9:
+        return None
+    img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
+    img = img - G.grey_open(img, P.ellipse(opening))
+    arc, off = G.Centerline(p, degree).place(p)
+    v = img[p[:, 1].astype(int), p[:, 0].astype(int)]
+    a, b = np.round(arc).astype(int), np.round(off - off.min()).astype(int)
+    raw = np.full((b.max() + 3, a.max() + 3), -np.inf)
+    for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
+        np.maximum.at(raw, (b + 1 + j, a + 1 + i), v)
+    m = np.where(np.isinf(raw), v.min(), raw)[1:-1, 1:-1]
+    if height and width:
+        m = m[np.arange(height) * m.shape[0] // height][:, np.arange(width) * m.shape[1] // width]
+    if m[:, m.shape[1] // 2 :].sum() > m[:, : m.shape[1] - m.shape[1] // 2].sum():
+        m = m[:, ::-1]
+    if eight_bit:
+        m = np.floor((m - m.min()) / np.ptp(m) * 255) if np.ptp(m) > 0 else np.zeros_like(m)
+    return m
+
+
+def cell_maps(cells: DataFrame, degree: int = 4, height: int | None = 256, width: int | None = 1024, opening: int = 21, eight_bit: bool = False) -> DataFrame:
+    """Each cell's intensities above their opening by arc length and distance; the brighter half is on the left.
+
+    Maps are resized (nearest) to height x width, or raw where these are None; eight_bit: min-max scaled to 0..255.
+    """
 
     def make(r: dict) -> Rows:
-        p = G.pixels(_mask(r))
-        if len(p) < 9:
-            return
-        img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
-        img = img - G.grey_open(img, P.ellipse(opening))
-        arc, off = G.Centerline(p, degree).place(p)
-        v = img[p[:, 1].astype(int), p[:, 0].astype(int)]
-        a, b = np.round(arc).astype(int), np.round(off - off.min()).astype(int)
-        raw = np.full((b.max() + 3, a.max() + 3), -np.inf)
-        for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
-            np.maximum.at(raw, (b + 1 + j, a + 1 + i), v)
-        raw = np.where(np.isinf(raw), v.min(), raw)[1:-1, 1:-1]
-        rows, cols = (np.arange(height) * raw.shape[0] // height), (np.arange(width) * raw.shape[1] // width)
-        m = raw[rows][:, cols]
-        if m[:, width // 2 :].sum() > m[:, : width - width // 2].sum():
-            m = m[:, ::-1]
-        yield r["dbname"], r["cell_id"], height, width, m.ravel().tolist()
-
-    return each_row(cells, make, "dbname string, cell_id string, height int, width int, map array<double>")
-
-
-def population_map(maps: DataFrame, relative: bool = False) -> DataFrame:
-    """The mean of all maps of a database and their three flips. Partial sums are made before the shuffle: a task sends one map a database."""
+        m = _map_of(r, degree, height, width, opening, eight_bit)
+        if m is not None:
+            yield r["dbname"], r["cell_id"], *m.shape, m.ravel()
+
+    return each_row(cells, make, "dbname string, cell_id string, height int, width int, map array<double>", 8)
+
+
+def population_map(cells: DataFrame, relative: bool = False, degree: int = 4, height: int | None = 256, width: int | None = 1024, opening: int = 21) -> DataFrame:
+    """The mean of the maps of a database's cells and their three flips; of raw maps, those of the first cell's size count.
+
+    Maps are made and added up in the same task, which sends one sum a database and size; relative: the mean is scaled to 0..1.
+    """
 
     def run(pdfs):
         sums: dict[tuple, list] = {}
         for pdf in pdfs:
-            for db, h, w, m in zip(pdf["dbname"], pdf["height"], pdf["width"], pdf["map"]):
-                m = np.asarray(m, float).reshape(int(h), int(w))
-                s = sums.setdefault((db, int(h), int(w)), [np.zeros((int(h), int(w))), 0])
-                s[0] += m + m[::-1] + m[:, ::-1] + m[::-1, ::-1]
-                s[1] += 4
-        yield pd.DataFrame([(db, h, w, s[0].ravel().tolist(), s[1]) for (db, h, w), s in sums.items()], columns=["dbname", "height", "width", "map", "n"])
-
-    parts = maps.mapInPandas(run, "dbname string, height int, width int, map array<double>, n long")
-    px = parts.select("dbname", "width", "n", F.posexplode("map").alias("i", "v")).groupBy("dbname", "width", "i").agg((F.sum("v") / F.sum("n")).alias("v"))
-    db = Window.partitionBy("dbname")
+            for r in pdf.to_dict("records"):
+                m = _map_of(r, degree, height, width, opening, False)
+                if m is not None:
+                    s = sums.setdefault((r["dbname"], *m.shape), [np.zeros(m.shape), 0, r["cell_id"]])
+                    s[0] += m + m[::-1] + m[:, ::-1] + m[::-1, ::-1]
+                    s[1] += 4
+                    s[2] = min(s[2], r["cell_id"])
+        for (db, h, w), s in sums.items():
+            yield pd.DataFrame([(db, h, w, s[0].ravel(), s[1], s[2])], columns=["dbname", "height", "width", "map", "n", "first"])
+
+    parts = cells.mapInPandas(run, "dbname string, height int, width int, map array<double>, n long, first string")
+    px = parts.select("dbname", "height", "width", "n", "first", F.posexplode("map").alias("i", "v")).groupBy("dbname", "height", "width", "i").agg((F.sum("v") / F.sum("n")).alias("v"), F.min("first").alias("first"))
+    db = Window.partitionBy("dbname")  # a database's maps: as many pixels as a map has, for each size
+    px = px.withColumn("least", F.min("first").over(db)).where("first = least")
     v = F.try_divide(F.col("v") - F.min("v").over(db), F.max("v").over(db) - F.min("v").over(db)) if relative else F.col("v")
     return px.select("dbname", F.expr("i div width").alias("y"), F.expr("i % width").alias("x"), v.alias("value"))
 
@@ -201,31 +221,65 @@ def connected_components(frames: DataFrame, keys: list[str]) -> DataFrame:
     """frames (keys, height, width, mask: row-major labels, 0 outside): the component of each pixel."""
     types = dict(frames.dtypes)
 
-    def make(r: dict) -> Rows:
-        m = np.asarray(r["mask"]).reshape(int(r["height"]), int(r["width"]))
-        c = G.components(m)
+    def make(r: dict) -> tuple | None:
+        c = G.components(np.asarray(r["mask"]).reshape(int(r["height"]), int(r["width"])))
         y, x = np.nonzero(c)
-        for a, b, k in zip(x.tolist(), y.tolist(), c[y, x].tolist()):
-            yield *(r[k2] for k2 in keys), a, b, k
+        return (*(r[k] for k in keys), x.astype(np.int32), y.astype(np.int32), c[y, x].astype(np.int32)) if len(x) else None
 
-    return each_row(frames, make, ", ".join(f"{k} {types[k]}" for k in keys) + ", x int, y int, component int")
+    return each_row_arrays(frames, make, ", ".join(f"{k} {types[k]}" for k in keys) + ", x int, y int, component int")
 
 
 def segment_frames(frames: DataFrame, keys: list[str], param1: int = 130) -> DataFrame:
-    """Regions darker than ``param1`` of an 8-bit scaled frame: area and centre of each component."""
+    """Regions darker than ``param1`` of an 8-bit scaled frame: area, moment and centre of each component."""
     types = dict(frames.dtypes)
 
-    def make(r: dict) -> Rows:
+    def make(r: dict) -> tuple | None:
         img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
         span = np.ptp(img)
         if span <= 0:
-            return
+            return None
         c = G.components(np.floor((img - img.min()) / span * 255) < param1)
-        for k in range(1, c.max() + 1):
-            y, x = np.nonzero(c == k)
-            yield *(r[k2] for k2 in keys), k, len(x), float(x.mean()), float(y.mean())
+        y, x = np.nonzero(c)
+        if not len(x):
+            return None
+        n = np.bincount(c[y, x])[1:]
+        mean = lambda v: np.bincount(c[y, x], v)[1:] / n
+        return *(r[k] for k in keys), np.arange(1, len(n) + 1, dtype=np.int32), n.astype(np.int32), mean(x), mean(y)
+
+    return each_row_arrays(frames, make, ", ".join(f"{k} {types[k]}" for k in keys) + ", component int, area int, cx double, cy double")
 
-    return each_row(frames, make, ", ".join(f"{k} {types[k]}" for k in keys) + ", component int, area int, cx double, cy double")
+
+def cells_of_frames(frames: DataFrame, keys: list[str], px_um: float = S.DEFAULT_PIXEL, param1: int = 130, size: int = 200, low: float = 400, high: float = 1700) -> DataFrame:
+    """frames (keys, the last of which is the frame) to cells: regions that pass the filters, found again in their crop, with an id.
+
+    A candidate has enough area and its centre in the inner square; its crop of ``size`` must lie in the frame, and
+    hold a region of enough area whose centre is within 3 px of the crop's. Ids count a frame's cells in reading order.
+    """
+    found = segment_frames(frames, keys, param1).withColumns({"px_um": F.lit(px_um), "m00": F.col("area")})
+    near = filter_candidates(found, low, high).withColumnRenamed("area", "whole_area")
+    x0, y0 = F.floor("cx").cast("int") - size // 2, F.floor("cy").cast("int") - size // 2
+    near = near.withColumns({"crop_x0": x0, "crop_y0": y0}).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("component", "crop_x0", "crop_y0"))).alias("crops"))
+    types = dict(frames.dtypes)
+
+    def make(r: dict) -> Rows:
+        h, w = int(r["height"]), int(r["width"])
+        img = np.asarray(r["pixels"], float).reshape(h, w)
+        level = img.min() + np.ptp(img) * param1 / 255
+        for c in r["crops"]:
+            x0, y0 = c["crop_x0"], c["crop_y0"]
+            if x0 < 0 or y0 < 0 or x0 + size > w or y0 + size > h:
+                continue
+            part = G.components(img[y0 : y0 + size, x0 : x0 + size] < level)
+            for k in range(1, part.max() + 1):
+                y, x = np.nonzero(part == k)
+                yield *(r[k] for k in keys), c["component"], x0, y0, len(x), float(x.mean()), float(y.mean())
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", component int, crop_x0 int, crop_y0 int, area int, crop_cx double, crop_cy double"
+    again = each_row(frames.join(near, keys), make, schema).withColumns({"px_um": F.lit(px_um), "m00": F.col("area")})
+    one = centred_in_crop(again, size).drop("px_um", "m00")
+    # A frame's cells are few: they fit in its crops.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("component", "crop_cx", "crop_cy")) - 1
+    return one.withColumn("cell_id", S.make_cell_id(F.col(keys[-1]), place))
 
 
 def separation_flag(profiles: DataFrame, degree: int = 4, centre: float = 0.15, ratio: float = 0.9) -> DataFrame:
@@ -248,15 +302,15 @@ def separation_ratio(profiles: DataFrame) -> DataFrame:
 def cluster_points(cells: DataFrame, k: int) -> DataFrame:
     """k groups of each cell's pixels: label of each pixel, and the mean squared distance."""
 
-    def make(r: dict) -> Rows:
+    def make(r: dict) -> tuple | None:
         p = G.pixels(_mask(r))
         if len(p) < k:
-            return
+            return None
         label, _, mse = G.k_groups(p, k)
-        for (x, y), g in zip(p.astype(int).tolist(), label.tolist()):
-            yield r["dbname"], r["cell_id"], x, y, g, mse
+        x, y = p.astype(np.int32).T
+        return r["dbname"], r["cell_id"], x, y, label.astype(np.int32), mse
 
-    return each_row(cells, make, "dbname string, cell_id string, x int, y int, grp int, mse double")
+    return each_row_arrays(cells, make, "dbname string, cell_id string, x int, y int, grp int, mse double")
 
 
 def smooth_profiles(profiles: DataFrame, sigma: float) -> DataFrame:
@@ -291,8 +345,9 @@ def drift(frames: DataFrame, most: int = 3) -> DataFrame:
     return s.groupBy("view", "frame").agg(F.max(F.when(F.col("axis") == "x", F.col("shift"))).alias("dx"), F.max(F.when(F.col("axis") == "y", F.col("shift"))).alias("dy"))
 
 
-def elastic_mask(cells: DataFrame, delta: int) -> DataFrame:
-    """Masks grown or shrunk by |delta| 3x3 steps; of what is left, the part nearest to the old centre; the old mask where nothing is."""
+def elastic_mask(cells: DataFrame, delta: int, label: str | None = None) -> DataFrame:
+    """Masks (of a label) grown or shrunk by |delta| 3x3 steps; of what is left, the part nearest to the old centre; the old mask where nothing is."""
+    cells = filter_label(cells, label)
 
     def make(r: dict) -> Rows:
         old = _mask(r)
@@ -312,101 +367,178 @@ def elastic_mask(cells: DataFrame, delta: int) -> DataFrame:
     return each_row(cells, make, "dbname string, cell_id string, old_area int, area int, status string")
 
 
-def detect_spots(cells: DataFrame, sigma: tuple[float, float] | None = None, min_snr: float = 4.0, min_bic: float = 10.0) -> DataFrame:
+def elastic_report(masks: DataFrame) -> DataFrame:
+    """Totals of `elastic_mask`: cells, and how many were updated and failed."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    return masks.groupBy("dbname").agg(F.count("*").alias("total"), n("updated").alias("updated"), n("failed").alias("failed"))
+
+
+def detect_spots(cells: DataFrame, settings: tuple[float, float, float] | None = None, most: int = 10) -> DataFrame:
+    """Spots of each cell, strongest first; settings: least and greatest width and least signal to noise, else each cell's own."""
+
     def make(r: dict) -> Rows:
         img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
-        for k, s in enumerate(G.detect_spots(img, _mask(r), sigma, min_snr, min_bic)):
+        for k, s in enumerate(G.detect_spots(img, _mask(r), settings, most)):
             yield r["dbname"], r["cell_id"], r["channel"], k, *s
 
     return each_row(cells, make, "dbname string, cell_id string, channel string, spot_id int, x double, y double, amplitude double, width_a double, width_b double, snr double, bic_improvement double")
 
 
-def locate_spots(spots: DataFrame, cells: DataFrame, degree: int = 4) -> DataFrame:
-    """spots in their cell's coordinates; cells without a long axis have a status that says so. A cell's spots are at most the cap."""
+def locate_spots(spots: DataFrame, cells: DataFrame) -> DataFrame:
+    """spots in their cell's coordinates; lateral_reason says why a place across, or all places, are missing. A cell's spots are at most the cap."""
     lists = spots.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("spot_id", "x", "y"))).alias("spots"))
 
     def make(r: dict) -> Rows:
-        c, p = outline(r["contour"]), G.pixels(_mask(r))
-        size = np.ptp((p - p.mean(0)) @ G.axes(p)[1].T, axis=0) if len(p) >= 3 else np.zeros(2)
-        if size[0] < G.LEAST_LENGTH or size[0] < G.LEAST_RATIO * max(size[1], 1e-9):
-            for s in r["spots"]:
-                yield r["dbname"], r["cell_id"], r["channel"], s["spot_id"], None, None, None, "no long axis"
-            return
-        got = G.locate(G.Centerline(p, degree), c, np.array([(s["x"], s["y"]) for s in r["spots"]]))
-        for s, g in zip(r["spots"], got):
-            yield r["dbname"], r["cell_id"], r["channel"], s["spot_id"], *g
+        try:
+            rod, why = G.Rod(outline(r["contour"]), G.pixels(_mask(r))), None
+        except ValueError as e:
+            rod, why = None, str(e)
+        for s in r["spots"]:
+            yield r["dbname"], r["cell_id"], r["channel"], s["spot_id"], *(rod.place(np.array([s["x"], s["y"]], float)) if rod else (None, None, None, why))
 
     return each_row(cells.join(lists, CELL), make, "dbname string, cell_id string, channel string, spot_id int, longitudinal double, nearest_pole double, lateral_at double, lateral_reason string")
 
 
 def contour_image_features(cells: DataFrame) -> DataFrame:
-    """96 numbers a cell: 30 of shape, 22 for each of three channels (``images``: a struct ph, fluo1, fluo2 of row-major arrays)."""
+    """The 96 features of a cell, in the order of `geometry.feature_names`: 30 of shape, 22 for each of three channels.
 
-    def region(v: np.ndarray) -> list[float]:
-        return [float(x) for x in (v.mean(), v.std(), v.min(), *np.percentile(v, [10, 25, 50, 75, 90]), v.max())] if len(v) else [0.0] * 9
+    cells: contour, height, width, images (a struct ph, fluo1, fluo2 of row-major arrays, NULL where there is
+    none), and area and perimeter, which are measured where they are NULL. Cells without a contour drop out.
+    """
+    given = [c for c in ("area", "perimeter") if c in cells.columns]
 
     def make(r: dict) -> Rows:
-        c, m = outline(r["contour"]), _mask(r)
-        p = G.pixels(m)
-        if len(c) < 3 or len(p) < 3:
+        c = outline(r["contour"])
+        if not len(c):
             return
-        h, centre = G.hull(c), p.mean(0)
-        area, around = G.area(c), G.perimeter(c)
-        v = np.var((p - centre) @ G.axes(p)[1].T, axis=0, ddof=1)
-        box, own = np.ptp(c, axis=0) + 1, np.ptp((p - centre) @ G.axes(p)[1].T, axis=0)
-        div = lambda a, b: float(a / b) if b else 0.0
-        shape = [
-            area, around, G.area(h), G.perimeter(h), div(G.perimeter(h), around), div(area, G.area(h)), *v, *np.sqrt(v), div(v[1], v[0]), float(np.sqrt(max(0, 1 - div(v[1], v[0])))), *box, div(*box),
-            div(area, box[0] * box[1]), float(np.sqrt(4 * area / np.pi)), div(4 * np.pi * area, around**2), *(centre - c.mean(0)), float(len(p)), *own, *G.log_hu(m),
-        ]
-        out = [float(x) for x in shape]
-        near = np.any([G.shifted(m, i, j, False) for i, j in P.ellipse(7)], axis=0) & ~m
+        known = {k: None if k not in given or r[k] is None or not np.isfinite(r[k]) else float(r[k]) for k in ("area", "perimeter")}
+        out = G.shape_features(c, known["area"], known["perimeter"])
+        mask = G.raster(np.rint(c), int(r["height"]), int(r["width"]))
         for name in ("ph", "fluo1", "fluo2"):
-            img = np.asarray(r["images"][name], float).reshape(m.shape)
-            gy, gx = np.gradient(img)
-            edge = np.hypot(gx, gy)[m]
-            inner, outer = region(img[m]), region(img[near])
-            out += inner + outer + [inner[0] - outer[0], float(edge.mean()), float(edge.std()), div(inner[5], inner[8])]
-        yield r["dbname"], r["cell_id"], out
+            img = r["images"][name]
+            out |= {f"{name}_{k}": v for k, v in G.channel_features(None if img is None else np.asarray(img, float).reshape(mask.shape), mask).items()}
+        yield r["dbname"], r["cell_id"], [out[n] if np.isfinite(out[n]) else 0.0 for n in sorted(out)]
 
     return each_row(cells, make, "dbname string, cell_id string, features array<double>")
 
 
-def split_recovered(pixels: DataFrame, previous: DataFrame, least: int = 80) -> DataFrame:
-    """Pixels (view, frame, label, x, y) of components on several earlier cells go to the nearest one's centre; parts under ``least`` drop out."""
+def split_recovered(pixels: DataFrame, previous: DataFrame, least: int = 80, radius: int = 8, drift: DataFrame | None = None) -> DataFrame:
+    """Components (view, frame, label, x, y) that lie on several of the last frame's cells are split: each pixel goes to the nearest cell's pixels.
+
+    Gives the pixels of parts of at least ``least`` pixels, with their parent. Cells are those of `temporal_overlap`.
+    """
+    from .joins import drift_steps, temporal_overlap
+
     keys = ["view", "frame", "label"]
-    old = previous.groupBy("view", (F.col("frame") + 1).alias("frame"), F.col("label").alias("parent")).agg(F.avg("x").alias("px"), F.avg("y").alias("py"))
-    touch = pixels.join(previous.select("view", (F.col("frame") + 1).alias("frame"), "x", "y", F.col("label").alias("parent")), ["view", "frame", "x", "y"]).select(*keys, "parent").distinct()
-    many = touch.groupBy(*keys).agg(F.count("*").alias("parents")).where("parents > 1").select(*keys)
-    near = pixels.join(touch.join(many, keys), keys).join(old, ["view", "frame", "parent"])
-    d = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
-    part = near.groupBy(*keys, "x", "y").agg(F.min_by("parent", F.struct(d.alias("d"), "parent")).alias("parent"))
-    size = part.groupBy(*keys, "parent").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return part.join(size.select(*keys, "parent"), [*keys, "parent"])
+    many = temporal_overlap(pixels, previous, radius, drift).where("size(parents) > 1").select(*keys, "parents")
+    old = previous.select("view", (F.col("frame") + 1).alias("frame"), F.col("label").cast("long").alias("parent"), "x", "y")
+    if drift is not None:
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+        old = old.join(drift_steps(drift), ["view", "frame"], "left").withColumns({"x": F.col("x") + zero("dx"), "y": F.col("y") + zero("dy")})
+    points = F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).alias("points")
+    seeds = old.groupBy("view", "frame", "parent").agg(points)
+    seeds = many.withColumn("parent", F.explode("parents")).join(seeds, ["view", "frame", "parent"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("parent", "points"))).alias("seeds"))
+    whole = pixels.join(many.select(*keys), keys, "left_semi").groupBy(*keys).agg(points)  # a cell's pixels are few
+
+    def make(r: dict) -> tuple | None:
+        own = outline(r["points"]).astype(np.int32)
+        parent = np.array([s["parent"] for s in r["seeds"]])[_nearest(own, [outline(s["points"]) for s in r["seeds"]])]
+        ids, place, size = np.unique(parent, return_inverse=True, return_counts=True)
+        stays = size[place] >= least
+        if not stays.any():
+            return None
+        return r["view"], r["frame"], r["label"], own[stays, 0], own[stays, 1], parent[stays]
+
+    return each_row_arrays(whole.join(seeds, keys), make, "view long, frame long, label long, x int, y int, parent long")
+
 
+def _nearest(own: np.ndarray, seeds: list[np.ndarray]) -> np.ndarray:
+    """Which seed's pixels are nearest to each of a component's; the first on ties."""
+    return np.argmin(np.stack([((own[:, None, :] - s[None, :, :]) ** 2).sum(2).min(1) for s in seeds]), axis=0)
 
-def track_traps(frames: DataFrame, least: int = 80, most: int = 5000, threshold: int = 130, scale: float = 1.6, overlap: float = 0.3) -> DataFrame:
-    """Accepted components frame by frame; a component under the strict size counts when it lies on the last frame's cells.
 
-    A frame needs the one before, so a (view, roi) is one group, in order; views and ROIs run in parallel.
+def trap_components(frames: DataFrame, rois: DataFrame, drift: DataFrame | None, rules: TrapRules, threshold: int = 130) -> DataFrame:
+    """A row for each component in each trap of each frame; a frame is one row's work.
+
+    frames: view, frame, height, width, pixels (16-bit). rois: view, roi, x0, y0, x1, y1 at frame 0, shifted by
+    drift (view, frame, dx, dy). Regions are those darker than ``threshold`` in the frame's own 8-bit range. pixels
+    are the component's in the frame, as y * width + x.
+    """
+    # A view's traps are a microscope's: few, so they ride along with each of its frames.
+    lists = rois.groupBy("view").agg(F.sort_array(F.collect_list(F.struct("roi", "x0", "y0", "x1", "y1"))).alias("rois"))
+    df = frames.join(lists, "view")
+    df = df.join(drift.select("view", "frame", "dx", "dy"), ["view", "frame"], "left") if drift is not None else df.withColumns({"dx": F.lit(0), "dy": F.lit(0)})
+    square = [(i, j) for i in range(-4, 5) for j in range(-4, 5)]
+
+    def make(r: dict) -> Rows:
+        h, w = int(r["height"]), int(r["width"])
+        img = np.rint(np.clip(np.asarray(r["pixels"], float), 0, 65535).reshape(h, w) * (255 / 65535))
+        span = np.ptp(img)
+        region = G.components(np.floor((img - img.min()) / span * 255) < threshold) if span > 0 else np.zeros((h, w), np.int64)
+        dx, dy = (0 if r[c] is None or r[c] != r[c] else int(r[c]) for c in ("dx", "dy"))
+        for roi in r["rois"]:
+            x0, x1, y0, y1 = (int(np.clip(v, 0, top)) for v, top in ((roi["x0"] + dx, w), (roi["x1"] + dx, w), (roi["y0"] + dy, h), (roi["y1"] + dy, h)))
+            margin = min(rules.side_margin, max(0, (x1 - x0 - 1) // 2))
+            cx0, cx1 = x0 + margin, x1 - margin
+            if cx1 <= cx0 or y1 <= y0:
+                continue
+            core, light, label = region[y0:y1, cx0:cx1], img[y0:y1, cx0:cx1], 0
+            for whole in np.unique(core[core > 0]).tolist():
+                parts = G.components(core == whole)
+                full = int((region[y0:y1] == whole).sum())
+                for k in range(1, parts.max() + 1):
+                    part, label = parts == k, label + 1
+                    y, x = np.nonzero(part)
+                    minor, major = G.least_rectangle(np.column_stack([x, y]).astype(float))
+                    ring = (G._over_kernel(part.astype(float), square, np.maximum) > 0) & (core == 0)
+                    v = light[part]
+                    yield (
+                        r["view"], roi["roi"], r["frame"], label, len(x), full, int(y.min()), int(x.min()), int(np.ptp(y)) + 1, int(np.ptp(x)) + 1, y1 - y0, x1 - x0, minor, major,
+                        float(v.mean()), float(v.min()), float(np.median(light[ring]) - v.mean()) if ring.any() else None, w, h, dx, dy, ((y + y0) * w + x + cx0).tolist(), v.astype(int).tolist(),
+                    )
+
+    schema = "view long, roi long, frame long, component int, area int, full_area int, top int, left int, box_height int, box_width int, trap_height int, trap_width int, minor double, major double, mean double, least double, contrast double, width int, height int, dx int, dy int, pixels array<int>, light array<int>"
+    return each_row(df, make, schema)
+
+
+def track_traps(frames: DataFrame, rois: DataFrame, rules: TrapRules | None = None, drift: DataFrame | None = None, threshold: int = 130) -> DataFrame:
+    """Cells of each trap and frame: components that the strict rules accept, and (recovery) relaxed ones that the last frame's cells support.
+
+    A recovered component on several of the last frame's cells is split among them. Only components' pixels go
+    into the pass over a trap's frames in order, which holds those of the frame before. label counts within the
+    trap and frame; boxes end behind their last pixel.
     """
+    rules = rules or TrapRules(recovery=True)
+    found = trap_components(frames, rois, drift, rules, threshold).where(trap_place_ok(rules)).withColumn("strict", trap_cell_ok(rules)).withColumn("relaxed", trap_cell_ok(rules, True))
+    keep = found.where("strict or relaxed" if rules.recovery else "strict")
+    disk = np.array(P.ellipse(2 * rules.radius + 1))
+    smallest = max(80, round(rules.min_area / rules.scale))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, before = [], None
-        for r in pdf.sort_values("frame").to_dict("records"):
-            img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
-            span = np.ptp(img)
-            c = G.components(np.floor((img - img.min()) / span * 255) < threshold) if span > 0 else np.zeros(img.shape, int)
-            now = np.zeros(img.shape, bool)
-            for k in range(1, c.max() + 1):
-                m = c == k
-                size = int(m.sum())
-                share = float(before[m].mean()) if before is not None and before.shape == m.shape else 0.0
-                strict = least <= size <= most
-                if strict or (share >= overlap and least / scale <= size <= most * scale):
-                    y, x = np.nonzero(m)
-                    now |= m
-                    rows.append((r["view"], r["roi"], r["frame"], k, size, float(x.mean()), float(y.mean()), not strict))
-            before = now
-        return pd.DataFrame(rows, columns=["view", "roi", "frame", "label", "area", "cx", "cy", "temporal_recovery"])
-
-    return frames.groupBy("view", "roi").applyInPandas(run, "view long, roi long, frame long, label int, area int, cx double, cy double, temporal_recovery boolean")
+        rows, before, last, shift = [], [], None, (0, 0)
+        for frame, part in pdf.sort_values(["frame", "component"]).groupby("frame", sort=True):
+            now, (dx, dy) = [], part[["dx", "dy"]].iloc[0].tolist()
+            old = [p + (dx - shift[0], dy - shift[1]) for p in before] if last == frame - 1 else []
+            grown = [{(x, y) for x, y in (p[:, None, :] + disk).reshape(-1, 2).tolist()} for p in old] if not part["strict"].all() else []
+            for r in part.to_dict("records"):
+                at, light = np.asarray(r["pixels"]), np.asarray(r["light"], float)
+                own, recovered = [np.column_stack([at % r["width"], at // r["width"]])], not r["strict"]
+                light = [light]
+                if recovered:
+                    points = set(map(tuple, own[0].tolist()))
+                    near = [len(points & g) for g in grown]
+                    if not near or len(points & set().union(*grown)) / len(points) < rules.min_overlap:
+                        continue
+                    match = [k for k, n in enumerate(near) if n >= max(8, round(len(points) * 0.02))]
+                    if len(match) > 1:
+                        which = _nearest(own[0], [old[k] for k in match])
+                        parts = [which == k for k in range(len(match)) if (which == k).sum() >= smallest]
+                        own, light = ([own[0][k] for k in parts], [light[0][k] for k in parts]) if parts else (own, light)
+                for p, v in zip(own, light):
+                    now.append(p)
+                    x, y = p.T
+                    rows.append((r["view"], r["roi"], frame, len(now), len(p), x.mean(), y.mean(), x.min(), y.min(), x.max() + 1, y.max() + 1, v.mean(), recovered))
+            before, last, shift = now, frame, (dx, dy)
+        return pd.DataFrame(rows, columns=["view", "roi", "frame", "label", "area", "cx", "cy", "x0", "y0", "x1", "y1", "mean_intensity", "temporal_recovery"])
+
+    return keep.groupBy("view", "roi").applyInPandas(run, "view long, roi long, frame long, label int, area int, cx double, cy double, x0 int, y0 int, x1 int, y1 int, mean_intensity double, temporal_recovery boolean")

@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only up to so many rows; beyond, the join is on buckets.
-MOST_BROADCAST = 100_000
+from .pixel_sets import ellipse
 
 
 def assign_frame_splits(frames: DataFrame, splits: DataFrame, frame_count: int) -> DataFrame:
@@ -33,8 +32,37 @@ def pixels_in_rois(pixels: DataFrame, rois: DataFrame, drift: DataFrame, width:
     return pixels.join(moved, ["view", "frame"]).where(inside).drop("x0", "x1", "y0", "y1")
 
 
-def tile_frames(pixels: DataFrame, width: int, height: int, nx: int, ny: int) -> DataFrame:
-    """Tiles with bounds i * N div n become frames, row by row; x and y count from the tile's corner."""
+def tile_counts(width: int, height: int, mode: str = "manual", nx: int = 1, ny: int = 1, candidates: tuple = (), camera: tuple = ()) -> tuple[int, int]:
+    """How many tiles across and down.
+
+    none: one. manual: as given, at least one, and at most a pixel each. auto: the best of the file's candidates (across,
+    down, whether they are of its own layout, whether that is marked valid): tiles of a camera's shape (width, height)
+    count most, then many tiles, its own layout, an even grid, a valid mark; those that are neither of a camera's shape
+    nor valid don't count, and without any there is one tile. The first wins ties.
+    """
+    if mode == "none":
+        return 1, 1
+    if mode == "manual":
+        if not (1 <= nx <= width and 1 <= ny <= height):
+            raise ValueError("tiles are at least one, and at least a pixel wide and high")
+        return nx, ny
+    if mode != "auto":
+        raise ValueError(f"unknown mode {mode}")
+    best, most = (1, 1), 0
+    for across, down, own, valid in candidates:
+        if not (1 <= across <= width and 1 <= down <= height):
+            continue
+        even = width % across == 0 and height % down == 0
+        shot = even and (width // across, height // down) in camera
+        score = across * down + (1000 if shot else 50 * even) + 100 * own + 10 * valid
+        if (shot or valid) and score > most:
+            best, most = (across, down), score
+    return best
+
+
+def tile_frames(pixels: DataFrame, width: int, height: int, nx: int = 1, ny: int = 1, mode: str = "manual", **layout) -> DataFrame:
+    """Tiles (as many as `tile_counts` says) with bounds i * N div n become frames, row by row; x and y count from the tile's corner."""
+    nx, ny = tile_counts(width, height, mode, nx, ny, **layout)
     # The tile of x is the last whose start is at most x; starts are whole, so it has a closed form.
     tx = F.expr(f"((x + 1) * {nx} - 1) div {width}")
     ty = F.expr(f"((y + 1) * {ny} - 1) div {height}")
@@ -61,19 +89,32 @@ def pair_review_images(raw: DataFrame, overlay: DataFrame) -> DataFrame:
     return raw.join(overlay, ["view", "roi", "frame"])
 
 
-def temporal_overlap(current: DataFrame, previous: DataFrame, radius: int = 0, dx: int = 0, dy: int = 0) -> DataFrame:
-    """Per component the share of its pixels on the last frame's labels (shifted, dilated by a disk), and the labels with max(8, round 2 %) of its area or more."""
-    disk = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    at = F.explode(F.array(*(F.struct(F.lit(i + dx).alias("i"), F.lit(j + dy).alias("j")) for i, j in disk)))
-    before = previous.select("view", (F.col("frame") + 1).alias("frame"), "x", "y", F.col("label").alias("before")).withColumn("o", at)
-    before = before.select("view", "frame", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), "before").distinct()
-    area = current.groupBy("view", "frame", "label").agg(F.count("*").alias("area"))
-    hit = current.join(before, ["view", "frame", "x", "y"])
-    covered = hit.groupBy("view", "frame", "label").agg(F.count_distinct("x", "y").alias("covered"))
-    each = hit.groupBy("view", "frame", "label", "before").agg(F.count("*").alias("n")).join(area, ["view", "frame", "label"]).where(F.col("n") >= F.greatest(F.lit(8), F.round(F.col("area") * 0.02)))
-    lists = each.groupBy("view", "frame", "label").agg(F.count("*").alias("parents"))
+def drift_steps(drift: DataFrame) -> DataFrame:
+    """drift (view, frame, dx, dy: against frame 0) as the step from the frame before: view, frame, dx, dy."""
+    before = drift.select("view", (F.col("frame") + 1).alias("frame"), F.col("dx").alias("bx"), F.col("dy").alias("by"))
+    return drift.join(before, ["view", "frame"]).select("view", "frame", (F.col("dx") - F.col("bx")).alias("dx"), (F.col("dy") - F.col("by")).alias("dy"))
+
+
+def temporal_overlap(current: DataFrame, previous: DataFrame, radius: int = 0, drift: DataFrame | None = None) -> DataFrame:
+    """Per component of current (view, frame, label, x, y): the share of its pixels on the last frame's labels, and which of these it lies on.
+
+    The last frame is shifted by the drift's step (0 without one) and its labels are dilated by a disk. parents
+    are the labels that cover max(8, round(2 %)) of the component's area or more, in order.
+    """
     keys = ["view", "frame", "label"]
-    return area.join(covered, keys, "left").join(lists, keys, "left").select(*keys, "area", (F.coalesce("covered", F.lit(0)) / F.col("area")).alias("overlap"), F.coalesce("parents", F.lit(0)).alias("parents"))
+    before = previous.select("view", (F.col("frame") + 1).alias("frame"), "x", "y", F.col("label").alias("before"))
+    if drift is not None:
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+        before = before.join(drift_steps(drift), ["view", "frame"], "left").withColumns({"x": F.col("x") + zero("dx"), "y": F.col("y") + zero("dy")})
+    disk = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ellipse(2 * radius + 1))))
+    before = before.withColumn("o", disk).select("view", "frame", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), "before").distinct()
+    area = current.groupBy(*keys).agg(F.count("*").alias("area"))
+    hit = current.join(before, ["view", "frame", "x", "y"])
+    covered = hit.groupBy(*keys).agg(F.count_distinct("x", "y").alias("covered"))
+    each = hit.groupBy(*keys, "before").agg(F.count("*").alias("n")).join(area, keys).where(F.col("n") >= F.greatest(F.lit(8), F.rint(F.col("area") * 0.02)))
+    lists = each.groupBy(*keys).agg(F.sort_array(F.collect_list("before")).alias("parents"))
+    none = F.expr("cast(array() as array<bigint>)")
+    return area.join(covered, keys, "left").join(lists, keys, "left").select(*keys, "area", (F.coalesce("covered", F.lit(0)) / F.col("area")).alias("overlap"), F.coalesce(F.col("parents").cast("array<bigint>"), none).alias("parents"))
 
 
 def annotation_overlaps(px: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,31 +142,32 @@ def broadcast_threshold(df: DataFrame, control: DataFrame, value: str) -> DataFr
     return df.crossJoin(F.broadcast(control)).withColumn("below", F.col(value) < F.col("threshold"))
 
 
-def knn_join(query: DataFrame, train: DataFrame, k: int, most: int = MOST_BROADCAST) -> DataFrame:
+def knn_join(query: DataFrame, train: DataFrame, k: int, queries: int = 2048, block: int = 8192) -> DataFrame:
     """query_id, train_id, distance, weight of the k nearest (features: arrays of doubles).
 
-    Training rows go to the tasks in chunks of at most ``most``: each chunk gives its k nearest, and
-    chunks' results are merged by rank. The training set's size is counted first.
+    Both sides are dealt out to blocks by a hash of their ids; each pair of blocks is a task, which gives each query's
+    k nearest in its block, and these are merged by rank. Distances are of differences, so an exact match has 0.
     """
-    spark, out = query.sparkSession, None
-    for chunk in range(max(1, -(-train.count() // most))):
-        share = train if chunk == 0 and train.count() <= most else train.where(F.pmod(F.xxhash64("train_id"), F.lit(-(-train.count() // most))) == chunk)
-        rows = share.select("train_id", "features").orderBy("train_id").toPandas()
-        if rows.empty:
-            continue
-        shared = spark.sparkContext.broadcast((rows["train_id"].to_numpy(), np.stack(rows["features"].to_numpy()).astype(float)))
-
-        def run(pdfs, shared=shared):
-            ids, x = shared.value
-            for pdf in pdfs:
-                for lo in range(0, len(pdf), 256):
-                    part = pdf.iloc[lo : lo + 256]
-                    q = np.stack(part["features"].to_numpy()).astype(float)
-                    d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(2), 0)) if x.size * len(q) < 4e7 else np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1), 0))
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), near.shape[1]), "train_id": ids[near].ravel(), "distance": np.take_along_axis(d, near, 1).ravel()})
-
-        part = query.select("query_id", "features").mapInPandas(run, "query_id long, train_id long, distance double")
-        out = part if out is None else out.unionByName(part)
+    nq, nt = max(1, -(-query.count() // queries)), max(1, -(-train.count() // block))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = query.select(part("query_id", nq).alias("qb"), "query_id", "features").withColumn("tb", every(nt))
+    t = train.select(part("train_id", nt).alias("tb"), "train_id", "features").withColumn("qb", every(nq))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "train_id", "distance"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "train_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
+        b = b.sort_values("train_id")
+        ids, x, rows = b["train_id"].to_numpy(), np.stack(b["features"].to_numpy()).astype(float), []
+        at_a_time = max(1, 4_000_000 // x.size)
+        for lo in range(0, len(a), at_a_time):
+            part = a.iloc[lo : lo + at_a_time]
+            d = np.sqrt(((np.stack(part["features"].to_numpy()).astype(float)[:, None, :] - x[None, :, :]) ** 2).sum(2))
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            rows.append(pd.DataFrame(dict(zip(names, (np.repeat(part["query_id"].to_numpy(), near.shape[1]), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel())))))
+        return pd.concat(rows)
+
+    out = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(run, "query_id long, train_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("weight", 1 / (F.col("distance") + 1e-6))

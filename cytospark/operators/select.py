@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ordering import placed
 
 
 def filter_label(df: DataFrame, label: str | None, mode: str = "bulk", column: str = "manual_label") -> DataFrame:
@@ -42,16 +45,77 @@ def filter_candidates(regions: DataFrame, low: float = 400, high: float = 1700)
     return regions.where((F.col("area") >= S.min_contour_area(F.col("px_um"))) & (F.col("m00") != 0)).where((F.col("cx") > low) & (F.col("cx") < high) & (F.col("cy") > low) & (F.col("cy") < high))
 
 
+def centred_in_crop(crops: DataFrame, size: int = 200, within: float = 3) -> DataFrame:
+    """Regions found again in their crop: area and moment as before, and a centre (x, y in the crop) less than 3 px from the crop's."""
+    near = lambda c: F.abs(F.col(c) - size / 2) < within
+    return crops.where((F.col("area") >= S.min_contour_area(F.col("px_um"))) & (F.col("m00") != 0) & near("crop_cx") & near("crop_cy"))
+
+
 def screen_contours(df: DataFrame) -> DataFrame:
     """Label 1 where the smaller variance is at most 120 and hull over perimeter above 0.85."""
     convexity = F.try_divide(F.col("hull_perimeter"), F.col("perimeter"))
     return df.withColumn("label", F.when((F.col("lambda2") <= 120) & (convexity > 0.85), F.lit("1")).otherwise(F.lit("N/A")))
 
 
-def trap_component_ok(area: Column, aspect: Column, contrast: Column, inside: Column, overlap: Column, *, min_area: float, max_area: float, max_aspect: float, min_contrast: float, min_inside: float, min_overlap: float = 0.3, scale: float = 1.6) -> Column:
-    """accepted: strict rules, or relaxed ones (temporal recovery) where the last frame overlaps enough. 'strict', 'recovered' or NULL."""
-    rules = lambda k: (area >= min_area / k) & (area <= max_area * k) & (aspect <= max_aspect * k) & (contrast >= min_contrast / k) & (inside >= min_inside / k)
-    return F.when(rules(1.0), F.lit("strict")).when((overlap >= min_overlap) & rules(scale), F.lit("recovered"))
+class TrapRules(NamedTuple):
+    """What a component in a trap must be to count as a cell, and how far that is relaxed where the last frame's cells support it."""
+
+    side_margin: int = 6
+    min_area: float = 80
+    max_area: float = 1800
+    min_minor: float = 5
+    max_minor: float = 36
+    min_major: float = 14
+    max_major: float = 115
+    min_elongation: float = 1.25
+    max_elongation: float = 8
+    max_mean: float = 145
+    max_least: float = 255
+    min_contrast: float = 8
+    min_right_edge: float = 0
+    min_contained: float = 0
+    exclude_top: bool = False
+    exclude_bottom: bool = False
+    exclude_bottom_rois: tuple[int, ...] = ()
+    bottom_margin: int = 0
+    recovery: bool = False
+    radius: int = 8
+    min_overlap: float = 0.12
+    scale: float = 1.6
+    mean_margin: float = 40
+    contrast_scale: float = 0.5
+
+
+def trap_place_ok(r: TrapRules) -> Column:
+    """Rules of place, which are never relaxed. Columns: roi, area, full_area (of the whole component), top, left, box_height, box_width (in the trap's core), trap_height, trap_width."""
+    margin = F.least(F.lit(r.side_margin), F.greatest(F.floor((F.col("trap_width") - 1) / 2), F.lit(0)))
+    bottom = F.col("top") + F.col("box_height")
+    ok = (F.col("area") > 0) & (F.col("area") / F.col("full_area") >= r.min_contained) & ((margin + F.col("left") + F.col("box_width")) / F.col("trap_width") >= r.min_right_edge)
+    if r.exclude_top:
+        ok = ok & (F.col("top") != 0)
+    if r.exclude_bottom:
+        ok = ok & (bottom != F.col("trap_height"))
+    if r.exclude_bottom_rois:
+        ok = ok & ~(F.col("roi").isin(*r.exclude_bottom_rois) & (bottom >= F.col("trap_height") - r.bottom_margin))
+    return ok
+
+
+def trap_cell_ok(r: TrapRules, relaxed: bool = False) -> Column:
+    """Rules of size, shape and intensity, strict or relaxed. Columns: area, minor, major, mean, least, contrast (NULL without a ring)."""
+    k = r.scale if relaxed else 1.0
+    elongation = F.col("major") / F.greatest(F.col("minor"), F.lit(1.0))
+    within = lambda c, low, high: (c >= low / k) & (c <= high * k)
+    shape = within(F.col("area"), r.min_area, r.max_area) & within(F.col("minor"), r.min_minor, r.max_minor) & within(F.col("major"), r.min_major, r.max_major)
+    low = max(1.0, r.min_elongation / k) if relaxed else r.min_elongation
+    light = (F.col("mean") < r.max_mean + (r.mean_margin if relaxed else 0)) & (F.col("least") < r.max_least)
+    dark = F.coalesce(F.col("contrast") >= r.min_contrast * (r.contrast_scale if relaxed else 1), F.lit(False))
+    return shape & (elongation >= low) & (elongation <= r.max_elongation * k) & light & dark
+
+
+def trap_verdict(r: TrapRules, overlap: Column) -> Column:
+    """'strict', 'recovered' (the relaxed rules, where enough of the component lies on the last frame's cells) or NULL."""
+    out = F.when(trap_place_ok(r) & trap_cell_ok(r), F.lit("strict"))
+    return out.when(trap_place_ok(r) & trap_cell_ok(r, True) & (overlap >= r.min_overlap), F.lit("recovered")) if r.recovery else out
 
 
 ROUTES = [
@@ -115,8 +179,8 @@ def label_keys(label: Column) -> list[Column]:
 
 def page(df: DataFrame, size: int, number: int, keys: list[str]) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows within each database, in natural order."""
-    rank = F.row_number().over(Window.partitionBy("dbname").orderBy(*sort_keys(F.col("cell_id")), *(F.col(k) for k in keys)))
-    return df.withColumn("row", rank).where(F.col("row").between((number - 1) * size + 1, number * size))
+    rows = placed(df, ["dbname"], [*sort_keys(F.col("cell_id")), *keys], place="row", total="of").drop("of")
+    return rows.where(F.col("row").between((number - 1) * size + 1, number * size)).withColumn("row", F.col("row").cast("int"))
 
 
 def padded_domain(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -126,8 +190,10 @@ def padded_domain(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.coalesce(low - pad, F.lit(0.0)).alias("low"), F.coalesce(high + pad, F.lit(1.0)).alias("high"))
 
 
-def composite(px: DataFrame, first: str, second: str) -> DataFrame:
-    """The greater of two channels at each pixel, each min-max scaled to 0..255 within the cell."""
+def composite(px: DataFrame, first: str, second: str, inside: DataFrame | None = None) -> DataFrame:
+    """The greater of two channels at each pixel, each min-max scaled to 0..255 over the whole image, or over the pixels ``inside`` a contour, which are then all there is."""
+    if inside is not None:
+        px = px.join(inside.select("dbname", "cell_id", "x", "y").distinct(), ["dbname", "cell_id", "x", "y"], "left_semi")
     wide = px.where(F.col("channel").isin(first, second)).groupBy("dbname", "cell_id", "x", "y").agg(*(F.max(F.when(F.col("channel") == c, F.col("intensity"))).alias(n) for c, n in ((first, "a"), (second, "b"))))
     cell = Window.partitionBy("dbname", "cell_id")
     scaled = lambda c: F.floor(F.try_divide(F.col(c) - F.min(c).over(cell), F.max(c).over(cell) - F.min(c).over(cell)) * 255)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ordering import placed
 
 
 def dedupe_cells(df: DataFrame, ties: list[str]) -> DataFrame:
@@ -15,10 +16,9 @@ def dedupe_cells(df: DataFrame, ties: list[str]) -> DataFrame:
 
 
 def ecdf(df: DataFrame, metric: str) -> DataFrame:
-    """Per database and distinct value the share of values up to it. Values are counted first, so windows hold distinct ones."""
+    """Per database and distinct value the share of values up to it. Values are counted first."""
     counts = df.where(F.col(metric).isNotNull()).groupBy("dbname", metric).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("dbname")
-    return counts.select("dbname", metric, (F.sum("n").over(w.orderBy(metric)) / F.sum("n").over(w)).alias("share"))
+    return placed(counts, ["dbname"], [metric], "n").select("dbname", metric, (F.col("place") / F.col("total")).alias("share"))
 
 
 def profile_bins(px: DataFrame, keys: list[str], n: int = 35) -> DataFrame:
@@ -40,15 +40,15 @@ def order_profiles_abs(df: DataFrame) -> DataFrame:
     length = F.element_at("u1", -1) - F.element_at("u1", 1)
     d = df.withColumn("length", length)
     top = d.agg(F.max("length").alias("longest"))
-    # Rank within a database; the longest of the table is one row.
-    d = d.crossJoin(F.broadcast(top)).withColumn("place", F.row_number().over(Window.partitionBy("dbname").orderBy("length", "cell_id")))
+    # A place within a database; the longest of the table is one row.
+    d = placed(d, ["dbname"], ["length", "cell_id"], total="of").drop("of").crossJoin(F.broadcast(top))
     return d.withColumn("u1", F.transform("u1", lambda u: u - F.element_at("u1", 1) + (F.col("longest") - F.col("length")) / 2)).drop("longest")
 
 
 def order_profiles_rel(df: DataFrame) -> DataFrame:
     """By the sum of g; positions are indices, centred by the number of points."""
     d = df.withColumn("total", F.aggregate("g", F.lit(0.0), lambda s, v: s + v))
-    d = d.crossJoin(F.broadcast(d.agg(F.max(F.size("g")).alias("most")))).withColumn("place", F.row_number().over(Window.partitionBy("dbname").orderBy("total", "cell_id")))
+    d = placed(d, ["dbname"], ["total", "cell_id"], total="of").drop("of").crossJoin(F.broadcast(d.agg(F.max(F.size("g")).alias("most"))))
     return d.withColumn("at", F.transform("g", lambda _, i: i + (F.col("most") - F.size("g")) / 2)).drop("most")
 
 
@@ -58,10 +58,19 @@ def frame_neighbours(frames: DataFrame, by: list[str]) -> DataFrame:
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
-    """The newest revision of each frame; conflict: any revision whose base isn't the one before it."""
-    w = Window.partitionBy("frame_id").orderBy("revision")
-    r = revisions.withColumn("conflict", F.col("base_revision") != F.coalesce(F.lag("revision").over(w), F.lit(0)))
-    return r.groupBy("frame_id").agg(F.max("revision").alias("revision"), F.max_by("status", "revision").alias("status"), F.sum(F.col("conflict").cast("long")).alias("conflicts"))
+    """The newest revision of each frame that was applied, its status, and how many edits weren't (conflicts).
+
+    An edit is applied where its base is the revision that is current then: the newest applied one before it,
+    0 at first. A frame's edits are the work of its reviewers, so they fit in an array.
+    """
+    edits = F.array_sort(F.collect_list(F.struct("revision", "base_revision", "status")))
+    start = F.struct(F.lit(0).cast("long").alias("revision"), F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("conflicts"))
+
+    def apply(s, e):
+        ok = F.coalesce(e["base_revision"] == s["revision"], F.lit(False))
+        return F.struct(F.when(ok, e["revision"]).otherwise(s["revision"]).cast("long").alias("revision"), F.when(ok, e["status"]).otherwise(s["status"]).cast("string").alias("status"), F.when(ok, s["conflicts"]).otherwise(s["conflicts"] + 1).cast("long").alias("conflicts"))
+
+    return revisions.groupBy("frame_id").agg(edits.alias("e")).select("frame_id", F.aggregate("e", start, apply).alias("r")).select("frame_id", "r.*")
 
 
 def review_order(frames: DataFrame) -> DataFrame:
@@ -83,13 +92,18 @@ def label_boundaries(px: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_shift(reference: DataFrame, current: DataFrame, most: int, keys: list[str]) -> DataFrame:
-    """The shift from -most to most with the greatest mean product of z-scored profiles (pos, value), on positions most + 2 away from the ends; the lowest on ties."""
+    """The shift from -most to most with the greatest mean product of z-scored profiles (pos, value), on positions most + 2 away from the ends; the lowest on ties.
+
+    A profile with no such position is an error.
+    """
     def scored(df: DataFrame, name: str) -> DataFrame:
         s = df.groupBy(*keys).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
         return df.join(s, keys).select(*keys, "pos", ((F.col("value") - F.col("m")) / (F.col("sd") + 1e-6)).alias(name))
 
     a, b = scored(reference, "a"), scored(current, "b")
     ends = a.groupBy(*keys).agg((F.min("pos") + most + 2).alias("lo"), (F.max("pos") - most - 2).alias("hi"))
+    empty = F.when(F.col("hi") < F.col("lo"), F.raise_error(F.lit("the window of positions is empty"))).otherwise(F.col("hi"))
+    ends = ends.withColumn("hi", empty)
     a = a.join(ends, keys).where(F.col("pos").between(F.col("lo"), F.col("hi"))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
     a = a.select(*keys, "shift", (F.col("pos") + F.col("shift")).alias("pos"), "a")
     s = a.join(b, [*keys, "pos"]).groupBy(*keys, "shift").agg(F.avg(F.col("a") * F.col("b")).alias("score"))

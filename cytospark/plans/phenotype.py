@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import numpy as np
 
 from ..functions import geometry as G
+from ..functions import scalars as S
 from ..operators import aggregate as A
 from ..operators import cells as C
 from ..operators import pixel_sets as P
@@ -30,26 +31,36 @@ def ring_backgrounds(cells: DataFrame) -> DataFrame:
     return C.each_row(cells, make, "dbname string, cell_id string, channel string, background double")
 
 
-def phenotype_features(cells: DataFrame, label: str | None = None, degree: int = 4) -> DataFrame:
+def phenotype_features(cells: DataFrame, label: str | None = None, degree: int = 4, background: str = "local_ring") -> DataFrame:
     """One row a cell (cells: a row a channel): shape once, and ten metrics a channel; what can't be measured is NULL.
 
-    Pixels are shuffled once, by cell; all aggregations reuse that.
+    background: local_ring, or none (0 everywhere). Pixels are shuffled once, by cell; all aggregations reuse that.
     """
+    if degree < 1:
+        raise ValueError("degree is at least 1")
+    if background not in ("local_ring", "none"):
+        raise ValueError(f"unknown background {background}")
     k = C.CELL
     cells = L.filter_label(cells, label, "phenotype")
     ok = cells.where("contour is not null and pixels is not null and size(contour) >= 3")
     px = C.axial_positions(ok, degree).repartition("dbname", "cell_id")
-    back = ring_backgrounds(ok)
+    back = ring_backgrounds(ok) if background == "local_ring" else ok.select(*k, F.lit(0.0).alias("background"))
     w = px.join(back.where("background is not null"), k).withColumn("w", F.greatest(F.col("intensity") - F.col("background"), F.lit(0.0)))
     metrics = A.normalized_median(px, k).join(back.withColumnRenamed("background", "background_intensity"), k, "left")
     metrics = metrics.join(A.concentration(px, back.where("background is not null"), k), k, "left").join(A.axial_localization(w, k), k, "left")
+    metrics = metrics.withColumns({m: S.finite_or_null(F.col(m)) for m in METRICS})
     wide = metrics.groupBy("dbname", "cell_id").pivot("channel", list(CHANNELS)).agg(*(F.first(m).alias(m) for m in METRICS))
     shape = C.cell_widths(ok.dropDuplicates(["dbname", "cell_id"]), degree)
-    base = cells.groupBy("dbname", "cell_id").agg(F.first("manual_label").alias("manual_label"), F.first("area").alias("area_px2"))
+    shape = shape.select("dbname", "cell_id", *(S.finite_or_null(F.col(c), True).alias(c) for c in ("length", "width_mean", "width_median")))
+    base = cells.where("cell_id is not null").groupBy("dbname", "cell_id").agg(S.canonical_label(F.first("manual_label")).alias("manual_label"), S.finite_or_null(F.first("area"), True).alias("area_px2"))
     return base.join(shape, ["dbname", "cell_id"], "left").join(wide, ["dbname", "cell_id"], "left")
 
 
-def phenotype_comparison(spark: SparkSession, paths: list[str], label: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Phenotypes of several experiments, and a status row for each that was asked for."""
+def phenotype_comparison(spark: SparkSession, paths: list[str], label: str | None = None, degree: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Phenotypes of several experiments (tables with a row a channel), and a status row for each that was asked for: its cells of the label, or why there are none."""
     cells, status = tables.union_databases(spark, paths)
-    return phenotype_features(cells, label), status
+    if "contour" not in cells.columns:
+        return cells, status
+    out = phenotype_features(cells, label, degree)
+    n = out.groupBy("dbname").agg(F.count("*").alias("n"))
+    return out, status.join(n, "dbname", "left").select("dbname", "error", F.coalesce("n", F.lit(0)).alias("cell_count"))

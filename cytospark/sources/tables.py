@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.ordering import placed
 
 #: Columns of a cell table that older files may lack.
 OPTIONAL = {
@@ -58,7 +59,7 @@ def write_cells(df: DataFrame, path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    df.write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="", quoteAll=quote_all)
+    df.write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="", quoteAll=quote_all, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -77,8 +78,8 @@ def build_manifest(cells: DataFrame) -> DataFrame:
 def cells_bundle_manifest(images: DataFrame) -> DataFrame:
     """Per cell which channels there are, and its file's name with a running number within the database."""
     flags = images.groupBy("dbname", "cell_id").pivot("channel", list(S.CHANNELS)).agg(F.max(F.col("present").cast("int")))
-    number = F.row_number().over(Window.partitionBy("dbname").orderBy("cell_id")) - 1
-    name = F.concat(F.lpad(number.cast("string"), 6, "0"), F.lit("_"), S.safe_name(F.col("cell_id")), F.lit(".png"))
+    flags = placed(flags, ["dbname"], ["cell_id"])
+    name = F.concat(F.lpad((F.col("place") - 1).cast("string"), 6, "0"), F.lit("_"), S.safe_name(F.col("cell_id")), F.lit(".png"))
     return flags.select("dbname", "cell_id", *(F.coalesce(c, F.lit(0)).alias(f"has_{c}") for c in S.CHANNELS), name.alias("file_name"))
 
 

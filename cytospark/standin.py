@@ -29,9 +29,10 @@ VIEWS = {
 }
 VIEWS["boxes"] = "SELECT DISTINCT l_linestatus AS dbname, CAST(l_suppkey AS STRING) AS cell_id, l_suppkey % 5 AS x0, 45 + l_suppkey % 6 AS x1, 1 + l_suppkey % 2 AS y0, 8 + l_suppkey % 3 AS y1 FROM {lineitem}"
 VIEWS["fluo1"] = "SELECT dbname, cell_id, x, y, max(intensity) AS intensity FROM {px} WHERE channel = 'N' GROUP BY dbname, cell_id, x, y"
-VIEWS["inside"] = """SELECT b.dbname AS dbname, b.cell_id AS cell_id, t.x AS x, u.y AS y, coalesce(f.intensity, 0) AS intensity, CAST(t.x - x0 AS DOUBLE) / (x1 - x0) AS t FROM {boxes} b
-        JOIN (SELECT DISTINCT x FROM {px}) t ON t.x BETWEEN x0 AND x1 JOIN (SELECT DISTINCT y FROM {px}) u ON u.y BETWEEN y0 AND y1
-        LEFT JOIN {fluo1} f ON f.dbname = b.dbname AND f.cell_id = b.cell_id AND f.x = t.x AND f.y = u.y"""
+#: These two are for the SQL only: all pixels of a cell's image a channel, and fluo1's inside the contour.
+VIEWS["image"] = """SELECT b.*, c.channel AS channel, t.x AS x, u.y AS y, coalesce(p.intensity, 0) AS v FROM {boxes} b JOIN (SELECT DISTINCT dbname, cell_id, channel FROM {px}) c ON c.dbname = b.dbname AND c.cell_id = b.cell_id
+        CROSS JOIN range(51) t(x) CROSS JOIN range(11) u(y) LEFT JOIN (SELECT dbname, cell_id, channel, x, y, max(intensity) AS intensity FROM {px} GROUP BY ALL) p ON p.dbname = b.dbname AND p.cell_id = b.cell_id AND p.channel = c.channel AND p.x = t.x AND p.y = u.y"""
+VIEWS["inside"] = "SELECT dbname, cell_id, x, y, v AS intensity, CAST(x - x0 AS DOUBLE) / (x1 - x0) AS t, x0, x1, y0, y1 FROM {image} WHERE channel = 'N' AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"
 GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -61,6 +62,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return img.selectExpr("dbname", "cast(l_suppkey as string) as cell_id", "channel", "11 as height", "51 as width", "transform(sequence(0, 560), i -> coalesce(m[i], 0D)) as pixels", f"array({contour}) as contour", "cast(l_suppkey % 3 as string) as manual_label", "double((x1 - x0) * (y1 - y0)) as area", "x0", "x1", "y0", "y1", "l_suppkey")
 
 
+def frames(spark: SparkSession, sf_dir: str, height: int, width: int, dark: str, light: int = 220, times: int = 1) -> DataFrame:
+    """Frames with an ellipse or box a supplier: ``dark`` is an expression over x, y, s (supplier) and t (0 to times - 1)."""
+    s = view(spark, sf_dir, "lineitem").select("l_suppkey").distinct().selectExpr("l_suppkey as s", f"explode(sequence(0L, {times - 1}L)) as t")
+    at = re.sub(r"\bx\b", f"(i % {width})", re.sub(r"\by\b", f"(i div {width})", dark))
+    return s.selectExpr("s", "t", f"{height} as height", f"{width} as width", f"transform(sequence(0, {height * width - 1}), i -> if({at}, 60D, {light}D) * 257) as pixels")
+
+
 PROFILES_SQL = "SELECT CAST(label AS STRING) AS dbname, CAST(vec_id AS STRING) AS cell_id, unnest(CAST(embedding AS DOUBLE[])) AS g, generate_subscripts(embedding, 1) - 1 AS u1 FROM embeddings"
 
 
@@ -79,6 +87,7 @@ def oracle(body: str, rounded: str = "", digits: int = 6) -> str:
     ctes = ", ".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', views[n])})" for n in found)
     if rounded:
         body = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in rounded.split())}) FROM ({body})"
-    if found and body.startswith("WITH "):
-        return f"WITH {ctes}, {body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if found and body.startswith(head):
+            return f"{head}{ctes}, {body.removeprefix(head)}"
     return (f"WITH {ctes} " if found else "") + body

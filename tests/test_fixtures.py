@@ -212,11 +212,19 @@ def test_no_spots():
 
 def test_places_of_spots(spark):
     contour = box(10, 20, 110, 60)
-    line = G.Centerline(G.pixels(G.raster(np.array(contour), 80, 130)), 4)
-    got = sorted(((t if line.turn[0, 0] > 0 else 1 - t), side) for t, _, side, _ in G.locate(line, np.array(contour), np.array([(35.0, 30), (60, 40), (85, 50)])))
-    assert [round(t, 2) for t, _ in got] == [0.25, 0.5, 0.75]
-    sides = [s for _, s in got]
-    assert abs(sides[1]) < 1e-6 and abs(sides[0]) == pytest.approx(0.5, abs=0.02) and sides[0] * sides[2] < 0
+    rod = G.Rod(np.array(contour), G.pixels(G.raster(np.array(contour), 80, 130)))
+    got = [rod.place(np.array(p)) for p in ((35.0, 30), (60, 40), (85, 50), (5.0, 40), (60, 62))]
+    assert [round(t, 4) for t, *_ in got] == [0.25, 0.5, 0.75, 0, 0.5] and [round(p, 4) for _, p, *_ in got] == [0.25, 0.5, 0.25, 0, 0.5]
+    assert [s if s is None else round(s, 4) for _, _, s, _ in got] == [-0.5, 0, 0.5, None, None]
+    assert [w for *_, w in got] == [None, None, None, "no local width", "outside the section"]
+    turned = np.array(contour) @ np.array([[0.8, 0.6], [-0.6, 0.8]]) + [60, 5]
+    other = G.Rod(turned, G.pixels(G.raster(turned, 200, 200)))
+    for (x, y), want in zip(((35.0, 30), (60, 40), (85, 50)), got):
+        t, pole, side, _ = other.place(np.array([x, y]) @ np.array([[0.8, 0.6], [-0.6, 0.8]]) + [60, 5])
+        assert (t, pole) == (pytest.approx(want[0], abs=0.01), pytest.approx(want[1], abs=0.01)) and abs(side) == pytest.approx(abs(want[2]), abs=0.03)
+    for bad, why in (([(0.0, 0), (3, 0), (3, 1), (0, 1)], "too short"), ([(0.0, 0), (40, 0), (40, 20), (22, 20), (22, 2), (18, 2), (18, 20), (0, 20)], None)):
+        with pytest.raises(ValueError, match=why):
+            G.Rod(np.array(bad), G.pixels(G.raster(np.array(bad), 30, 50)))
     square = spark.createDataFrame([cell(np.zeros((30, 30)), box(2, 2, 22, 22))], CELLS)
     spots = spark.createDataFrame([("a", "F0C0", "fluo1", 0, 10.0, 10.0)], "dbname string, cell_id string, channel string, spot_id int, x double, y double")
     assert C.locate_spots(spots, square).first()["lateral_reason"] == "no long axis"
@@ -234,9 +242,6 @@ def test_components_and_frames(spark):
     img = np.full((64, 64), 220.0)
     img[10:40, 20:30] = 50
     frames = spark.createDataFrame([(0, 0, t, 64, 64, np.roll(img, t, 0).ravel().tolist()) for t in range(3)], "view long, roi long, frame long, height int, width int, pixels array<double>")
-    got = C.track_traps(frames).collect()
-    assert len(got) == 3 and all(r["area"] == 300 and not r["temporal_recovery"] for r in got)
-    assert C.track_traps(frames, least=400).count() == 0
     d = {r["frame"]: r["dy"] for r in C.drift(frames).collect()}
     assert d == {0: 0, 1: 1, 2: 2}
     spiral = np.zeros((5, 5), int)
@@ -260,8 +265,10 @@ def test_knn_in_chunks_is_the_same(spark):
     r = np.random.default_rng(0)
     df = spark.createDataFrame([(k, r.normal(size=4).tolist()) for k in range(60)], "id long, features array<double>")
     q, t = df.where("id < 20").withColumnRenamed("id", "query_id"), df.where("id >= 20").withColumnRenamed("id", "train_id")
-    rows = lambda most: sorted((x["query_id"], x["rank"], x["train_id"]) for x in J.knn_join(q, t, 3, most).collect())
-    assert rows(1000) == rows(7) and len(rows(7)) == 60
+    rows = lambda *blocks: sorted((x["query_id"], x["rank"], x["train_id"]) for x in J.knn_join(q, t, 3, *blocks).collect())
+    assert rows(1000, 1000) == rows(6, 7) and len(rows(6, 7)) == 60
+    same = J.knn_join(q, q.withColumnRenamed("query_id", "train_id"), 1, 6, 7).collect()
+    assert all(x["query_id"] == x["train_id"] and x["distance"] == 0 and x["weight"] == 1e6 for x in same)
 
 
 def test_activity_stream_is_the_batch(spark, tmp_path):
@@ -296,8 +303,10 @@ def test_annotator_learns(spark):
     m = annotator.fit_annotator(df.where("id < 300"), steps=300)
     p = annotator.predict_annotator(df.where("id >= 300"), m).join(df.select("id", "y"), "id")
     assert p.where("call = y").count() >= 95
-    best = annotator.cross_validate(df, [{"k": 15, "steps": 200}, {"k": 1, "steps": 1}]).first()
-    assert best["f1"] > 0.9
+    got = annotator.cross_validate(df, steps=300).collect()
+    assert len(got) == 9 and got[0]["f1"] > 0.9 and all(r["tp"] + r["tn"] + r["fp"] + r["fn"] == 400 for r in got)
+    sampled = annotator.cross_validate(df, most=100, steps=300).collect()
+    assert all(r["tp"] + r["tn"] + r["fp"] + r["fn"] == 400 for r in sampled) and sampled[0]["f1"] > 0.85
 
 
 def test_orders(spark):
@@ -325,6 +334,240 @@ def test_frame_queries_see_all_databases(spark, sf):
     assert {(r["dbname"], r["frame"]) for r in frames} == want and len({d for d, _ in want}) == 2
     assert len({(r["view"], r["frame"]) for r in frames}) == len(frames) == len(want)
     assert {(r["view"], r["frame"]) for r in Q.QUERIES["e11_drift"](spark, sf).select("view", "frame").collect()} >= {(v, 0) for v in {r["view"] for r in frames}}
-    for name in ("j10_connected_components", "j12_segment_frames"):
+    for name in ("j10_connected_components", "j10_components_of_pixels", "j12_regions"):
         assert {r["dbname"] for r in Q.QUERIES[name](spark, sf).select("dbname").distinct().collect()} == {d for d, _ in want}
-    assert {r["view"] for r in Q.C.track_traps(Q._frames(spark, sf), 1, 600).select("view").distinct().collect()} >= {7, 13}
+
+
+def film(*frames):
+    """16-bit frames of 60 x 90 with dark cells (x, y, half length, half width) on a light ground."""
+    out = []
+    for t, cells in enumerate(frames):
+        img = np.full((60, 90), 220.0)
+        y, x = np.mgrid[0:60, 0:90]
+        for cx, cy, a, b, *light in cells:
+            img[((x - cx) / a) ** 2 + ((y - cy) / b) ** 2 <= 1] = light[0] if light else 60
+        out.append((3, t, 60, 90, (img * 257).ravel().tolist()))
+    return out
+
+
+FILM, ROIS = "view long, frame long, height int, width int, pixels array<double>", "view long, roi long, x0 int, y0 int, x1 int, y1 int"
+
+
+def test_traps(spark):
+    rois = spark.createDataFrame([(3, 0, 0, 0, 90, 60)], ROIS)
+    track = lambda frames, rules=L.TrapRules(recovery=True), **more: sorted(tuple(r) for r in C.track_traps(spark.createDataFrame(frames, FILM), rois, rules, **more).collect())  # noqa: B008, E731
+    moving = track(film([(30, 30, 12, 6)], [(33, 30, 12, 6)], [(36, 30, 12, 6)]))
+    assert [r[2:5] for r in moving] == [(0, 1, 221), (1, 1, 221), (2, 1, 221)] and [round(r[5]) for r in moving] == [30, 33, 36] and not any(r[-1] for r in moving)
+    assert moving[0][7:11] == (18, 24, 43, 37) and moving[0][11] == 60
+    # A small cell counts only where the last frame's cells support it.
+    small = [(30, 30, 9, 2.6)]
+    assert track(film(small, small)) == [] and [(r[2], r[-1]) for r in track(film([(30, 30, 12, 6)], small))] == [(0, False), (1, True)]
+    assert [r[2] for r in track(film([(60, 30, 12, 6)], small))] == [0] and [r[2] for r in track(film([(30, 30, 12, 6)], small), L.TrapRules())] == [0]
+    # Two cells that have run together are split by the last frame's.
+    pair = track(film([(25, 30, 10, 5), (50, 30, 10, 5)], [(25, 30, 10, 5), (50, 30, 10, 5), (37, 30, 16, 2)]), L.TrapRules(recovery=True, max_elongation=3))
+    assert [(r[2], r[3], r[-1]) for r in pair] == [(0, 1, False), (0, 2, False), (1, 1, True), (1, 2, True)] and pair[2][5] < 37 < pair[3][5]
+    # Bright, long, pale and round ones go; so do those at edges that rules exclude.
+    assert track(film([(30, 30, 12, 6, 180)], [(45, 30, 12, 11.5)], [(45, 30, 40, 3)])) == []
+    edge = film([(30, 55, 12, 6)])
+    assert len(track(edge)) == 1 and track(edge, L.TrapRules(exclude_bottom=True)) == [] and track(edge, L.TrapRules(exclude_bottom_rois=(0,), bottom_margin=2)) == []
+    # Traps follow the drift.
+    drift = spark.createDataFrame([(3, 0, 0, 0), (3, 1, 9, 0)], "view long, frame long, dx int, dy int")
+    rois = spark.createDataFrame([(3, 7, 10, 10, 55, 50)], ROIS)
+    assert [(r[1], r[2], round(r[5])) for r in track(film([(30, 30, 12, 6)], [(39, 30, 12, 6)]), drift=drift)] == [(7, 0, 30), (7, 1, 39)]
+
+
+def test_features_of_contours_and_images(spark):
+    schema = "dbname string, cell_id string, contour array<struct<x:double,y:double>>, height int, width int, area double, perimeter double, images struct<ph: array<double>, fluo1: array<double>, fluo2: array<double>>"
+    img = np.zeros((60, 80))
+    img[20:31, 30:51] = 100.0
+    bright, flat = img.ravel().tolist(), np.full(60 * 80, 7.0).tolist()
+    df = spark.createDataFrame([("a", "x", box(30, 20, 50, 30), 60, 80, None, None, (bright, None, flat)), ("a", "y", box(30, 20, 50, 30), 60, 80, 150.0, 70.0, (None, None, None))], schema)
+    got = {r["cell_id"]: dict(zip(G.feature_names(), r["features"])) for r in C.contour_image_features(df).collect()}
+    f = got["x"]
+    assert len(f) == 96 and (f["n_points"], f["area"], f["perimeter"], f["bbox_w"], f["bbox_h"], f["bbox_area"]) == (4, 200, 60, 21, 11, 231)
+    assert (f["log_area"], f["log_perimeter"], f["extent"], f["aspect_ratio"]) == tuple(pytest.approx(v) for v in (np.log(201), np.log(61), 200 / 231, 21 / 11))
+    assert (f["center_dx"], f["center_dy"], f["solidity"], f["convexity"], f["hull_perimeter"]) == (59.5, 74.5, 1, 1, 60) and f["circularity"] == pytest.approx(4 * np.pi * 200 / 3600)
+    assert (f["pca_major_var"], f["pca_minor_var"], f["pca_ratio"]) == tuple(pytest.approx(v) for v in (400 / 3, 100 / 3, 4)) and f["eccentricity"] == pytest.approx(np.sqrt(0.75))
+    # A rectangle's second moments are w^2/12 and h^2/12 of its area: hu_0 is their sum over the area, hu_1 the square of their difference; odd ones are 0.
+    assert f["hu_0"] == pytest.approx(-np.log10((400 + 100) / 12 / 200)) and f["hu_1"] == pytest.approx(-np.log10(((400 - 100) / 12 / 200) ** 2)) and f["hu_2"] == pytest.approx(30, abs=0.01)
+    assert (f["ph_present"], f["fluo1_present"], f["fluo2_present"]) == (1, 0, 1) and all(v == 0 for k, v in f.items() if k.startswith("fluo1"))
+    assert (f["ph_inside_mean"], f["ph_inside_std"], f["ph_inside_min"], f["ph_outside_mean"], f["ph_outside_max"]) == (1, 0, 1, 0, 0)
+    share = 231 / 4800
+    assert f["ph_contrast"] == pytest.approx(1 / (np.sqrt(share * (1 - share)) + 1e-6))
+    # Inside, only the border has a slope: 4 beside a side (57 of 60 pixels... but corners: hypot(3, 3)).
+    assert f["ph_grad_inside_mean"] == pytest.approx((4 * np.hypot(3, 3) + (2 * 19 + 2 * 9) * 4) / 231) and f["ph_edge_density"] == pytest.approx(60 / 231)
+    assert f["fluo2_inside_mean"] == 0 and f["fluo2_contrast"] == 0 and f["fluo2_edge_density"] == 0
+    assert (got["y"]["area"], got["y"]["perimeter"], got["y"]["extent"], got["y"]["ph_present"]) == (150, 70, 150 / 231, 0)
+
+
+def test_maps_of_cells(spark):
+    """A straight cell's map is its opened pixels, each spread to its four neighbours, resized by the nearest; by hand."""
+    r = np.random.default_rng(2)
+    img = r.integers(0, 200, (30, 60)).astype(float)
+    df = spark.createDataFrame([cell(img, box(5, 8, 44, 19))], CELLS)
+    kernel = [(i, j) for j in range(-10, 11) for i in range(-10, 11) if abs(i) <= round(10 * np.sqrt(1 - j * j / 100))]
+    opened = np.full(img.shape, np.inf)
+    for i, j in kernel:
+        opened = np.minimum(opened, G.shifted(img, i, j, np.inf))
+    opened = np.max([G.shifted(opened, i, j, -np.inf) for i, j in kernel], axis=0)
+    v = (img - opened)[8:20, 5:45]
+    p = np.pad(v, 1, constant_values=-1)
+    want = np.max([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]], axis=0)
+    options = [want, want[::-1], want[:, ::-1], want[::-1, ::-1]]
+    row = C.cell_maps(df, 1, None, None).first()
+    got = np.array(row["map"]).reshape(row["height"], row["width"])
+    assert got.shape == want.shape and any((got == o).all() for o in options) and got[:, :20].sum() >= got[:, 20:].sum()
+    big = C.cell_maps(df, 1).first()
+    assert (big["height"], big["width"]) == (256, 1024)
+    big = np.array(big["map"]).reshape(256, 1024)
+    assert (big == got[np.arange(256) * 12 // 256][:, np.arange(1024) * 40 // 1024]).all()
+    mean = {(q["y"], q["x"]): q["value"] for q in C.population_map(df, degree=1, height=None, width=None).collect()}
+    whole = (got + got[::-1] + got[:, ::-1] + got[::-1, ::-1]) / 4
+    assert all(mean[y, x] == pytest.approx(whole[y, x]) for y in range(12) for x in range(40))
+    scaled = [q["value"] for q in C.population_map(df, True, 1, 8, 16).collect()]
+    assert min(scaled) == 0 and max(scaled) == 1 and len(scaled) == 128
+
+
+def test_tile_counts():
+    even = dict(candidates=((4, 2, True, False), (2, 2, False, True), (3, 3, False, True)), camera=((512, 512),))
+    assert J.tile_counts(2048, 1024, "auto", **even) == (4, 2) and J.tile_counts(2000, 1024, "auto", **even) == (2, 2) and J.tile_counts(10, 10, "auto") == (1, 1)
+    assert J.tile_counts(10, 10, "none", 5, 5) == (1, 1) and J.tile_counts(10, 10, "manual", 5, 2) == (5, 2)
+    for bad in (("manual", 0, 1), ("manual", 11, 1), ("other", 1, 1)):
+        with pytest.raises(ValueError):
+            J.tile_counts(10, 10, *bad)
+
+
+def test_frames_to_cells(spark):
+    y, x = np.mgrid[0:700, 0:900]
+    img = np.full((700, 900), 220.0)
+    for cx, cy in ((450, 450), (560, 330), (50, 450), (640, 450)):
+        img[((x - cx) / 22.5) ** 2 + ((y - cy) / 9.5) ** 2 <= 1] = 20
+    img[445:455, 800:803] = 20
+    frames = spark.createDataFrame([("e", 4, 700, 900, img.ravel().tolist())], "dbname string, frame int, height int, width int, pixels array<double>")
+    got = sorted((r["cell_id"], r["crop_x0"], r["crop_y0"], round(r["crop_cx"]), round(r["crop_cy"])) for r in C.cells_of_frames(frames, ["dbname", "frame"], low=300).collect())
+    assert got == [("F4C0", 460, 230, 100, 100), ("F4C1", 350, 350, 100, 100), ("F4C2", 540, 350, 100, 100)]
+
+
+def test_places_in_any_number_of_ranges(spark):
+    from cytospark.operators import ordering as O
+
+    r = np.random.default_rng(3)
+    rows = [(str(k % 3) if k % 7 else None, float(np.round(r.normal(), 1)), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double, id long").repartition(7)
+    for g in ("0", "1", "2", None):
+        mine = sorted((v, k) for a, v, k in rows if a == g)
+        got = {q["id"]: (q["place"], q["total"]) for q in O.placed(df, ["g"], ["v", "id"]).where(F.col("g").eqNullSafe(g)).collect()}
+        assert got == {k: (at, len(mine)) for at, (_, k) in enumerate(mine, 1)}
+        q = O.quantiles(df, "v", ["g"], {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}).where(F.col("g").eqNullSafe(g)).first()
+        assert [q[c] for c in "abcd"] == pytest.approx(np.quantile([v for v, _ in mine], [0, 0.37, 0.5, 1]).tolist())
+    assert O.quantiles(df.where("false"), "v", ["g"], {"a": 0.5}).count() == 0 and A.metric_summary(df.withColumn("w", F.lit(None).cast("double")), "w", ["g"]).where("median is null and missing = total").count() == 4
+    left = O.written(spark.createDataFrame([("hot", k) for k in range(3000)] + [(str(k), k) for k in range(500)], "k string, id long"), "left")
+    right = spark.createDataFrame([("hot", 1), ("3", 2)], "k string, n int")
+    assert O.spread_join(left, right, ["k"], ["id"]).groupBy("n").count().orderBy("n").collect() == [(1, 3000), (2, 1)] and O.spread_join(left, right, ["k"], ["id"], "left").count() == 3500
+
+
+def test_revisions(spark):
+    rows = [(1, 1, 0, "a"), (1, 2, 1, "b"), (1, 3, 1, "stale"), (1, 4, 2, "c"), (2, 1, 5, "stale"), (2, 2, 0, "d")]
+    got = {r["frame_id"]: (r["revision"], r["status"], r["conflicts"]) for r in W.latest_revision(spark.createDataFrame(rows, "frame_id long, revision long, base_revision long, status string")).collect()}
+    assert got == {1: (4, "c", 1), 2: (2, "d", 1)}
+    with pytest.raises(Exception, match="window of positions is empty"):
+        p = spark.createDataFrame([(0, k, float(k)) for k in range(6)], "id long, pos int, value double")
+        W.best_shift(p, p, 2, ["id"]).collect()
+
+
+def test_lengths_fall_back_to_contours(spark):
+    px = spark.createDataFrame([("a", float(x), 0.0) for x in range(11)] + [("b", 1.0, 1.0)], "id string, x double, y double")
+    contours = spark.createDataFrame([("a", box(0, 0, 90, 1)), ("b", box(0, 0, 20, 2)), ("c", box(0, 0, 5, 1))], "id string, contour array<struct<x:double,y:double>>")
+    assert {r["id"]: round(r["length"], 3) for r in A.cell_lengths(px, ["id"], contours).collect()} == {"a": 10, "b": 20, "c": 5}
+
+
+def flooded(mask):
+    """Components by a flood fill, numbered in reading order."""
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in np.argwhere(mask).tolist():
+        if not out[y, x]:
+            n += 1
+            todo = [(y, x)]
+            while todo:
+                j, i = todo.pop()
+                if 0 <= j < mask.shape[0] and 0 <= i < mask.shape[1] and mask[j, i] == mask[y, x] and not out[j, i]:
+                    out[j, i] = n
+                    todo += [(j + a, i + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    return out
+
+
+def test_components_are_a_flood_fill(spark, sf):
+    from cytospark import queries as Q
+
+    want = {}
+    for r in Q._frames(spark, sf).collect():
+        c = flooded(np.array(r["mask"]).reshape(r["height"], r["width"]))
+        want |= {(r["dbname"], r["frame"], int(x), int(y)): int(c[y, x]) for y, x in np.argwhere(c)}
+    assert {(r["dbname"], r["frame"], r["x"], r["y"]): r["component"] for r in Q.QUERIES["j10_components_of_pixels"](spark, sf).collect()} == want
+    frames = {(r["dbname"], r["frame"]): r for r in Q._frames(spark, sf).collect()}
+    regions = {}
+    for k, r in frames.items():
+        img = np.array(r["pixels"]).reshape(r["height"], r["width"])
+        c = flooded((np.floor((img - img.min()) / np.ptp(img) * 255) < 130).astype(int))
+        regions |= {(*k, n): (int((c == n).sum()), *(pytest.approx(v) for v in np.argwhere(c == n).mean(0)[::-1])) for n in range(1, c.max() + 1)}
+    assert {(r["dbname"], r["frame"], r["component"]): (r["area"], r["cx"], r["cy"]) for r in Q.QUERIES["j12_regions"](spark, sf).collect()} == regions
+
+
+def test_separation_by_another_fit(spark, sf):
+    from cytospark import queries as Q
+
+    rows, fine = Q.profiles(spark, sf).select("dbname", "cell_id", "g").collect(), np.linspace(0, 1, 2001)
+    want, share = {}, {}
+    for r in rows:
+        y = np.polynomial.Polynomial.fit(np.linspace(0, 1, len(r["g"])), r["g"], 4)(fine)
+        dip = [k for k in range(1, 2000) if y[k] < y[k - 1] and y[k] <= y[k + 1] and abs(fine[k] - 0.5) <= 0.15]
+        want[r["dbname"], r["cell_id"]] = "within" if dip and y.max() > 0 and min(y[k] for k in dip) / y.max() <= 0.9 else "outside"
+    assert {(r["dbname"], r["cell_id"]): r["flag"] for r in Q.QUERIES["j13_separation_flag"](spark, sf).collect()} == want
+    for (db, _), flag in want.items():
+        share[db, flag] = share.get((db, flag), 0) + 1 / sum(d == db for d, _ in want)
+    assert {(r["dbname"], r["flag"]): pytest.approx(r["share"]) for r in Q.QUERIES["d36_separation_ratio"](spark, sf).collect()} == share
+
+
+def test_clustered_pixels_are_with_their_nearest_centre(spark, sf):
+    from cytospark import queries as Q
+
+    cells = {}
+    for r in C.cluster_points(Q._fluo1(spark, sf).limit(8), 3).collect():
+        cells.setdefault((r["dbname"], r["cell_id"]), []).append((r["x"], r["y"], r["grp"], r["mse"]))
+    for rows in cells.values():
+        p, label = np.array([r[:2] for r in rows], float), np.array([r[2] for r in rows])
+        centres = np.array([p[label == k].mean(0) for k in range(3)])
+        d = ((p[:, None] - centres) ** 2).sum(2)
+        assert (d[np.arange(len(p)), label] <= d.min(1) + 1e-6).all() and rows[0][3] == pytest.approx(d.min(1).mean(), rel=1e-6)
+
+
+def test_drift_by_hand(spark, sf):
+    from cytospark import queries as Q
+
+    f = Q._frames(spark, sf).withColumn("frame", F.expr("frame div 7")).collect()
+    first = {}
+    for r in f:
+        first[r["view"]] = min(first.get(r["view"], 1 << 60), r["frame"])
+    smooth = lambda p: np.convolve(np.pad(p, 6, mode="symmetric"), (w := np.exp(-np.arange(-6, 7) ** 2 / 8)) / w.sum(), "valid")
+    made = {(r["view"], r["frame"] - first[r["view"]]): (smooth(np.percentile(i := np.array(r["pixels"]).reshape(11, 51), 90, axis=0)), smooth(np.abs(np.gradient(i, axis=0)).mean(1))) for r in f}
+    want = {}
+    for (v, t), p in made.items():
+        out = []
+        for a, b in zip(made[v, 0], p):
+            a, b, n = (a - a.mean()) / (a.std() + 1e-6), (b - b.mean()) / (b.std() + 1e-6), len(a)
+            out.append(max(range(-2, 3), key=lambda s: (round(float(np.mean([a[k] * b[k + s] for k in range(4, n - 4)])), 9), -s)))  # noqa: B023
+        want[v, t] = tuple(out)
+    assert {(r["view"], r["frame"]): (r["dx"], r["dy"]) for r in Q.QUERIES["e11_drift"](spark, sf).collect()} == want
+
+
+def test_components_are_split_among_the_last_cells(spark):
+    px = lambda t, label, xs, ys: [(0, t, label, x, y) for x in xs for y in ys]
+    schema = "view long, frame long, label long, x int, y int"
+    old = spark.createDataFrame(px(0, 1, range(0, 10), range(0, 6)) + px(0, 2, range(14, 24), range(0, 6)) + px(0, 3, range(60, 70), range(0, 6)), schema)
+    new = spark.createDataFrame(px(1, 9, range(0, 26), range(0, 6)) + px(1, 8, range(58, 70), range(0, 6)), schema)
+    got = C.split_recovered(new, old, 60, 1).collect()
+    assert {r["label"] for r in got} == {9}  # the other lies on one cell only
+    assert {(r["x"], r["y"]): r["parent"] for r in got} == {(x, y): 1 if x < 12 else 2 for x in range(26) for y in range(6)}
+    assert {r["parent"] for r in C.split_recovered(new, old, 75, 1).collect()} == {2}
+    drift = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 100, 0)], "view long, frame long, dx int, dy int")
+    assert C.split_recovered(new, old, 60, 1, drift).count() == 0
