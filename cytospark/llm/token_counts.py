@@ -64,12 +64,12 @@ def blocks_of(spark: SparkSession, path: str, end_id: int) -> DataFrame:
                 last = here
                 found = np.flatnonzero((data[:-1] == low) & (data[1:] == high))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([here[0]]), pa.array([here[1]]), pa.array([block], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([found], pa.list_(pa.int64())), pa.array([int(data[0])], pa.int32()), pa.array([int(data[-1])], pa.int32())],
+                    [pa.array([here[0]]), pa.array([here[1]]), pa.array([block], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([found], pa.list_(pa.int32())), pa.array([int(data[0])], pa.int32()), pa.array([int(data[-1])], pa.int32())],
                     names=["file", "split", "block", "n_bytes", "at", "first", "last"],
                 )
 
     rows = spark.read.option("lineSep", "\n").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").cast("long").alias("split"), F.col("value").cast("binary").alias("line"))
-    return rows.mapInArrow(run, "file long, split long, block long, n_bytes long, at array<long>, first int, last int")
+    return rows.mapInArrow(run, "file long, split long, block long, n_bytes long, at array<int>, first int, last int")
 
 
 def scan(spark: SparkSession, path: str, end_id: int = END) -> DataFrame:
@@ -94,9 +94,11 @@ def scan(spark: SparkSession, path: str, end_id: int = END) -> DataFrame:
     )
     files = written(files, "token-file-list")
     order = ["number", "split", "block"]
-    scanned = prefix_sums(found.join(files.select("file", "number"), "file"), order, {"n_bytes": "before"}, "bytes-before")
+    # What was found stays where it is until it is known which of it stands at even places.
+    light = found.drop("at").join(files.select("file", "number"), "file")
+    scanned = prefix_sums(light, order, {"n_bytes": "before"}, "bytes-before")
     scanned = scanned.join(files.drop("number"), "file").withColumn("base", F.col("before") - F.col("bytes_before") + F.col("shift"))
-    placed = written(scanned.drop("before", "bytes_before", "file"), "blocks-placed")
+    placed = written(scanned.drop("before", "bytes_before"), "blocks-placed")
     # Separators whose two bytes lie on two blocks, or whose first one went with the mark.
     opens = placed.where((F.col("last") == low) & ((F.col("base") + F.col("n_bytes")) % 2 == 1)).select("number", (F.col("base") + F.col("n_bytes")).alias("base"))
     if low == MARK[-1]:
@@ -107,7 +109,7 @@ def scan(spark: SparkSession, path: str, end_id: int = END) -> DataFrame:
     crossed = F.when(F.col("crossed"), F.array(F.col("ids_before") + F.floor((F.col("base") - 1) / 2)))
     hidden = F.when((F.lit(MARK[:2]) == F.lit(end_id.to_bytes(2, "little"))) & (F.col("shift") > 0) & (F.col("base") == mark), F.array(F.col("ids_before")))
     none = F.expr("cast(array() as array<bigint>)")
-    whole = placed.join(crossing, ["number", "base"], "left").select(*order, F.concat(F.coalesce(hidden, none), F.coalesce(crossed, none), ends).alias("ends"))
+    whole = placed.join(crossing, ["number", "base"], "left").join(found.select("file", "split", "block", "at"), ["file", "split", "block"]).select(*order, F.concat(F.coalesce(hidden, none), F.coalesce(crossed, none), ends).alias("ends"))
     counted = prefix_sums(whole.where(F.size("ends") > 0).withColumn("n", F.size("ends").cast("long")), order, {"n": "document"}, "separators-before")
     counted = written(counted.select("number", "document", "n", "ends"), "separators-placed")
     # The separator before a block's first is the last of the block whose documents end there.
