@@ -1,9 +1,7 @@
-"""What several of the operators need: tables, the shared scratch folder, a distributed prefix scan."""
+"""What several of the operators need: tables, the shared scratch folder, joins on hot keys, a distributed prefix scan."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,62 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-#: spark.checkpoint.dir's stand-in on one machine, where the session names none (tests).
-_own_folder: list[str] = []
-#: A key with over 1 / MANY of a table's rows is joined in SALTS parts.
-MANY, SALTS = 256, 64
+from ..operators.ordering import removed, scratch, spread_join, written
+
+__all__ = ["prefix_sums", "removed", "scratch", "spread_join", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster shares; without one, only a session on one machine gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="cytospark-"))
-        folder = _own_folder[0]
-    return f"{folder}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def removed(*tables: DataFrame | str) -> None:
-    """Deletes tables that `written` made (or paths), once nothing reads them any more."""
-    for t in tables:
-        path, context = (t, SparkSession.active().sparkContext) if isinstance(t, str) else (t.scratch, t.sparkSession.sparkContext)
-        path = context._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """left joined with right, however many of left's rows one key has; right has few rows a key.
-
-    Keys with over 1 / MANY of left's rows, MANY at most, are found by a sketch of frequent items. Their rows
-    of left are dealt out by a hash of ``spread`` to SALTS parts, each of which has a copy of right's row.
-    Both tables are read twice, so they are written ones.
-    """
-    key = F.xxhash64(*on)
-    seen = left.select(key.alias("k")).agg(F.expr(f"approx_top_k(k, {2 * MANY}, {32 * MANY})").alias("top"), F.count("*").alias("n")).first()
-    hot = [x["item"] for x in seen["top"] or [] if x["count"] * MANY > seen["n"] and seen["n"] > SALTS]
-    if not hot:
-        return left.join(right, on, how)
-    salted = left.withColumn("_salt", F.when(key.isin(hot), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
 def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], what: str, more_fields: list[StructField] | None = None, more: Callable | None = None) -> DataFrame:
     """df with a column for each of ``sums`` (value: name): the sum of value over all rows before a row by ``order``.
 
