@@ -134,7 +134,9 @@ def prefix_tree(places: DataFrame, tokenizer: str) -> DataFrame:
     distinct = places.select("node", "parent", "k", "role", "text").dropDuplicates(["node"]).join(chains(places), "node").select("node", "parent", F.col("k").alias("depth"), "path", "idx", "role", "text")
     schema = "node binary, parent binary, depth int, path binary, idx int, role string, formatted string, loss_from int, loss_to int, ids array<int>, loss_ids_from int, loss_ids_to int, n_tokens long"
     fields = [StructField("run", BinaryType()), StructField("back", LongType())]
-    stream = written(prefix_sums(distinct.mapInArrow(run, schema), ["path", "idx"], {"n_tokens": "start"}, "chat-nodes", fields, in_runs), "chat-stream")
+    nodes = written(distinct.mapInArrow(run, schema), "chat-tokens")  # else the sampling of ranges would make them too
+    stream = written(prefix_sums(nodes, ["path", "idx"], {"n_tokens": "start"}, "chat-nodes", fields, in_runs), "chat-stream")
+    removed(nodes)
     # Only the first node of a run looks up its ancestors: all of the chains above it, and its own up to it.
     spans = stream.groupBy(F.expr("substring(path, length(path) - 15, 16)").alias("at")).agg(F.min("start").alias("from"), F.max(F.col("start") + F.col("n_tokens")).alias("to"))
     spans = written(spans, "chat-spans")
