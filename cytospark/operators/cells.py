@@ -489,7 +489,9 @@ def trap_components(frames: DataFrame, rois: DataFrame, drift: DataFrame | None,
                 for k in range(1, parts.max() + 1):
                     part, label = parts == k, label + 1
                     y, x = np.nonzero(part)
-                    minor, major = G.least_rectangle(np.column_stack([x, y]).astype(float))
+                    first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+                    ends = np.concatenate([first, np.append(first[1:], len(y)) - 1])  # the hull's corners end rows
+                    minor, major = G.least_rectangle(np.column_stack([x[ends], y[ends]]).astype(float))
                     ring = (G._over_kernel(part.astype(float), square, np.maximum) > 0) & (core == 0)
                     v = light[part]
                     yield (
