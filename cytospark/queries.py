@@ -753,6 +753,7 @@ def _spot_cells(spark, sf):
     """Cells of 120 x 40 pixels with up to three spots on a slope with some noise."""
     spots = spark.sql(_SPOTS, lineitem=view(spark, sf, "lineitem")).groupBy("s").agg(F.collect_list(F.struct("x", "y", "a")).alias("spots"))
     s = view(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s")).distinct().join(spots, "s", "left")
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s")  # few rows, much work each: not to be merged
     light = "30 + 0.02 * (i % 120) + (pmod(hash(i, s), 2001) - 1000) / 700.0 + coalesce(aggregate(spots, 0D, (z, p) -> z + p.a * exp(-(pow(i % 120 - p.x, 2) + pow(i div 120 - p.y, 2)) / 8)), 0)"
     box = "array(struct(4D as x, 5D as y), struct(115D as x, 5D as y), struct(115D as x, 35D as y), struct(4D as x, 35D as y))"
     return s.selectExpr("'spots' as dbname", "cast(s as string) as cell_id", "'fluo1' as channel", "40 as height", "120 as width", f"transform(sequence(0, 4799), i -> double({light})) as pixels", f"{box} as contour")

@@ -65,6 +65,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str, height: int, width: int, dark: str, light: int = 220, times: int = 1) -> DataFrame:
     """Frames with an ellipse or box a supplier: ``dark`` is an expression over x, y, s (supplier) and t (0 to times - 1)."""
     s = view(spark, sf_dir, "lineitem").select("l_suppkey").distinct().selectExpr("l_suppkey as s", f"explode(sequence(0L, {times - 1}L)) as t")
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s", "t")  # few rows, much work each: not to be merged
     at = re.sub(r"\bx\b", f"(i % {width})", re.sub(r"\by\b", f"(i div {width})", dark))
     return s.selectExpr("s", "t", f"{height} as height", f"{width} as width", f"transform(sequence(0, {height * width - 1}), i -> if({at}, 60D, {light}D) * 257) as pixels")
 
