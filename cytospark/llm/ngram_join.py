@@ -15,7 +15,7 @@ spanning forest, never the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -221,8 +221,8 @@ def candidates(nodes_: DataFrame) -> DataFrame:
     return edges
 
 
-def verified(clusters: DataFrame, docs: DataFrame) -> DataFrame:
-    """For each node and task the weight of its links there, and its link into the task's spanning forest.
+def verified(clusters: DataFrame, docs: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = shingles) -> DataFrame:
+    """For each node and task the weight of its links there, and its link into the task's spanning forest; ``shingles`` makes the sets.
 
     clusters: cluster, node, digest, text_key (of one of its texts), copies, and the cluster's size and bytes.
     """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, maxent_lm, ngram_join, packing, quality_rules, secret_scan, token_counts, token_files
+from . import alignment, chat_format, decontaminate, line_dedup, maxent_lm, near_dedup, ngram_join, packing, quality_rules, resampling, secret_scan, token_counts, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,13 +59,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         op1_chat_format, op2_ngram_join, op3_secret_scan, op4_line_dedup, op5_maxent_lm,
         op6_token_files, op7_quality_rules, op8_decontaminate, op9_token_counts, op10_packing,
+        op11_token_alignment, op12_importance_resampling, op13_near_dedup,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op12_importance_resampling": resampling.ORACLE_SQL}
