@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_label, training_label
-from .ordering import placed, quantiles, spread_join, value_counts, written
+from .ordering import quantiles, selected, with_group
 
 KEY = ["dbname", "cell_id", "channel"]
 
@@ -58,11 +58,12 @@ def normalized_median(px: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fraction_below(df: DataFrame, value: str, threshold: float = 0.7414, keys: list[str] | None = None) -> DataFrame:
-    """Share, number and total of the finite values strictly below the threshold."""
+    """Share, number and total of the finite values strictly below the threshold. Without keys, no finite value is an error."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold is a number from 0 to 1")
     ok = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")))
-    return ok.groupBy(*(keys or [])).agg(F.avg((F.col(value) < threshold).cast("double")).alias("ratio"), F.sum((F.col(value) < threshold).cast("long")).alias("below"), F.count("*").alias("total"))
+    total = F.count("*") if keys else F.when(F.count("*") == 0, F.raise_error(F.lit("there is no finite value")).cast("long")).otherwise(F.count("*"))
+    return ok.groupBy(*(keys or [])).agg(F.avg((F.col(value) < threshold).cast("double")).alias("ratio"), F.sum((F.col(value) < threshold).cast("long")).alias("below"), total.alias("total"))
 
 
 def raw_intensities(px: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,18 +114,15 @@ def metric_summary(df: DataFrame, metric: str, keys: list[str]) -> DataFrame:
     """Per group: total, valid, missing, and the exact quartiles (NULL without values)."""
     m = F.col(metric)
     counts = df.groupBy(*keys).agg(F.count("*").alias("total"), F.count(m).alias("valid"), (F.count("*") - F.count(m)).alias("missing"))
-    q = quantiles(df, metric, keys, QUARTILES)
-    q = q.select(*(F.col(k).alias(f"_{k}") for k in keys), *QUARTILES)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return counts.join(q, same, "left").drop(*(f"_{k}" for k in keys))
+    return with_group(counts, quantiles(df, metric, keys, QUARTILES), keys, "left")
 
 
 def metric_rollup(df: DataFrame, metric: str) -> DataFrame:
-    """The summary by database and label, and over All labels."""
-    some = metric_summary(df, metric, ["dbname", "label"])
-    return some.unionByName(metric_summary(df, metric, ["dbname"]).withColumn("label", F.lit("All")))
+    """The summary by database and label, and over All labels: rows count for both, and are read once."""
+    level = F.explode(F.array(F.struct(F.col("label").alias("label"), F.lit(False).alias("all")), F.struct(F.lit(None).cast("string").alias("label"), F.lit(True).alias("all"))))
+    both = df.select("dbname", F.col(metric).alias("_metric"), level.alias("_level")).select("dbname", "_level.*", "_metric")
+    out = metric_summary(both, "_metric", ["dbname", "label", "all"])
+    return out.withColumn("label", F.when(F.col("all"), "All").otherwise(F.col("label"))).drop("all")
 
 
 def label_counts(df: DataFrame, column: str = "manual_label") -> DataFrame:
@@ -151,9 +149,8 @@ def profile_score(g: Column) -> Column:
 
 def control_threshold(scores: DataFrame, value: str = "score", share: float = 0.95) -> DataFrame:
     """One row: the score at descending place int(share * n); no row without scores."""
-    c = placed(value_counts(scores, value, []), [], [F.desc("v")], "n")
-    place = F.least(F.floor(F.col("total") * share), F.col("total") - 1)
-    return c.where((F.col("place") > place) & (F.col("place") - F.col("n") <= place)).select(F.col("v").alias("threshold"))
+    down = lambda total: F.least(F.floor(total * share), total - 1)
+    return selected(scores, value, [], lambda total: {"threshold": total - 1 - down(total)}).select("threshold")
 
 
 def aggregation_ratio(profiles: DataFrame, control: DataFrame, pixel: float = 0.065) -> DataFrame:
@@ -180,11 +177,10 @@ def profile_matrix(df: DataFrame, normalize: bool = False) -> DataFrame:
 
 def five_number(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
-    c = written(value_counts(df, value, by), "values")
     q = quantiles(df, value, by, QUARTILES)
-    spread = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = spread_join(c, q, by, ["v"]).where(F.col("v").between(F.col("q1") - spread, F.col("q3") + spread))
-    return inside.groupBy(*by, "q1", "median", "q3").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    v, spread = F.col(value).cast("double"), 1.5 * (F.col("q3") - F.col("q1"))
+    inside = with_group(df.select(*by, v.alias("_v")).where("_v is not null"), q, by).where(F.col("_v").between(F.col("q1") - spread, F.col("q3") + spread))
+    return inside.groupBy(*by, "q1", "median", "q3").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
 
 
 def histogram(df: DataFrame, value: str, by: list[str], rule: str = "values") -> DataFrame:
@@ -195,23 +191,38 @@ def histogram(df: DataFrame, value: str, by: list[str], rule: str = "values") ->
     bins = F.least(F.lit(40), F.greatest(F.lit(8), F.floor(F.sqrt("n")))) if rule == "values" else F.when(wide == 0, 1).when(wide <= 256, F.greatest(F.ceil(wide), F.lit(1))).otherwise(256)
     s = s.withColumn("bins", bins.cast("long"))
     at = F.when(wide == 0, 0).otherwise(F.least(F.floor((v - F.col("low")) / wide * F.col("bins")), F.col("bins") - 1)).cast("long")
-    filled = df.join(s, by).where(v.isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("count"))
+    filled = with_group(df, s, by).where(v.isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("count"))
     grid = s.withColumn("bin", F.explode(F.expr("sequence(0L, bins - 1)")))
-    return grid.join(filled, [*by, "bin"], "left").select(*by, "bin", (F.col("low") + wide * F.col("bin") / F.col("bins")).alias("from"), F.coalesce("count", F.lit(0)).alias("count"))
+    return with_group(grid, filled, [*by, "bin"], "left").select(*by, "bin", (F.col("low") + wide * F.col("bin") / F.col("bins")).alias("from"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def kde(df: DataFrame, value: str, by: list[str], points: int = 200) -> DataFrame:
-    """Gaussian density on a grid from max(0, min - 3h) to max + 3h. Equal values are counted first."""
+    """Gaussian density on a grid from max(0, min - 3h) to max + 3h, where NULLs in ``by`` are a group.
+
+    Equal values are counted first, and each meets the grid points near it only.
+    """
     v = F.col(value)
     s = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"))
     rule = 1.06 * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
     h = F.when(rule > 0, rule).otherwise(F.greatest((F.col("high") - F.col("low")) / 20, 0.05 * F.abs("mean"), F.lit(0.05)))
     s = s.withColumn("h", h).withColumn("start", F.greatest(F.lit(0.0), F.col("low") - 3 * F.col("h"))).withColumn("step", (F.col("high") + 3 * F.col("h") - F.col("start")) / (points - 1))
     counts = df.where(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count("*").alias("many"))
-    grid = counts.join(s, by).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    met = band_points(with_group(counts, s, by), points)
     x = F.col("start") + F.col("k") * F.col("step")
-    out = grid.groupBy(*by, "k").agg(F.first(x).alias("x"), (F.sum(F.col("many") * F.exp(-F.pow((x - F.col("v")) / F.col("h"), 2) / 2)) / F.first(F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
-    return out
+    sums = met.groupBy(*by, "k").agg(F.sum(F.col("many") * F.exp(-F.pow((x - F.col("v")) / F.col("h"), 2) / 2)).alias("sum"))
+    grid = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    return with_group(grid, sums, [*by, "k"], "left").select(*by, "k", x.alias("x"), (F.coalesce("sum", F.lit(0.0)) / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
+
+
+#: A value further than so many bandwidths from a grid point adds less than exp(-32), 1.3e-14 of its own peak, and is left out.
+BAND = 8
+
+
+def band_points(values: DataFrame, points: int) -> DataFrame:
+    """values (v, h, start, step) with each grid point k that is within BAND bandwidths of v."""
+    edge = lambda sign: (F.col("v") + sign * BAND * F.col("h") - F.col("start")) / F.col("step")
+    low, high = F.greatest(F.ceil(edge(-1)), F.lit(0)).cast("int"), F.least(F.floor(edge(1)), F.lit(points - 1)).cast("int")
+    return values.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("k", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
 
 
 def spot_summary(cells: DataFrame, spots: DataFrame) -> DataFrame:
@@ -293,8 +304,7 @@ def threshold_search(df: DataFrame, by: list[str] | None = None, score: str = "s
 def robust_scaler(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(value - median) / interquartile range (else the deviation, else 1), clipped to 12."""
     q = quantiles(df, value, by, QUARTILES).select(*by, F.col("median").alias("_centre"), (F.col("q3") - F.col("q1")).alias("_iqr"))
-    s = q.join(df.groupBy(*by).agg(F.stddev_pop(value).alias("_sd")), by)
+    s = with_group(df.groupBy(*by).agg(F.stddev_pop(value).alias("_sd")), q, by, "left")
     scale = F.when(F.col("_iqr") > 1e-12, F.col("_iqr")).when(F.col("_sd") > 1e-12, F.col("_sd")).otherwise(1.0)
     z = (F.col(value) - F.col("_centre")) / scale
-    out = spread_join(written(df, "unscaled"), s, by, [value, *(c for c in df.columns if c != value)][:3])
-    return out.withColumn("scaled", F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0))).drop("_centre", "_iqr", "_sd")
+    return with_group(df, s, by).withColumn("scaled", F.least(F.greatest(z, F.lit(-12.0)), F.lit(12.0))).drop("_centre", "_iqr", "_sd")

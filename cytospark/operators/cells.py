@@ -320,29 +320,43 @@ def smooth_profiles(profiles: DataFrame, sigma: float) -> DataFrame:
     return each_row(profiles.select("dbname", "cell_id", "g"), make, "dbname string, cell_id string, g array<double>")
 
 
-def frame_profiles(frames: DataFrame, keys: list[str], sigma: float = 2.0) -> DataFrame:
-    """For drift: each frame's smoothed edge profile (rows) and its 90th percentile of each column."""
+def _eight_bit(r: dict) -> np.ndarray:
+    return G.to_eight_bit(np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"])))
+
+
+def edge_profiles(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """frames (keys, height, width, pixels of 16 bits) with their smoothed edge profile, a value a row of pixels."""
     types = dict(frames.dtypes)
 
     def make(r: dict) -> Rows:
-        img = np.asarray(r["pixels"], float).reshape(int(r["height"]), int(r["width"]))
-        for axis, p in (("y", G.edge_profile(img)), ("x", np.percentile(img, 90, axis=0))):
-            for pos, v in enumerate(G.smooth(p, sigma).tolist()):
-                yield *(r[k] for k in keys), axis, pos, v
+        yield *(r[k] for k in keys), G.edge_profile(_eight_bit(r))
+
+    return each_row(frames, make, ", ".join(f"{k} {types[k]}" for k in keys) + ", profile array<double>")
+
+
+def drift(frames: DataFrame, most: int | None = None) -> DataFrame:
+    """frames (view, frame, height, width, pixels of 16 bits): shift of each frame against the view's frame 0, across (dx) and down (dy).
 
-    return each_row(frames, make, ", ".join(f"{k} {types[k]}" for k in keys) + ", axis string, pos int, value double")
+    Down first, by the edge profiles of the rows from 200 to 1600 of 2044 parts of the height; then across, by the profile of
+    the walls' band, which is moved by what was found. most: 60 of 2044 parts of the shorter side, at least 2, unless given.
+    The two profiles of a view's frame 0 are all that its other frames are joined with. Views without a frame 0 drop out.
+    """
+
+    def profiles(r: dict) -> Rows:
+        img = _eight_bit(r)
+        yield r["view"], G.edge_profile(img), G.wall_profile(img)
 
+    first = each_row(frames.where("frame = 0"), profiles, "view long, edges array<double>, walls array<double>")
 
-def drift(frames: DataFrame, most: int = 3) -> DataFrame:
-    """frames (view, frame, height, width, pixels): shift of each frame against the view's frame 0, down and across."""
-    from .windows import best_shift
+    def make(r: dict) -> Rows:
+        img = _eight_bit(r)
+        h, w = img.shape
+        reach = max(2, round(min(h, w) * 60 / 2044)) if most is None else most
+        find = lambda a, b, lo, hi: int(G.best_shifts(np.asarray(a, float)[None], b[None], lo, hi, reach)[0][0])
+        dy = find(r["edges"], G.edge_profile(img), round(h * 200 / 2044), round(h * 1600 / 2044))
+        yield r["view"], r["frame"], find(r["walls"], G.wall_profile(img, dy), 0, w), dy
 
-    p = frame_profiles(frames, ["view", "frame"])
-    first = p.where("frame = 0").drop("frame")
-    keys = ["view", "frame", "axis"]
-    reference = p.select(*keys).distinct().join(first, ["view", "axis"])
-    s = best_shift(reference.select(*keys, "pos", "value"), p, most, keys)
-    return s.groupBy("view", "frame").agg(F.max(F.when(F.col("axis") == "x", F.col("shift"))).alias("dx"), F.max(F.when(F.col("axis") == "y", F.col("shift"))).alias("dy"))
+    return each_row(frames.join(first, "view"), make, "view long, frame long, dx int, dy int")
 
 
 def elastic_mask(cells: DataFrame, delta: int, label: str | None = None) -> DataFrame:
@@ -468,11 +482,10 @@ def trap_components(frames: DataFrame, rois: DataFrame, drift: DataFrame | None,
     lists = rois.groupBy("view").agg(F.sort_array(F.collect_list(F.struct("roi", "x0", "y0", "x1", "y1"))).alias("rois"))
     df = frames.join(lists, "view")
     df = df.join(drift.select("view", "frame", "dx", "dy"), ["view", "frame"], "left") if drift is not None else df.withColumns({"dx": F.lit(0), "dy": F.lit(0)})
-    square = [(i, j) for i in range(-4, 5) for j in range(-4, 5)]
 
     def make(r: dict) -> Rows:
         h, w = int(r["height"]), int(r["width"])
-        img = np.rint(np.clip(np.asarray(r["pixels"], float), 0, 65535).reshape(h, w) * (255 / 65535))
+        img = _eight_bit(r)
         span = np.ptp(img)
         region = G.components(np.floor((img - img.min()) / span * 255) < threshold) if span > 0 else np.zeros((h, w), np.int64)
         dx, dy = (0 if r[c] is None or r[c] != r[c] else int(r[c]) for c in ("dx", "dy"))
@@ -492,11 +505,13 @@ def trap_components(frames: DataFrame, rois: DataFrame, drift: DataFrame | None,
                     first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
                     ends = np.concatenate([first, np.append(first[1:], len(y)) - 1])  # the hull's corners end rows
                     minor, major = G.least_rectangle(np.column_stack([x[ends], y[ends]]).astype(float))
-                    ring = (G._over_kernel(part.astype(float), square, np.maximum) > 0) & (core == 0)
+                    # 4 pixels about the component's box hold all of its 9 x 9 surroundings
+                    box = np.s_[max(0, int(y.min()) - 4) : int(y.max()) + 5, max(0, int(x.min()) - 4) : int(x.max()) + 5]
+                    ring = _widened(part[box], _NINE) & (core[box] == 0)
                     v = light[part]
                     yield (
                         r["view"], roi["roi"], r["frame"], label, len(x), full, int(y.min()), int(x.min()), int(np.ptp(y)) + 1, int(np.ptp(x)) + 1, y1 - y0, x1 - x0, minor, major,
-                        float(v.mean()), float(v.min()), float(np.median(light[ring]) - v.mean()) if ring.any() else None, w, h, dx, dy, ((y + y0) * w + x + cx0).tolist(), v.astype(int).tolist(),
+                        float(v.mean()), float(v.min()), float(np.median(light[box][ring]) - v.mean()) if ring.any() else None, w, h, dx, dy, ((y + y0) * w + x + cx0).tolist(), v.astype(int).tolist(),
                     )
 
     schema = "view long, roi long, frame long, component int, area int, full_area int, top int, left int, box_height int, box_width int, trap_height int, trap_width int, minor double, major double, mean double, least double, contrast double, width int, height int, dx int, dy int, pixels array<int>, light array<int>"
@@ -507,40 +522,80 @@ def track_traps(frames: DataFrame, rois: DataFrame, rules: TrapRules | None = No
     """Cells of each trap and frame: components that the strict rules accept, and (recovery) relaxed ones that the last frame's cells support.
 
     A recovered component on several of the last frame's cells is split among them. Only components' pixels go
-    into the pass over a trap's frames in order, which holds those of the frame before. label counts within the
-    trap and frame; boxes end behind their last pixel.
+    into the pass over a trap's frames in order, whose memory is that of two frames however long the film is: rows are
+    dealt out by trap and sorted by frame, and what crosses from one batch of them to the next are the last frame's cells.
+    label counts within the trap and frame; boxes end behind their last pixel.
     """
     rules = rules or TrapRules(recovery=True)
     found = trap_components(frames, rois, drift, rules, threshold).where(trap_place_ok(rules)).withColumn("strict", trap_cell_ok(rules)).withColumn("relaxed", trap_cell_ok(rules, True))
     keep = found.where("strict or relaxed" if rules.recovery else "strict")
-    disk = np.array(P.ellipse(2 * rules.radius + 1))
-    smallest = max(80, round(rules.min_area / rules.scale))
+    return keep.repartition("view", "roi").sortWithinPartitions("view", "roi", "frame", "component").mapInPandas(lambda pdfs: followed(pdfs, rules), TRACKED)
+
+
+TRACKED = "view long, roi long, frame long, label int, area int, cx double, cy double, x0 int, y0 int, x1 int, y1 int, mean_intensity double, temporal_recovery boolean"
+_NINE = [(i, j) for i in range(-4, 5) for j in range(-4, 5)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, before, last, shift = [], [], None, (0, 0)
-        for frame, part in pdf.sort_values(["frame", "component"]).groupby("frame", sort=True):
-            now, (dx, dy) = [], part[["dx", "dy"]].iloc[0].tolist()
-            old = [p + (dx - shift[0], dy - shift[1]) for p in before] if last == frame - 1 else []
-            grown = [{(x, y) for x, y in (p[:, None, :] + disk).reshape(-1, 2).tolist()} for p in old] if not part["strict"].all() else []
-            for r in part.to_dict("records"):
-                at, light = np.asarray(r["pixels"]), np.asarray(r["light"], float)
-                own, recovered = [np.column_stack([at % r["width"], at // r["width"]])], not r["strict"]
-                light = [light]
-                if recovered:
-                    points = set(map(tuple, own[0].tolist()))
-                    near = [len(points & g) for g in grown]
-                    if not near or len(points & set().union(*grown)) / len(points) < rules.min_overlap:
-                        continue
-                    match = [k for k, n in enumerate(near) if n >= max(8, round(len(points) * 0.02))]
-                    if len(match) > 1:
-                        which = _nearest(own[0], [old[k] for k in match])
-                        parts = [which == k for k in range(len(match)) if (which == k).sum() >= smallest]
-                        own, light = ([own[0][k] for k in parts], [light[0][k] for k in parts]) if parts else (own, light)
-                for p, v in zip(own, light):
-                    now.append(p)
-                    x, y = p.T
-                    rows.append((r["view"], r["roi"], frame, len(now), len(p), x.mean(), y.mean(), x.min(), y.min(), x.max() + 1, y.max() + 1, v.mean(), recovered))
-            before, last, shift = now, frame, (dx, dy)
-        return pd.DataFrame(rows, columns=["view", "roi", "frame", "label", "area", "cx", "cy", "x0", "y0", "x1", "y1", "mean_intensity", "temporal_recovery"])
-
-    return keep.groupBy("view", "roi").applyInPandas(run, "view long, roi long, frame long, label int, area int, cx double, cy double, x0 int, y0 int, x1 int, y1 int, mean_intensity double, temporal_recovery boolean")
+
+def _widened(mask: np.ndarray, kernel: list[tuple[int, int]]) -> np.ndarray:
+    return G._over_kernel(mask.astype(float), kernel, np.maximum) > 0
+
+
+class _LastCells:
+    """A trap's cells of one frame as arrays of pixels, and how they are met in the next one."""
+
+    def __init__(self, cells: list[np.ndarray], shift: tuple[int, int], radius: int):
+        self.cells, self.shift, self.disk, self.radius = cells, shift, P.ellipse(2 * radius + 1), radius
+
+    def moved(self, shift: tuple[int, int]) -> list[np.ndarray]:
+        return [p + (shift[0] - self.shift[0], shift[1] - self.shift[1]) for p in self.cells]
+
+    def grown(self, cells: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each cell's dilated mask, and the corner (x, y) that it counts from."""
+        out = []
+        for p in cells:
+            corner = p.min(0) - self.radius
+            mask = np.zeros((np.ptp(p, axis=0) + 2 * self.radius + 1)[::-1], bool)
+            mask[p[:, 1] - corner[1], p[:, 0] - corner[0]] = True
+            out.append((_widened(mask, self.disk), corner))
+        return out
+
+
+def _on(points: np.ndarray, mask: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Which points are on a mask."""
+    x, y = (points - corner).T
+    ok = (x >= 0) & (y >= 0) & (x < mask.shape[1]) & (y < mask.shape[0])
+    ok[ok] = mask[y[ok], x[ok]]
+    return ok
+
+
+def followed(pdfs: Iterator[pd.DataFrame], rules: TrapRules) -> Iterator[pd.DataFrame]:
+    """Cells of components that come by trap and frame, in batches of any size: the rows of `TRACKED`."""
+    smallest = max(80, round(rules.min_area / rules.scale))
+    none = _LastCells([], (0, 0), rules.radius)
+    trap, frame, last, now, shift, grown, old = None, None, none, [], (0, 0), None, []
+    for pdf in pdfs:
+        rows = []
+        for r in pdf.to_dict("records"):
+            if (trap, frame) != ((r["view"], r["roi"]), r["frame"]):
+                follows = trap == (r["view"], r["roi"]) and frame == r["frame"] - 1
+                last = _LastCells(now, shift, rules.radius) if follows else none
+                trap, frame, now, shift, grown = (r["view"], r["roi"]), r["frame"], [], (r["dx"], r["dy"]), None
+                old = last.moved(shift)
+            at, light, recovered = np.asarray(r["pixels"]), np.asarray(r["light"], float), not r["strict"]
+            own = np.column_stack([at % r["width"], at // r["width"]])
+            parts = [np.ones(len(own), bool)]
+            if recovered:
+                grown = last.grown(old) if grown is None else grown
+                on = [_on(own, *g) for g in grown]
+                if not on or np.any(on, axis=0).mean() < rules.min_overlap:
+                    continue
+                match = [k for k, o in enumerate(on) if o.sum() >= max(8, round(len(own) * 0.02))]
+                if len(match) > 1:
+                    which = _nearest(own, [old[k] for k in match])
+                    parts = [which == k for k in range(len(match)) if (which == k).sum() >= smallest] or parts
+            for part in parts:
+                p, v = own[part], light[part]
+                now.append(p)
+                x, y = p.T
+                rows.append((*trap, frame, len(now), len(p), x.mean(), y.mean(), x.min(), y.min(), x.max() + 1, y.max() + 1, v.mean(), recovered))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACKED.split(", ")])

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs
+from .ordering import written
 from .pixel_sets import ellipse
 
 
@@ -99,19 +101,22 @@ def temporal_overlap(current: DataFrame, previous: DataFrame, radius: int = 0, d
     """Per component of current (view, frame, label, x, y): the share of its pixels on the last frame's labels, and which of these it lies on.
 
     The last frame is shifted by the drift's step (0 without one) and its labels are dilated by a disk. parents
-    are the labels that cover max(8, round(2 %)) of the component's area or more, in order.
+    are the labels that cover max(8, round(2 %)) of the component's area or more, in order. Both frames' labels are runs of pixels.
     """
     keys = ["view", "frame", "label"]
-    before = previous.select("view", (F.col("frame") + 1).alias("frame"), "x", "y", F.col("label").alias("before"))
+    before = runs.runs_of(previous.select("view", (F.col("frame") + 1).alias("frame"), "x", "y", F.col("label").alias("before")), ["view", "frame", "before"])
     if drift is not None:
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
-        before = before.join(drift_steps(drift), ["view", "frame"], "left").withColumns({"x": F.col("x") + zero("dx"), "y": F.col("y") + zero("dy")})
-    disk = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ellipse(2 * radius + 1))))
-    before = before.withColumn("o", disk).select("view", "frame", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"), "before").distinct()
-    area = current.groupBy(*keys).agg(F.count("*").alias("area"))
-    hit = current.join(before, ["view", "frame", "x", "y"])
-    covered = hit.groupBy(*keys).agg(F.count_distinct("x", "y").alias("covered"))
-    each = hit.groupBy(*keys, "before").agg(F.count("*").alias("n")).join(area, keys).where(F.col("n") >= F.greatest(F.lit(8), F.rint(F.col("area") * 0.02)))
+        dx, dy = zero("dx"), zero("dy")
+        before = before.join(drift_steps(drift), ["view", "frame"], "left").select("view", "frame", "before", (F.col("y") + dy).alias("y"), (F.col("x0") + dx).alias("x0"), (F.col("x1") + dx).alias("x1"))
+    before = runs.dilate(before, ellipse(2 * radius + 1), ["view", "frame", "before"])
+    named = lambda df: df.withColumnsRenamed({"x0": "b0", "x1": "b1"})
+    own = runs.runs_of(current, keys)
+    area = own.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("area"))
+    support = runs.merged(before.drop("before"), ["view", "frame"])
+    covered = runs.overlaps(own, named(support), ["view", "frame"]).groupBy(*keys).agg(F.sum("common").alias("covered"))
+    each = runs.overlaps(own, named(before), ["view", "frame"]).groupBy(*keys, "before").agg(F.sum("common").alias("n"))
+    each = each.join(area, keys).where(F.col("n") >= F.greatest(F.lit(8), F.rint(F.col("area") * 0.02)))
     lists = each.groupBy(*keys).agg(F.sort_array(F.collect_list("before")).alias("parents"))
     none = F.expr("cast(array() as array<bigint>)")
     return area.join(covered, keys, "left").join(lists, keys, "left").select(*keys, "area", (F.coalesce("covered", F.lit(0)) / F.col("area")).alias("overlap"), F.coalesce(F.col("parents").cast("array<bigint>"), none).alias("parents"))
@@ -122,12 +127,17 @@ def annotation_overlaps(px: DataFrame, keys: list[str]) -> DataFrame:
     return px.groupBy(*keys, "x", "y").agg(F.count_distinct("instance_id").alias("instances")).where("instances > 1")
 
 
-def apply_label_updates(cells: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """cells with the new labels (digits become whole-number text), and the updates whose cell isn't there. A blank label is an error."""
+def apply_label_updates(cells: DataFrame, updates: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """cells with the new labels (digits become whole-number text), and the updates whose cell isn't there. A blank label is an error.
+
+    Of several edits of one cell the last one wins, by ``order`` (columns of updates) and then by label, so that each cell stays one row.
+    """
     if not updates.where("new_label is null or trim(new_label) = ''").isEmpty():
         raise ValueError("a label is blank")
     keys, t = ["dbname", "cell_id"], F.trim("new_label")
-    u = updates.select(*keys, F.when(t.rlike(r"^\d+$"), t.try_cast("long").cast("string")).otherwise(t).alias("new_label"))
+    text = F.when(t.rlike(r"^\d+$"), F.coalesce(F.nullif(F.ltrim(t, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(t)
+    u = updates.select(*keys, *(order or []), text.alias("new_label"))
+    u = u.groupBy(*keys).agg(F.max_by("new_label", F.struct(*(order or []), "new_label")).alias("new_label"))
     return cells.join(u, keys, "left").withColumn("manual_label", F.coalesce("new_label", "manual_label")).drop("new_label"), u.join(cells.select(*keys), keys, "left_anti")
 
 
@@ -142,32 +152,119 @@ def broadcast_threshold(df: DataFrame, control: DataFrame, value: str) -> DataFr
     return df.crossJoin(F.broadcast(control)).withColumn("below", F.col(value) < F.col("threshold"))
 
 
-def knn_join(query: DataFrame, train: DataFrame, k: int, queries: int = 2048, block: int = 8192) -> DataFrame:
-    """query_id, train_id, distance, weight of the k nearest (features: arrays of doubles).
+#: Pivots of a nearest-neighbour join, and rows of a block of a cell or of the queries that meet it.
+MOST_PIVOTS, BLOCK = 1024, 8192
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of each row of a to each of b, by differences, so an exact match has 0."""
+    out, step = np.empty((len(a), len(b))), max(1, 4_000_000 // max(1, b.size))
+    for lo in range(0, len(a), step):
+        out[lo : lo + step] = np.sqrt(((a[lo : lo + step, None, :] - b[None, :, :]) ** 2).sum(2))
+    return out
+
+
+def _matrix(features: pd.Series) -> np.ndarray:
+    return np.stack(features.to_numpy()).astype(float)
+
+
+def pivots_of(train: DataFrame, most: int = MOST_PIVOTS) -> np.ndarray:
+    """Features of about the root of the number of training rows, ``most`` at most, chosen by a hash of their ids."""
+    n = train.count()
+    some = train.orderBy(F.xxhash64("train_id"), "train_id").limit(min(most, max(1, round(n**0.5)))).toPandas() if n else None
+    return _matrix(some["features"]) if n else np.zeros((0, 0))
+
+
+def cells_of(train: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """train with its nearest pivot (cell) and the distance to it (off)."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            if len(pdf):
+                d = _apart(_matrix(pdf["features"]), pivots)
+                cell = d.argmin(1)
+                yield pd.DataFrame({"train_id": pdf["train_id"], "features": pdf["features"], "cell": cell.astype(np.int32), "off": d[np.arange(len(d)), cell]})
+
+    return train.select("train_id", F.col("features").cast("array<double>")).mapInPandas(run, "train_id long, features array<double>, cell int, off double")
 
-    Both sides are dealt out to blocks by a hash of their ids; each pair of blocks is a task, which gives each query's
-    k nearest in its block, and these are merged by rank. Distances are of differences, so an exact match has 0.
+
+def _visited(query: DataFrame, pivots: np.ndarray, size: np.ndarray, radius: np.ndarray, k: int, home: bool) -> DataFrame:
+    """A row for each cell that a query (query_id, features, reach: its k-th distance so far) visits.
+
+    home: the nearest cells that together hold k rows. Otherwise all others that may hold a row within the query's reach:
+    no row of a cell is nearer than the pivot's distance less the cell's radius.
+    """
+
+    def run(pdfs):
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            d = _apart(_matrix(pdf["features"]), pivots)
+            order = np.argsort(d, axis=1, kind="stable")
+            held = np.cumsum(size[order], axis=1)
+            at_home = np.zeros(d.shape, bool)
+            np.put_along_axis(at_home, order, np.concatenate([np.zeros((len(d), 1)), held[:, :-1]], axis=1) < k, axis=1)
+            at_home &= size > 0
+            reach = pdf["reach"].to_numpy(float)
+            q, cell = np.nonzero(at_home if home else ~at_home & (size > 0) & (d - radius <= reach[:, None] * (1 + 1e-9) + 1e-9))
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "features": pdf["features"].to_numpy()[q], "reach": reach[q], "cell": cell.astype(np.int32), "away": d[q, cell]})
+
+    return query.select("query_id", "features", "reach").mapInPandas(run, "query_id long, features array<double>, reach double, cell int, away double")
+
+
+def _met(visits: DataFrame, train: DataFrame, size: np.ndarray, k: int, block: int) -> DataFrame:
+    """The k nearest rows that each visit finds: query_id, train_id, distance, compared (how many distances the visit took, on one of its rows).
+
+    A cell's rows and its queries are cut into blocks; a task has a block of each. A query compares the rows only whose
+    distance to the pivot differs from its own by no more than its reach.
     """
-    nq, nt = max(1, -(-query.count() // queries)), max(1, -(-train.count() // block))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = query.select(part("query_id", nq).alias("qb"), "query_id", "features").withColumn("tb", every(nt))
-    t = train.select(part("train_id", nt).alias("tb"), "train_id", "features").withColumn("qb", every(nq))
+    of_query = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))  # a row a cell
+    parts = F.element_at(F.array(*(F.lit(max(1, -(-int(n) // block))) for n in size)), F.col("cell") + 1)
+    part = lambda c, n: F.pmod(F.xxhash64(c), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    q = visits.join(F.broadcast(of_query), "cell").withColumn("qb", part("query_id", F.col("nq"))).withColumn("tb", every(parts)).drop("nq")
+    t = train.join(F.broadcast(of_query), "cell").withColumn("tb", part("train_id", parts)).withColumn("qb", every(F.col("nq"))).drop("nq")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "train_id", "distance"]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "train_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
-        b = b.sort_values("train_id")
-        ids, x, rows = b["train_id"].to_numpy(), np.stack(b["features"].to_numpy()).astype(float), []
-        at_a_time = max(1, 4_000_000 // x.size)
-        for lo in range(0, len(a), at_a_time):
-            part = a.iloc[lo : lo + at_a_time]
-            d = np.sqrt(((np.stack(part["features"].to_numpy()).astype(float)[:, None, :] - x[None, :, :]) ** 2).sum(2))
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows.append(pd.DataFrame(dict(zip(names, (np.repeat(part["query_id"].to_numpy(), near.shape[1]), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel())))))
+        rows = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "train_id": np.zeros(0, np.int64), "distance": np.zeros(0), "compared": np.zeros(0, np.int64)})]
+        if len(a) and len(b):
+            b = b.sort_values(["off", "train_id"])
+            ids, off, x = b["train_id"].to_numpy(), b["off"].to_numpy(), _matrix(b["features"])
+            slack = a["reach"].to_numpy() * (1 + 1e-9) + 1e-9
+            lo, hi = np.searchsorted(off, a["away"].to_numpy() - slack), np.searchsorted(off, a["away"].to_numpy() + slack, side="right")
+            for one, v, i, j in zip(a["query_id"].tolist(), _matrix(a["features"]), lo.tolist(), hi.tolist()):
+                if i < j:
+                    d = np.sqrt(((v - x[i:j]) ** 2).sum(1))
+                    near = np.lexsort((ids[i:j], d))[:k]
+                    rows.append(pd.DataFrame({"query_id": one, "train_id": ids[i:j][near], "distance": d[near], "compared": [j - i] + [0] * (len(near) - 1)}))
         return pd.concat(rows)
 
-    out = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(run, "query_id long, train_id long, distance double")
+    return q.groupBy("cell", "qb", "tb").cogroup(t.groupBy("cell", "qb", "tb")).applyInPandas(run, "query_id long, train_id long, distance double, compared long")
+
+
+def knn_visits(query: DataFrame, train: DataFrame, k: int, most_pivots: int = MOST_PIVOTS, block: int = BLOCK) -> DataFrame:
+    """Rows among which are the k nearest of each query, with ``compared``, whose sum is the number of distances taken.
+
+    Training rows belong to the nearest of a bounded number of pivots. A query meets the cells about it that hold k rows, which
+    gives its reach; by the triangle inequality only cells, and rows in them, within that reach can hold a nearer one.
+    """
+    pivots = pivots_of(train, most_pivots)
+    if not len(pivots):
+        return query.sparkSession.createDataFrame([], "query_id long, train_id long, distance double, compared long")
+    cells = written(cells_of(train, pivots), "cells")
+    size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect():  # a row a pivot
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["radius"]
+    q = query.select("query_id", F.col("features").cast("array<double>").alias("features"))
+    first = written(_met(_visited(q.withColumn("reach", F.lit(float("inf"))), pivots, size, radius, k, True), cells, size, k, block), "nearest")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id"))  # k rows a block that it met
+    reach = first.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("distance").alias("reach"))
+    near = q.join(reach, "query_id")  # a query that met fewer than k rows has met all there are
+    return first.unionByName(_met(_visited(near, pivots, size, radius, k, False), cells, size, k, block))
+
+
+def knn_join(query: DataFrame, train: DataFrame, k: int, most_pivots: int = MOST_PIVOTS, block: int = BLOCK) -> DataFrame:
+    """query_id, train_id, distance, rank and weight of the k nearest (features: arrays of doubles); the lower train_id wins ties."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("weight", 1 / (F.col("distance") + 1e-6))
+    out = knn_visits(query, train, k, most_pivots, block).drop("compared").withColumn("rank", rank)
+    return out.where(F.col("rank") <= k).withColumn("weight", 1 / (F.col("distance") + 1e-6))

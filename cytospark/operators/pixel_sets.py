@@ -1,4 +1,4 @@
-"""Sets of pixels as rows: dilation, erosion, rings, components of masks."""
+"""Sets of pixels as rows: dilation, erosion and rings, which run on runs of pixels; selections of cells."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import runs
+
 SQUARE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
@@ -16,33 +18,30 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-round(r * sqrt(max(0, 1 - dy * dy / (r * r)))), round(r * sqrt(max(0, 1 - dy * dy / (r * r)))) + 1)] if r else [(0, 0)]
 
 
-def _moved(px: DataFrame, kernel: list[tuple[int, int]], keys: list[str]) -> DataFrame:
-    o = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in kernel)))
-    return px.select(*keys, "x", "y", o.alias("o")).select(*keys, (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
-
-
 def dilate(px: DataFrame, kernel: list[tuple[int, int]], keys: list[str], width: int, height: int) -> DataFrame:
     """The union of the shifted set, inside the image."""
-    return _moved(px, kernel, keys).where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).distinct()
+    return runs.pixels_of(runs.dilate(runs.runs_of(px, keys), kernel, keys, width, height), keys)
 
 
 def erode(px: DataFrame, kernel: list[tuple[int, int]], keys: list[str], width: int, height: int) -> DataFrame:
     """Pixels whose neighbourhood is all in the set; what is outside the image counts as in it."""
-    px = px.select(*keys, "x", "y").distinct()
-    got = _moved(px, [(-i, -j) for i, j in kernel], keys).groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
-    inside = lambda v, d, top: ((F.col(v) + d >= 0) & (F.col(v) + d < top))
-    need = sum((inside("x", i, width) & inside("y", j, height)).cast("int") for i, j in kernel)
-    return px.join(got, [*keys, "x", "y"]).where(F.col("n") == need).select(*keys, "x", "y")
+    return runs.pixels_of(runs.erode(runs.runs_of(px, keys), kernel, keys, width, height), keys)
+
+
+def ring_runs(px: DataFrame, size: int, keys: list[str], width: int, height: int) -> DataFrame:
+    own = runs.runs_of(px, keys)
+    return runs.subtracted(runs.dilate(own, ellipse(size), keys, width, height), own, keys)
 
 
 def ring(px: DataFrame, size: int, keys: list[str], width: int, height: int) -> DataFrame:
     """The dilation by an elliptic kernel without the set."""
-    return dilate(px, ellipse(size), keys, width, height).join(px.select(*keys, "x", "y").distinct(), [*keys, "x", "y"], "left_anti")
+    return runs.pixels_of(ring_runs(px, size, keys, width, height), keys)
 
 
 def background_ring(px: DataFrame, image: DataFrame, keys: list[str], width: int, height: int, size: int = 7) -> DataFrame:
     """The median intensity of the ring about the mask; NULL where there is none."""
-    got = ring(px, size, keys, width, height).join(image, [*keys, "x", "y"]).groupBy(*keys).agg(F.percentile("intensity", 0.5).alias("background"))
+    around = ring_runs(px, size, keys, width, height)
+    got = image.join(around, [*keys, "y"]).where(F.col("x").between(F.col("x0"), F.col("x1"))).groupBy(*keys).agg(F.percentile("intensity", 0.5).alias("background"))
     return px.select(*keys).distinct().join(got, keys, "left")
 
 

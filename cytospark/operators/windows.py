@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.geometry import best_shifts
 from .ordering import placed
 
 
@@ -91,24 +94,27 @@ def label_boundaries(px: DataFrame, keys: list[str]) -> DataFrame:
     return px.withColumn("edge", differs).where("edge").drop("edge")
 
 
-def best_shift(reference: DataFrame, current: DataFrame, most: int, keys: list[str]) -> DataFrame:
-    """The shift from -most to most with the greatest mean product of z-scored profiles (pos, value), on positions most + 2 away from the ends; the lowest on ties.
+def best_shift(profiles: DataFrame, most: str | int, start: str | int = 0, stop: str | int | None = None) -> DataFrame:
+    """profiles (reference, current: arrays of one length) with the shift from -most to most at which they correlate best, and its score.
 
-    A profile with no such position is an error.
+    The reference's positions start to stop - 1, kept most + 2 away from the ends, are z-scored; so is each shifted window
+    of current by its own mean and deviation. The lowest shift wins ties. most, start and stop are numbers or columns. A
+    pair without such a position is an error; so are arrays of different lengths.
     """
-    def scored(df: DataFrame, name: str) -> DataFrame:
-        s = df.groupBy(*keys).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
-        return df.join(s, keys).select(*keys, "pos", ((F.col("value") - F.col("m")) / (F.col("sd") + 1e-6)).alias(name))
-
-    a, b = scored(reference, "a"), scored(current, "b")
-    ends = a.groupBy(*keys).agg((F.min("pos") + most + 2).alias("lo"), (F.max("pos") - most - 2).alias("hi"))
-    empty = F.when(F.col("hi") < F.col("lo"), F.raise_error(F.lit("the window of positions is empty"))).otherwise(F.col("hi"))
-    ends = ends.withColumn("hi", empty)
-    a = a.join(ends, keys).where(F.col("pos").between(F.col("lo"), F.col("hi"))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    a = a.select(*keys, "shift", (F.col("pos") + F.col("shift")).alias("pos"), "a")
-    s = a.join(b, [*keys, "pos"]).groupBy(*keys, "shift").agg(F.avg(F.col("a") * F.col("b")).alias("score"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "shift")
-    return s.withColumn("row", F.row_number().over(w)).where("row = 1").drop("row")
+    given = lambda c: F.col(c) if isinstance(c, str) else F.lit(c)
+    end = F.size("reference") if stop is None else given(stop)
+
+    @F.pandas_udf("struct<shift int, score double>")
+    def shifts(reference: pd.Series, current: pd.Series, start: pd.Series, stop: pd.Series, most: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"shift": np.zeros(len(start), np.int32), "score": np.zeros(len(start))})
+        kinds = pd.DataFrame({"n": reference.map(len), "m": current.map(len), "start": start, "stop": stop, "most": most})
+        for (_, _, a, b, s), at in kinds.groupby(list(kinds.columns)).indices.items():  # rows of one kind at once
+            shift, out.loc[at, "score"] = best_shifts(np.stack(reference.iloc[at]).astype(float), np.stack(current.iloc[at]).astype(float), a, b, s)
+            out.loc[at, "shift"] = shift.astype(np.int32)
+        return out
+
+    found = profiles.withColumn("_best", shifts("reference", "current", given(start).cast("int"), end.cast("int"), given(most).cast("int")))
+    return found.select(*profiles.columns, "_best.shift", "_best.score")
 
 
 def stitched_offsets(frames: DataFrame, by: list[str]) -> DataFrame:

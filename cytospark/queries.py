@@ -285,9 +285,10 @@ def c7_annotation_overlaps(spark, sf):
 
 @query("SELECT manual_label, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_custkey AS STRING) WHEN o_orderkey % 10 = 1 THEN 'x' ELSE manual_label END AS manual_label FROM cells) GROUP BY 1")
 def c8_apply_label_updates(spark, sf):
+    # Each edit of a cell comes twice; the first one of the two is overwritten.
     c = view(spark, sf, "cells")
-    updates = c.where("o_orderkey % 10 < 2").select("dbname", "cell_id", F.expr("if(o_orderkey % 10 = 0, concat(' 0', o_custkey), 'x ')").alias("new_label"))
-    return J.apply_label_updates(c, updates)[0].groupBy("manual_label").agg(F.count("*").alias("n"))
+    updates = c.where("o_orderkey % 10 < 2").select("dbname", "cell_id", F.expr("explode(array(struct(1 as at, 'old' as new_label), struct(2 as at, if(o_orderkey % 10 = 0, concat(' 0', o_custkey), 'x ') as new_label)))").alias("e")).select("dbname", "cell_id", "e.*")
+    return J.apply_label_updates(c, updates, ["at"])[0].groupBy("manual_label").agg(F.count("*").alias("n"))
 
 
 @query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), d AS (SELECT q.vec_id AS query_id, t.vec_id AS train_id, list_distance(q.v, t.v) AS distance FROM e q, e t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rank FROM d) SELECT query_id, train_id, distance, CAST(rank AS INT) AS rank, 1 / (distance + 1e-6) AS weight FROM r WHERE rank <= 5", "distance weight", 4)
@@ -565,11 +566,11 @@ def e9_label_boundaries(spark, sf):
     return W.label_boundaries(view(spark, sf, "grid").selectExpr("dbname", "cell_id", "x", "y", "bigint(floor(intensity)) % 3 as label"), K2)
 
 
-@query("WITH p AS (SELECT cell_id, u1 AS pos, g AS value FROM profiles), s AS (SELECT cell_id, avg(value) AS m, stddev_pop(value) AS sd FROM p GROUP BY cell_id), z AS (SELECT cell_id, pos, (value - m) / (sd + 1e-6) AS z FROM p JOIN s USING (cell_id)), c AS (SELECT a.cell_id, k - 6 AS shift, avg(a.z * b.z) AS score FROM z a CROSS JOIN range(13) t(k) JOIN z b ON b.cell_id = a.cell_id AND b.pos = (a.pos + k - 6 + CAST(a.cell_id AS INT) % 4 + 64) % 64 WHERE a.pos BETWEEN 8 AND 55 GROUP BY a.cell_id, k) SELECT cell_id, CAST(shift AS INT) AS shift, score FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(score, 9) DESC, shift) AS rn FROM c) WHERE rn = 1", "score", 5)
+@query("WITH p AS (SELECT cell_id, u1 AS pos, g AS value FROM profiles), c AS (SELECT a.cell_id, k - 6 AS shift, covar_pop(a.value, b.value) / ((stddev_pop(a.value) + 1e-6) * (stddev_pop(b.value) + 1e-6)) AS score FROM p a CROSS JOIN range(13) t(k) JOIN p b ON b.cell_id = a.cell_id AND b.pos = (a.pos + k - 6 + CAST(a.cell_id AS INT) % 4) % 64 WHERE a.pos BETWEEN 8 AND 45 GROUP BY a.cell_id, k) SELECT cell_id, CAST(shift AS INT) AS shift, score FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(score, 9) DESC, shift) AS rn FROM c) WHERE rn = 1", "score", 5)
 def e10_best_shift(spark, sf):
-    p = profiles(spark, sf).select("cell_id", F.posexplode("g").alias("pos", "value"))
-    moved = p.select("cell_id", F.expr("pmod(pos - int(cell_id) % 4, 64)").alias("pos"), "value")
-    return W.best_shift(p, moved, 6, ["cell_id"])
+    # Against itself turned by up to three places; the window's start is moved up to 8 by its distance from the end.
+    turned = "transform(sequence(0, 63), i -> g[(i + int(cell_id) % 4) % 64])"
+    return W.best_shift(profiles(spark, sf).selectExpr("cell_id", "g as reference", f"{turned} as current"), 6, 3, 46).select("cell_id", "shift", "score")
 
 
 @query("SELECT frame_id, CAST(coalesce(sum(width) OVER (PARTITION BY roi ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x_offset FROM frames")
@@ -845,11 +846,52 @@ def j16_smooth(spark, sf):
     return C.smooth_profiles(profiles(spark, sf), 2.0).select("dbname", "cell_id", F.posexplode("g").alias("u1", "g")).withColumn("u1", F.col("u1").cast("long"))
 
 
-@query()
+def _film(spark, sf):
+    """Every image of the table as a frame of 11 x 51 pixels: a view is a channel and database, and suppliers that leave one remainder by 7."""
+    i = images(spark, sf).selectExpr("l_suppkey % 7 + if(dbname = 'F', 0, 7) + case channel when 'ph' then 0 when 'fluo1' then 14 else 28 end as view", "l_suppkey div 7 as at", "height", "width", "pixels")
+    first = i.groupBy("view").agg(F.min("at").alias("first"))
+    return i.join(first, "view").selectExpr("view", "at - first as frame", "height", "width", "pixels")
+
+
+def _taps(sigma: float, radius: int) -> str:
+    return f"(SELECT k, exp(-k * k / {2 * sigma * sigma}) / sum(exp(-k * k / {2 * sigma * sigma})) OVER () AS w FROM range({-radius}, {radius + 1}) t(k))"
+
+
+def _mirrored(i: str, n: int) -> str:
+    return f"CASE WHEN {i} < 0 THEN -({i}) WHEN {i} >= {n} THEN {2 * n - 2} - ({i}) ELSE {i} END"
+
+
+def _smoothed(table: str, pos: str, n: int) -> str:
+    """A profile (view, frame, pos, v) smoothed by 2 pixels; its ends are mirrored with their edge."""
+    at = f"a.{pos} + k"
+    return f"SELECT a.view, a.frame, a.{pos} AS pos, sum(w * b.v) AS v FROM {table} a CROSS JOIN {_taps(2, 6)} JOIN {table} b ON b.view = a.view AND b.frame = a.frame AND b.{pos} = CASE WHEN {at} < 0 THEN -({at}) - 1 WHEN {at} >= {n} THEN {2 * n - 1} - ({at}) ELSE {at} END GROUP BY ALL"
+
+
+def _shifted(table: str, lo: int, hi: int) -> str:
+    """The best shift of each frame's profile against frame 0's on positions lo to hi."""
+    score = "covar_pop(a.v, b.v) / ((stddev_pop(a.v) + 1e-6) * (stddev_pop(b.v) + 1e-6))"
+    return f"SELECT view, frame, shift FROM (SELECT *, row_number() OVER (PARTITION BY view, frame ORDER BY round(score, 9) DESC, shift) AS rn FROM (SELECT b.view, b.frame, k - 2 AS shift, {score} AS score FROM {table} a CROSS JOIN range(5) t(k) JOIN {table} b ON b.view = a.view AND b.pos = a.pos + k - 2 WHERE a.frame = 0 AND a.pos BETWEEN {lo} AND {hi} GROUP BY ALL)) WHERE rn = 1"
+
+
+_EDGES = f"""WITH film AS (SELECT *, s // 7 - min(s // 7) OVER (PARTITION BY view) AS frame FROM (SELECT CAST(cell_id AS BIGINT) AS s, CAST(cell_id AS BIGINT) % 7 + CASE WHEN dbname = 'F' THEN 0 ELSE 7 END + CASE channel WHEN 'A' THEN 0 WHEN 'N' THEN 14 ELSE 28 END AS view, x, y, round_even(least(v, 65535) * (255 / 65535.0::DOUBLE), 0) AS g FROM image)),
+bx AS (SELECT a.view, a.frame, a.y, a.x, sum(w * b.g) AS g FROM film a CROSS JOIN {_taps(3, 9)} JOIN film b ON b.view = a.view AND b.frame = a.frame AND b.y = a.y AND b.x = {_mirrored("a.x + k", 51)} GROUP BY ALL),
+bl AS (SELECT a.view, a.frame, a.y, a.x, round_even(round(sum(w * b.g), 9), 0) AS g FROM bx a CROSS JOIN {_taps(3, 9)} JOIN bx b ON b.view = a.view AND b.frame = a.frame AND b.x = a.x AND b.y = {_mirrored("a.y + k", 11)} GROUP BY ALL),
+ac AS (SELECT a.view, a.frame, a.y, a.x, sum((2 - abs(k)) * b.g) AS g FROM bl a CROSS JOIN range(-1, 2) t(k) JOIN bl b ON b.view = a.view AND b.frame = a.frame AND b.y = a.y AND b.x = {_mirrored("a.x + k", 51)} GROUP BY ALL),
+gr AS (SELECT a.view, a.frame, a.y, a.x, sum(k * b.g) AS g FROM ac a CROSS JOIN (VALUES (-1), (1)) t(k) JOIN ac b ON b.view = a.view AND b.frame = a.frame AND b.x = a.x AND b.y = {_mirrored("a.y + k", 11)} GROUP BY ALL),
+pr AS (SELECT view, frame, y, avg(abs(g)) AS v FROM gr GROUP BY ALL), edges AS ({_smoothed("pr", "y", 11)})"""
+
+
+@query(f"{_EDGES} SELECT view, frame, pos, v AS value FROM edges", "value", 4)
+def j16_edge_profile(spark, sf):
+    return C.edge_profiles(_film(spark, sf), ["view", "frame"]).select("view", "frame", F.posexplode("profile").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""{_EDGES}, down AS ({_shifted("edges", 4, 6)}), band AS (SELECT view, frame, shift, greatest(0, least(3 + shift, 9)) AS top FROM down),
+wl AS (SELECT f.view, f.frame, f.x, quantile_cont(g, 0.9) AS v FROM film f JOIN band USING (view, frame) WHERE y >= top AND y < greatest(top + 1, least(5 + shift, 11)) GROUP BY ALL),
+walls AS ({_smoothed("wl", "x", 51)}), across AS ({_shifted("walls", 4, 46)})
+SELECT view, frame, CAST(a.shift AS INT) AS dx, CAST(d.shift AS INT) AS dy FROM across a JOIN down d USING (view, frame)""")
 def e11_drift(spark, sf):
-    f = _frames(spark, sf).withColumn("frame", F.expr("frame div 7"))
-    first = f.groupBy("view").agg(F.min("frame").alias("first"))
-    return C.drift(f.join(first, "view").withColumn("frame", F.col("frame") - F.col("first")), 2)
+    return C.drift(_film(spark, sf))
 
 
 def _samples(spark, sf):
@@ -882,16 +924,36 @@ def j20_split_recovered(spark, sf):
     return C.split_recovered(px, px, 8, 1)
 
 
-_CELL = "pow((x - 25 - s % 9 - 2 * t) / 12.0, 2) + pow((y - 30) / 6.0, 2) <= 1"
+_CELL = "power((x - 25 - s % 9 - 2 * t) / 12.0, 2) + power((y - 30) / 6.0, 2) <= 1 AND (t <> 2 OR abs(y - 30) <= 1)"
+#: How the whole frame has moved at each time, across and down.
+_MOVED = ((0, 0), (1, 1), (2, -1), (1, 2))
 
 
-@query(f"SELECT s AS view, 0::BIGINT AS roi, t AS frame, 1 AS label, CAST(count(*) AS INT) AS area, avg(x) AS cx, avg(y) AS cy, CAST(min(x) AS INT) AS x0, CAST(max(x) + 1 AS INT) AS x1, false AS temporal_recovery FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), range(4) f(t), range(90) a(x), range(60) b(y) WHERE {_CELL.replace('s % 9', 's % 9').replace('pow(', 'power(')} AND NOT (t = 2 AND abs(y - 30) > 2) GROUP BY s, t HAVING t <> 2 UNION ALL SELECT s, 0, t, 1, CAST(count(*) AS INT), avg(x), avg(y), CAST(min(x) AS INT), CAST(max(x) + 1 AS INT), true FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), range(4) f(t), range(90) a(x), range(60) b(y) WHERE {_CELL.replace('pow(', 'power(')} AND t = 2 AND abs(y - 30) <= 1 GROUP BY s, t", "cx cy", 3)
+@query(f"SELECT s AS view, 0::BIGINT AS roi, t AS frame, 1 AS label, CAST(count(*) AS INT) AS area, avg(x) + any_value(dx) AS cx, avg(y) + any_value(dy) AS cy, CAST(min(x) + any_value(dx) AS INT) AS x0, CAST(max(x) + 1 + any_value(dx) AS INT) AS x1, t = 2 AS temporal_recovery FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), (VALUES {', '.join(f'({t}::BIGINT, {x}, {y})' for t, (x, y) in enumerate(_MOVED))}) f(t, dx, dy), range(90) a(x), range(60) b(y) WHERE {_CELL} GROUP BY s, t", "cx cy", 3)
 def j21_track_traps(spark, sf):
-    # A cell that moves; in frame 2 it is too thin for the strict rules, so the one before must support it.
-    f = frames(spark, sf, 60, 90, f"({_CELL}) and (t != 2 or abs(y - 30) <= 1)", times=4).selectExpr("s as view", "t as frame", "height", "width", "pixels")
-    rois = f.select("view").distinct().selectExpr("view", "0L as roi", "0L as x0", "0L as y0", "90L as x1", "60L as y1")
-    rules = L.TrapRules(recovery=True, min_minor=3, max_elongation=7.5)
-    return C.track_traps(f, rois, rules).drop("y0", "y1", "mean_intensity")
+    """Drift, traps, rules and rows in one: a cell that moves in frames that drift, with walls and edges that show it.
+
+    In frame 2 the cell is too thin for the strict rules, so the one before must support it.
+    """
+    at = lambda k: f"element_at(array({', '.join(f'{m[k]}L' for m in _MOVED)}), int(t) + 1)"
+    still = lambda e: e.replace("power((x", f"power((x - {at(0)}").replace("(y -", f"(y - {at(1)} -")
+    wall, blocks = f"x - {at(0)} between 76 and 80", f"x - {at(0)} <= 3 and (y - {at(1)} between 14 and 22 or y - {at(1)} between 38 and 44)"
+    f = frames(spark, sf, 60, 90, f"({still(_CELL)}) or {wall} or {blocks}", times=4).selectExpr("s as view", "t as frame", "height", "width", "pixels")
+    rois = f.select("view").distinct().selectExpr("view", "0L as roi", "5L as x0", "5L as y0", "70L as x1", "55L as y1")
+    rules = L.TrapRules(recovery=True, min_minor=1.5, max_elongation=15)
+    return C.track_traps(f, rois, rules, C.drift(f)).drop("y0", "y1", "mean_intensity")
+
+
+@query()
+def j21_traps_of_pixels(spark, sf):
+    """The same chain over every image of the table, dark where there is much light: two traps a view, and rules for small cells."""
+    film = _film(spark, sf).withColumn("pixels", F.transform("pixels", lambda v: F.greatest(65535 - v, F.lit(0.0))))
+    rois = film.select("view").distinct().select("view", F.explode(F.expr("array(struct(0L as roi, 0L as x0, 0L as y0, 26L as x1, 11L as y1), struct(1L as roi, 26L as x0, 0L as y0, 51L as x1, 11L as y1))")).alias("r")).select("view", "r.*")
+    return C.track_traps(film, rois, SMALL_CELLS, C.drift(film))
+
+
+#: Shapes of a few pixels have several least rectangles, so sizes decide here.
+SMALL_CELLS = L.TrapRules(side_margin=1, min_area=4, min_minor=0, max_minor=1e9, min_major=0, max_major=1e9, min_elongation=0, max_elongation=1e9, max_mean=120, min_contrast=40, recovery=True, radius=2)
 
 
 @query("SELECT b.dbname, b.cell_id, CAST((x1 - x0 + 1) * (y1 - y0 + 1) AS BIGINT) AS old_area, CAST((least(x1 + 2, 50) - greatest(x0 - 2, 0) + 1) * (least(y1 + 2, 10) - greatest(y0 - 2, 0) + 1) AS BIGINT) AS area, 'updated' AS status FROM boxes b WHERE CAST(cell_id AS BIGINT) % 3 = 1 AND (dbname, cell_id) IN (SELECT (dbname, cell_id) FROM px WHERE channel = 'N')")
