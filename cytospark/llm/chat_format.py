@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
 from . import bpe
-from .common import prefix_sums, removed, spread_join, written
+from .common import prefix_sums, removed, scratch_tables, spread_join, written
 
 #: Marks of the roles; other roles stand in hex between the last pair.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>"), "system": ("[SYS] ", " [/SYS]")}
@@ -64,6 +64,11 @@ def turns(conversations: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
+def node_of(parent: bytes, role: bytes, text: bytes) -> bytes:
+    """The hash of a turn and all before it. Lengths stand before bytes, so neither role and text nor a first turn and a later one run together."""
+    return hashlib.blake2b(bytes([len(parent)]) + parent + len(role).to_bytes(8, "little") + role + text, digest_size=16).digest()
+
+
 def placed(conversations: DataFrame) -> DataFrame:
     """A row for each turn: conv_id, k, its node and the node before, role and text."""
 
@@ -73,7 +78,7 @@ def placed(conversations: DataFrame) -> DataFrame:
             for conv, all_turns in zip(pdf["conv_id"], pdf["turns"]):
                 h = b""
                 for k, t in enumerate(all_turns):
-                    before, h = h, hashlib.blake2b(h + t["role"].encode() + b"\0" + t["text"].encode(), digest_size=16).digest()
+                    before, h = h, node_of(h, t["role"].encode(), t["text"].encode())
                     rows.append((None if pd.isna(conv) else int(conv), k, h, before, t["role"], t["text"]))
             yield pd.DataFrame(rows, columns=["conv_id", "k", "node", "parent", "role", "text"]).astype({"conv_id": "Int64"})
 
@@ -195,8 +200,7 @@ def chat(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     A conversation is read back by one task, whatever its length; turns that are there twice are two turns.
     """
-    places = written(placed(conversations), "chat-turns")
-    tree = written(prefix_tree(places, tokenizer or bpe.default_path()), "chat-tree")
-    out = written(read_back(places, tree), "chat-read")
-    removed(places, tree)
-    return out
+    with scratch_tables() as tables:  # of which only what is returned is read later
+        places = written(placed(conversations), "chat-turns")
+        tree = written(prefix_tree(places, tokenizer or bpe.default_path()), "chat-tree")
+        return tables.keep(written(read_back(places, tree), "chat-read"))
