@@ -8,13 +8,14 @@ A line over it goes everywhere but at its first place, by doc_id and position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import removed, spread_join, written
 
 MIN_SITES = 8
-MIN_CHARS = 12
+#: A line has some sign that isn't a space; a blank one is no boilerplate.
+MIN_CHARS = 1
 #: log2 of a sketch's registers, and how far from the threshold an estimate decides: over six standard errors.
 LG_K, MARGIN = 12, 0.1
 
@@ -22,8 +23,9 @@ LG_K, MARGIN = 12, 0.1
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, key (hash of the text), site, pos and line (digest) for each line of enough characters."""
     hashed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.when(F.length(F.trim(x)) >= min_chars, F.substring(F.unhex(F.sha2(F.trim(x), 256)), 1, 16)))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(hashed).alias("pos", "line"))
-    return rows.where("line is not null")
+    # The text's hash is taken before its lines become rows, not again for each of them.
+    whole = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), hashed.alias("lines"))
+    return whole.select("doc_id", "key", "site", F.posexplode("lines").alias("pos", "line")).where("line is not null")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -45,11 +47,21 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_C
     lines = written(line_table(docs, min_chars), "lines")
     chosen = boilerplate(lines, min_sites)
     gone = spread_join(lines, chosen, ["line"], ["doc_id", "pos"]).where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
-    out = written(gone.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("gone")), "removals")
+    out = written(gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "removals")
     removed(lines, chosen)
     return out
 
 
+def between(lines: Column, gone: Column) -> Column:
+    """lines without those at the places ``gone`` (sorted, from 0): the stretches between them, so each line is touched once."""
+    def cut(both: Column) -> Column:
+        own = F.transform(F.concat(both["gone"], F.array(F.size(both["lines"]))), lambda end, k: F.struct(end.alias("end"), F.when(k == 0, -1).otherwise(F.get(both["gone"], k - 1)).alias("before")))
+        return F.flatten(F.transform(own, lambda x: F.slice(both["lines"], x["before"] + 2, x["end"] - x["before"] - 1)))
+
+    # As a variable of a function the split text is a value, not an expression to be split again for each stretch.
+    return F.transform(F.array(F.struct(lines.alias("lines"), gone.alias("gone"))), cut)[0]
+
+
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with the lines gone from text, and how many lines there were and went, under ``names``.
 
@@ -62,7 +74,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     # What goes grows with the corpus, so texts and removals meet by shuffle at any size.
     out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"`{spare}d`")) & (F.xxhash64("text") == F.col(f"`{spare}k`")), "left")
     lines, drop = F.split("text", "\n", -1), F.col(f"`{spare}g`")
-    cut = F.when(drop.isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(drop, i)), "\n"))
+    cut = F.when(drop.isNull(), F.col("text")).otherwise(F.array_join(between(lines, drop), "\n"))
     counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long")
     return out.select(*(cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in names), *(n.alias(name) for n, name in zip(counts, names)))
 
