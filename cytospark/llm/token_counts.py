@@ -1,16 +1,18 @@
 """Token counts of flat token files that have no index: a scan for the end-of-document id.
 
 A flat file is 16-bit little-endian ids and nothing else; the files, by name, are one stream. Files of any
-size are read in Spark's own splits (as runs of bytes between newline bytes, put together again). Every block
-of a split is searched on its own, at odd places too, since it isn't known yet where the block stands. Prefix
-scans over the blocks, which are dealt out by range, then say how many bytes, ids and separators stand before
-each; an id that lies on two blocks is put together from their edge bytes.
+size, whatever bytes they hold, are cut into ranges of ids, each of which a task reads from its place on and searches
+block by block. What stands before a block follows from the files' sizes; a prefix scan over the blocks says how many
+separators, so documents, stand before each, and the last separator before a block is where its first document begins.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlsplit
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,78 +42,61 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int = END) ->
     return path
 
 
-#: What Spark's reader takes off the start of a file: these three bytes, a mark of the encoding.
-MARK = b"\xef\xbb\xbf"
+#: Ids of a range, the unit of work, and of a block of it, which is searched at once.
+RANGE, BLOCK = 4 << 20, 1 << 19
+
+
+def opened(path: str):
+    """A file of the shared folder for reading: by its path where that is mounted, else by pyarrow's file systems."""
+    where = urlsplit(path)
+    if where.scheme in ("", "file"):
+        return open(unquote(where.path), "rb")
+    system, inner = pyarrow.fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
 
 
-def blocks_of(spark: SparkSession, path: str, end_id: int) -> DataFrame:
-    """file (hash of its path), split, block, n_bytes, at (bytes where the end id's two bytes stand), first and last byte."""
-    low, high = end_id & 255, end_id >> 8
+def blocks_of(files: DataFrame, end_id: int, range_ids: int = RANGE, block_ids: int = BLOCK) -> DataFrame:
+    """number, block and ends (places in the stream of the end ids) of each block of each file that holds one.
+
+    files: number, path, ids, ids_before. A range begins at an even byte whatever the ids are, so its memory is a block's.
+    """
 
     def run(batches):
-        last, block = None, 0
         for b in batches:
-            file, split, lines = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            edges = np.flatnonzero((file[1:] != file[:-1]) | (split[1:] != split[:-1])) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(file)]):
-                if lo == hi:
-                    continue
-                at = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset + lo : lines.offset + hi + 1]
-                data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-                data = np.insert(data, at[1:] - at[0], 0x0A)
-                here = (int(file[lo]), int(split[lo]))
-                block = block + 1 if here == last else 0
-                last = here
-                found = np.flatnonzero((data[:-1] == low) & (data[1:] == high))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([here[0]]), pa.array([here[1]]), pa.array([block], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([found], pa.list_(pa.int32())), pa.array([int(data[0])], pa.int32()), pa.array([int(data[-1])], pa.int32())],
-                    names=["file", "split", "block", "n_bytes", "at", "first", "last"],
-                )
-
-    rows = spark.read.option("lineSep", "\n").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").cast("long").alias("split"), F.col("value").cast("binary").alias("line"))
-    return rows.mapInArrow(run, "file long, split long, block long, n_bytes long, at array<int>, first int, last int")
-
-
-def scan(spark: SparkSession, path: str, end_id: int = END) -> DataFrame:
+            for number, path, ids, before, k in zip(*(b.column(i).to_pylist() for i in range(5))):
+                with opened(path) as f:
+                    f.seek(2 * k * range_ids)
+                    for lo in range(k * range_ids, min((k + 1) * range_ids, ids), block_ids):
+                        own = np.frombuffer(f.read(2 * min(block_ids, (k + 1) * range_ids - lo, ids - lo)), "<u2")
+                        found = np.flatnonzero(own == end_id) + (before + lo)
+                        if len(found):
+                            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lo], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["number", "block", "ends"])
+
+    ranges = files.select("number", "path", "ids", "ids_before", F.explode(F.expr(f"sequence(0L, (ids - 1) div {range_ids})")).alias("k"))
+    many = files.agg(F.sum(F.expr(f"(ids - 1) div {range_ids} + 1")).alias("n")).first()["n"] or 1
+    return ranges.repartition(min(many, MOST_TASKS)).mapInArrow(run, "number long, block long, ends array<long>")
+
+
+#: Ranges are dealt out to as many tasks at most.
+MOST_TASKS = 20_000
+
+
+def scan(spark: SparkSession, path: str, end_id: int = END, range_ids: int = RANGE, block_ids: int = BLOCK) -> DataFrame:
     """A row for each document of the stream: document (its number), token_file, start, n_tokens, ended.
 
     token_file is the number of the file that it ends in; start counts ids from the stream's
     beginning; n_tokens is without the end id. Ids after the last separator are a document with
-    ended false. An odd last byte isn't an id; empty files have none; no files, no rows.
+    ended false. An odd last byte isn't an id; files without an id have no number; no files, no rows.
     """
-    low, high, mark = end_id & 255, end_id >> 8, len(MARK)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    found = written(blocks_of(spark, path, end_id), "separators")
-    # One row a file: its number by name, its ids, and the bytes read of it and of those before.
-    read = found.groupBy("file").agg(F.sum("n_bytes").alias("bytes_read"))
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"))
-    files = files.where("size > 0").join(read, "file", "left").withColumn("bytes_read", zero(F.col("bytes_read")))
-    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select(
-        "file", "size", F.row_number().over(Window.orderBy("path")).cast("long").alias("number"), F.expr("size div 2").alias("ids"),
-        zero(F.sum(F.expr("size div 2")).over(earlier)).alias("ids_before"), zero(F.sum("bytes_read").over(earlier)).alias("bytes_before"),
-        F.when(F.col("bytes_read") < F.col("size"), mark).otherwise(0).cast("long").alias("shift"),
-    )
+    files = spark.read.format("binaryFile").load(path).select("path", F.expr("length div 2").alias("ids")).where("ids > 0")  # not their content
+    by_name = Window.orderBy("path")  # one row a file
+    files = files.select("path", "ids", F.row_number().over(by_name).cast("long").alias("number"), zero(F.sum("ids").over(by_name.rowsBetween(Window.unboundedPreceding, -1))).alias("ids_before"))
     files = written(files, "token-file-list")
-    order = ["number", "split", "block"]
-    # What was found stays where it is until it is known which of it stands at even places.
-    light = found.drop("at").join(files.select("file", "number"), "file")
-    scanned = prefix_sums(light, order, {"n_bytes": "before"}, "bytes-before")
-    scanned = scanned.join(files.drop("number"), "file").withColumn("base", F.col("before") - F.col("bytes_before") + F.col("shift"))
-    placed = written(scanned.drop("before", "bytes_before"), "blocks-placed")
-    # Separators whose two bytes lie on two blocks, or whose first one went with the mark.
-    opens = placed.where((F.col("last") == low) & ((F.col("base") + F.col("n_bytes")) % 2 == 1)).select("number", (F.col("base") + F.col("n_bytes")).alias("base"))
-    if low == MARK[-1]:
-        opens = opens.unionByName(placed.where((F.col("shift") > 0) & (F.col("base") == mark)).select("number", "base"))
-    crossing = placed.where((F.col("first") == high) & (F.col("base") % 2 == 1) & (F.col("base") < F.col("size"))).select("number", "base").join(opens, ["number", "base"]).withColumn("crossed", F.lit(True))
-    ends = F.filter("at", lambda p: ((F.col("base") + p) % 2 == 0) & (F.col("base") + p + 2 <= F.col("size")))
-    ends = F.transform(ends, lambda p: F.col("ids_before") + F.floor((F.col("base") + p) / 2))
-    crossed = F.when(F.col("crossed"), F.array(F.col("ids_before") + F.floor((F.col("base") - 1) / 2)))
-    hidden = F.when((F.lit(MARK[:2]) == F.lit(end_id.to_bytes(2, "little"))) & (F.col("shift") > 0) & (F.col("base") == mark), F.array(F.col("ids_before")))
-    none = F.expr("cast(array() as array<bigint>)")
-    whole = placed.join(crossing, ["number", "base"], "left").join(found.select("file", "split", "block", "at"), ["file", "split", "block"]).select(*order, F.concat(F.coalesce(hidden, none), F.coalesce(crossed, none), ends).alias("ends"))
-    counted = prefix_sums(whole.where(F.size("ends") > 0).withColumn("n", F.size("ends").cast("long")), order, {"n": "document"}, "separators-before")
+    found = written(blocks_of(files, end_id, range_ids, block_ids), "separators")
+    counted = prefix_sums(found.withColumn("n", F.size("ends").cast("long")), ["number", "block"], {"n": "document"}, "separators-before")
     counted = written(counted.select("number", "document", "n", "ends"), "separators-placed")
+    removed(found)
     # The separator before a block's first is the last of the block whose documents end there.
     previous = counted.select((F.col("document") + F.col("n")).alias("document"), F.element_at("ends", -1).alias("previous"))
     stops = counted.join(previous, "document", "left").withColumn("starts", F.expr("transform(concat(array(coalesce(previous, -1)), slice(ends, 1, size(ends) - 1)), e -> e + 1)"))
@@ -120,7 +105,6 @@ def scan(spark: SparkSession, path: str, end_id: int = END) -> DataFrame:
     all_ids = files.agg(F.max("number").alias("token_file"), F.sum("ids").alias("end"))
     tail = all_ids.crossJoin(counted.agg(zero(F.max(F.col("document") + F.col("n"))).alias("document"), F.coalesce(F.max(F.element_at("ends", -1)), F.lit(-1)).alias("last")))  # one row by one
     tail = tail.where(F.col("end") > F.col("last") + 1).select("document", "token_file", (F.col("last") + 1).alias("start"), (F.col("end") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("ended"))
-    removed(found, placed)
     return docs.unionByName(tail)
 
 
