@@ -14,21 +14,25 @@ word changed, added or left out.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from math import ceil
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import written
 
 ENTRY, RUN, POSTINGS, BLOCKS = 64, 3, 16, 256
 #: Words of the other part that a part of two or three words is looked for with.
 BESIDE = 5
 THRESHOLD, QUESTION, ANSWER = 0.55, 0.7, 0.7
-#: Bytes of items that an index holds (a longer item has one of its own); more are indexed and searched in turn, so that what is broadcast stays bounded.
+#: Bytes of items that an index holds (a longer item has one of its own); more are indexed and searched in turn, so that what is in memory stays bounded.
+#: How often terms occur, and how long entries are, is counted over all items, so scores don't depend on it.
 MOST_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 
@@ -153,7 +157,29 @@ def answer_words(text: str) -> int:
     return min(max(n_words(parts[-1]) if len(parts) > 1 else 0, ceil(n / 4)), max(1, n // 2))
 
 
-def indexed(rows: list[tuple[int, str]]) -> Index | None:
+class Statistics(NamedTuple):
+    """What scores need to know of all items, whichever of them an index holds."""
+
+    entries: int
+    words: int
+    df: dict[bytes, int]  #: entries that hold a term, by its 128 bits
+
+
+def entry_numbers(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of so many words: each word's entry, counted over all texts, and how many entries each text has."""
+    entries = -(-count // ENTRY)
+    base = np.repeat(np.cumsum(entries) - entries, count)
+    return base + (np.arange(len(base)) - np.repeat(np.cumsum(count) - count, count)) // ENTRY, entries
+
+
+def names_of(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[bytes]:
+    """128 bits of each word."""
+    raw = np.column_stack([words.hashes(data, s, e, seed) for seed in (0, 1)]).tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+
+
+def indexed(rows: list[tuple[int, str]], statistics: Statistics | None = None) -> Index | None:
+    """An index of these items; scores follow from the statistics of all items, or of these where none are given."""
     data, off = words.buffers(pa.array([t or "" for _, t in rows], pa.large_string()))
     data = words.LOWER[data]
     s, e = words.segments(data, off, words.WORDLIKE)
@@ -176,8 +202,12 @@ def indexed(rows: list[tuple[int, str]]) -> Index | None:
     pair, many = np.unique(flat * len(entries) + entry, return_counts=True)
     each, e = pair // len(entries), pair % len(entries)
     first, df = np.unique(each, return_index=True, return_counts=True)[1:]
-    idf = np.log(1 + (len(entries) - df + 0.5) / (df + 0.5))
-    impact = idf[each] * many * (K1 + 1) / (many + K1 * (1 - B + B * sizes[e] / sizes.mean()))
+    all_entries, mean, all_df = len(entries), sizes.mean(), df
+    if statistics:
+        all_entries, mean = statistics.entries, statistics.words / statistics.entries
+        all_df = np.array([statistics.df[x] for x in names_of(terms.data, terms.at, terms.at + terms.size)])
+    idf = np.log(1 + (all_entries - all_df + 0.5) / (all_df + 0.5))
+    impact = idf[each] * many * (K1 + 1) / (many + K1 * (1 - B + B * sizes[e] / mean))
     impact = impact / np.bincount(e, impact, len(entries))[e]
     postings = []
     for at, n in zip(first.tolist(), df.tolist()):
@@ -303,51 +333,95 @@ def search(index: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, i
     return out
 
 
-def indexes(benchmark: DataFrame):
-    """Broadcast indexes over all items, each over a bounded share of them."""
+def statistics_of(benchmark: DataFrame, shards: int) -> tuple[int, int, DataFrame]:
+    """Entries and words of all items, and shard, term (128 bits), df for the terms of each shard: df counts the entries of all shards."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, off in words.slabs(b.column(1)):
+                data = words.LOWER[data]
+                s, e = words.segments(data, off, words.WORDLIKE)
+                count = np.diff(words.per_text(s, off))
+                entry, entries = entry_numbers(count)
+                number = words.numbered(data, s, e)
+                first, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                shard = np.repeat(b.column(0).slice(lo, hi - lo).to_numpy(), count)
+                if len(s):
+                    own = np.unique(number * (int(entries.sum()) + 1) + entry, return_index=True)[1]  # a term once an entry
+                    key = shard[own] * (int(number.max()) + 1) + number[own]
+                    _, at, many = np.unique(key, return_index=True, return_counts=True)
+                    first = own[at]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[first].astype(np.int32)), pa.array(names_of(data, s[first], e[first]), pa.binary()), pa.array(many.astype(np.int64)), pa.array(np.zeros(len(first), np.int64))], names=["shard", "term", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([int(entries.sum())], pa.int64()), pa.array([len(s)], pa.int64())], names=["shard", "term", "n", "words"])
+
+    sharded = benchmark.select(shard_of(shards).alias("shard"), F.col("text").cast("string"))
+    parts = written(sharded.mapInArrow(run, "shard int, term binary, n long, words long"), "item-terms")
+    whole = parts.where("shard < 0").agg(F.sum("n").alias("entries"), F.sum("words").alias("words")).first()
+    df = parts.where("shard >= 0").groupBy("term").agg(F.sum("n").alias("df"))
+    return whole["entries"] or 0, whole["words"] or 0, written(parts.where("shard >= 0").select("shard", "term").distinct().join(df, "term"), "item-statistics")
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int")
+
+
+def indexes(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> list[Broadcast]:
+    """Broadcast indexes over all items, each over a bounded share of them; together they score as one index of all would."""
+    spark = benchmark.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    shards = max(1, ceil(size / MOST_BYTES))
+    shards, out = max(1, ceil(size / most_bytes)), []
+    if shards > 1:
+        entries, n_words_, df = statistics_of(benchmark, shards)
     for shard in range(shards):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).select("item_id", "text").collect()
-        index = indexed(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        rows = benchmark.where(shard_of(shards) == shard).select("item_id", "text").collect()
+        own = Statistics(entries, n_words_, {bytes(r["term"]): r["df"] for r in df.where(F.col("shard") == shard).collect()}) if shards > 1 else None
+        index = indexed(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), own)
         if index is not None:
-            yield benchmark.sparkSession.sparkContext.broadcast(index)
+            out.append(spark.sparkContext.broadcast(index))
+    return out
+
+
+def held(shared: list[Broadcast]) -> Iterator[Index]:
+    """The indexes one after the other; of several a worker has one in memory at a time."""
+    for one in shared:
+        yield one.value
+        if len(shared) > 1:
+            del one._value  # it is read again from the executor's disk
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, item_id, passages, score, question_overlap, answer_overlap for each text and item that it holds.
 
-    Texts and items without words give no row; a null or repeated doc_id stands by each of its rows.
+    Texts and items without words give no row; a null or repeated doc_id stands by each of its rows. The corpus is
+    read once, whatever the number of items.
     """
-    spark, found = docs.sparkSession, None
     schema = "doc_id long, item_id long, passages long, score double, question_overlap double, answer_overlap double"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-    for shared in indexes(benchmark):
+    shared = indexes(benchmark, most_bytes)
 
-        def run(batches, shared=shared):
-            for b in batches:
+    def run(batches):
+        for b in batches:
+            for index in held(shared):
                 for lo, _, data, off in words.slabs(b.column(1)):
-                    rows = search(shared.value, data, off)
+                    rows = search(index, data, off)
                     if rows:
                         t, *rest = zip(*rows)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([lo + x for x in t])), *(pa.array(list(x), kind) for x, kind in zip(rest, kinds))], names=names)
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs without the rows whose text holds an item. Batches are searched where they lie; all columns stay."""
-    for shared in indexes(benchmark):
+    shared = indexes(benchmark, most_bytes)
 
-        def run(batches, shared=shared):
-            for b in batches:
-                stays = np.ones(b.num_rows, bool)
+    def run(batches):
+        for b in batches:
+            stays = np.ones(b.num_rows, bool)
+            for index in held(shared):
                 for lo, _, data, off in words.slabs(b.column(b.schema.get_field_index("text"))):
-                    stays[[lo + r[0] for r in search(shared.value, data, off)]] = False
-                yield b.filter(pa.array(stays))
+                    stays[[lo + r[0] for r in search(index, data, off)]] = False
+            yield b.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
