@@ -9,7 +9,8 @@ one, with room for one unknown word.
 
 Training: each round goes over all training texts. Every task sums, over its tokens, observed less
 expected counts of (feature, class or part); sums of tasks are added up by Spark in two steps; the weights, whose
-size is a parameter, then move by that gradient over its curvature. Biases are shares of counts,
+size is a parameter, then move by that gradient over its curvature. The first round's expected counts follow from the
+observed ones, so it counts only. Biases are shares of counts,
 which is what they are best at alone.
 
 Counts of all words are exact, words are known by 128 bits. Words that are at least one in ``FREQUENT`` of all
@@ -19,6 +20,7 @@ frequent, are joined by shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import ceil, log, log10, sqrt
 
 import numpy as np
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from . import words
 from .common import written
 
-BUCKETS, WIDTH, ROUNDS, FREQUENT, BLOCK = 1 << 14, 16, 2, 1 << 19, 1024
+BUCKETS, WIDTH, ROUNDS, FREQUENT, BLOCK = 1 << 16, 16, 2, 1 << 19, 1024
+#: Partitions of the scan that a task of a training round takes.
+SCANS_A_TASK = 4
 LEAVES = WIDTH * WIDTH
 #: The inverse variance of a weight's prior.
 PULL = 4.0
@@ -113,56 +117,83 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word long, more long, leaf int, n long").groupBy("word", "more", "leaf").agg(F.sum("n").alias("n"))
 
 
-def gradient(train: DataFrame, weights: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Observed less expected, and (counted) observed, counts of (feature, class) and (feature, part) over all of train."""
-    shape = (2, BUCKETS, WIDTH)
+def added_up(train: DataFrame, sums: Callable[[Iterator[tuple]], np.ndarray], arrays: int) -> np.ndarray:
+    """What ``sums`` makes of each task's runs of tokens (`arrays` tables of BUCKETS x WIDTH), added up in two steps.
+
+    A task's sums have the weights' size whatever its texts are, so tasks take several of the scan's partitions each.
+    """
 
     def run(batches):
-        g, seen, kept = np.zeros(shape, np.float32), np.zeros(2 * BUCKETS * WIDTH, np.float32), []
-        for b in batches:
-            for _, _, data, off in words.slabs(b.column(0), 1 << 18):
-                h, leaf, off, _ = tokens(data, off)
-                for k, (by, y) in enumerate(features(h, off, leaf)):
-                    z = weights[k].take(by[0], axis=0)
-                    for f in by[1:]:
-                        z += weights[k].take(f, axis=0)
-                    np.exp(z, out=z)
-                    z /= -z.sum(1, keepdims=True)
-                    z.ravel()[np.arange(len(y)) * WIDTH + y] += 1
-                    for f in by[1:]:
-                        short = f.astype(np.uint16)  # these are sorted by radix
-                        order = np.argsort(short, kind="stable")
-                        own = short[order]
-                        last = np.flatnonzero(np.concatenate([own[1:] != own[:-1], [True]]))
-                        sums = np.cumsum(z.take(order, axis=0), axis=0)[last]
-                        sums[1:] -= sums[:-1].copy()
-                        g[k][own[last]] += sums
-                        if counted:
-                            kept.append((k * BUCKETS + f) * WIDTH + y)
-                if len(kept) > 100:
-                    seen += np.bincount(np.concatenate(kept), minlength=len(seen))
-                    kept = []
-        if kept:
-            seen += np.bincount(np.concatenate(kept), minlength=len(seen))
-        g, seen = g.reshape(-1, WIDTH), seen.reshape(-1, WIDTH)
-        part = TaskContext.get().partitionId()
-        for k in range(0, len(g), BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([g[k : k + BLOCK].tobytes()]), pa.array([seen[k : k + BLOCK].tobytes() if counted else b""], pa.binary())], names=["block", "part", "g", "seen"])
+        pieces = (tokens(data, off)[:3] for b in batches for _, _, data, off in words.slabs(b.column(0), 1 << 18))
+        flat, part = sums(pieces).astype(np.float32).reshape(-1, WIDTH), TaskContext.get().partitionId()
+        for k in range(0, len(flat), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([flat[k : k + BLOCK].tobytes()])], names=["block", "part", "sums"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        add = lambda column: sum(np.frombuffer(x, np.float32) for x in column).astype(np.float32).tobytes()
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [0], "g": [add(pdf["g"])], "seen": [add(pdf["seen"])]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [0], "sums": [sum(np.frombuffer(x, np.float32) for x in pdf["sums"]).astype(np.float32).tobytes()]})
+
+    schema = "block int, part int, sums binary"
+    n = train.rdd.getNumPartitions()
+    tasks = min(n, max(train.sparkSession.sparkContext.defaultParallelism, ceil(n / SCANS_A_TASK)))
+    made = train.select("text").coalesce(tasks).mapInArrow(run, schema)
+    made = made.groupBy("block", F.expr(f"part % {max(1, ceil(sqrt(tasks)))}")).applyInPandas(lambda p: total(p), schema).groupBy("block").applyInPandas(lambda p: total(p), schema)
+    out = np.zeros((arrays * BUCKETS, WIDTH), np.float32)
+    for r in made.collect():  # as many numbers as there are weights, whatever the input
+        out[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(-1, WIDTH)
+    return out.reshape(arrays, BUCKETS, WIDTH)
+
+
+def observed(train: DataFrame) -> np.ndarray:
+    """Over all of train the counts of (feature, class), of (feature, part), and of the part's features with each class: three tables.
 
-    schema = "block int, part int, g binary, seen binary"
-    groups = max(1, ceil(sqrt(train.rdd.getNumPartitions())))
-    sums = train.select("text").mapInArrow(run, schema).groupBy("block", F.expr(f"part % {groups}")).applyInPandas(lambda p: total(p), schema)
-    sums = sums.groupBy("block").applyInPandas(lambda p: total(p), schema)
-    g, seen = np.zeros((2 * BUCKETS, WIDTH), np.float32), np.zeros((2 * BUCKETS, WIDTH), np.float32)
-    for r in sums.collect():  # as many numbers as there are weights, whatever the input
-        g[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["g"], np.float32).reshape(-1, WIDTH)
-        if counted:
-            seen[r["block"] : r["block"] + BLOCK] = np.frombuffer(r["seen"], np.float32).reshape(-1, WIDTH)
-    return g.reshape(shape), seen.reshape(shape)
+    While all weights but the biases are 0, a class's expected count under a feature is its share of the feature's count, and
+    a part's follows from the feature's counts by class: so the first round's gradient comes from these alone.
+    """
+
+    def sums(pieces):
+        seen, kept = np.zeros(3 * BUCKETS * WIDTH), []
+
+        def flush():
+            nonlocal seen
+            seen += np.bincount(np.concatenate(kept), minlength=len(seen))
+
+        for h, leaf, off in pieces:
+            (by, y), (joined, part) = features(h, off, leaf)
+            kept += [f * WIDTH + y for f in by[1:]] + [(BUCKETS + f) * WIDTH + part for f in joined[1:]] + [(2 * BUCKETS + f) * WIDTH + y for f in joined[1:]]
+            if len(kept) > 150:
+                flush()
+                kept = []
+        if kept:
+            flush()
+        return seen
+
+    return added_up(train, sums, 3)
+
+
+def gradient(train: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Observed less expected counts of (feature, class) and (feature, part) over all of train."""
+
+    def sums(pieces):
+        g = np.zeros((2, BUCKETS, WIDTH), np.float32)
+        for h, leaf, off in pieces:
+            for k, (by, y) in enumerate(features(h, off, leaf)):
+                z = weights[k].take(by[0], axis=0)
+                for f in by[1:]:
+                    z += weights[k].take(f, axis=0)
+                np.exp(z, out=z)
+                z /= -z.sum(1, keepdims=True)
+                z.ravel()[np.arange(len(y)) * WIDTH + y] += 1
+                for f in by[1:]:
+                    short = f.astype(np.uint16)  # these are sorted by radix
+                    order = np.argsort(short, kind="stable")
+                    own = short[order]
+                    last = np.flatnonzero(np.concatenate([own[1:] != own[:-1], [True]]))
+                    total = np.cumsum(z.take(order, axis=0), axis=0)[last]
+                    total[1:] -= total[:-1].copy()
+                    g[k][own[last]] += total
+        return g
+
+    return added_up(train, sums, 2)
 
 
 def trained(train: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -170,10 +201,14 @@ def trained(train: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> np.nd
     weights, n = np.zeros((2, BUCKETS, WIDTH), np.float32), counts.reshape(WIDTH, WIDTH) + 1.0
     weights[0, 0] = np.log(n.sum(1) / n.sum())
     weights[1, :WIDTH] = np.log(n / n.sum(1, keepdims=True))
+    *seen, by_class = observed(train)
+    seen = np.stack(seen)
+    n = seen.sum(2, keepdims=True)
+    # The first gradient, at weights of 0: what is expected follows from counts and biases.
+    shares = [np.exp(weights[0, 0])[None], np.exp(weights[1, :WIDTH])]
+    g = seen - np.stack([n[0] * shares[0] / shares[0].sum(), by_class @ (shares[1] / shares[1].sum(1, keepdims=True))])
     for k in range(rounds):
-        g, observed = gradient(train, weights, k == 0)
-        seen = observed if k == 0 else seen  # the same in each round
-        n = seen.sum(2, keepdims=True)
+        g = gradient(train, weights) if k else g
         expected = np.clip(seen - g, 0, n)
         curve = expected * (1 - expected / np.maximum(n, 1))
         step = np.clip((g - PULL * weights) / (2 + PULL + 2.5 * curve), -2, 2)
