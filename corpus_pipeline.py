@@ -24,7 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.without_boilerplate(docs, names=(f"{spare}1", f"{spare}2"))
     whole = F.col(f"`{spare}2`") == 0
     kept = {"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.where(whole | (F.trim("text") != "")).select(*(kept[c].alias(c) if c in kept else F.col(f"`{c}`") for c in docs.columns))
+    return out.where(whole | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*(kept[c].alias(c) if c in kept else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
