@@ -47,9 +47,11 @@ def each_row_arrays(df: DataFrame, make: Callable[[dict], tuple | None], schema:
         for pdf in pdfs:
             for lo in range(0, len(pdf), 256):
                 got = [g for row in pdf.iloc[lo : lo + 256].to_dict("records") if (g := make(row)) is not None]
+                if not got:
+                    continue
                 sizes = [next(len(c) for c in g if isinstance(c, np.ndarray)) for g in got]
                 columns = [[c if isinstance(c, np.ndarray) else np.full(n, c, object) for c, n in zip(column, sizes)] for column in zip(*got)]
-                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, columns)} if got else {n: [] for n in names})
+                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, columns)})
 
     return df.mapInPandas(run, schema)
 

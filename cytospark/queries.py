@@ -14,8 +14,9 @@ from .operators import cells as C
 from .operators import joins as J
 from .operators import pixel_sets as P
 from .operators import select as L
+from .operators import tiles as T
 from .operators import windows as W
-from .sources import profiles_csv, tables
+from .sources import profiles_csv, sqlite_cells, tables
 from .plans import phenotype
 from .operators.ordering import scratch
 from .standin import frames, images, oracle, profiles, view
@@ -52,6 +53,14 @@ def a1_read_cells(spark, sf):
     return view(spark, sf, "cells").where("area > 100000").select("dbname", "cell_id", "area")
 
 
+@query("SELECT dbname, cell_id, manual_label, area, pixel_size_um FROM cells WHERE area > 1000")
+def a1_sqlite_cells(spark, sf):
+    """All cells as SQLite files, a few an experiment, and back: by ranges of rows, with the filter in the files' queries."""
+    path = scratch(spark, "sqlite")
+    sqlite_cells.write_sqlite(view(spark, sf, "cells"), path, 20_000)
+    return tables.read_cells(spark, path, "sqlite", ["dbname", "cell_id", "manual_label", "area", "pixel_size_um"], where=[("area", ">", 1000)], rows_a_partition=5000)
+
+
 @query("SELECT cell_id, CASE WHEN o_orderkey % 4 = 0 THEN '100x' ELSE '60x' END AS objective_magnification, CASE WHEN pixel_size_um <= 0 THEN 0.065 ELSE pixel_size_um END AS pixel_size_um FROM cells", "pixel_size_um")
 def a2_migrate_cells(spark, sf):
     old = view(spark, sf, "cells").withColumn("objective_magnification", F.expr("case when o_orderkey % 8 = 0 then ' ' when o_orderkey % 4 = 0 then null else '60x' end"))
@@ -788,6 +797,20 @@ def j10_connected_components(spark, sf):
     return C.connected_components(_frames(spark, sf).join(_fluo1(spark, sf).selectExpr("dbname", "l_suppkey as frame", f"{stripes} as stripes"), ["dbname", "frame"]).withColumn("mask", F.col("stripes")), ["dbname", "frame"])
 
 
+@query("SELECT DISTINCT b.dbname, CAST(b.cell_id AS BIGINT) AS frame, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(x // (3 + CAST(b.cell_id AS INT) % 4) + 1 AS INT) AS component FROM boxes b JOIN px ON px.dbname = b.dbname AND px.cell_id = b.cell_id AND px.channel = 'N', range(51) t(x), range(11) u(y) WHERE t.x % (3 + CAST(b.cell_id AS INT) % 4) < 2".replace("CAST(x ", "CAST(t.x ").replace("CAST(y ", "CAST(u.y "))
+def j10_tiled_components(spark, sf):
+    """The same stripes from tiles of frames, 5 across and 3 down, which cut stripes lengthwise and across."""
+    stripes = "transform(sequence(0, 560), i -> int((i % 51) % (3 + l_suppkey % 4) < 2))"
+    f = _fluo1(spark, sf).selectExpr("dbname", "l_suppkey as frame", "height", "width", f"{stripes} as mask")
+    return T.tiled_components(T.cut_frames(f, ["dbname", "frame"], 5, 3, "mask"), ["dbname", "frame"])
+
+
+@query()
+def j12_tiled_regions(spark, sf):
+    """Regions of every image of the table, from 3 x 2 tiles of it."""
+    return T.segment_tiles(T.cut_frames(_film(spark, sf), ["view", "frame"], 3, 2, "pixels"), ["view", "frame"])
+
+
 @query()
 def j10_components_of_pixels(spark, sf):
     return C.connected_components(_frames(spark, sf), ["dbname", "frame"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.ordering import placed
+from .sqlite_cells import read_sqlite
 
 #: Columns of a cell table that older files may lack.
 OPTIONAL = {
@@ -16,9 +17,17 @@ OPTIONAL = {
 }
 
 
-def read_cells(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Parquet, or JDBC with its driver's options (url, driver); columns and filters reach the source."""
-    return spark.read.parquet(path) if fmt == "parquet" else spark.read.format(fmt).options(dbtable="cells", **options).load(path or None)
+def read_cells(spark: SparkSession, path: str, fmt: str = "parquet", columns: list[str] | None = None, **options) -> DataFrame:
+    """Parquet; SQLite files, by ranges of rows; or JDBC with its driver's options (url, driver) and bounds (`jdbc_bounds`). Columns and filters reach the source."""
+    if fmt == "sqlite":
+        return read_sqlite(spark, path, columns, **options)
+    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.format(fmt).options(dbtable="cells", **options).load(path or None)
+    return df.select(*columns) if columns else df
+
+
+def jdbc_bounds(low: int, high: int, rows: int = 50_000) -> dict[str, str]:
+    """Options that cut a JDBC table into ranges of about so many ids, a task each; rows outside low to high still come, with the first and last range."""
+    return {"partitionColumn": "id", "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(max(1, -(-(high + 1 - low) // rows)))}
 
 
 def migrate_cells(df: DataFrame) -> DataFrame:

@@ -28,8 +28,17 @@ def stream_daily_activity(events: DataFrame, watermark: str = "1 day", view_acti
     return g.select(F.to_date("w.start").alias("day"), "n")
 
 
-def stream_new_cells(cells: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Cells as they come, each (dbname, cell_id) once within the watermark."""
-    if not cells.isStreaming:
-        return cells.dropDuplicates(["dbname", "cell_id"])
-    return cells.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["dbname", "cell_id"])
+def stream_new_cells(cells: DataFrame) -> DataFrame:
+    """Cells as they come, each (dbname, cell_id) once, however much later it comes again.
+
+    A stream keeps its keys in its state for good, on disk with `KEYS_ON_DISK`, and in its checkpoint, so a stream
+    that is killed and started again knows them too; a batch looks up its own keys only.
+    """
+    return cells.dropDuplicates(["dbname", "cell_id"])
+
+
+#: Settings of a session whose streams keep more keys than fit in memory.
+KEYS_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
