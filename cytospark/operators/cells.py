@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scalars as S
 from . import pixel_sets as P
+from .ordering import with_group
 from .select import TrapRules, centred_in_crop, filter_candidates, filter_label, trap_cell_ok, trap_place_ok
 
 CELL = ["dbname", "cell_id", "channel"]
@@ -100,6 +101,32 @@ def axial_positions(cells: DataFrame, degree: int = 4) -> DataFrame:
     return each_row_arrays(cells, make, "dbname string, cell_id string, channel string, x int, y int, intensity double, t double")
 
 
+def measured(cells: DataFrame, degree: int = 4, ring: int = 7) -> DataFrame:
+    """All that needs a cell's image, in one pass over it: CELL, length, width_mean, width_median, background (median of the ring about it), and intensity and t of its pixels as arrays.
+
+    What can't be measured is NULL; a cell of fewer than three pixels has no arrays.
+    """
+
+    def make(r: dict) -> Rows:
+        m, c = _mask(r), outline(r["contour"])
+        p = G.pixels(m)
+        img = np.asarray(r["pixels"], float).reshape(m.shape)
+        y, x = np.nonzero(m)
+        back = shape = None
+        if len(y):
+            reach = ring // 2
+            box = np.s_[max(0, y.min() - reach) : y.max() + reach + 1, max(0, x.min() - reach) : x.max() + reach + 1]
+            around = _widened(m[box], P.ellipse(ring)) & ~m[box]
+            back = float(np.median(img[box][around])) if around.any() else None
+        if len(p) >= 3 and G.length(p) > 0:
+            shape = [round(v, 4) for v in (G.length(p), *G.widths(c, p, degree))]
+        line = G.Centerline(p, degree) if len(p) >= 3 else None
+        arrays = (img[y, x].tolist(), (line.place(p)[0] / line.length).tolist()) if line else (None, None)
+        yield r["dbname"], r["cell_id"], r["channel"], *(shape or (None, None, None)), back, *arrays
+
+    return each_row(cells, make, "dbname string, cell_id string, channel string, length double, width_mean double, width_median double, background double, intensity array<double>, t array<double>")
+
+
 def cell_widths(cells: DataFrame, degree: int = 4) -> DataFrame:
     """length, width_mean and width_median, 4 decimals; NULL where a cell has no shape."""
 
@@ -198,25 +225,57 @@ def population_map(cells: DataFrame, relative: bool = False, degree: int = 4, he
     Maps are made and added up in the same task, which sends one sum a database and size; relative: the mean is scaled to 0..1.
     """
 
+    fixed = height and width
+    if not fixed:
+        cells = with_group(cells, first_sizes(cells, degree, opening), ["dbname"])
+
     def run(pdfs):
-        sums: dict[tuple, list] = {}
+        sums: dict[str, list] = {}
         for pdf in pdfs:
             for r in pdf.to_dict("records"):
                 m = _map_of(r, degree, height, width, opening, False)
-                if m is not None:
-                    s = sums.setdefault((r["dbname"], *m.shape), [np.zeros(m.shape), 0, r["cell_id"]])
+                if m is not None and (fixed or m.shape == (r["first_height"], r["first_width"])):
+                    s = sums.setdefault(r["dbname"], [np.zeros(m.shape), 0])
                     s[0] += m + m[::-1] + m[:, ::-1] + m[::-1, ::-1]
                     s[1] += 4
-                    s[2] = min(s[2], r["cell_id"])
-        for (db, h, w), s in sums.items():
-            yield pd.DataFrame([(db, h, w, s[0].ravel(), s[1], s[2])], columns=["dbname", "height", "width", "map", "n", "first"])
-
-    parts = cells.mapInPandas(run, "dbname string, height int, width int, map array<double>, n long, first string")
-    px = parts.select("dbname", "height", "width", "n", "first", F.posexplode("map").alias("i", "v")).groupBy("dbname", "height", "width", "i").agg((F.sum("v") / F.sum("n")).alias("v"), F.min("first").alias("first"))
-    db = Window.partitionBy("dbname")  # a database's maps: as many pixels as a map has, for each size
-    px = px.withColumn("least", F.min("first").over(db)).where("first = least")
+        for db, (total, n) in sums.items():
+            for k, band in enumerate(np.array_split(total, min(BANDS, len(total)))):
+                yield pd.DataFrame([(db, k, *total.shape, band.ravel(), n)], columns=["dbname", "band", "height", "width", "map", "n"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*pdf.iloc[0][["dbname", "band", "height", "width"]], sum(pdf["map"].to_numpy()), pdf["n"].sum())], columns=pdf.columns)
+
+    schema = "dbname string, band int, height int, width int, map array<double>, n long"
+    # Bands of rows are added up as arrays, in two steps where there are many tasks, and become pixels once.
+    parts = cells.mapInPandas(run, schema).groupBy("dbname", "band", F.spark_partition_id() % 16).applyInPandas(lambda p: added(p), schema).groupBy("dbname", "band").applyInPandas(lambda p: added(p), schema)
+    px = parts.select("dbname", "band", "height", "width", "n", F.posexplode("map").alias("i", "v"))
+    rows = F.expr(f"height div least({BANDS}, height)")
+    spare = F.expr(f"height % least({BANDS}, height)")  # the first bands have a row more
+    first_row = F.col("band") * rows + F.least("band", spare)
+    db = Window.partitionBy("dbname")  # as many pixels as a map has
+    mean = px.select("dbname", (first_row + F.expr("i div width")).cast("long").alias("y"), F.expr("i % width").cast("long").alias("x"), (F.col("v") / F.col("n")).alias("v"))
     v = F.try_divide(F.col("v") - F.min("v").over(db), F.max("v").over(db) - F.min("v").over(db)) if relative else F.col("v")
-    return px.select("dbname", F.expr("i div width").alias("y"), F.expr("i % width").alias("x"), v.alias("value"))
+    return mean.select("dbname", "y", "x", v.alias("value"))
+
+
+#: Bands of rows that a map is added up in.
+BANDS = 16
+
+
+def first_sizes(cells: DataFrame, degree: int, opening: int) -> DataFrame:
+    """dbname and the size of the raw map of its first cell, by id, that has one: the only size that counts there."""
+
+    def filled(r: dict) -> Rows:
+        if r["contour"] is not None and r["pixels"] is not None and len(G.pixels(_mask(r))) >= 9:
+            yield r["dbname"], r["cell_id"]
+
+    first = each_row(cells, filled, "dbname string, cell_id string").groupBy("dbname").agg(F.min("cell_id").alias("cell_id"))
+
+    def size(r: dict) -> Rows:
+        yield r["dbname"], *_map_of(r, degree, None, None, opening, False).shape
+
+    sizes = each_row(with_group(cells, first.withColumn("_first", F.lit(True)), ["dbname", "cell_id"]).drop("_first"), size, "dbname string, first_height int, first_width int")
+    return sizes.groupBy("dbname").agg(F.min(F.struct("first_height", "first_width")).alias("s")).select("dbname", "s.*")
 
 
 def connected_components(frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -362,7 +421,10 @@ def drift(frames: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def elastic_mask(cells: DataFrame, delta: int, label: str | None = None) -> DataFrame:
-    """Masks (of a label) grown or shrunk by |delta| 3x3 steps; of what is left, the part nearest to the old centre; the old mask where nothing is."""
+    """Masks (of a label) grown or shrunk by |delta| 3x3 steps; of what is left, the part nearest to the old centre; the old mask where nothing is.
+
+    The new mask stands in the columns ys, x0s and x1s: a run of pixels for each of their places, both ends included, as in `runs`.
+    """
     cells = filter_label(cells, label)
 
     def make(r: dict) -> Rows:
@@ -378,9 +440,17 @@ def elastic_mask(cells: DataFrame, delta: int, label: str | None = None) -> Data
             centre = G.pixels(old).mean(0)
             near = min(range(1, c.max() + 1), key=lambda k: float(((G.pixels(c == k).mean(0) - centre) ** 2).sum()))
             m = c == near
-        yield r["dbname"], r["cell_id"], int(old.sum()), int(m.sum()), status
+        wide = np.pad(m.astype(np.int8), ((0, 0), (1, 1)))
+        change = np.diff(wide, axis=1)
+        (ys, x0s), x1s = np.nonzero(change == 1), np.nonzero(change == -1)[1] - 1
+        yield r["dbname"], r["cell_id"], int(old.sum()), int(m.sum()), status, ys.tolist(), x0s.tolist(), x1s.tolist()
+
+    return each_row(cells, make, "dbname string, cell_id string, old_area int, area int, status string, ys array<int>, x0s array<int>, x1s array<int>")
+
 
-    return each_row(cells, make, "dbname string, cell_id string, old_area int, area int, status string")
+def mask_runs(masks: DataFrame) -> DataFrame:
+    """The new masks of `elastic_mask` as runs (dbname, cell_id, y, x0, x1), which the operators of `runs` take."""
+    return masks.select("dbname", "cell_id", F.explode(F.arrays_zip("ys", "x0s", "x1s")).alias("r")).select("dbname", "cell_id", F.col("r.ys").alias("y"), F.col("r.x0s").alias("x0"), F.col("r.x1s").alias("x1"))
 
 
 def elastic_report(masks: DataFrame) -> DataFrame:
@@ -469,8 +539,25 @@ def split_recovered(pixels: DataFrame, previous: DataFrame, least: int = 80, rad
 
 
 def _nearest(own: np.ndarray, seeds: list[np.ndarray]) -> np.ndarray:
-    """Which seed's pixels are nearest to each of a component's; the first on ties."""
-    return np.argmin(np.stack([((own[:, None, :] - s[None, :, :]) ** 2).sum(2).min(1) for s in seeds]), axis=0)
+    """Which seed's pixels are nearest to each of a component's; the first on ties. Exact distances in two passes: down the columns of the box that holds all, then along the pixels' rows."""
+    corner = np.min([p.min(0) for p in (own, *seeds)], axis=0).astype(int)
+    w, h = np.max([p.max(0) for p in (own, *seeds)], axis=0).astype(int) - corner + 1
+    x, y = (own - corner).astype(int).T
+    best, which = np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), np.int64)
+    across = (x[:, None] - np.arange(w)) ** 2
+    far = 4 * (w + h)
+    for k, seed in enumerate(seeds):
+        row = np.full((h, w), -far)
+        sx, sy = (seed - corner).astype(int).T
+        row[sy, sx] = sy
+        above = np.maximum.accumulate(row, axis=0)
+        row[row < 0] = far + h
+        below = np.minimum.accumulate(row[::-1], axis=0)[::-1]
+        down = np.minimum(np.arange(h)[:, None] - above, below - np.arange(h)[:, None])
+        d = (across + down[y] ** 2).min(1)
+        closer = d < best
+        best[closer], which[closer] = d[closer], k
+    return which
 
 
 def trap_components(frames: DataFrame, rois: DataFrame, drift: DataFrame | None, rules: TrapRules, threshold: int = 130) -> DataFrame:

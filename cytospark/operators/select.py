@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.geometry import crosses_itself
 from .ordering import placed
 
 
@@ -139,16 +142,26 @@ def validate_fluorescence(px: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def validate_polygons(df: DataFrame, width: int, height: int) -> DataFrame:
-    """reason (or NULL) for each polygon (points: array of x, y structs): points, range, crossing, area."""
+    """reason (or NULL) for each polygon (points: array of x, y structs): points, range, crossing, area (of the points rounded to whole pixels)."""
+
+    @F.pandas_udf("boolean")
+    def crossing(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([crosses_itself(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)], dtype=bool)
+
+    axis = lambda c: F.transform("points", lambda p: p[c].cast("double"))
+    bad = lambda v, top: F.exists(v, lambda a: a.isNull() | F.isnan(a) | (a < 0) | (a >= top))
+    xs, ys = axis("x"), axis("y")
     n = F.size("points")
-    seg = F.expr("transform(sequence(0, size(points) - 1), i -> struct(i, points[i].x as ax, points[i].y as ay, points[(i + 1) % size(points)].x as bx, points[(i + 1) % size(points)].y as by))")
-    side = "((b{o}.bx - b{o}.ax) * ({p}y - b{o}.ay) - (b{o}.by - b{o}.ay) * ({p}x - b{o}.ax))"
-    cross = "exists(seg, b1 -> exists(seg, b2 -> b2.i > b1.i + 1 and not (b1.i = 0 and b2.i = size(seg) - 1)"
-    cross += " and " + side.format(o=1, p="b2.a") + " * " + side.format(o=1, p="b2.b") + " < 0 and " + side.format(o=2, p="b1.a") + " * " + side.format(o=2, p="b1.b") + " < 0))"
-    area = F.expr("abs(aggregate(seg, 0D, (s, e) -> s + e.ax * e.by - e.bx * e.ay)) / 2")
-    outside = F.expr(f"exists(points, p -> p.x is null or p.y is null or isnan(p.x) or isnan(p.y) or p.x < 0 or p.y < 0 or p.x > {width} or p.y > {height})")
-    reason = F.when(F.col("points").isNull() | (n < 3), "fewer than three points").when(outside, "outside").when(F.expr(cross), "self-intersection").when(area < 1, "area")
-    return df.withColumn("seg", F.when(n >= 3, seg)).withColumn("reason", reason).drop("seg")
+    outside = bad(xs, width) | bad(ys, height)
+    fair = df.withColumn("_why", F.when(F.col("points").isNull() | (n < 3), "fewer than three points").when(outside, "outside"))
+    # Only polygons that are fair so far go to Python; the others are a point each.
+    some = lambda v: F.when(F.col("_why").isNull(), v).otherwise(F.array(F.lit(0.0)))
+    rounded = lambda v: F.transform(v, lambda a: F.rint(a))
+    turned = lambda v: F.concat(F.slice(v, 2, n - 1), F.slice(v, 1, 1))
+    terms = F.zip_with(F.zip_with(rounded(xs), turned(rounded(ys)), lambda a, b: a * b), F.zip_with(turned(rounded(xs)), rounded(ys), lambda a, b: a * b), lambda a, b: a - b)
+    area = F.abs(F.aggregate(terms, F.lit(0.0), lambda s, e: s + e)) / 2
+    reason = F.when(F.col("_why").isNotNull(), F.col("_why")).when(F.col("_crossed"), "self-intersection").when(area < 1, "area")
+    return fair.withColumn("_crossed", crossing(some(xs), some(ys))).withColumn("reason", reason).drop("_why", "_crossed")
 
 
 def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:

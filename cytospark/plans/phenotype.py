@@ -5,36 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import numpy as np
-
-from ..functions import geometry as G
 from ..functions import scalars as S
 from ..operators import aggregate as A
 from ..operators import cells as C
-from ..operators import pixel_sets as P
 from ..operators import select as L
+from ..operators.ordering import written
 from ..sources import tables
 
 CHANNELS = ("fluo1", "fluo2")
 METRICS = ("normalized_median", "entropy_norm", "hoyer_sparsity", "top10_fraction", "polar_enrichment", "midcell_enrichment", "axial_spread", "axial_offset", "axial_asymmetry", "background_intensity")
 
 
-def ring_backgrounds(cells: DataFrame) -> DataFrame:
-    """The median of the ring about each contour, in the cell's own row (the row form of `pixel_sets.background_ring`)."""
-
-    def make(r: dict):
-        m = C._mask(r)
-        ring = np.any([G.shifted(m, i, j, False) for i, j in P.ellipse(7)], axis=0) & ~m
-        img = np.asarray(r["pixels"], float).reshape(m.shape)
-        yield r["dbname"], r["cell_id"], r["channel"], float(np.median(img[ring])) if m.any() and ring.any() else None
-
-    return C.each_row(cells, make, "dbname string, cell_id string, channel string, background double")
-
-
 def phenotype_features(cells: DataFrame, label: str | None = None, degree: int = 4, background: str = "local_ring") -> DataFrame:
     """One row a cell (cells: a row a channel): shape once, and ten metrics a channel; what can't be measured is NULL.
 
-    background: local_ring, or none (0 everywhere). Pixels are shuffled once, by cell; all aggregations reuse that.
+    background: local_ring, or none (0 everywhere). Images go through Python once; their pixels, which that gives
+    with their place, are written and shuffled once, by cell; all aggregations reuse that.
     """
     if degree < 1:
         raise ValueError("degree is at least 1")
@@ -43,15 +29,16 @@ def phenotype_features(cells: DataFrame, label: str | None = None, degree: int =
     k = C.CELL
     cells = L.filter_label(cells, label, "phenotype")
     ok = cells.where("contour is not null and pixels is not null and size(contour) >= 3")
-    px = C.axial_positions(ok, degree).repartition("dbname", "cell_id")
-    back = ring_backgrounds(ok) if background == "local_ring" else ok.select(*k, F.lit(0.0).alias("background"))
+    m = written(C.measured(ok, degree), "measured-cells")
+    px = m.where("intensity is not null").select(*k, F.explode(F.arrays_zip("intensity", "t")).alias("p")).select(*k, "p.intensity", "p.t").repartition("dbname", "cell_id")
+    back = m.select(*k, "background" if background == "local_ring" else F.lit(0.0).alias("background"))
     w = px.join(back.where("background is not null"), k).withColumn("w", F.greatest(F.col("intensity") - F.col("background"), F.lit(0.0)))
     metrics = A.normalized_median(px, k).join(back.withColumnRenamed("background", "background_intensity"), k, "left")
     metrics = metrics.join(A.concentration(px, back.where("background is not null"), k), k, "left").join(A.axial_localization(w, k), k, "left")
     metrics = metrics.withColumns({m: S.finite_or_null(F.col(m)) for m in METRICS})
     wide = metrics.groupBy("dbname", "cell_id").pivot("channel", list(CHANNELS)).agg(*(F.first(m).alias(m) for m in METRICS))
-    shape = C.cell_widths(ok.dropDuplicates(["dbname", "cell_id"]), degree)
-    shape = shape.select("dbname", "cell_id", *(S.finite_or_null(F.col(c), True).alias(c) for c in ("length", "width_mean", "width_median")))
+    shape = m.groupBy("dbname", "cell_id").agg(F.min(F.struct("channel", "length", "width_mean", "width_median")).alias("s"))  # all channels have one contour
+    shape = shape.select("dbname", "cell_id", *(S.finite_or_null(F.col(f"s.{c}"), True).alias(c) for c in ("length", "width_mean", "width_median")))
     base = cells.where("cell_id is not null").groupBy("dbname", "cell_id").agg(S.canonical_label(F.first("manual_label")).alias("manual_label"), S.finite_or_null(F.first("area"), True).alias("area_px2"))
     return base.join(shape, ["dbname", "cell_id"], "left").join(wide, ["dbname", "cell_id"], "left")
 

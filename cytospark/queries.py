@@ -833,12 +833,26 @@ def j12_regions(spark, sf):
     return C.segment_frames(_frames(spark, sf), ["dbname", "frame"])
 
 
-@query()
+#: A quartic by least squares in SQL: polynomials that are orthogonal on the 64 places, by their recurrence, there and at 20,001 finer places, whose extrema are placed by a parabola.
+_QUARTIC = "WITH x0_ AS (SELECT 0 AS fine, k AS i, k / 63.0::DOUBLE AS x, 1.0::DOUBLE AS p0 FROM range(64) t(k) UNION ALL SELECT 1, k, k / 20000.0::DOUBLE, 1.0::DOUBLE FROM range(20001) t(k)), "
+_QUARTIC += "x1_ AS (SELECT *, x - (SELECT avg(x) FROM x0_ WHERE fine = 0) AS p1 FROM x0_), "
+for _k in (2, 3, 4):
+    _a, _b = f"(SELECT sum(x * p{_k - 1} * p{_k - 1}) / sum(p{_k - 1} * p{_k - 1}) FROM x{_k - 1}_ WHERE fine = 0)", f"(SELECT sum(p{_k - 1} * p{_k - 1}) / sum(p{_k - 2} * p{_k - 2}) FROM x{_k - 1}_ WHERE fine = 0)"
+    _QUARTIC += f"x{_k}_ AS (SELECT *, (x - {_a}) * p{_k - 1} - {_b} * p{_k - 2} AS p{_k} FROM x{_k - 1}_), "
+_QUARTIC += "co_ AS (SELECT dbname, cell_id, " + ", ".join(f"sum(g * p{k}) / sum(p{k} * p{k}) AS c{k}" for k in range(5)) + " FROM profiles JOIN x4_ ON fine = 0 AND i = u1 GROUP BY ALL), "
+_QUARTIC += "y_ AS (SELECT dbname, cell_id, x, " + " + ".join(f"c{k} * p{k}" for k in range(5)) + " AS y FROM co_ CROSS JOIN x4_ WHERE fine = 1), "
+_QUARTIC += "n_ AS (SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after FROM y_ WINDOW w AS (PARTITION BY dbname, cell_id ORDER BY x)), "
+_QUARTIC += "e_ AS (SELECT dbname, cell_id, y < before AS low, x + 0.5 * (before - after) / (before - 2 * y + after) / 20000 AS place, y - 0.125 * (before - after) * (before - after) / (before - 2 * y + after) AS v FROM n_ WHERE (y < before AND y <= after OR y > before AND y >= after) AND abs(before - 2 * y + after) * 20000.0 * 20000 / (63 * 63) > 1e-6), "
+_QUARTIC += "s_ AS (SELECT dbname, cell_id, min(v) FILTER (low AND abs(place - 0.5) <= 0.15) AS lo, max(v) FILTER (NOT low) AS hi FROM e_ GROUP BY ALL), "
+_QUARTIC += "flags AS (SELECT dbname, cell_id, CASE WHEN abs(lo) > 1e-8 AND abs(hi) > 1e-8 AND lo / hi <= 0.9 THEN 'within' ELSE 'outside' END AS flag FROM co_ LEFT JOIN s_ USING (dbname, cell_id)) "
+
+
+@query(_QUARTIC + "SELECT dbname, cell_id, flag FROM flags")
 def j13_separation_flag(spark, sf):
     return C.separation_flag(profiles(spark, sf))
 
 
-@query()
+@query(_QUARTIC + ", shares AS (SELECT dbname, flag, count(*) AS k FROM flags GROUP BY ALL), alls AS (SELECT dbname, count(DISTINCT cell_id) AS n FROM profiles GROUP BY ALL) SELECT dbname, flag, k / n AS share FROM shares JOIN alls USING (dbname)", "share")
 def d36_separation_ratio(spark, sf):
     return C.separation_ratio(profiles(spark, sf))
 
@@ -941,7 +955,12 @@ def j19_axis_ribs(spark, sf):
     return r.join(turned, K2).select(*K2, arc.alias("arc"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.least("y0", "y1").alias("low"), F.greatest("y0", "y1").alias("high"))
 
 
-@query()
+@query(f"""WITH c AS ({_COMPONENTS}), d AS (SELECT DISTINCT view, frame + 1 AS frame, x + i AS x, y + j AS y, label AS before FROM c, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(i, j)),
+a AS (SELECT view, frame, label, count(*) AS area FROM c GROUP BY ALL), p AS (SELECT c.view, c.frame, c.label, d.before, count(*) AS n FROM c JOIN d USING (view, frame, x, y) GROUP BY ALL),
+q AS (SELECT view, frame, label, before FROM p JOIN a USING (view, frame, label) WHERE n >= greatest(8, round_even(area * 0.02, 0))), m AS (SELECT view, frame, label FROM q GROUP BY ALL HAVING count(*) > 1),
+e AS (SELECT c.view, c.frame, c.label, c.x, c.y, q.before, min((c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y)) AS d FROM c JOIN m USING (view, frame, label) JOIN q USING (view, frame, label) JOIN c o ON o.view = c.view AND o.frame = c.frame - 1 AND o.label = q.before GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY view, frame, label, x, y ORDER BY d, before) AS rn FROM e), f AS (SELECT *, count(*) OVER (PARTITION BY view, frame, label, before) AS n FROM w WHERE rn = 1)
+SELECT view, frame, label, x, y, before AS parent FROM f WHERE n >= 8""")
 def j20_split_recovered(spark, sf):
     px = view(spark, sf, "labelled").select("view", "frame", "label", "x", "y").distinct()
     return C.split_recovered(px, px, 8, 1)
@@ -981,7 +1000,13 @@ SMALL_CELLS = L.TrapRules(side_margin=1, min_area=4, min_minor=0, max_minor=1e9,
 
 @query("SELECT b.dbname, b.cell_id, CAST((x1 - x0 + 1) * (y1 - y0 + 1) AS BIGINT) AS old_area, CAST((least(x1 + 2, 50) - greatest(x0 - 2, 0) + 1) * (least(y1 + 2, 10) - greatest(y0 - 2, 0) + 1) AS BIGINT) AS area, 'updated' AS status FROM boxes b WHERE CAST(cell_id AS BIGINT) % 3 = 1 AND (dbname, cell_id) IN (SELECT (dbname, cell_id) FROM px WHERE channel = 'N')")
 def g4_elastic_mask(spark, sf):
-    return C.elastic_mask(_fluo1(spark, sf), 2, "1").withColumns({c: F.col(c).cast("long") for c in ("old_area", "area")})
+    return C.elastic_mask(_fluo1(spark, sf), 2, "1").select(*K2, "status", *(F.col(c).cast("long").alias(c) for c in ("old_area", "area")))
+
+
+@query("SELECT dbname, cell_id, CAST(y AS INT) AS y, CAST(greatest(x0 - 2, 0) AS INT) AS x0, CAST(least(x1 + 2, 50) AS INT) AS x1 FROM boxes, range(11) t(y) WHERE y BETWEEN y0 - 2 AND y1 + 2 AND (dbname, cell_id) IN (SELECT (dbname, cell_id) FROM px WHERE channel = 'N')")
+def g4_elastic_runs(spark, sf):
+    """The new masks themselves."""
+    return C.mask_runs(C.elastic_mask(_fluo1(spark, sf), 2))
 
 
 @query("SELECT dbname, count(*) AS total, count(*) FILTER (y1 - y0 >= 8) AS updated, count(*) FILTER (y1 - y0 < 8) AS failed FROM boxes WHERE (dbname, cell_id) IN (SELECT (dbname, cell_id) FROM px WHERE channel = 'N') GROUP BY dbname")
