@@ -3,9 +3,9 @@
 Tokens are intervals of bytes. All tokens of both tokenizers are sorted by start (lexsort), the running
 maximum of their ends is taken, and a group breaks where a start reaches it; within a group every A token is
 linked with every B token. A space or a newline after what isn't white space always begins a part for the A
-tokenizer, and no piece of B has a space after another sign or holds a newline, so both end a token there: texts
-are cut at such places, and each distinct chunk is tokenized and coalesced once (a bounded cache, known by its
-bytes). A text's groups are its chunks' groups in order.
+tokenizer, as does a change between letters, digits and other signs (but for what follows an apostrophe), and B has no piece
+that goes across such a place, so both end a token there: texts are cut at such places, and each distinct chunk is tokenized
+and coalesced once (a bounded cache, known by its bytes). A text's groups are its chunks' groups in order.
 
 How many documents hold a pair of ids is counted by Spark over each document's distinct pairs. The most frequent
 pairs (``MOST_HOT`` at most) go to every task, and what a document has of them is summed where it lies; the rest,
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,28 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
-def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where chunks start: at each text, and at each space or newline after a sign that surely isn't white space."""
+def changes(vocabularies: list[list[bytes]]) -> np.ndarray:
+    """For each two ASCII bytes whether a part ends between them: their kinds differ, the first is no apostrophe, and no token holds them side by side."""
+    kind = np.array([0 if chr(i).isalpha() else 1 if chr(i).isdigit() else 2 for i in range(128)])
+    out = np.zeros((256, 256), bool)
+    out[0x21:0x7F, 0x21:0x7F] = (kind[:, None] != kind[None, :])[0x21:0x7F, 0x21:0x7F]
+    out[ord("'")] = False
+    for tokens in vocabularies:
+        for t in tokens:
+            for a, b in zip(t, t[1:]):
+                out[a, b] = False
+    return out
+
+
+def cuts(data: np.ndarray, off: np.ndarray, changes: np.ndarray) -> np.ndarray:
+    """Where chunks start: at each text, at each space or newline after a sign that surely isn't white space, and at changes of kind."""
     at = np.flatnonzero((data[1:] == 0x20) | (data[1:] == 0x0A)) + 1
     one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     tail = (one >= 0x80) & (one < 0xC0)
     wide = tail & (two >= 0xC3) & (two < 0xE0) | tail & (two >= 0x80) & (two < 0xC0) & (three >= 0xE4) & (three < 0xF0)
     edges = np.zeros(len(data) + 1, bool)
     edges[at[_visible[one] | wide]] = True
+    edges[1:-1] |= changes[data[:-1], data[1:]]
     edges[off[:-1]] = True
     edges[len(data)] = False
     return np.flatnonzero(edges)
@@ -106,6 +121,20 @@ def merged(owner: np.ndarray, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return (key[first] >> np.uint64(32)).astype(np.int64), key[first] & np.uint64(0xFFFFFFFF), sums
 
 
+class Spellings:
+    """The bytes of each id of a vocabulary."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.at, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """All ids' bytes, one behind the other."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.at[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Aligner:
     """What a worker knows of chunks: numbers of tokens and groups, the groups as text, and the linked pairs."""
 
@@ -135,9 +164,9 @@ class Aligner:
         self.lead = self.b.encode("\n")
         if [self.bytes_b[i] for i in self.lead] != [b" ", b"\n"]:
             raise ValueError(f"{path_b}: it must add a space to a text and keep newlines")
-        self.size_a = np.zeros(1 << 16, np.int64)
-        self.size_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
-        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.spellings = Spellings([self.bytes_a.get(i, b"") for i in range(max(self.bytes_a) + 1)]), Spellings(self.bytes_b)
+        self.digits = Spellings([str(i).encode() for i in range(1 << 16)])
+        self.changes = changes([[t for i, t in self.bytes_a.items() if i not in special], self.bytes_b])
         self.forget()
 
     def forget(self) -> None:
@@ -156,12 +185,16 @@ class Aligner:
     def aligned(self, texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Entries of chunks without their places, their groups as text, and all their pairs and link counts in order."""
         a, b = self.tokens(texts)
-        same = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(a, b, texts)]
-        a, b = [x if s else [] for x, s in zip(a, same)], [y if s else [] for y, s in zip(b, same)]
-        n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        ids = [np.fromiter((i for x in side for i in x), np.int64) for side in (a, b)]
+        flat = lambda side: (np.fromiter(chain.from_iterable(side), np.int64), np.fromiter(map(len, side), np.int64, len(side)))
+        (ids_a, n_a), (ids_b, n_b) = flat(a), flat(b)
+        ids, same = [ids_a, ids_b], [True] * len(texts)
+        whole, length = b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        if not all((np.bincount(np.repeat(np.arange(len(texts)), n), x.size[i], len(texts)) == length).all() and x.of(i).tobytes() == whole for x, i, n in zip(self.spellings, ids, (n_a, n_b))):
+            same = [b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, t in zip(a, b, texts)]
+            (ids_a, n_a), (ids_b, n_b) = flat([x if ok else [] for x, ok in zip(a, same)]), flat([y if ok else [] for y, ok in zip(b, same)])
+            ids = [ids_a, ids_b]
         ends, starts, owners = [], [], []
-        for side, n, size in zip(ids, (n_a, n_b), (self.size_a, self.size_b)):
+        for side, n, size in zip(ids, (n_a, n_b), (x.size for x in self.spellings)):
             end = np.cumsum(size[side])
             starts.append(end - size[side])  # both sides have the same bytes, so both count from the chunks' bases
             ends.append(end)
@@ -174,16 +207,20 @@ class Aligner:
         n_links, n_pairs = np.bincount(own, weights=n, minlength=len(texts)).astype(np.int64), np.bincount(own, minlength=len(texts))
         return np.column_stack([n_a, n_b, n_groups, n_links, ~np.array(same, bool), n_pairs]), self.spelled(owner, group, kind, ids, len(texts)), pair, n
 
-    @staticmethod
-    def spelled(owner: np.ndarray, group: np.ndarray, kind: np.ndarray, ids: np.ndarray, n: int) -> list[bytes]:
-        """`a1,a2|b1;a3|b2`: each chunk's groups."""
-        out, last = [[] for _ in range(n)], -1
-        for o, g, k, i in zip(owner.tolist(), group.tolist(), kind.tolist(), ids.tolist()):
-            if g != last:
-                out[o].append(([], []))
-                last = g
-            out[o][-1][k].append(str(i))
-        return [";".join(f"{','.join(a)}|{','.join(b)}" for a, b in x).encode() for x in out]
+    def spelled(self, owner: np.ndarray, group: np.ndarray, kind: np.ndarray, ids: np.ndarray, n: int) -> list[bytes]:
+        """`a1,a2|b1;a3|b2`: each chunk's groups. Tokens come by group."""
+        order = np.argsort(group * 2 + kind, kind="stable")
+        owner, group, kind, ids = owner[order], group[order], kind[order], ids[order]
+        mark = np.full(len(ids), ord(","), np.uint8)  # what stands behind each id
+        mark[:-1][kind[1:] != kind[:-1]] = ord("|")
+        mark[:-1][group[1:] != group[:-1]] = ord(";")
+        size = self.digits.size[ids] + 1
+        ends, out = np.cumsum(size), np.empty(int(size.sum()), np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside], out[ends - 1] = self.digits.of(ids), mark
+        raw, edge = out.tobytes(), np.concatenate([[0], ends])[np.searchsorted(owner, np.arange(n + 1))]
+        return [raw[x : y - 1] if y > x else b"" for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
     def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
         got, groups, pairs, times = self.aligned(texts)
@@ -202,7 +239,7 @@ class Aligner:
         n = len(off) - 1
         if not len(data):
             return np.zeros((n, 4), np.int64), [""] * n, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        starts = cuts(data, off)
+        starts = cuts(data, off, self.changes)
         ends, raw = np.append(starts[1:], len(data)), data.tobytes()
         size = ends - starts
         number = words.numbered(data, starts, ends, h := words.hashes(data, starts, ends))
