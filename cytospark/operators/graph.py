@@ -1,4 +1,4 @@
-"""Connected components of a graph of rows: least labels with pointer jumping; nothing is gathered on the driver."""
+"""Connected components of a graph of rows by contraction, with pointer jumping; nothing is gathered on the driver."""
 
 from __future__ import annotations
 
@@ -11,28 +11,27 @@ from .ordering import removed, spread_join, written
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for the nodes of edges (a, b).
 
-    Each round takes the least label among a node's neighbours, then the label's own label; rounds
-    follow the logarithm of a component's diameter, not its size. A hub's edges, and the nodes under one
-    label, are joined in parts. Every round is a written table, and the last one's is deleted.
+    In a round each node points to its least neighbour, where that is less than itself; the trees of these pointers are
+    contracted to their roots, and the edges between different roots, once each, are the next round's graph. At most half of
+    a round's nodes are left, and edges within a tree are gone, so later rounds are small whatever the first graph is. A hub's
+    edges, and the nodes under one root, are joined in parts. Every round's tables are written, and deleted once the next stand.
     """
-    edges = edges.select("a", "b").where("a <> b")
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "labels")
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    total = written(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("root", F.col("node")), "labels")
     for _ in range(most_rounds):
-        near = spread_join(both, labels.select(F.col("node").alias("b"), "root"), ["b"], ["a"]).groupBy("a").agg(F.min("root").alias("near"))
-        least = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "labels")
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = written(spread_join(least, jump, ["root"], ["node"], "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        removed(labels, least)
-        labels = new
-        if new.where("old <> root").isEmpty():
-            removed(both)
-            out = labels.select("node", "root")
-            out.scratch = labels.scratch
-            return out
-        labels = labels.select("node", "root")
-        labels.scratch = new.scratch
-    raise RuntimeError("components: labels still change")
+        if left.isEmpty():
+            removed(left)
+            return total
+        roots = tree_roots(left.groupBy("b").agg(F.min("a").alias("least")).select(F.col("b").alias("a"), F.col("least").alias("b")))
+        up = spread_join(left, roots.select(F.col("node").alias("b"), F.col("root").alias("far")), ["b"], ["a"]).select("a", F.col("far").alias("b"))
+        up = written(up.where("a <> b").distinct(), "edges")
+        near = spread_join(up, roots.select(F.col("node").alias("a"), F.col("root").alias("far")), ["a"], ["b"], "left").select(F.coalesce("far", "a").alias("a"), "b")
+        new = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+        moved = spread_join(total, roots.select(F.col("node").alias("root"), F.col("root").alias("far")), ["root"], ["node"], "left").select("node", F.coalesce("far", "root").alias("root"))
+        whole = written(moved, "labels")
+        removed(left, up, total, roots)
+        left, total = new, whole
+    raise RuntimeError("components: edges are left")
 
 
 def tree_roots(parents: DataFrame, most_rounds: int = 60) -> DataFrame:
