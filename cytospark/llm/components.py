@@ -1,35 +1,7 @@
-"""Connected components by the least label, with pointer jumping; nothing is gathered on the driver."""
+"""Connected components of candidate links."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.graph import components, tree_roots
 
-from .common import removed, spread_join, written
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the least node of its component) for the nodes of edges (a, b).
-
-    Each round takes the least label among a node's neighbours, then the label's own label; rounds
-    follow the logarithm of a component's diameter, not its size. A hub's edges, and the nodes under one
-    label, are joined in parts. Every round is a written table, and the last one's is deleted.
-    """
-    edges = edges.select("a", "b").where("a <> b")
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "labels")
-    for _ in range(most_rounds):
-        near = spread_join(both, labels.select(F.col("node").alias("b"), "root"), ["b"], ["a"]).groupBy("a").agg(F.min("root").alias("near"))
-        least = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")), "labels")
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = written(spread_join(least, jump, ["root"], ["node"], "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        removed(labels, least)
-        labels = new
-        if new.where("old <> root").isEmpty():
-            removed(both)
-            out = labels.select("node", "root")
-            out.scratch = labels.scratch
-            return out
-        labels = labels.select("node", "root")
-        labels.scratch = new.scratch
-    raise RuntimeError("components: labels still change")
+__all__ = ["components", "tree_roots"]

@@ -5,8 +5,8 @@
    the banding have one short key of either collection combined as their key: 144 tables of 4 values come from 48
    values instead of 576. Only short keys that some other node has are combined. Two sets at similarity s meet in a table
    unless they agree on no key of one collection, which at 0.8 has a chance below 1e-5.
-3. Each bucket's least node is its centre. Nodes are compared with their centres on full sets, so a tight group of any size
-   costs a comparison a node, not a pair, and becomes one component.
+3. Each bucket's least node is its centre. A node is compared on full sets with the centre that it meets in most buckets, so a
+   tight group of any size costs a comparison a node, not a pair, and becomes one component.
 4. Only buckets that still hold several components go on: their pairs across components are compared by signature, dropped
    where their posterior probability of reaching the threshold is below ``TOLERANCE``, and what is left is verified on
    full sets. Pairs within a component need no comparison, as the result is components.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_join, words
 from .common import removed, spread_join, written
-from .components import components
+from .components import components, tree_roots
 
 #: Links have SHARE[1] * intersection >= SHARE[0] * union, in whole numbers.
 SHARE, SHINGLE = (4, 5), 4
@@ -229,7 +229,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     tables = table_rows(nodes)
     centre = tables.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    edges = written(tables.join(centre, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "edges")
+    # Of its buckets' centres a node is compared with the one that it meets most often; the pairs that this leaves out come in step 4.
+    met = tables.join(centre, "bucket").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
+    edges = written(met.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "edges")
     few = nodes.select("node", "n_shingles", "signature")
     alike = edges.join(few.selectExpr("node as a", "n_shingles as size_a"), "a").join(few.selectExpr("node as b", "n_shingles as size_b"), "b")
     edges_of_size = written(alike.where(SHARE[1] * F.least("size_a", "size_b") >= SHARE[0] * F.greatest("size_a", "size_b")).select("a", "b"), "edges")
@@ -238,19 +240,23 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(texts_of(docs, wanted), "texts")
     links = to_centres(edges_of_size, texts)
     removed(edges_of_size, texts)
-    roots = components(links)
+    roots = tree_roots(links)  # a centre is the least of its bucket, and a node has one: these are trees
     labels = written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
     removed(roots)
     more = across(tables, labels, nodes)
-    removed(tables, labels)
+    removed(tables)
     clusters = written(components(more).withColumnRenamed("root", "cluster").join(nodes.select("node", "digest", "n_shingles", "copies", "text_key"), "node"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.col("n_shingles") * 16).alias("bytes"))
     members = written(spread_join(clusters, sizes, ["cluster"], ["node"]), "clusters")
     rest = ngram_join.verified(members, docs, shingles)
     removed(clusters, members, more)
-    roots = components(links.unionByName(rest.select(F.col("node").alias("a"), F.col("to").alias("b"))))
-    out = written(nodes.select("node", "digest", "copies", "doc").join(roots, "node", "left").select("digest", "copies", "doc", F.coalesce("root", "node").alias("root")), "classes")
-    removed(nodes, links, rest, roots)
+    # What was found across components joins their labels.
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    found = rest.where("node <> to").select("node", "to").join(label("node"), "node").join(label("to"), "to").where("label_node <> label_to")
+    roots = components(found.select(F.col("label_node").alias("a"), F.col("label_to").alias("b")))
+    whole = spread_join(labels, roots.withColumnRenamed("node", "label"), ["label"], ["node"], "left").select("node", F.coalesce("root", "label").alias("root"))
+    out = written(nodes.select("node", "digest", "copies", "doc").join(whole, "node").select("digest", "copies", "doc", "root"), "classes")
+    removed(nodes, labels, links, rest, roots)
     return rows.select("doc_id", "digest", "n_shingles", "text_key"), out
 
 
