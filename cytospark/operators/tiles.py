@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from .cells import each_row_arrays
 from .graph import components
-from .ordering import group_key, removed, spread_join, with_group, written
+from .ordering import group_key, merged, removed, spread_join, with_group, written
 
 
 def cut_frames(frames: DataFrame, keys: list[str], nx: int, ny: int, column: str) -> DataFrame:
@@ -67,7 +67,7 @@ def _united(labelled: DataFrame, keys: list[str]) -> DataFrame:
     # Half of the eight neighbours: each pair of pixels meets once.
     near = edge.withColumn("o", F.explode(F.expr("array(struct(1 as i, 0 as j), struct(-1 as i, 1 as j), struct(0 as i, 1 as j), struct(1 as i, 1 as j))")))
     near = near.select("g", "tag", F.col("label").alias("a"), F.col("tile_x").alias("tx"), F.col("tile_y").alias("ty"), (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
-    pairs = near.join(edge, ["g", "tag", "x", "y"]).where("tile_x <> tx or tile_y <> ty").select("a", F.col("label").alias("b"))
+    pairs = near.join(merged(edge), ["g", "tag", "x", "y"]).where("tile_x <> tx or tile_y <> ty").select("a", F.col("label").alias("b"))
     return components(pairs.where("a <> b").distinct())
 
 
@@ -75,11 +75,11 @@ def tiled_components(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """tiles (with mask: labels, 0 outside): keys, x, y in the frame, and the component of each pixel, numbered by its first pixel in reading order."""
     labelled = _labelled(tiles, keys, lambda r, h, w: np.asarray(r["mask"]).reshape(h, w), "tile-labels")
     roots = _united(labelled, keys)
-    rooted = labelled.select(*keys, "label", "first_y", "first_x").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
+    rooted = labelled.select(*keys, "label", "first_y", "first_x").join(merged(roots.withColumnRenamed("node", "label")), "label", "left").withColumn("root", F.coalesce("root", "label"))
     first = rooted.groupBy(*keys, "root").agg(F.min(F.struct("first_y", "first_x")).alias("first"))
     place = first.withColumn("component", F.row_number().over(Window.partitionBy(*keys).orderBy("first"))).select("root", "component")
-    named = written(spread_join(written(rooted.select("label", "root"), "tile-roots"), place, ["root"], ["label"]).select("label", "component"), "tile-components")
-    px = labelled.join(named, "label").select(*keys, "component", F.explode(F.arrays_zip("xs", "ys")).alias("p"))
+    named = written(spread_join(written(rooted.select("label", "root"), "tile-roots"), merged(place), ["root"], ["label"]).select("label", "component"), "tile-components")
+    px = labelled.join(merged(named), "label").select(*keys, "component", F.explode(F.arrays_zip("xs", "ys")).alias("p"))
     return px.select(*keys, F.col("p.xs").cast("int").alias("x"), F.col("p.ys").cast("int").alias("y"), F.col("component").cast("int").alias("component"))
 
 
@@ -94,7 +94,7 @@ def segment_tiles(tiles: DataFrame, keys: list[str], param1: int = 130) -> DataF
 
     labelled = _labelled(with_group(tiles, span.where("low < high"), keys), keys, dark, "tile-regions")
     roots = _united(labelled, keys)
-    rooted = labelled.drop("xs", "ys", "edge_xs", "edge_ys").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
+    rooted = labelled.drop("xs", "ys", "edge_xs", "edge_ys").join(merged(roots.withColumnRenamed("node", "label")), "label", "left").withColumn("root", F.coalesce("root", "label"))
     sums = rooted.groupBy(*keys, "root").agg(F.sum("n").alias("n"), F.sum("sum_x").alias("sum_x"), F.sum("sum_y").alias("sum_y"), F.min(F.struct("first_y", "first_x")).alias("first"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first"))  # a frame's regions
     out = written(sums.select(*keys, place.cast("int").alias("component"), F.col("n").cast("int").alias("area"), (F.col("sum_x") / F.col("n")).alias("cx"), (F.col("sum_y") / F.col("n")).alias("cy")), "tile-sums")
