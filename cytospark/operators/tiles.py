@@ -34,6 +34,8 @@ def _labelled(tiles: DataFrame, keys: list[str], tag_of, what: str) -> DataFrame
     def make(r: dict) -> tuple | None:
         h, w = int(r["height"]), int(r["width"])
         tag = tag_of(r, h, w)
+        if tag is None:
+            return None
         c = G.components(tag)
         y, x = np.nonzero(c)
         if not len(x):
@@ -88,11 +90,13 @@ def segment_tiles(tiles: DataFrame, keys: list[str], param1: int = 130) -> DataF
     v = F.transform("pixels", lambda p: p.cast("double"))
     span = tiles.select(*keys, F.array_min(v).alias("low"), F.array_max(v).alias("high")).groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
-    def dark(r: dict, h: int, w: int) -> np.ndarray:
+    def dark(r: dict, h: int, w: int) -> np.ndarray | None:
+        if not r["low"] < r["high"]:  # NaN where a frame has no span
+            return None
         img = np.asarray(r["pixels"], float).reshape(h, w)
         return np.floor((img - r["low"]) / (r["high"] - r["low"]) * 255) < param1
 
-    labelled = _labelled(with_group(tiles, span.where("low < high"), keys), keys, dark, "tile-regions")
+    labelled = _labelled(with_group(tiles, span.where("low < high"), keys, "left"), keys, dark, "tile-regions")
     roots = _united(labelled, keys)
     rooted = labelled.drop("xs", "ys", "edge_xs", "edge_ys").join(merged(roots.withColumnRenamed("node", "label")), "label", "left").withColumn("root", F.coalesce("root", "label"))
     sums = rooted.groupBy(*keys, "root").agg(F.sum("n").alias("n"), F.sum("sum_x").alias("sum_x"), F.sum("sum_y").alias("sum_y"), F.min(F.struct("first_y", "first_x")).alias("first"))

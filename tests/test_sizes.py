@@ -26,3 +26,14 @@ def test_tiles_are_united_without_broadcasts(spark, monkeypatch):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
     assert {(r["x"] // 4, r["component"]) for r in out.collect()} == {(0, 1), (1, 2)}
     assert out.count() == 5 * 16
+
+
+def test_tiles_meet_their_frames_range_and_are_not_copied_for_it(spark, monkeypatch):
+    from cytospark.operators import tiles
+
+    rows = [(1, 4, 6, [0.0, 0.0, 9.0, 9.0, 0.0, 0.0] * 4), (2, 4, 6, [5.0] * 24)]
+    frames = spark.createDataFrame(rows, "frame long, height int, width int, pixels array<double>")
+    seen = caught(monkeypatch, tiles, "_labelled")
+    out = tiles.segment_tiles(tiles.cut_frames(frames, ["frame"], 3, 2, "pixels"), ["frame"])
+    assert "LeftOuter" in seen[0]._jdf.queryExecution().sparkPlan().toString()  # whose left side is never broadcast
+    assert [tuple(r) for r in out.orderBy("component").collect()] == [(1, 1, 8, 0.5, 1.5), (1, 2, 8, 4.5, 1.5)]
