@@ -37,3 +37,20 @@ def test_tiles_meet_their_frames_range_and_are_not_copied_for_it(spark, monkeypa
     out = tiles.segment_tiles(tiles.cut_frames(frames, ["frame"], 3, 2, "pixels"), ["frame"])
     assert "LeftOuter" in seen[0]._jdf.queryExecution().sparkPlan().toString()  # whose left side is never broadcast
     assert [tuple(r) for r in out.orderBy("component").collect()] == [(1, 1, 8, 0.5, 1.5), (1, 2, 8, 4.5, 1.5)]
+
+
+def test_frames_are_never_copied_to_meet_rows(spark):
+    """Spark takes arrays that a plan makes for 8 bytes each, and so frames for the smaller side of a join."""
+    from pyspark.sql import functions as F
+
+    from cytospark.operators import cells
+
+    def frames(views: int):
+        f = spark.range(views).select((F.col("id") % views).alias("view"), F.lit(0).cast("long").alias("frame"), F.lit(12).alias("height"), F.lit(40).alias("width"))
+        return f.repartition(4, "view").withColumn("pixels", F.expr("transform(sequence(0, 479), i -> double(i % 40 * 1000 + i div 40))"))
+
+    joined = lambda views: cells.drift(frames(views))
+    few, many = (joined(n)._jdf.queryExecution().sparkPlan().toString() for n in (3, cells.MOST_COPIED + 1))
+    assert "BuildRight" in few and "BuildLeft" not in few
+    assert "BroadcastHashJoin" not in many and "SortMergeJoin" in many
+    assert {(r["dx"], r["dy"]) for r in joined(3).collect()} == {(0, 0)}
