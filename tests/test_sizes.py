@@ -54,3 +54,20 @@ def test_frames_are_never_copied_to_meet_rows(spark):
     assert "BuildRight" in few and "BuildLeft" not in few
     assert "BroadcastHashJoin" not in many and "SortMergeJoin" in many
     assert {(r["dx"], r["dy"]) for r in joined(3).collect()} == {(0, 0)}
+
+
+def test_crops_go_to_frames_and_not_the_other_way(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cytospark.operators import cells
+
+    f = spark.range(3).select(F.col("id").alias("frame"), F.lit(60).alias("height"), F.lit(120).alias("width"))
+    f = f.repartition(4, "frame").withColumn("pixels", F.expr("transform(sequence(0, 7199), i -> if(abs(i % 120 - 40) <= 8 and abs(i div 120 - 30) <= 4, 0D, 60000D))"))
+    seen = caught(monkeypatch, cells, "each_row")
+    out = cells.cells_of_frames(f, ["frame"], 0.13, size=24, low=24, high=60)
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    monkeypatch.setattr(cells, "MOST_COPIED", 2)
+    cells.cells_of_frames(f, ["frame"], 0.13, size=24, low=24, high=60)
+    assert "SortMergeJoin" in seen[1]._jdf.queryExecution().sparkPlan().toString()
+    assert [(r["frame"], r["area"], r["crop_cx"]) for r in out.orderBy("frame").collect()] == [(k, 153, 12.0) for k in range(3)]
