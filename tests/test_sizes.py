@@ -71,3 +71,24 @@ def test_crops_go_to_frames_and_not_the_other_way(spark, monkeypatch):
     cells.cells_of_frames(f, ["frame"], 0.13, size=24, low=24, high=60)
     assert "SortMergeJoin" in seen[1]._jdf.queryExecution().sparkPlan().toString()
     assert [(r["frame"], r["area"], r["crop_cx"]) for r in out.orderBy("frame").collect()] == [(k, 153, 12.0) for k in range(3)]
+
+
+def test_many_masks_are_labelled_in_one_pass():
+    import numpy as np
+
+    from cytospark.functions import geometry as G
+
+    masks = np.random.default_rng(5).integers(0, 3, (40, 7, 13))
+    many = G.components_of_many(masks)
+    for mask, labels in zip(masks, many):
+        want, seen = np.zeros(mask.shape, int), 0
+        for y, x in zip(*np.nonzero(mask)):
+            if not want[y, x]:
+                seen += 1
+                todo = [(y, x)]
+                while todo:
+                    b, a = todo.pop()
+                    if 0 <= b < 7 and 0 <= a < 13 and not want[b, a] and mask[b, a] == mask[y, x]:
+                        want[b, a] = seen
+                        todo += [(b + j, a + i) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert (labels == want).all()
