@@ -92,3 +92,26 @@ def test_many_masks_are_labelled_in_one_pass():
                         want[b, a] = seen
                         todo += [(b + j, a + i) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         assert (labels == want).all()
+
+
+def test_an_outline_is_measured_once_for_all_its_images(monkeypatch):
+    from cytospark.functions import geometry as G
+    from cytospark.operators import cells
+
+    made, own = [], G.Centerline
+    monkeypatch.setattr(G, "Centerline", lambda *a: made.append(a) or own(*a))
+    row = {"contour": [{"x": a, "y": b} for a, b in ((2.5, 1.0), (44.0, 1.0), (44.0, 9.0), (2.5, 9.0))], "height": 11, "width": 51, "pixels": list(range(561))}
+    for opening in (3, 5, 7):
+        cells._map_of(row, 4, 8, 16, opening, False)
+    assert len(made) == 1
+
+
+def test_map_totals_are_those_of_the_maps(spark, sf):
+    from pyspark.sql import functions as F
+
+    from cytospark import queries as Q
+    from cytospark.operators import cells
+
+    some = Q._fluo1(spark, sf).limit(4).localCheckpoint()
+    maps = cells.cell_maps(some, height=16, width=64).select("cell_id", F.array_min("map").alias("low"), F.array_max("map").alias("high"), F.aggregate("map", F.lit(0.0), lambda s, v: s + v).alias("total"))
+    assert sorted(map(tuple, cells.cell_map_totals(some, height=16, width=64).select("cell_id", "low", "high", "total").collect())) == sorted(map(tuple, maps.collect()))
