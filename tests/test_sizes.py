@@ -115,3 +115,19 @@ def test_map_totals_are_those_of_the_maps(spark, sf):
     some = Q._fluo1(spark, sf).limit(4).localCheckpoint()
     maps = cells.cell_maps(some, height=16, width=64).select("cell_id", F.array_min("map").alias("low"), F.array_max("map").alias("high"), F.aggregate("map", F.lit(0.0), lambda s, v: s + v).alias("total"))
     assert sorted(map(tuple, cells.cell_map_totals(some, height=16, width=64).select("cell_id", "low", "high", "total").collect())) == sorted(map(tuple, maps.collect()))
+
+
+def test_profiles_are_made_where_the_images_lie(spark, sf):
+    from pyspark.sql import functions as F
+
+    from cytospark import queries as Q
+    from cytospark.operators import cells, windows
+
+    some = Q._fluo1(spark, sf).limit(6).localCheckpoint()
+    own = cells.cell_profiles(some, digits=6)
+    assert "Exchange" not in own._jdf.queryExecution().sparkPlan().toString()
+    px = cells.profile_pixels(some)
+    turned = px.groupBy("dbname", "cell_id").agg((F.max_by("u", "x") < F.min_by("u", "x")).alias("turned"))
+    px = px.join(turned, ["dbname", "cell_id"]).withColumn("u", F.round(F.when(F.col("turned"), 1 - F.col("u")).otherwise(F.col("u")), 6))
+    want = {(r["dbname"], r["cell_id"]): (r["u1"], r["g"]) for r in windows.profile_bins(px, ["dbname", "cell_id"]).collect()}
+    assert {(r["dbname"], r["cell_id"]): (r["u1"], r["g"]) for r in own.collect()} == want
