@@ -59,8 +59,9 @@ def neighbours(z: np.ndarray, train: np.ndarray, y: np.ndarray, ks: list[int]) -
     """For each k the share of label 1 among the k nearest, by the inverse of distance."""
     most, size = min(max(ks), len(train)), (train**2).sum(1)
     out = [np.empty(len(z)) for _ in ks]
-    for lo in range(0, len(z), 256):
-        q = z[lo : lo + 256]
+    step = max(1, (1 << 20) // max(1, len(train)))  # distances in 8 MB
+    for lo in range(0, len(z), step):
+        q = z[lo : lo + step]
         d = (q**2).sum(1)[:, None] - 2 * q @ train.T + size
         at = np.argpartition(d, most - 1, axis=1)[:, :most]
         near = np.sqrt(((q[:, None, :] - train[at]) ** 2).sum(2))  # exact for those that count
@@ -68,7 +69,7 @@ def neighbours(z: np.ndarray, train: np.ndarray, y: np.ndarray, ks: list[int]) -
         near, label = np.take_along_axis(near, order, 1), y[np.take_along_axis(at, order, 1)]
         w = 1 / (near + 1e-6)
         for o, k in zip(out, ks):
-            o[lo : lo + 256] = (w * label)[:, :k].sum(1) / w[:, :k].sum(1)
+            o[lo : lo + step] = (w * label)[:, :k].sum(1) / w[:, :k].sum(1)
     return out
 
 
