@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -152,8 +154,8 @@ def broadcast_threshold(df: DataFrame, control: DataFrame, value: str) -> DataFr
     return df.crossJoin(F.broadcast(control)).withColumn("below", F.col(value) < F.col("threshold"))
 
 
-#: Pivots of a nearest-neighbour join, and rows of a block of a cell or of the queries that meet it.
-MOST_PIVOTS, BLOCK = 1024, 8192
+#: Pivots of a nearest-neighbour join, sites that their cells lie on, rows of a block of a site or of the queries that meet it, and distances to pivots that a task holds at once.
+MOST_PIVOTS, SITES, BLOCK, MOST_HELD = 1024, 64, 8192, 1 << 18
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,71 +177,106 @@ def pivots_of(train: DataFrame, most: int = MOST_PIVOTS) -> np.ndarray:
     return _matrix(some["features"]) if n else np.zeros((0, 0))
 
 
+def _steps(pdfs: Iterator[pd.DataFrame], pivots: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of batches and their distances to the pivots, so few at a time that MOST_HELD distances or values are held, however large a batch is."""
+    step = max(1, MOST_HELD // max(pivots.shape))
+    for pdf in pdfs:
+        for lo in range(0, len(pdf), step):
+            part = pdf.iloc[lo : lo + step]
+            yield part, _apart(_matrix(part["features"]), pivots)
+
+
 def cells_of(train: DataFrame, pivots: np.ndarray) -> DataFrame:
     """train with its nearest pivot (cell) and the distance to it (off)."""
 
     def run(pdfs):
-        for pdf in pdfs:
-            if len(pdf):
-                d = _apart(_matrix(pdf["features"]), pivots)
-                cell = d.argmin(1)
-                yield pd.DataFrame({"train_id": pdf["train_id"], "features": pdf["features"], "cell": cell.astype(np.int32), "off": d[np.arange(len(d)), cell]})
+        for part, d in _steps(pdfs, pivots):
+            cell = d.argmin(1)
+            yield pd.DataFrame({"train_id": part["train_id"], "features": part["features"], "cell": cell.astype(np.int32), "off": d[np.arange(len(d)), cell]})
 
     return train.select("train_id", F.col("features").cast("array<double>")).mapInPandas(run, "train_id long, features array<double>, cell int, off double")
 
 
+def sites_of(size: np.ndarray) -> np.ndarray:
+    """The site of each cell: SITES at most, of about the same number of rows. A query goes once to each site that it visits, whatever the number of cells."""
+    site, held = np.zeros(len(size), np.int64), np.zeros(min(SITES, len(size)), np.int64)
+    for cell in np.argsort(-size, kind="stable").tolist():
+        site[cell] = held.argmin()
+        held[site[cell]] += size[cell]
+    return site
+
+
 def _visited(query: DataFrame, pivots: np.ndarray, size: np.ndarray, radius: np.ndarray, k: int, home: bool) -> DataFrame:
-    """A row for each cell that a query (query_id, features, reach: its k-th distance so far) visits.
+    """A row for each site that a query (query_id, features, reach: its k-th distance so far) goes to, with the cells that it visits there and how far (away) their pivots are.
 
     home: the nearest cells that together hold k rows. Otherwise all others that may hold a row within the query's reach:
     no row of a cell is nearer than the pivot's distance less the cell's radius.
     """
+    site = sites_of(size)
+    dealt = [np.flatnonzero(site == s) for s in range(site.max() + 1)]
 
     def run(pdfs):
-        for pdf in pdfs:
-            if not len(pdf):
-                continue
-            d = _apart(_matrix(pdf["features"]), pivots)
+        for part, d in _steps(pdfs, pivots):
             order = np.argsort(d, axis=1, kind="stable")
             held = np.cumsum(size[order], axis=1)
             at_home = np.zeros(d.shape, bool)
             np.put_along_axis(at_home, order, np.concatenate([np.zeros((len(d), 1)), held[:, :-1]], axis=1) < k, axis=1)
             at_home &= size > 0
-            reach = pdf["reach"].to_numpy(float)
-            q, cell = np.nonzero(at_home if home else ~at_home & (size > 0) & (d - radius <= reach[:, None] * (1 + 1e-9) + 1e-9))
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[q], "features": pdf["features"].to_numpy()[q], "reach": reach[q], "cell": cell.astype(np.int32), "away": d[q, cell]})
+            reach = part["reach"].to_numpy(float)
+            goes = at_home if home else ~at_home & (size > 0) & (d - radius <= reach[:, None] * (1 + 1e-9) + 1e-9)
+            for s, cells in enumerate(dealt):
+                rows = np.flatnonzero(goes[:, cells].any(1))
+                if not len(rows):
+                    continue
+                there = [cells[goes[q, cells]] for q in rows]
+                yield part.iloc[rows].assign(site=np.int32(s), cells=[c.astype(np.int32) for c in there], away=[d[q, c] for q, c in zip(rows, there)])
 
-    return query.select("query_id", "features", "reach").mapInPandas(run, "query_id long, features array<double>, reach double, cell int, away double")
+    return query.select("query_id", "features", "reach").mapInPandas(run, "query_id long, features array<double>, reach double, site int, cells array<int>, away array<double>")
 
 
 def _met(visits: DataFrame, train: DataFrame, size: np.ndarray, k: int, block: int) -> DataFrame:
-    """The k nearest rows that each visit finds: query_id, train_id, distance, compared (how many distances the visit took, on one of its rows).
+    """The k nearest rows that each visit of a site's block finds: query_id, train_id, distance, compared (how many distances the visit took, on one of its rows).
 
-    A cell's rows and its queries are cut into blocks; a task has a block of each. A query compares the rows only whose
-    distance to the pivot differs from its own by no more than its reach.
+    A site's rows and its queries are cut into blocks; a task has a block of each. A query compares the rows only of the cells
+    that it visits, and of these those whose distance to the pivot differs from its own by no more than its reach.
     """
-    of_query = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))  # a row a cell
-    parts = F.element_at(F.array(*(F.lit(max(1, -(-int(n) // block))) for n in size)), F.col("cell") + 1)
+    site = sites_of(size)
+    of_query = visits.groupBy("site").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))  # a row a site
+    rows = np.bincount(site, size).astype(int).tolist()
+    parts = F.element_at(F.array(*(F.lit(max(1, -(-n // block))) for n in rows)), F.col("site") + 1)
     part = lambda c, n: F.pmod(F.xxhash64(c), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    q = visits.join(F.broadcast(of_query), "cell").withColumn("qb", part("query_id", F.col("nq"))).withColumn("tb", every(parts)).drop("nq")
-    t = train.join(F.broadcast(of_query), "cell").withColumn("tb", part("train_id", parts)).withColumn("qb", every(F.col("nq"))).drop("nq")
+    q = visits.join(F.broadcast(of_query), "site").withColumn("qb", part("query_id", F.col("nq"))).withColumn("tb", every(parts)).drop("nq")
+    t = train.withColumn("site", F.element_at(F.array(*(F.lit(int(s)) for s in site)), F.col("cell") + 1))
+    t = t.join(F.broadcast(of_query), "site").withColumn("tb", part("train_id", parts)).withColumn("qb", every(F.col("nq"))).drop("nq")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "train_id": np.zeros(0, np.int64), "distance": np.zeros(0), "compared": np.zeros(0, np.int64)})]
-        if len(a) and len(b):
-            b = b.sort_values(["off", "train_id"])
-            ids, off, x = b["train_id"].to_numpy(), b["off"].to_numpy(), _matrix(b["features"])
-            slack = a["reach"].to_numpy() * (1 + 1e-9) + 1e-9
-            lo, hi = np.searchsorted(off, a["away"].to_numpy() - slack), np.searchsorted(off, a["away"].to_numpy() + slack, side="right")
-            for one, v, i, j in zip(a["query_id"].tolist(), _matrix(a["features"]), lo.tolist(), hi.tolist()):
-                if i < j:
-                    d = np.sqrt(((v - x[i:j]) ** 2).sum(1))
-                    near = np.lexsort((ids[i:j], d))[:k]
-                    rows.append(pd.DataFrame({"query_id": one, "train_id": ids[i:j][near], "distance": d[near], "compared": [j - i] + [0] * (len(near) - 1)}))
-        return pd.concat(rows)
-
-    return q.groupBy("cell", "qb", "tb").cogroup(t.groupBy("cell", "qb", "tb")).applyInPandas(run, "query_id long, train_id long, distance double, compared long")
+        n = len(a)
+        none = np.iinfo(np.int64).max
+        near, ids, compared = np.full((n, k), np.inf), np.full((n, k), none), np.zeros(n, np.int64)
+        if n and len(b):
+            b = b.sort_values(["cell", "off"])
+            train_ids, off, x, points = b["train_id"].to_numpy(), b["off"].to_numpy(), _matrix(b["features"]), _matrix(a["features"])
+            cell, away = np.concatenate(a["cells"].to_numpy()), np.concatenate(a["away"].to_numpy())
+            of = np.repeat(np.arange(n), a["cells"].map(len))
+            slack = a["reach"].to_numpy()[of] * (1 + 1e-9) + 1e-9
+            first = np.flatnonzero(np.r_[True, np.diff(b["cell"].to_numpy()) != 0])
+            for c, lo, hi in zip(b["cell"].to_numpy()[first].tolist(), first.tolist(), [*first[1:].tolist(), len(b)]):
+                here = np.flatnonzero(cell == c)
+                i, j = (lo + np.searchsorted(off[lo:hi], away[here] + s * slack[here], side=side) for s, side in ((-1, "left"), (1, "right")))
+                compared[of[here]] += np.maximum(j - i, 0)
+                for one, i, j in zip(of[here].tolist(), i.tolist(), j.tolist()):
+                    if i < j:
+                        d = np.sqrt(((points[one] - x[i:j]) ** 2).sum(1))
+                        at = np.flatnonzero(d <= near[one, -1])
+                        if len(at):
+                            far, who = np.r_[near[one], d[at]], np.r_[ids[one], train_ids[i:j][at]]
+                            best = np.lexsort((who, far))[:k]
+                            near[one], ids[one] = far[best], who[best]
+        q, place = np.nonzero(np.isfinite(near) | (ids < none))
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[q], "train_id": ids[q, place], "distance": near[q, place], "compared": np.where(place == 0, compared[q], 0)})
+
+    return q.groupBy("site", "qb", "tb").cogroup(t.groupBy("site", "qb", "tb")).applyInPandas(run, "query_id long, train_id long, distance double, compared long")
 
 
 def knn_visits(query: DataFrame, train: DataFrame, k: int, most_pivots: int = MOST_PIVOTS, block: int = BLOCK) -> DataFrame:

@@ -131,3 +131,26 @@ def test_profiles_are_made_where_the_images_lie(spark, sf):
     px = px.join(turned, ["dbname", "cell_id"]).withColumn("u", F.round(F.when(F.col("turned"), 1 - F.col("u")).otherwise(F.col("u")), 6))
     want = {(r["dbname"], r["cell_id"]): (r["u1"], r["g"]) for r in windows.profile_bins(px, ["dbname", "cell_id"]).collect()}
     assert {(r["dbname"], r["cell_id"]): (r["u1"], r["g"]) for r in own.collect()} == want
+
+
+def test_a_task_of_a_neighbour_join_holds_few_visits(spark, monkeypatch):
+    """Queries that visit every cell go once to each site, and few distances to pivots at a time, however many rows a batch has."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cytospark.operators import joins
+
+    monkeypatch.setattr(joins, "MOST_HELD", 120)
+    r = np.random.default_rng(8)
+    points = r.normal(size=(400, 12))
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, features array<double>").coalesce(1)
+    size = np.full(100, 4)
+    q = df.where("id < 60").select(F.col("id").alias("query_id"), "features", F.lit(float("inf")).alias("reach"))
+    visits = joins._visited(q, points[300:], size, np.full(100, 1e9), 1, False)
+    met = visits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.size("cells")).alias("cells")).collect()
+    assert len(met) == 60 and all(r["n"] <= joins.SITES and r["cells"] == 99 for r in met)  # all but the home cell
+    steps = [len(part) for part, _ in joins._steps(iter([df.where("id < 60").toPandas()]), points[300:])]
+    assert max(steps) == 1 and sum(steps) == 60
+    got = joins.knn_join(df.where("id < 60").withColumnRenamed("id", "query_id"), df.where("id >= 60").withColumnRenamed("id", "train_id"), 3, 20, 50)
+    d = np.sqrt(((points[:60, None] - points[None, 60:]) ** 2).sum(2))
+    assert sorted((x["query_id"], x["rank"], x["train_id"]) for x in got.collect()) == sorted((k, n + 1, int(j) + 60) for k in range(60) for n, j in enumerate(np.argsort(d[k], kind="stable")[:3]))
