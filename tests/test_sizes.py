@@ -154,3 +154,33 @@ def test_a_task_of_a_neighbour_join_holds_few_visits(spark, monkeypatch):
     got = joins.knn_join(df.where("id < 60").withColumnRenamed("id", "query_id"), df.where("id >= 60").withColumnRenamed("id", "train_id"), 3, 20, 50)
     d = np.sqrt(((points[:60, None] - points[None, 60:]) ** 2).sum(2))
     assert sorted((x["query_id"], x["rank"], x["train_id"]) for x in got.collect()) == sorted((k, n + 1, int(j) + 60) for k in range(60) for n, j in enumerate(np.argsort(d[k], kind="stable")[:3]))
+
+
+def test_cells_with_spots_are_dealt_out(spark, sf):
+    """Spark drops a step that deals rows out by the key that a join has dealt them by, and merges what is small into one task."""
+    from cytospark import queries as Q
+
+    assert "REPARTITION_BY_NUM" in plan_of(Q.QUERIES["j7_detect_spots"](spark, sf))
+
+
+def test_spots_of_many_images_are_those_of_each(spark):
+    """Images are searched together where their masks call for the same widths; a dark, an empty and an unfinite one among them."""
+    import numpy as np
+
+    from cytospark.functions import geometry as G
+    from cytospark.operators import cells
+
+    r = np.random.default_rng(3)
+    y, x = np.mgrid[:40, :120]
+    imgs = np.stack([30 + r.normal(size=x.shape) + sum(70 * np.exp(-((x - a) ** 2 + (y - b) ** 2) / 8) for a, b in ((25.3, 18.1), (60.2, 16.8), (95.1, 17.6))[: k % 4]) for k in range(12)])
+    imgs[5, 20, 30] = np.nan
+    boxes = [(4 + k % 3, 5, 115, 35 - k % 3 * 4) for k in range(12)]
+    masks = [(x >= a) & (x <= c) & (y >= b) & (y <= d) for a, b, c, d in boxes]
+    masks[7] = np.zeros_like(masks[7])
+    many = G.spots_of_many(imgs, masks)
+    assert many == [G.detect_spots(i, m) for i, m in zip(imgs, masks)] and not many[5] and not many[7]
+    assert [len(s) for s in many] == [0, 1, 2, 3, 0, 0, 2, 0, 0, 1, 2, 3]
+    rows = [("a", str(k), "f", 40, 120, img.ravel().tolist(), [{"x": float(p), "y": float(q)} for p, q in ((a, b), (c, b), (c, d), (a, d))]) for k, (img, (a, b, c, d)) in enumerate(zip(imgs, boxes)) if k not in (5, 7)]
+    df = spark.createDataFrame(rows, "dbname string, cell_id string, channel string, height int, width int, pixels array<double>, contour array<struct<x:double,y:double>>")
+    got = {(r["cell_id"], r["spot_id"]): (r["x"], r["y"], r["amplitude"]) for r in cells.detect_spots(df).collect()}
+    assert got == {(str(k), n): s[:3] for k, spots in enumerate(many) for n, s in enumerate(spots)}
