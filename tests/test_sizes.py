@@ -184,3 +184,31 @@ def test_spots_of_many_images_are_those_of_each(spark):
     df = spark.createDataFrame(rows, "dbname string, cell_id string, channel string, height int, width int, pixels array<double>, contour array<struct<x:double,y:double>>")
     got = {(r["cell_id"], r["spot_id"]): (r["x"], r["y"], r["amplitude"]) for r in cells.detect_spots(df).collect()}
     assert got == {(str(k), n): s[:3] for k, spots in enumerate(many) for n, s in enumerate(spots)}
+
+
+def test_components_of_traps_are_measured_without_a_pass_each(monkeypatch):
+    """Surroundings, rectangles and medians of small shapes by plain definitions; none pads arrays, a shape that comes again isn't measured."""
+    import numpy as np
+
+    from cytospark.functions import geometry as G
+    from cytospark.operators import cells
+
+    r = np.random.default_rng(4)
+    measured, own = [], G.least_rectangle
+    monkeypatch.setattr(G, "least_rectangle", lambda p: measured.append(p) or own(p))
+    monkeypatch.setattr(np, "pad", None)
+    for k in range(30):
+        mask = r.random((1 + k % 7, 2 + k % 9)) < 0.4
+        wide = np.zeros(mask.shape, bool)
+        for y, x in zip(*np.nonzero(mask)):
+            wide[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3] = True
+        assert (cells._about(mask, 2) == wide).all()
+        if mask.any():
+            v = r.integers(0, 256, int(mask.sum())).astype(float)
+            assert cells._median(v) == np.median(v)
+            y, x = np.nonzero(mask)
+            cells._rectangle_of.cache_clear()
+            n = len(measured)
+            assert cells._rectangle(x, y) == cells._rectangle(x + 5, y + 3) and len(measured) == n + 1
+            every = own(np.column_stack([x, y]).astype(float))
+            assert abs(np.prod(cells._rectangle(x, y)) - np.prod(every)) < 1e-9
