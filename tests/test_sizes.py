@@ -212,3 +212,23 @@ def test_components_of_traps_are_measured_without_a_pass_each(monkeypatch):
             assert cells._rectangle(x, y) == cells._rectangle(x + 5, y + 3) and len(measured) == n + 1
             every = own(np.column_stack([x, y]).astype(float))
             assert abs(np.prod(cells._rectangle(x, y)) - np.prod(every)) < 1e-9
+
+
+def test_a_cells_spots_are_placed_together():
+    """Each as by itself, those without a place among them; lines meet a ring in order and once at its corners."""
+    import numpy as np
+
+    from cytospark.functions import geometry as G
+
+    contour = np.array([[4.0, 6.0], [20.0, 5.0], [46.0, 8.0], [46.0, 17.0], [20.0, 14.0], [4.0, 15.0]])
+    rod = G.Rod(contour, G.pixels(G.raster(contour, 24, 52)))
+    points = np.random.default_rng(2).uniform([0, 0], [52, 24], (60, 2))
+    points[7] = np.nan
+    many = rod.places(points)
+    assert many == [rod.place(p) for p in points]
+    assert {why for *_, why in many} == {None, "no local width", "outside the section"}
+    square = np.array([[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]])
+    meets = G.crossings(square, np.array([[1.0, 1.0], [0.0, 2.0], [9.0, 9.0]]), np.array([[0.0, 1.0], [1.0, 0.0], [0.0, 1.0]]))
+    assert [row[np.isfinite(row)].tolist() for row in meets] == [[-1.0, 3.0], [0.0, 4.0], []]
+    corner = G.crossings(square, np.array([[2.0, 2.0]]), np.array([[1.0, 1.0]]))
+    assert corner[0, :2].tolist() == [-2.0, 2.0] and not np.isfinite(corner[0, 2:]).any()
