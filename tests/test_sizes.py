@@ -232,3 +232,46 @@ def test_a_cells_spots_are_placed_together():
     assert [row[np.isfinite(row)].tolist() for row in meets] == [[-1.0, 3.0], [0.0, 4.0], []]
     corner = G.crossings(square, np.array([[2.0, 2.0]]), np.array([[1.0, 1.0]]))
     assert corner[0, :2].tolist() == [-2.0, 2.0] and not np.isfinite(corner[0, 2:]).any()
+
+
+def bought(spark, path, rows) -> str:
+    """A folder whose lineitem holds these rows: supplier, status, flag, quantity, discount, price."""
+    spark.createDataFrame(rows, "l_suppkey long, l_linestatus string, l_returnflag string, l_quantity double, l_discount double, l_extendedprice double").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_images_hold_the_greatest_value_at_each_place(spark, tmp_path):
+    import math
+
+    from cytospark import standin
+
+    nan = float("nan")
+    rows = [(s, "F", "N", float(s % 51), s % 11 / 100, 10.0 + s) for s in range(400)]  # no supplier has many items
+    rows += [(7, "O", "A", 3.0, 0.01, v) for v in [-5.0, None, -2.0]] + [(7, "O", "R", 3.0, 0.01, None), (7, "O", "R", 4.0, 0.01, nan), (7, "O", "R", 4.0, 0.01, 1.0)]
+    rows += [(8, "F", "A", 60.0, 0.1, 1.0), (8, None, "A", 2.0, 0.0, 4.0), (None, "F", "A", 2.0, 0.0, 5.0), (9, "F", "A", None, 0.0, 6.0)]
+    rows += [(1000, "F", "N", float(k % 51), k // 51 % 11 / 100, float(k)) for k in range(2000)]  # one has most of them
+    want = {}
+    for s, d, c, q, p, v in rows:
+        if q is not None and (at := round(p * 100) * 51 + int(q)) < 561:
+            image = want.setdefault((s, d, {"A": "ph", "N": "fluo1", "R": "fluo2"}[c]), {})
+            known = [x for x in (image.get(at), v) if x is not None]
+            image[at] = nan if any(math.isnan(x) for x in known) else max(known, default=None)
+    sf = bought(spark, tmp_path, rows)
+    got = {(r["l_suppkey"], r["dbname"], r["channel"]): r["pixels"] for r in standin.images(spark, sf).collect()}
+    assert got.keys() == want.keys() and len(got) == 405
+    for k, image in want.items():
+        assert repr(got[k]) == repr([image.get(at) or 0.0 for at in range(561)])
+    for where, of in (("channel = 'ph'", "ph"), ("channel = 'fluo1'", "fluo1")):
+        assert {(r["l_suppkey"], r["dbname"]) for r in standin.images(spark, sf, where).collect()} == {(s, d) for s, d, c in want if c == of}
+        assert {(r["l_suppkey"], r["dbname"]) for r in standin.outlines(spark, sf, where).collect()} == {(s, d) for s, d, c in want if c == of}
+
+
+def test_items_are_shuffled_once_for_their_images(spark, tmp_path):
+    from cytospark import queries as Q
+
+    sf = bought(spark, tmp_path, [(s, "F", "N", float(s % 51), s % 11 / 100, 10.0 + s) for s in range(400)])
+    for name in ("j4_profile_vectors", "j12_regions", "j16_edge_profile"):
+        plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+        assert "max(l_extendedprice" not in plan  # pixels aren't grouped by place, then by image
+    plan = Q._fluo1(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
