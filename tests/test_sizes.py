@@ -275,3 +275,15 @@ def test_items_are_shuffled_once_for_their_images(spark, tmp_path):
         assert "max(l_extendedprice" not in plan  # pixels aren't grouped by place, then by image
     plan = Q._fluo1(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_parts_of_images_grow_with_their_items(spark, tmp_path, monkeypatch):
+    """Whatever the session's number of partitions: a task's items, and so its memory, don't grow with the table."""
+    from cytospark import queries as Q
+    from cytospark import standin
+
+    sf = bought(spark, tmp_path, [(s, "F", "N", float(s % 51), s % 11 / 100, 10.0 + s) for s in range(400)])
+    assert "Exchange hashpartitioning" in (few := Q._fluo1(spark, sf)._jdf.queryExecution().executedPlan().toString()) and ", 4), REPARTITION_BY_COL" in few
+    monkeypatch.setattr(standin, "MOST_ITEMS", 40)
+    assert ", 11), REPARTITION_BY_NUM" in Q._fluo1(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert Q.QUERIES["j4_profile_vectors"](spark, sf).count() == Q.QUERIES["j12_regions"](spark, sf).select("frame").distinct().count() == 400
