@@ -287,3 +287,44 @@ def test_parts_of_images_grow_with_their_items(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(standin, "MOST_ITEMS", 40)
     assert ", 11), REPARTITION_BY_NUM" in Q._fluo1(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert Q.QUERIES["j4_profile_vectors"](spark, sf).count() == Q.QUERIES["j12_regions"](spark, sf).select("frame").distinct().count() == 400
+
+
+def test_components_are_joined_by_runs():
+    """Random labels against a flood fill; and a mask that is full costs little more than its answer, which has 8 bytes a pixel."""
+    import tracemalloc
+
+    import numpy as np
+
+    from cytospark.functions import geometry as G
+
+    def filled(mask):
+        out = np.zeros(mask.shape, int)
+        for start in zip(*np.nonzero(mask > 0)):
+            todo, n = [start] if not out[start] else [], out.max() + 1
+            while todo:
+                y, x = at = todo.pop()
+                if not out[at]:
+                    out[at] = n
+                    todo += [(i, j) for i in range(max(y - 1, 0), min(y + 2, len(mask))) for j in range(max(x - 1, 0), min(x + 2, mask.shape[1])) if mask[i, j] == mask[at]]
+        return out
+
+    r = np.random.default_rng(5)
+    for labels in (1, 1, 2, 3) * 10:
+        n, h, w = r.integers(1, 8, 3)
+        masks = r.integers(1, labels + 1, (n, h, w)) * (r.random((n, h, w)) < r.random()) - (r.random((n, h, w)) < 0.1)
+        assert (G.components_of_many(masks) == [filled(m) for m in masks]).all()
+        assert (G.components_of_many(masks > 0) == [filled(m > 0) for m in masks]).all()
+    full = np.ones((1, 700, 700), bool)
+    tracemalloc.start()
+    assert (G.components_of_many(full) == 1).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * full.size
+
+
+def test_frames_go_to_python_with_what_is_read_of_them(spark, sf):
+    from cytospark import queries as Q
+
+    for name, unread in (("j12_regions", ("mask", "view", "roi", "contour")), ("j10_components_of_pixels", ("view", "roi", "contour")), ("j16_edge_profile", ("mask", "contour"))):
+        plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [c for c in unread if f" AS {c}#" in plan], name
