@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..operators.ordering import removed, scratch, scratch_tables, spread_join, written
+from ..operators.ordering import merged, merged_if_many, removed, scratch, scratch_tables, spread_join, written
 
-__all__ = ["prefix_sums", "removed", "scratch", "scratch_tables", "spread_join", "table", "written"]
+__all__ = ["merged", "merged_if_many", "prefix_sums", "removed", "scratch", "scratch_tables", "spread_join", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import written
+from .common import merged, written
 
 ENTRY, RUN, POSTINGS, BLOCKS = 64, 3, 16, 256
 #: Words of the other part that a part of two or three words is looked for with.
@@ -358,7 +358,7 @@ def statistics_of(benchmark: DataFrame, shards: int) -> tuple[int, int, DataFram
     parts = written(sharded.mapInArrow(run, "shard int, term binary, n long, words long"), "item-terms")
     whole = parts.where("shard < 0").agg(F.sum("n").alias("entries"), F.sum("words").alias("words")).first()
     df = parts.where("shard >= 0").groupBy("term").agg(F.sum("n").alias("df"))
-    return whole["entries"] or 0, whole["words"] or 0, written(parts.where("shard >= 0").select("shard", "term").distinct().join(df, "term"), "item-statistics")
+    return whole["entries"] or 0, whole["words"] or 0, written(parts.where("shard >= 0").select("shard", "term").distinct().join(merged(df), "term"), "item-statistics")
 
 
 def shard_of(shards: int) -> Column:

@@ -3,7 +3,8 @@
 A line (the first 128 bits of its trimmed text's SHA-256, so that no two lines meet) must occur ``min_sites`` times to be on as many sites, so
 counts come first. The rest get a HyperLogLog sketch of their sites, merged before and after the
 shuffle by aggregation. Where an estimate is too near the threshold, sites are counted exactly.
-A line over it goes everywhere but at its first place, by doc_id and position.
+A line over it goes everywhere but at its first place, by doc_id and position. Lines' tables grow with the corpus,
+however small Spark takes their digests to be, so they meet by merge.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, spread_join, written
+from .common import merged, merged_if_many, removed, spread_join, written
 
 MIN_SITES = 8
 #: A line has some sign that isn't a space; a blank one is no boilerplate.
@@ -30,15 +31,16 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Lines on at least min_sites sites, each with its first place. ``lines`` is a written table; so is the result."""
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
-    shared = written(spread_join(lines, often, ["line"], ["doc_id", "pos"], "left_semi"), "shared-lines")
+    often = written(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"), "often-lines")
+    n_often = often.count()
+    shared = written(spread_join(lines, merged_if_many(often, n_often), ["line"], ["doc_id", "pos"], "left_semi"), "shared-lines")
     spread = written(shared.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("doc_id", "key", "pos")).alias("first")), "site-sketches")
     far, near = F.col("sites") >= min_sites * (1 + MARGIN) + 1, F.col("sites") > min_sites * (1 - MARGIN) - 1
     close = spread.where(~far & near)
-    sites = spread_join(shared, close.select("line"), ["line"], ["doc_id", "pos"], "left_semi").select("line", "site").distinct()
+    sites = spread_join(shared, merged_if_many(close.select("line"), n_often), ["line"], ["doc_id", "pos"], "left_semi").select("line", "site").distinct()
     exact = sites.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    out = written(spread.where(far).select("line", "first").unionByName(close.join(exact, "line", "left_semi").select("line", "first")), "boilerplate")
-    removed(shared, spread)
+    out = written(spread.where(far).select("line", "first").unionByName(close.join(merged_if_many(exact, n_often), "line", "left_semi").select("line", "first")), "boilerplate")
+    removed(often, shared, spread)
     return out
 
 
@@ -46,7 +48,7 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_C
     """doc_id, key and the positions of the lines that go, one row for each text that loses any."""
     lines = written(line_table(docs, min_chars), "lines")
     chosen = boilerplate(lines, min_sites)
-    gone = spread_join(lines, chosen, ["line"], ["doc_id", "pos"]).where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
+    gone = spread_join(lines, merged_if_many(chosen, chosen.count()), ["line"], ["doc_id", "pos"]).where(~F.struct("doc_id", "key", "pos").eqNullSafe(F.col("first")))
     out = written(gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "removals")
     removed(lines, chosen)
     return out
@@ -72,7 +74,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars:
     spare = "_".join(["_", *docs.columns])
     gone = removals(docs, min_sites, min_chars).select(F.col("doc_id").alias(f"{spare}d"), F.col("key").alias(f"{spare}k"), F.col("gone").alias(f"{spare}g"))
     # What goes grows with the corpus, so texts and removals meet by shuffle at any size.
-    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"`{spare}d`")) & (F.xxhash64("text") == F.col(f"`{spare}k`")), "left")
+    out = docs.join(merged(gone), F.col("doc_id").eqNullSafe(F.col(f"`{spare}d`")) & (F.xxhash64("text") == F.col(f"`{spare}k`")), "left")
     lines, drop = F.split("text", "\n", -1), F.col(f"`{spare}g`")
     cut = F.when(drop.isNull(), F.col("text")).otherwise(F.array_join(between(lines, drop), "\n"))
     counts = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), F.when(drop.isNull(), 0).otherwise(F.size(drop)).cast("long")

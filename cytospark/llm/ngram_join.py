@@ -10,7 +10,8 @@
 
 Buckets and clusters are cut into blocks of at most about ``BLOCK`` nodes and ``BLOCK_BYTES`` of shingles
 (a longer text is a block of its own); each pair of blocks is a task's work. A task returns counts and a
-spanning forest, never the pairs.
+spanning forest, never the pairs. Tables that grow with the corpus meet by merge: Spark counts an array or an
+exploded row as one value, and so would broadcast them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import removed, spread_join, written
+from .common import merged, merged_if_many, removed, spread_join, written
 from .components import components
 
 #: The threshold is a share of whole numbers, which pairs are compared with exactly.
@@ -197,7 +198,7 @@ def candidates(nodes_: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what may be similar: for each bucket's task a spanning forest of the surviving pairs."""
     bands = nodes_.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = written(bands.join(shared, "bucket"), "buckets")
+    rows = written(bands.join(merged(shared), "bucket"), "buckets")
     n = max(1, rows.count() // ROWS_A_TASK)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,7 +216,7 @@ def candidates(nodes_: DataFrame) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(own)))
         return pd.DataFrame({"a": own[moved], "b": own[label[moved]]})
 
-    dealt = tasks(rows.join(nodes_.select("node", "keys"), "node"), "bucket", "node", F.col("size") / BLOCK, F.col("size") <= SMALL, n)
+    dealt = tasks(rows.join(merged(nodes_.select("node", "keys")), "node"), "bucket", "node", F.col("size") / BLOCK, F.col("size") <= SMALL, n)
     edges = written(dealt.repartitionByRange("task").groupBy("task").applyInPandas(run, "a long, b long").distinct(), "candidates")
     removed(rows, dealt)
     return edges
@@ -234,9 +235,10 @@ def verified(clusters: DataFrame, docs: DataFrame, shingles: Callable[[np.ndarra
                 flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * 16).astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(digests(own, at), pa.binary()), flat], names=["digest", "shingles"])
 
-    texts = docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).join(clusters.select("text_key"), "text_key", "left_semi")
+    total = clusters.agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 16).alias("bytes")).first()
+    texts = docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("text_key")).join(merged_if_many(clusters.select("text_key"), total["n"]), "text_key", "left_semi")
     found = texts.select("text").mapInArrow(sets, "digest binary, shingles binary").dropDuplicates(["digest"])
-    rows = clusters.join(found, "digest").drop("digest", "text_key")
+    rows = clusters.join(merged(found), "digest").drop("digest", "text_key")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, a0, b0, na, nb, same = sides(pdf)
@@ -261,7 +263,6 @@ def verified(clusters: DataFrame, docs: DataFrame, shingles: Callable[[np.ndarra
         label = forest(len(own), np.concatenate(left), np.concatenate(right))
         return pd.DataFrame({"node": own, "links": links, "to": own[label]})
 
-    total = clusters.agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") * 16).alias("bytes")).first()
     n = max(1, total["n"] // ROWS_A_TASK * 4, (total["bytes"] or 0) // BLOCK_BYTES)
     blocks, small = F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES), (F.col("size") <= SMALL) & (F.col("bytes") <= BLOCK_BYTES)
     dealt = tasks(rows.drop("n_shingles"), "cluster", "node", blocks, small, n)
@@ -309,16 +310,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(described(docs), "signatures")
     some, at = rows.where("digest is not null"), F.struct("doc_id", "text_key")
     copies = some.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.min(at).alias("first"))
-    distinct = some.dropDuplicates(["digest"]).select("digest", "n_shingles", "keys").join(copies, "digest")
+    distinct = some.dropDuplicates(["digest"]).select("digest", "n_shingles", "keys").join(merged(copies), "digest")
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    clusters = written(components(candidates(distinct)).withColumnRenamed("root", "cluster").join(distinct.select("node", "digest", "n_shingles", "copies", F.col("first.text_key").alias("text_key")), "node"), "clusters")
+    n_nodes = distinct.count()
+    met = lambda df: merged_if_many(df, n_nodes)  # noqa: E731  # for tables of a row a node at most
+    clusters = written(components(candidates(distinct)).withColumnRenamed("root", "cluster").join(met(distinct.select("node", "digest", "n_shingles", "copies", F.col("first.text_key").alias("text_key"))), "node"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.col("n_shingles") * 16).alias("bytes"))
-    members = written(spread_join(clusters, sizes, ["cluster"], ["node"]), "clusters")
+    members = written(spread_join(clusters, met(sizes), ["cluster"], ["node"]), "clusters")
     links = verified(members, docs)
     removed(clusters, members)
     roots = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
     weight = links.groupBy("node").agg(F.sum("links").alias("links"))
-    out = distinct.drop("keys", "n_shingles").join(roots, "node", "left").join(weight, "node", "left")
+    out = distinct.drop("keys", "n_shingles").join(met(roots), "node", "left").join(met(weight), "node", "left")
     out = written(out.select("digest", "copies", "doc", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     removed(distinct, links, roots)
     return rows.select("doc_id", "text_key", "digest"), out
@@ -332,9 +335,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id, are linked with nothing: class_id is their own doc_id.
     """
     rows, out = classes(docs)
+    n_nodes = out.count()
     least = out.groupBy("root").agg(F.min("doc").alias("class_id"))
-    out = written(spread_join(out, least, ["root"], ["digest"]).select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "linked")
-    found = spread_join(rows, out, ["digest"], ["doc_id", "text_key"], "left")
+    out = written(spread_join(out, merged_if_many(least, n_nodes), ["root"], ["digest"]).select("digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "linked")
+    found = spread_join(rows, merged_if_many(out, n_nodes), ["digest"], ["doc_id", "text_key"], "left")
     return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -344,15 +348,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Blank and null texts are in no class and stay. All columns stay, whatever their names.
     """
     rows, out = classes(docs)
+    n_nodes = out.count()
     first = out.groupBy("root").agg(F.min("first").alias("class_first"))
-    out = written(spread_join(out, first, ["root"], ["digest"]).select("digest", "class_first"), "linked")
-    rows = spread_join(rows, out, ["digest"], ["doc_id", "text_key"]).withColumn("stays", F.struct("doc_id", "text_key").eqNullSafe(F.col("class_first")))
+    out = written(spread_join(out, merged_if_many(first, n_nodes), ["root"], ["digest"]).select("digest", "class_first"), "linked")
+    rows = spread_join(rows, merged_if_many(out, n_nodes), ["digest"], ["doc_id", "text_key"]).withColumn("stays", F.struct("doc_id", "text_key").eqNullSafe(F.col("class_first")))
     rows = written(rows.select("doc_id", "text_key", "stays"), "stays")
     gone = rows.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
+    stay = docs.join(merged_if_many(gone, rows.where("not stays").count()), docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
     # A row that is there twice, id and text: seldom, so it is looked for before texts are shuffled for it.
     twice = rows.where("stays").groupBy(F.col("doc_id").alias("twice_id"), F.col("text_key").alias("twice_key")).agg(F.count("*").alias("n")).where("n > 1")
-    if twice.isEmpty():
+    n_twice = twice.count()
+    if not n_twice:
         return stay
     at = stay["doc_id"].eqNullSafe(twice["twice_id"]) & (F.xxhash64(stay["text"]) == twice["twice_key"])
-    return stay.join(twice, at, "left_anti").unionByName(stay.join(twice, at, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return stay.join(merged_if_many(twice, n_twice), at, "left_anti").unionByName(stay.join(merged_if_many(twice, n_twice), at, "left_semi").dropDuplicates(["doc_id", "text"]))

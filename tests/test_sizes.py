@@ -28,6 +28,28 @@ def test_tiles_are_united_without_broadcasts(spark, monkeypatch):
     assert out.count() == 5 * 16
 
 
+def near_texts(spark):
+    """Three groups of near copies, one text twice, a line that all sources share, and texts of their own."""
+    text = lambda g, n: " ".join(f"g{g}w{k}" for k in range(80)) + f" n{n}\nread more on this site"
+    rows = [(k, text(k % 3, k), "en", f"s{k}", 0) for k in range(30)] + [(30, text(0, 0), "en", "s0", 0)]
+    return spark.createDataFrame(rows + [(k, text(k, k), "en", "s1", 0) for k in range(40, 50)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_of_the_pipeline_join_without_broadcasts(spark, monkeypatch):
+    from cytospark.llm import line_dedup, ngram_join
+    from cytospark.operators import ordering
+
+    monkeypatch.setattr(ordering, "MOST_COPIED", -1, raising=False)
+    seen = caught(monkeypatch, line_dedup, "written"), caught(monkeypatch, ngram_join, "written")
+    docs = near_texts(spark)
+    lines, kept = line_dedup.without_boilerplate(docs), ngram_join.keep_one(docs)
+    assert len(seen[0]) > 4 and len(seen[1]) > 7
+    for df in (lines, kept, *seen[0], *seen[1]):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, *range(40, 50)}
+    assert {r["n_removed"] for r in lines.where("doc_id > 0").collect()} == {1}
+
+
 def test_tiles_meet_their_frames_range_and_are_not_copied_for_it(spark, monkeypatch):
     from cytospark.operators import tiles
 
