@@ -12,6 +12,7 @@
    full sets. Pairs within a component need no comparison, as the result is components.
 
 The centres' tasks and the buckets are cut into blocks of bounded size; tasks return forests, never pairs of a group.
+Tables that grow with the corpus meet by merge: Spark counts an array or an exploded row as one value, and so would broadcast them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_join, words
-from .common import removed, spread_join, written
+from .common import merged, merged_if_many, removed, spread_join, written
 from .components import components, tree_roots
 
 #: Links have SHARE[1] * intersection >= SHARE[0] * union, in whole numbers.
@@ -114,7 +115,7 @@ def table_rows(nodes: DataFrame) -> DataFrame:
     """bucket, node: for each node all combinations of a first and a second short key that other nodes have too."""
     short = nodes.select("node", F.posexplode("keys").alias("k", "key")).select("node", (F.col("k") < SIDE).alias("first"), F.xxhash64("k", "key").alias("key"))
     common = short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = written(short.join(common, "key"), "short-keys")
+    held = written(short.join(merged(common), "key"), "short-keys")
     sides = held.groupBy("node").agg(F.collect_list(F.when(F.col("first"), F.col("key"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("b"))
     out = written(sides.select("node", F.explode("a").alias("x"), "b").select("node", "x", F.explode("b").alias("y")).select("node", F.xxhash64("x", "y").alias("bucket")), "tables")
     removed(held)
@@ -147,16 +148,16 @@ def sets_of(texts: list[str]) -> list[np.ndarray]:
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text: one of the texts of each node (node, text_key, digest) given."""
     one = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    return one.join(nodes.select("node", "text_key").distinct(), "text_key").dropDuplicates(["node"]).select("node", "text")
+    return one.join(merged(nodes.select("node", "text_key").distinct()), "text_key").dropDuplicates(["node"]).select("node", "text")
 
 
-def to_centres(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among edges (a, b: the centre): a task has a centre and at most about BLOCK of its members."""
+def to_centres(edges: DataFrame, texts: DataFrame, n_nodes: int) -> DataFrame:
+    """The links among edges (a, b: the centre) of n_nodes nodes: a task has a centre and at most about BLOCK of its members."""
     parts = edges.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    own = spread_join(edges, parts, ["b"], ["a"]).withColumn("part", F.pmod(F.xxhash64("a", F.lit(7)), "parts"))
+    own = spread_join(edges, merged_if_many(parts, n_nodes), ["b"], ["a"]).withColumn("part", F.pmod(F.xxhash64("a", F.lit(7)), "parts"))
     own = written(own.select("a", "b", "part"), "centres")
-    members = own.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", F.col("a").alias("node"), "text")
-    centres = own.select("b", "part").distinct().join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.col("b").alias("node"), "text")
+    members = own.join(merged(texts.withColumnRenamed("node", "a")), "a").select("b", "part", F.col("a").alias("node"), "text")
+    centres = own.select("b", "part").distinct().join(merged(texts.withColumnRenamed("node", "b")), "b").select("b", "part", F.col("b").alias("node"), "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, b = pdf["node"].to_numpy(), pdf["b"].to_numpy()
@@ -178,12 +179,12 @@ def to_centres(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def across(tables: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def across(tables: DataFrame, labels: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
     """Pairs of nodes (a, b) that meet in a bucket, are of different components, and whose signatures don't rule a link out: for each task a spanning forest of them."""
-    rows = spread_join(tables, labels, ["node"], ["bucket"])
+    rows = spread_join(tables, merged_if_many(labels, n_nodes), ["node"], ["bucket"])
     rows = written(rows, "labelled")
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
-    rest = written(rows.join(mixed, "bucket"), "mixed")
+    rest = written(rows.join(merged(mixed), "bucket"), "mixed")
     removed(rows)
     n = max(1, rest.count() // ROWS_A_TASK)
 
@@ -214,7 +215,7 @@ def across(tables: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 
-    dealt = ngram_join.tasks(rest.join(nodes.select("node", "n_shingles", "signature"), "node"), "bucket", "node", F.col("size") / BLOCK, F.col("size") <= ngram_join.SMALL, n)
+    dealt = ngram_join.tasks(rest.join(merged(nodes.select("node", "n_shingles", "signature")), "node"), "bucket", "node", F.col("size") / BLOCK, F.col("size") <= ngram_join.SMALL, n)
     out = written(dealt.repartitionByRange("task").groupBy("task").applyInPandas(run, "a long, b long").distinct(), "across")
     removed(rest, dealt)
     return out
@@ -225,37 +226,39 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(described(docs), "signatures")
     some = rows.where("digest is not null")
     docs_of = some.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_key"))["text_key"].alias("text_key"))
-    nodes = some.dropDuplicates(["digest"]).select("digest", "n_shingles", "keys", "signature").join(docs_of, "digest")
+    nodes = some.dropDuplicates(["digest"]).select("digest", "n_shingles", "keys", "signature").join(merged(docs_of), "digest")
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n_nodes = nodes.count()
+    met = lambda df: merged_if_many(df, n_nodes)  # noqa: E731  # for tables of a row a node at most
     tables = table_rows(nodes)
     centre = tables.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
     # Of its buckets' centres a node is compared with the one that it meets most often; the pairs that this leaves out come in step 4.
-    met = tables.join(centre, "bucket").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
-    edges = written(met.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "edges")
+    meetings = tables.join(merged(centre), "bucket").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
+    edges = written(meetings.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")), "edges")
     few = nodes.select("node", "n_shingles", "signature")
-    alike = edges.join(few.selectExpr("node as a", "n_shingles as size_a"), "a").join(few.selectExpr("node as b", "n_shingles as size_b"), "b")
+    alike = edges.join(met(few.selectExpr("node as a", "n_shingles as size_a")), "a").join(met(few.selectExpr("node as b", "n_shingles as size_b")), "b")
     edges_of_size = written(alike.where(SHARE[1] * F.least("size_a", "size_b") >= SHARE[0] * F.greatest("size_a", "size_b")).select("a", "b"), "edges")
     removed(edges)
-    wanted = edges_of_size.select(F.col("a").alias("node")).union(edges_of_size.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
+    wanted = edges_of_size.select(F.col("a").alias("node")).union(edges_of_size.select("b")).distinct().join(met(nodes.select("node", "text_key")), "node")
     texts = written(texts_of(docs, wanted), "texts")
-    links = to_centres(edges_of_size, texts)
+    links = to_centres(edges_of_size, texts, n_nodes)
     removed(edges_of_size, texts)
     roots = tree_roots(links)  # a centre is the least of its bucket, and a node has one: these are trees
-    labels = written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+    labels = written(nodes.select("node").join(met(roots), "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
     removed(roots)
-    more = across(tables, labels, nodes)
+    more = across(tables, labels, nodes, n_nodes)
     removed(tables)
-    clusters = written(components(more).withColumnRenamed("root", "cluster").join(nodes.select("node", "digest", "n_shingles", "copies", "text_key"), "node"), "clusters")
+    clusters = written(components(more).withColumnRenamed("root", "cluster").join(met(nodes.select("node", "digest", "n_shingles", "copies", "text_key")), "node"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.col("n_shingles") * 16).alias("bytes"))
-    members = written(spread_join(clusters, sizes, ["cluster"], ["node"]), "clusters")
+    members = written(spread_join(clusters, met(sizes), ["cluster"], ["node"]), "clusters")
     rest = ngram_join.verified(members, docs, shingles)
     removed(clusters, members, more)
     # What was found across components joins their labels.
-    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    label = lambda c: met(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")))
     found = rest.where("node <> to").select("node", "to").join(label("node"), "node").join(label("to"), "to").where("label_node <> label_to")
     roots = components(found.select(F.col("label_node").alias("a"), F.col("label_to").alias("b")))
-    whole = spread_join(labels, roots.withColumnRenamed("node", "label"), ["label"], ["node"], "left").select("node", F.coalesce("root", "label").alias("root"))
-    out = written(nodes.select("node", "digest", "copies", "doc").join(whole, "node").select("digest", "copies", "doc", "root"), "classes")
+    whole = spread_join(labels, met(roots.withColumnRenamed("node", "label")), ["label"], ["node"], "left").select("node", F.coalesce("root", "label").alias("root"))
+    out = written(nodes.select("node", "digest", "copies", "doc").join(met(whole), "node").select("digest", "copies", "doc", "root"), "classes")
     removed(nodes, labels, links, rest, roots)
     return rows.select("doc_id", "digest", "n_shingles", "text_key"), out
 
@@ -268,8 +271,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Rows with one doc_id are rows of their own; a row whose component has no doc_id has none as its component, and is kept.
     """
     rows, out = classes(docs)
+    n_nodes = out.count()
     least = out.groupBy("root").agg(F.min("doc").alias("component_id"))
-    out = written(spread_join(out, least, ["root"], ["digest"]).select("digest", "component_id"), "components")
-    found = spread_join(rows, out, ["digest"], ["doc_id", "text_key"], "left")
+    out = written(spread_join(out, merged_if_many(least, n_nodes), ["root"], ["digest"]).select("digest", "component_id"), "components")
+    found = spread_join(rows, merged_if_many(out, n_nodes), ["digest"], ["doc_id", "text_key"], "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -35,6 +35,21 @@ def near_texts(spark):
     return spark.createDataFrame(rows + [(k, text(k, k), "en", "s1", 0) for k in range(40, 50)], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def test_near_copies_are_found_without_broadcasts(spark, monkeypatch):
+    """Spark takes a list of 24 keys for 8 bytes, and so keys that are counted for the smaller side of a join."""
+    from cytospark.llm import near_dedup, ngram_join
+    from cytospark.operators import ordering
+
+    monkeypatch.setattr(ordering, "MOST_COPIED", -1, raising=False)
+    seen = caught(monkeypatch, near_dedup, "written"), caught(monkeypatch, ngram_join, "written")
+    out = near_dedup.near_copies(near_texts(spark))
+    steps = [out, *seen[0], *seen[1]]
+    assert len(steps) > 15
+    for df in steps:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert {r["component_id"] for r in out.collect()} == {0, 1, 2, *range(40, 50)}
+
+
 def test_stages_of_the_pipeline_join_without_broadcasts(spark, monkeypatch):
     from cytospark.llm import line_dedup, ngram_join
     from cytospark.operators import ordering
