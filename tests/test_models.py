@@ -85,6 +85,30 @@ def test_cross_validation_is_the_plain_one(spark, sf, samples):
     assert [got[k] for k in range(len(settings))] == want
 
 
+def test_cross_validation_fits_all_labelled_rows(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    y = (r.random(150) < 0.4).astype(int)
+    x = np.round(r.normal(size=(150, 3)) + 0.8 * y[:, None], 2)
+    df = spark.createDataFrame([(k, x[k].tolist(), int(y[k])) for k in range(150)] + [(150, [0.0] * 3, None)], "id long, features array<double>, y int")
+    monkeypatch.setattr(annotator, "MOST_LABELLED", 30)
+    for name, value in (("_sample", None), ("SCORED", 8), ("COMPARED", 20)):  # nothing is sampled, and blocks are small
+        monkeypatch.setattr(annotator, name, value, raising=False)
+    fold = {f["id"]: f["fold"] for f in annotator.folds(df.where("y is not null")).collect()}
+    fold = np.array([fold[k] for k in range(150)])
+    got = {g["setting"]: (g["tp"], g["tn"], g["fp"], g["fn"]) for g in annotator.cross_validate(df, annotator.SETTINGS[6:7], steps=60).collect()}
+    score = np.zeros(150)
+    for f in range(5):
+        near, line = plain_fit(x[fold != f], y[fold != f], 15, 0.03, 60)(x[fold == f])
+        score[fold == f] = 0.55 * near + 0.45 * line
+    best = ()
+    for k in range(121):
+        call = score >= 0.2 + 0.005 * k - 1e-12
+        tp, tn, fp, fn = (int(v.sum()) for v in (call & (y == 1), ~call & (y == 0), call & (y == 0), ~call & (y == 1)))
+        key = (2 * tp / (2 * tp + fp + fn), (tp / (tp + fn) + tn / (tn + fp)) / 2, (tp + tn) / 150, -fp, -k)
+        best = max(best, (key, (tp, tn, fp, fn)))
+    assert got == {0: best[1]}
+
+
 def crossed_by_hand(p):
     n, side = len(p), lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
     for i in range(n):
